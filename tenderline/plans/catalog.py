@@ -4,4 +4,4 @@ from __future__ import annotations
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = "backtest_metrics"
+FLAGSHIP = "recommended_plant"
