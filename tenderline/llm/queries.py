@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tenderline.llm import decontaminate, language, lines, neardup, neighbours, pieces, quality, sharding, suffixes, toxicity
 
+from tenderline.llm.storage import reachable
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
