@@ -1,9 +1,10 @@
 """Near-duplicate documents by MinHash bands and sequential Bayesian verification.
 
 Documents of equal shingle sets are one class; classes are banded, and links between classes are confirmed on whole sets.
-Within a bucket, members are first compared with its least and its greatest member only; members that are connected by then need
-no further comparison with each other, so groups of many near copies don't give pairs of all with all. What is left, pairs of one
-bucket in different components, is compared in a second round, so that no candidate pair across components is left out.
+Within a bucket, members are compared with one of them only, another one in each turn; members that are connected by then need no
+further comparison with each other, so groups of many near copies don't give pairs of all with all. Once the pairs of one bucket
+in different components are few (two for each row of the buckets), or a turn hasn't halved them, or after MAX_TURNS, all that are left are
+compared, so no candidate pair across components is left out.
 
 A pair's signatures are compared in batches. After n of them with m agreements the similarity has a Beta(m + 1, n - m + 1)
 posterior (uniform prior); the pair is dropped once the probability that it reaches the threshold is below `miss`. Survivors are
@@ -27,6 +28,7 @@ ROWS, BANDS = 5, 36
 BATCH, MISS = 20, 1e-6
 #: Ids that are sent to all tasks (8 bytes each); more of them are joined by shuffling.
 BROADCAST_IDS = 1_000_000
+MAX_TURNS = 12
 _RNG = np.random.default_rng(77)
 MULTIPLIERS = _RNG.integers(1, 1 << 31, ROWS * BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 ADDENDS = _RNG.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)
@@ -158,24 +160,39 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = MISS) -> D
     by_set = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     members = store(full.select("doc_id", "n_shingles", "d1", "d2").join(by_set, ["d1", "d2"]), "members")
     reps = members.where("doc_id = rep").select("rep", "d1", "d2").distinct()
-    classes = store(full.join(reps.withColumnRenamed("rep", "doc_id"), ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id", "d1", "d2"]).select(F.col("doc_id").alias("rep"), "sig", "keys"), "classes")
+    classes = store(full.join(reps.withColumnRenamed("rep", "doc_id"), ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "sig", "keys"), "classes")
     rows = classes.select("rep", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
+    shared = rows.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("key")
     rows = store(rows.join(shared, "key"), "buckets")  # of buckets with two classes or more
-    star = rows.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("rep").alias("b")), F.struct(F.col("rep").alias("a"), F.col("high").alias("b")))).alias("x")).select("x.*").where("a < b").distinct()
-    star = store(star, "star")
-    first = components(verify(star, classes, docs, percent, miss))
-    # second round: pairs of one bucket whose components differ
-    at = rows.select("key", "rep").join(first.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    open_ = at.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-    at = store(at.join(open_, "key"), "open")
-    other = at.toDF("key", "b", "comp_b")
-    rest = at.toDF("key", "a", "comp_a").join(other, "key").where("a < b and comp_a <> comp_b").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = verify(rest, classes, docs, percent, miss)
-    named = more.join(first.toDF("a", "ca"), "a", "left").join(first.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()
-    second = components(named)
-    final = members.select("doc_id", "n_shingles", "rep").join(first.toDF("rep", "c1"), "rep", "left").withColumn("c1", F.coalesce("c1", "rep")).join(second.toDF("c1", "c2"), "c1", "left")
-    linked = final.select("doc_id", "n_shingles", F.coalesce("c2", "c1").alias("component_id"), F.col("rep").alias("class_id"))
+    comp, tested = classes.select(F.col("rep").alias("id"), F.col("rep").alias("comp")), None
+    before = float("inf")
+    for turn in range(MAX_TURNS):
+        at = rows.join(comp.toDF("rep", "comp"), "rep").select("key", "rep", "comp")
+        counts = at.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own")).where("comps > 1")
+        counts = store(counts, "open")
+        at = store(at.join(counts.select("key"), "key"), "open")
+        size = counts.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("cross")).first()
+        if not size["rows"]:
+            break
+        # another turn pays only while turns halve what is left
+        last = size["cross"] <= 2 * size["rows"] or 2 * size["cross"] > before or turn == MAX_TURNS - 1
+        before = size["cross"]
+        other = at.toDF("key", "b", "comp_b")
+        if last:  # all pairs that are left
+            pairs = at.toDF("key", "a", "comp_a").join(other, "key").where("a < b and comp_a <> comp_b").select("a", "b")
+        else:  # with one member of the bucket, by an order that a quarter of the buckets share
+            order = F.xxhash64("rep", F.pmod("key", F.lit(4)), F.lit(turn))
+            pivots = at.groupBy("key").agg(F.min(F.struct(order.alias("o"), "rep", "comp")).alias("p")).select("key", F.col("p.rep").alias("a"), F.col("p.comp").alias("comp_a"))
+            pairs = pivots.join(other, "key").where("a <> b and comp_a <> comp_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = store((pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti")), "pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links = verify(pairs, classes, docs, percent, miss)
+        named = links.join(comp.toDF("a", "ca"), "a").join(comp.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+        merged = components(named)
+        comp = store(comp.join(merged.toDF("comp", "new"), "comp", "left").select("id", F.coalesce("new", "comp").alias("comp")), "comp")
+        if last:
+            break
+    linked = members.join(comp.toDF("rep", "component_id"), "rep").select("doc_id", "n_shingles", "component_id", F.col("rep").alias("class_id"))
     alone = sets.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
     out = linked.unionByName(alone)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "class_id")
