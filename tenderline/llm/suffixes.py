@@ -18,14 +18,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tenderline.llm.storage import store
+from tenderline.llm.storage import release, store
 from tenderline.llm.text import flat, mix, powers_back, prefix_hash, slices, span_hash
 
 WIDTH, GRAM = 100, 20
 #: Bits of the filter of repeated minimisers, at most (32 MB; beyond 16 bits for each it only lets more through).
 FILTER_BITS, SEGMENTS = 1 << 28, 256
 #: Context bytes in a shard, about; contexts of one key that may meet in one shard.
-SHARD, MAX_GROUP = 6 << 20, 50_000
+SHARD, MAX_GROUP = 2 << 20, 10_000
 
 
 # --- suffix arrays -------------------------------------------------------------------------------------------------
@@ -246,9 +246,8 @@ def _bits(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (fp >> np.uint64(56)).astype(np.int64), probes.astype(np.int64)
 
 
-def repeated_filter(fps: DataFrame) -> tuple[np.ndarray, int]:
-    """A Bloom filter (bytes of bits, bits) of the hashes that occur more than once; its size is bounded by FILTER_BITS."""
-    again = store(fps.groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1").select("fp"), "repeated")
+def bloom_filter(again: DataFrame) -> tuple[np.ndarray, int]:
+    """A Bloom filter (bytes of bits, bits) of the hashes fp in a stored table; its size is bounded by FILTER_BITS."""
     bits = 1 << 20
     n = again.count()
     while bits < min(16 * n, FILTER_BITS):
@@ -291,6 +290,7 @@ def duplicate_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     rows = _rows(docs)
     spark = docs.sparkSession
     reach = width - GRAM  # bytes of a string before its minimiser at most, and after it
+    half = reach // 2
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, size=1 << 19):
@@ -300,7 +300,9 @@ def duplicate_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             fp, n = np.unique(span_hash(running, pos, pos + GRAM), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(n.astype(np.int32))], names=["fp", "n"])
 
-    flags = spark.sparkContext.broadcast(repeated_filter(rows.select("text").mapInArrow(first, "fp long, n int")))
+    again = store(rows.select("text").mapInArrow(first, "fp long, n int").groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1").select("fp"), "repeated")
+    flags = spark.sparkContext.broadcast(bloom_filter(again))
+    release(again)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, size=1 << 19):
@@ -313,36 +315,51 @@ def duplicate_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             row = np.searchsorted(offsets, pos, "right") - 1
             a, b = np.maximum(pos - reach, offsets[row]), np.minimum(pos + width, offsets[row + 1])
             ctx = span_hash(running, a, b)
+            ids, crc = batch.column("doc_id").to_numpy(), batch.column("crc").to_numpy()
+            order = np.lexsort((pos - offsets[row], crc[row], ids[row], ctx))
             seen = np.zeros(len(pos), bool)
-            seen[np.unique(ctx, return_index=True)[1]] = True
+            seen[order[np.append(True, ctx[order][1:] != ctx[order][:-1])[: len(order)]]] = True  # the first place in the slice
             raw = data.tobytes()
             texts = [raw[x:y] if s else None for x, y, s in zip(a, b, seen)]
             lr = (pos - a) * 256 + (b - pos)
+            # what strings share whose minimiser is in their right half, and in their left half; 0 if there are none
+            left = np.where((pos - a >= half) & (b - pos >= width - reach), span_hash(running, np.maximum(pos - half, a), pos + GRAM), np.uint64(0))
+            right = np.where(b - pos >= half + GRAM, span_hash(running, pos, np.minimum(pos + half + GRAM, b)) ^ np.uint64(1), np.uint64(0))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(fp.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(lr.astype(np.int32)), batch.column("doc_id").take(pa.array(row)), batch.column("crc").take(pa.array(row)), pa.array((pos - offsets[row]).astype(np.int64)), pa.array(texts, pa.binary())],
-                names=["fp", "ctx", "lr", "doc_id", "crc", "pos", "piece"],
+                [pa.array(fp.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(lr.astype(np.int32)), pa.array(left.view(np.int64)), pa.array(right.view(np.int64)), batch.column("doc_id").take(pa.array(row)), batch.column("crc").take(pa.array(row)), pa.array((pos - offsets[row]).astype(np.int64)), pa.array(texts, pa.binary())],
+                names=["fp", "ctx", "lr", "kl", "kr", "doc_id", "crc", "pos", "piece"],
             )
 
-    seen = store(rows.select("doc_id", "crc", "text").mapInArrow(second, "fp long, ctx long, lr int, doc_id long, crc long, pos long, piece binary"), "contexts")
+    seen = store(rows.select("doc_id", "crc", "text").mapInArrow(second, "fp long, ctx long, lr int, kl long, kr long, doc_id long, crc long, pos long, piece binary"), "contexts")
     # each distinct context with its first place, and how often it occurs
-    heads = seen.groupBy(*CONTEXT).agg(F.min(F.struct("doc_id", "crc", "pos")).alias("at"), F.count("*").alias("n"))
-    heads = store(heads.select(*CONTEXT, "n", F.col("at.doc_id").alias("d0"), F.col("at.crc").alias("c0"), F.col("at.pos").alias("p0")), "heads")
-    left, right = F.floor(F.col("lr") / 256), F.col("lr") % 256
+    heads = seen.groupBy(*CONTEXT).agg(F.min(F.struct("doc_id", "crc", "pos")).alias("at"), F.min("kl").alias("kl"), F.min("kr").alias("kr"), F.count("*").alias("n"))
+    heads = store(heads.select(*CONTEXT, "kl", "kr", "n", F.col("at.doc_id").alias("doc_id"), F.col("at.crc").alias("crc"), F.col("at.pos").alias("pos")), "heads")
+    left, right = F.floor(F.col("lr") / 256).cast("int"), F.col("lr") % 256
     # contexts that occur again as a whole
-    copies = seen.drop("piece").join(heads.where("n > 1").select(*CONTEXT, "d0", "c0", "p0"), CONTEXT).where("not (doc_id = d0 and crc = c0 and pos = p0)")
-    copies = copies.where(left + right >= width).select(*KEY, (F.col("pos") - left).alias("a"), (F.col("pos") + right).alias("b"))
-    # distinct contexts that share 60 bytes: what is left of the minimiser, or right of it
-    text = seen.where("piece is not null").select(*CONTEXT, "piece").dropDuplicates(CONTEXT)
-    half = reach // 2
-    units = heads.join(text, CONTEXT).select(F.col("d0").alias("doc_id"), F.col("c0").alias("crc"), F.col("p0").alias("pos"), left.cast("int").alias("l"), right.cast("int").alias("r"), "piece")
-    lefts = units.where((F.col("l") >= half) & (F.col("l") + half + GRAM >= width)).select(*KEY, (F.col("pos") - F.col("l")).alias("at"), F.expr(f"substring(piece, l - {half} + 1, {half + GRAM})").alias("k"), F.expr(f"substring(piece, 1, l + {width - half})").alias("piece"))
-    rights = units.where((F.col("r") >= half + GRAM)).select(*KEY, (F.col("pos") - F.least("l", F.lit(half))).alias("at"), F.expr(f"substring(piece, l + 1, {half + GRAM})").alias("k"), F.expr(f"substring(piece, l - least(l, {half}) + 1, least(l, {half}) + r)").alias("piece"))
-    keyed = lefts.withColumn("side", F.lit(0)).unionByName(rights.withColumn("side", F.lit(1)))
-    keyed = store(keyed.where(F.length("piece") >= width).withColumn("key", F.xxhash64("side", "k")).drop("k", "side"), "units")
-    groups = store(keyed.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.length("piece")).alias("size")).where("m > 1"), "groups")
-    size = groups.where(F.col("m") <= MAX_GROUP).agg(F.sum("size")).first()[0] or 0
+    first_ = heads.where("n > 1").select(*CONTEXT, F.col("doc_id").alias("d0"), F.col("crc").alias("c0"), F.col("pos").alias("p0"))
+    copies = seen.select(*CONTEXT, *KEY, "pos").join(first_, CONTEXT).where("not (doc_id = d0 and crc = c0 and pos = p0)").where(left + right >= width)
+    copies = store(copies.select(*KEY, (F.col("pos") - left).alias("a"), (F.col("pos") + right).alias("b")), "copies")
+    # distinct contexts that share 60 bytes: those left of the minimiser, or right of it
+    keys = heads.select("lr", F.explode(F.array("kl", "kr")).alias("key")).where("key <> 0")
+    groups = store(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "groups")
+    wanted = heads.select(*CONTEXT, *KEY, "pos", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("kl").alias("key")), F.struct(F.lit(1).alias("side"), F.col("kr").alias("key")))).alias("x")).select("*", "x.*").drop("x").join(groups, "key")
+    wanted = store(wanted, "wanted")
+    # their texts: a filter of fixed size keeps most of the others from being shuffled
+    asked = spark.sparkContext.broadcast(bloom_filter(wanted.select(F.col("ctx").alias("fp"))))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_filter(batch.column("ctx").to_numpy().view(np.uint64), *asked.value)))
+
+    texts = seen.where("piece is not null").select(*CONTEXT, *KEY, "pos", "piece").mapInArrow(pick, "fp long, ctx long, lr int, doc_id long, crc long, pos long, piece binary")
+    start = F.when(F.col("side") == 0, F.lit(0)).otherwise(F.greatest(left - half, F.lit(0)))
+    end = F.when(F.col("side") == 0, left + width - half).otherwise(left + right)
+    units = wanted.join(texts, [*CONTEXT, *KEY, "pos"]).select("key", "m", *KEY, (F.col("pos") - left + start).alias("at"), F.substring(F.col("piece"), start + 1, end - start).alias("piece"))
+    keyed = store(units.where(F.length("piece") >= width), "units")
+    release(seen, heads, wanted, groups)
+    size = keyed.where(F.col("m") <= MAX_GROUP).agg(F.sum(F.length("piece"))).first()[0] or 0
     n_shards = max(1, -(-size // SHARD))
-    usual = keyed.join(groups.where(F.col("m") <= MAX_GROUP).select("key"), "key").withColumn("shard", F.pmod(F.xxhash64("key", F.lit(5)), F.lit(n_shards)))
+    usual = keyed.where(F.col("m") <= MAX_GROUP).withColumn("shard", F.pmod(F.xxhash64("key", F.lit(5)), F.lit(n_shards)))
 
     def shard(frame: pd.DataFrame) -> pd.DataFrame:
         docs_, inverse = np.unique(np.rec.fromarrays([frame["doc_id"].to_numpy(np.int64), frame["crc"].to_numpy(np.int64)]), return_inverse=True)
@@ -358,7 +375,7 @@ def duplicate_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     sorted_ = usual.groupBy("shard").applyInPandas(shard, "doc_id long, crc long, a long, b long")
     # keys with more contexts than a shard takes: string by string
-    many = keyed.join(groups.where(F.col("m") > MAX_GROUP).select("key"), "key")
+    many = keyed.where(F.col("m") > MAX_GROUP)
     strings = many.withColumn("o", F.explode(F.sequence(F.lit(0), F.length("piece") - width))).select("key", *KEY, (F.col("at") + F.col("o")).alias("at"), F.expr(f"substring(piece, o + 1, {width})").alias("x"))
     strings = strings.select(F.xxhash64("x").alias("h1"), F.xxhash64("key", "x", F.lit(1)).alias("h2"), *KEY, "at")
     least = strings.groupBy("h1", "h2").agg(F.min(F.struct(*KEY, "at")).alias("least"))
@@ -374,7 +391,7 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     with nothing and stays whole; rows with the same doc_id and text count as one document and fare alike, different texts of
     one doc_id are ordered by checksum.
     """
-    found = duplicate_spans(docs, width).groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
+    found = store(duplicate_spans(docs, width).groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans")), "spans")
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("crc", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
     joined = whole.join(found.hint("shuffle_hash"), KEY, "left")
 
