@@ -3,7 +3,7 @@
 Documents of equal shingle sets are one class; classes are banded, and links between classes are confirmed on whole sets.
 Within a bucket, members are compared with one of them only, another one in each turn; members that are connected by then need no
 further comparison with each other, so groups of many near copies don't give pairs of all with all. Once the pairs of one bucket
-in different components are few (two for each row of the buckets), or a turn hasn't halved them, or after MAX_TURNS, all that are left are
+in different components are few (two for each row of the buckets), or a turn hasn't taken a tenth off them, or after MAX_TURNS, all that are left are
 compared, so no candidate pair across components is left out.
 
 A pair's signatures are compared in batches. After n of them with m agreements the similarity has a Beta(m + 1, n - m + 1)
@@ -13,6 +13,7 @@ verified exactly.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from math import comb
 
@@ -25,7 +26,7 @@ from tenderline.llm.text import LOWER, SOLID, flat, mix, shingle_hashes, slices,
 
 #: A link of similarity 0.75 is in no common bucket with probability (1 - 0.75**5)**36 = 5.8e-5.
 ROWS, BANDS = 5, 36
-BATCH, MISS = 20, 1e-6
+BATCH, MISS = 20, 1e-5
 #: Ids that are sent to all tasks (8 bytes each); more of them are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 MAX_TURNS = 12
@@ -165,7 +166,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = MISS) -> D
     shared = rows.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("key")
     rows = store(rows.join(shared, "key"), "buckets")  # of buckets with two classes or more
     comp, tested = classes.select(F.col("rep").alias("id"), F.col("rep").alias("comp")), None
-    before = float("inf")
+    before = math.inf
     for turn in range(MAX_TURNS):
         at = rows.join(comp.toDF("rep", "comp"), "rep").select("key", "rep", "comp")
         counts = at.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own")).where("comps > 1")
@@ -174,8 +175,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = MISS) -> D
         size = counts.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("cross")).first()
         if not size["rows"]:
             break
-        # another turn pays only while turns halve what is left
-        last = size["cross"] <= 2 * size["rows"] or 2 * size["cross"] > before or turn == MAX_TURNS - 1
+        # another turn pays only while turns take a tenth off what is left
+        last = size["cross"] <= 2 * size["rows"] or size["cross"] > 0.9 * before or turn == MAX_TURNS - 1
         before = size["cross"]
         other = at.toDF("key", "b", "comp_b")
         if last:  # all pairs that are left
