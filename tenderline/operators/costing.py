@@ -82,14 +82,14 @@ def breakdown(cells: DataFrame, lines: DataFrame, params: Params = DEFAULT, toda
 def recommend_plant(breakdowns: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Per line and quantity the plant: cheapest on time, else cheapest; prices to the cent, home plant first, then plant order (CO-12)."""
     late = F.when(F.coalesce(F.col("meets_due"), F.lit(True)), 0).otherwise(1)
-    order = F.struct(late, F.round("unit_price", 2), F.when(F.col("plant") == params.home_plant, 0).otherwise(1), F.col("ord"))
+    order = F.struct(late, F.round(F.col("unit_price") + 1e-7, 2), F.when(F.col("plant") == params.home_plant, 0).otherwise(1), F.col("ord"))
     return breakdowns.where("feasible").groupBy(*LINE, "qty").agg(F.min_by("plant", order).alias("plant"), F.min_by("unit_price", order).alias("unit_price"), F.count("*").alias("n_feasible"))
 
 
 def price_matrix(breakdowns: DataFrame, plants: list[str]) -> DataFrame:
     """Line × quantity with a labelled price for each plant (CO-15)."""
     label = F.when(~F.col("feasible"), "not feasible").otherwise(F.concat(F.format_string("%.2f", "unit_price"), F.when(F.col("min_order_applied"), " (minimum order)").otherwise(""), F.when(~F.coalesce("meets_due", F.lit(True)), " (late)").otherwise("")))
-    return breakdowns.withColumn("label", label).groupBy(*LINE, "qty").pivot("plant", plants).agg(F.first("label"))
+    return breakdowns.withColumn("label", label).groupBy(*LINE, "qty").pivot("plant", plants).agg(F.max("label"))
 
 
 def cost_detail(lines: DataFrame) -> DataFrame:

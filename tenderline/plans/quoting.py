@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tenderline.operators import costing, similarity
 from tenderline.params import DEFAULT
-from tenderline.sources.adapters import ctes, domain
+from tenderline.sources.adapters import ctes, domain, doubles
 
 PLANTS = ["DE", "PL", "CN"]
 TODAY = "1996-01-01"
 
 
+def rounded(c):
+    """Four places; ties, which engines see differently in binary, go up."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + 1e-7, 4)
+
+
 def _cells(spark: SparkSession, d: str) -> DataFrame:
     lines = costing.with_weight(domain(spark, d, "items"), domain(spark, d, "parts"), domain(spark, d, "materials"))
     return costing.grid(lines, domain(spark, d, "plants"))
@@ -27,18 +32,18 @@ def _breakdown(spark: SparkSession, d: str) -> DataFrame:
 
 def cost_lines(spark: SparkSession, d: str) -> DataFrame:
     """CO-01 to CO-05, CO-16: machining, outsourced and material lines of each line, plant and quantity."""
-    return costing.cost_detail(_lines(spark, d))
+    return costing.cost_detail(_lines(spark, d).withColumn("amount", F.col("amount") + 1e-7))
 
 
 def cost_breakdown(spark: SparkSession, d: str) -> DataFrame:
     """CO-06 to CO-09: feasibility, unit cost, price, order floor, lead time."""
-    r = lambda c: F.round(c, 4).alias(c)
+    r = lambda c: rounded(c).alias(c)
     return _breakdown(spark, d).select(*costing.CELL, "feasible", "reason", r("unit_cost"), r("unit_price"), r("total"), "min_order_applied", "lead_weeks", "meets_due")
 
 
 def recommended_plant(spark: SparkSession, d: str) -> DataFrame:
     """CO-12: the plant to quote for each line."""
-    return costing.recommend_plant(_breakdown(spark, d)).withColumn("unit_price", F.round("unit_price", 4))
+    return costing.recommend_plant(_breakdown(spark, d)).withColumn("unit_price", rounded("unit_price"))
 
 
 def price_matrix(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +86,7 @@ def reference_costs(spark: SparkSession, d: str) -> DataFrame:
     """SI-04, SI-05, SI-07: the recorded cost of each similar part at the quantity nearest to 20."""
     q = _similar(spark, d).where("rank = 1").withColumn("want", F.lit(20))
     out = similarity.reference_costs(q, domain(spark, d, "part_costs"), domain(spark, d, "history"), ["query_id"], "want")
-    return out.select("query_id", "part_id", F.round("ref_unit_cost", 4).alias("ref_unit_cost"), "ref_qty")
+    return out.select("query_id", "part_id", rounded("ref_unit_cost").alias("ref_unit_cost"), "ref_qty")
 
 
 _VOLUME = "CASE WHEN shape_class = 'rotational' THEN pi() / 4 * main_mm * main_mm * length_mm ELSE length_mm * width_mm * height_mm END / 1000"
@@ -126,11 +131,11 @@ _SIM = (
 
 QUERIES = {f.__name__: f for f in (cost_lines, cost_breakdown, recommended_plant, price_matrix, routing_view, offered_quantities, feature_vectors, similar_parts, reference_costs)}
 ORACLES = {
-    "cost_lines": _COST + " SELECT rfq_id, line_no, plant, qty, category, ordinal, round(amount, 4) AS amount FROM amounts",
-    "cost_breakdown": _COST + " SELECT rfq_id, line_no, plant, qty, feasible, reason, round(unit_cost, 4) AS unit_cost, round(unit_price, 4) AS unit_price, round(total, 4) AS total, min_order_applied, lead_weeks, meets_due FROM broken",
-    "recommended_plant": _COST + """ SELECT rfq_id, line_no, qty, plant, round(unit_price, 4) AS unit_price, n_feasible FROM (
+    "cost_lines": _COST + " SELECT rfq_id, line_no, plant, qty, category, ordinal, round(amount + 1e-7, 4) AS amount FROM amounts",
+    "cost_breakdown": _COST + " SELECT rfq_id, line_no, plant, qty, feasible, reason, round(unit_cost + 1e-7, 4) AS unit_cost, round(unit_price + 1e-7, 4) AS unit_price, round(total + 1e-7, 4) AS total, min_order_applied, lead_weeks, meets_due FROM broken",
+    "recommended_plant": _COST + """ SELECT rfq_id, line_no, qty, plant, round(unit_price + 1e-7, 4) AS unit_price, n_feasible FROM (
         SELECT *, count(*) OVER (PARTITION BY rfq_id, line_no, qty) AS n_feasible, row_number() OVER (PARTITION BY rfq_id, line_no, qty
-            ORDER BY CASE WHEN coalesce(meets_due, TRUE) THEN 0 ELSE 1 END, round(unit_price, 2), CASE WHEN plant = 'DE' THEN 0 ELSE 1 END, ord) AS k FROM broken WHERE feasible) WHERE k = 1""",
+            ORDER BY CASE WHEN coalesce(meets_due, TRUE) THEN 0 ELSE 1 END, round(unit_price + 1e-7, 2), CASE WHEN plant = 'DE' THEN 0 ELSE 1 END, ord) AS k FROM broken WHERE feasible) WHERE k = 1""",
     "price_matrix": _COST + """, lab AS (SELECT rfq_id, line_no, qty, plant, CASE WHEN NOT feasible THEN 'not feasible' ELSE '0.00' || CASE WHEN min_order_applied THEN ' (minimum order)' ELSE '' END || CASE WHEN NOT coalesce(meets_due, TRUE) THEN ' (late)' ELSE '' END END AS x FROM broken)
         SELECT rfq_id, line_no, qty, max(x) FILTER (WHERE plant = 'DE') AS de, max(x) FILTER (WHERE plant = 'PL') AS pl, max(x) FILTER (WHERE plant = 'CN') AS cn FROM lab GROUP BY 1, 2, 3""",
     "routing_view": ctes("ops") + " SELECT rfq_id, line_no, seq, coalesce(centre, service) AS place, CASE WHEN suggested THEN 'suggested' WHEN service IS NOT NULL THEN 'outsourced: ' || service ELSE 'costed' END AS status FROM ops",
@@ -138,6 +143,7 @@ ORACLES = {
         SELECT rfq_id, array_to_string(q, ',') AS asked, CASE WHEN len(q) = 1 THEN array_to_string(list_concat(q, list_filter([50, 200, 500, 1000, 2500], lambda t : t > q[1])[1:1]), ',') ELSE array_to_string(q, ',') END AS offered FROM a""",
     "feature_vectors": _SIM + " SELECT part_id, shape_class, main_mm, length_mm, material_code, mat_group, n_holes, n_threads, has_keyway, has_gear, has_heat, has_surface, min_it FROM v",
     "similar_parts": _SIM + ' SELECT query_id, part_id, rank, score, diameter, "precision" FROM top',
-    "reference_costs": _SIM.replace("WITH ", ctes("part_costs") + ", ", 1) + """ SELECT query_id, part_id, round(unit_cost, 4) AS ref_unit_cost, qty AS ref_qty FROM (
+    "reference_costs": _SIM.replace("WITH ", ctes("part_costs") + ", ", 1) + """ SELECT query_id, part_id, round(unit_cost + 1e-7, 4) AS ref_unit_cost, qty AS ref_qty FROM (
         SELECT t.query_id, t.part_id, unit_cost, qty, row_number() OVER (PARTITION BY query_id ORDER BY abs(qty - 20), unit_cost, plant) AS k FROM top t LEFT JOIN part_costs c USING (part_id) WHERE rank = 1) WHERE k = 1""",
 }
+ORACLES = {k: doubles(v) for k, v in ORACLES.items()}

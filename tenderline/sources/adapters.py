@@ -36,7 +36,7 @@ TABLES: dict[str, str] = {
     "ops": """SELECT rfq_id, line_no, 10 * k AS seq, CASE WHEN (rfq_id + line_no + k) % 6 = 0 THEN NULL ELSE 'WC' || CAST((rfq_id + k) % 7 AS VARCHAR(4)) END AS centre,
         CASE WHEN (rfq_id + line_no + k) % 6 = 0 THEN 'SV' || CAST(line_no % 3 AS VARCHAR(4)) END AS service, 5.0 * k + line_no AS setup_min, 0.5 + qty * 0.05 * k AS cycle_min, (rfq_id + k) % 11 = 0 AS suggested
         FROM {items} CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3) x""",
-    "calls": "SELECT event_id AS id, user_id AS rfq_id, event_type AS node, ts, CAST(value * 10 AS BIGINT) AS latency_ms, CAST(event_id % 900 AS BIGINT) AS tokens_in, CAST(event_id % 200 AS BIGINT) AS tokens_out, event_id % 4 = 0 AS cache_hit, CAST(1 + event_id % 3 AS INT) AS attempts, event_id % 17 <> 0 AS ok FROM {events}",
+    "calls": "SELECT event_id AS id, user_id AS rfq_id, event_type AS node, ts, CAST(floor(value * 10) AS BIGINT) AS latency_ms, CAST(event_id % 900 AS BIGINT) AS tokens_in, CAST(event_id % 200 AS BIGINT) AS tokens_out, event_id % 4 = 0 AS cache_hit, CAST(1 + event_id % 3 AS INT) AS attempts, event_id % 17 <> 0 AS ok FROM {events}",
     # before and after a review: operations of a line with changed times
     "edited": "SELECT rfq_id, line_no, seq, centre, setup_min AS before_setup, cycle_min AS before_cycle, CASE WHEN rfq_id % 5 = 0 THEN setup_min + 2 ELSE setup_min END AS after_setup, CASE WHEN (rfq_id + seq) % 4 = 0 THEN cycle_min * 1.25 ELSE cycle_min END AS after_cycle, (rfq_id + line_no) % 13 = 0 AS removed FROM {ops} WHERE centre IS NOT NULL",
     "predicted": "SELECT l_orderkey AS drawing, l_linenumber AS n, l_returnflag AS ftype, l_quantity AS nominal, l_tax AS band FROM {lineitem} WHERE l_suppkey % 7 <> 0",
@@ -44,6 +44,14 @@ TABLES: dict[str, str] = {
 }
 
 
+def doubles(sql: str) -> str:
+    """Number literals with a point as doubles, so that no engine computes in decimals."""
+    return re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w.])", r"\1E0", sql)
+
+
+TABLES = {name: doubles(sql) for name, sql in TABLES.items()}
+
+
 def _needs(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
 
