@@ -25,9 +25,16 @@ TABLES: dict[str, str] = {
         CASE WHEN p_partkey % 10 = 3 THEN NULL ELSE CAST(5 + p_partkey % 8 AS INT) END AS min_it, p_retailprice AS list_price FROM {part}""",
     # work done on a part: its first lines by order
     "features": """SELECT l_partkey AS part_id, l_orderkey * 8 + l_linenumber AS fid,
-        CASE (l_orderkey + l_linenumber) % 10 WHEN 0 THEN 'outer_diameter' WHEN 1 THEN 'outer_diameter' WHEN 2 THEN 'bore' WHEN 3 THEN 'hole' WHEN 4 THEN 'thread' WHEN 5 THEN 'keyway' WHEN 6 THEN 'groove' WHEN 7 THEN 'pocket' WHEN 8 THEN 'slot' ELSE 'gear' END AS ftype,
-        l_quantity AS nominal, CASE WHEN l_linenumber = 4 THEN NULL ELSE l_extendedprice / 1000 END AS len_mm, CAST(1 + l_suppkey % 4 AS INT) AS qty, l_tax AS band,
-        CASE WHEN l_linenumber % 3 = 0 THEN CAST(5 + l_suppkey % 8 AS INT) END AS it_grade, CASE WHEN l_suppkey % 5 = 0 THEN 0.4 WHEN l_suppkey % 5 = 1 THEN 0.8 END AS ra_um, l_discount AS radius FROM {lineitem}""",
+        CASE (l_orderkey + l_linenumber) % 12 WHEN 0 THEN 'outer_diameter' WHEN 1 THEN 'outer_diameter' WHEN 2 THEN 'bore' WHEN 3 THEN 'hole' WHEN 4 THEN 'thread' WHEN 5 THEN 'keyway' WHEN 6 THEN 'groove' WHEN 7 THEN 'pocket' WHEN 8 THEN 'slot' WHEN 9 THEN 'wall' WHEN 10 THEN 'chamfer' ELSE 'gear' END AS ftype,
+        CAST(l_quantity AS DOUBLE) AS nominal, CASE WHEN l_linenumber = 4 THEN NULL ELSE CAST(l_extendedprice AS DOUBLE) / 1000 END AS len_mm, CAST(1 + l_suppkey % 4 AS INT) AS qty, CAST(l_tax AS DOUBLE) AS band,
+        CASE WHEN l_linenumber % 3 = 0 THEN CAST(5 + l_suppkey % 8 AS INT) END AS it_grade, CASE WHEN l_suppkey % 5 = 0 THEN 0.4 WHEN l_suppkey % 5 = 1 THEN 0.8 END AS ra_um, CAST(l_discount AS DOUBLE) AS radius,
+        CASE (l_suppkey + l_linenumber) % 6 WHEN 0 THEN 'H7/g6' WHEN 1 THEN 'h8' WHEN 2 THEN 'JS6' WHEN 3 THEN 'H9' END AS fit,
+        CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE CAST(15 + 3 * l_linenumber AS INT) END AS teeth, CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE 1.5 END AS module FROM {lineitem}""",
+    # what else is printed on a drawing: treatments, notes, general tolerance and the material's text
+    "specs": """SELECT p_partkey AS part_id, CASE p_partkey % 9 WHEN 0 THEN 'Case hardened 58 HRC' WHEN 1 THEN 'quenched and tempered' WHEN 2 THEN 'hardened 60 HRC' WHEN 3 THEN 'nitrided' WHEN 4 THEN '' END AS heat_treatment,
+        CASE p_partkey % 7 WHEN 0 THEN 'anodised' WHEN 1 THEN 'Zinc plated' WHEN 2 THEN 'black oxide' WHEN 3 THEN 'painted' END AS surface_treatment, CASE WHEN p_partkey % 12 = 1 THEN 'Milled 5-AXIS' WHEN p_partkey % 12 = 4 THEN 'sharp corners' ELSE p_name END AS notes,
+        CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 'ISO 2768-mK' END AS general_tolerance, CASE WHEN p_partkey % 22 = 0 THEN ' ' WHEN p_partkey % 11 = 0 THEN 'special alloy' ELSE 'M' || CAST(p_partkey % 6 AS VARCHAR(4)) END AS material_text FROM {part}""",
+    "bom": "SELECT l_partkey AS part_id, l_orderkey * 8 + l_linenumber AS item_no, CAST(l_quantity AS INT) AS qty, CASE l_linenumber % 4 WHEN 0 THEN 'Cylinder head screw' WHEN 1 THEN 'Housing cover' WHEN 2 THEN 'Shaft' ELSE 'Plate' END AS description, CASE WHEN l_linenumber % 5 = 0 THEN 'ISO 7089' END AS standard, 'PN-' || CAST(l_suppkey AS VARCHAR(12)) AS part_number FROM {lineitem} WHERE l_partkey % 4 <> 0",
     "part_costs": "SELECT l_partkey AS part_id, CASE l_suppkey % 3 WHEN 0 THEN 'DE' WHEN 1 THEN 'PL' ELSE 'CN' END AS plant, CAST(l_quantity AS INT) AS qty, avg(l_extendedprice / l_quantity) AS unit_cost FROM {lineitem} GROUP BY 1, 2, 3",
     "history": "SELECT l_partkey AS part_id, CASE l_suppkey % 3 WHEN 0 THEN 'DE' WHEN 1 THEN 'PL' ELSE 'CN' END AS plant, CAST(l_quantity AS INT) AS qty, l_extendedprice * (1 - l_discount) / l_quantity AS unit_price, l_orderkey * 8 + l_linenumber AS quote_no FROM {lineitem}",
     # requested lines: order lines, with the quantity asked and a due date
