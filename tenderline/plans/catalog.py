@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tenderline.plans import engineering, quoting, reporting
+from tenderline.plans import engineering, quoting, records, reporting
 
-_MODULES = (quoting, engineering, reporting)
+_MODULES = (quoting, engineering, reporting, records)
 QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
 FLAGSHIP = "recommended_plant"

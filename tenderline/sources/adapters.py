@@ -35,6 +35,12 @@ TABLES: dict[str, str] = {
         CASE p_partkey % 7 WHEN 0 THEN 'anodised' WHEN 1 THEN 'Zinc plated' WHEN 2 THEN 'black oxide' WHEN 3 THEN 'painted' END AS surface_treatment, CASE WHEN p_partkey % 12 = 1 THEN 'Milled 5-AXIS' WHEN p_partkey % 12 = 4 THEN 'sharp corners' ELSE p_name END AS notes,
         CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 'ISO 2768-mK' END AS general_tolerance, CASE WHEN p_partkey % 22 = 0 THEN ' ' WHEN p_partkey % 11 = 0 THEN 'special alloy' ELSE 'M' || CAST(p_partkey % 6 AS VARCHAR(4)) END AS material_text FROM {part}""",
     "bom": "SELECT l_partkey AS part_id, l_orderkey * 8 + l_linenumber AS item_no, CAST(l_quantity AS INT) AS qty, CASE l_linenumber % 4 WHEN 0 THEN 'Cylinder head screw' WHEN 1 THEN 'Housing cover' WHEN 2 THEN 'Shaft' ELSE 'Plate' END AS description, CASE WHEN l_linenumber % 5 = 0 THEN 'ISO 7089' END AS standard, 'PN-' || CAST(l_suppkey AS VARCHAR(12)) AS part_number FROM {lineitem} WHERE l_partkey % 4 <> 0",
+    "catalog": "SELECT 'PN-' || CAST(s_suppkey AS VARCHAR(12)) AS part_number, CAST(s_acctbal AS DOUBLE) AS unit_price FROM {supplier} WHERE s_suppkey % 3 = 0",
+    "material_keys": "SELECT code, code AS key, 10 * machinability AS ordinal FROM {materials} UNION ALL SELECT code, mat_group || ' ' || code AS key, 100 + machinability AS ordinal FROM {materials}",
+    # material texts as written on drawings
+    "callouts": "SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'm' || CAST(p_partkey % 7 AS VARCHAR(4)) WHEN 1 THEN 'Bar of Steel-M' || CAST(p_partkey % 4 AS VARCHAR(4)) || ', rolled' WHEN 2 THEN 'cast' WHEN 3 THEN 'aluminium M.' || CAST(3 + p_partkey % 2 AS VARCHAR(4)) ELSE p_name END AS text FROM {part}",
+    "requests": "SELECT o_orderkey AS rfq_id, CAST(o_orderdate AS DATE) AS issued FROM {orders}",
+    "quotes": "SELECT o_custkey AS rfq_id, o_orderkey % 5 + 1 AS version FROM {orders}",
     "part_costs": "SELECT l_partkey AS part_id, CASE l_suppkey % 3 WHEN 0 THEN 'DE' WHEN 1 THEN 'PL' ELSE 'CN' END AS plant, CAST(l_quantity AS INT) AS qty, avg(l_extendedprice / l_quantity) AS unit_cost FROM {lineitem} GROUP BY 1, 2, 3",
     "history": "SELECT l_partkey AS part_id, CASE l_suppkey % 3 WHEN 0 THEN 'DE' WHEN 1 THEN 'PL' ELSE 'CN' END AS plant, CAST(l_quantity AS INT) AS qty, l_extendedprice * (1 - l_discount) / l_quantity AS unit_price, l_orderkey * 8 + l_linenumber AS quote_no FROM {lineitem}",
     # requested lines: order lines, with the quantity asked and a due date
