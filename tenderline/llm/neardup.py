@@ -2,9 +2,10 @@
 
 Documents of equal shingle sets are one class; classes are banded, and links between classes are confirmed on whole sets.
 Within a bucket, members are compared with one of them only, another one in each turn; members that are connected by then need no
-further comparison with each other, so groups of many near copies don't give pairs of all with all. Once the pairs of one bucket
-in different components are few (two for each row of the buckets), or a turn hasn't taken a tenth off them, or after MAX_TURNS, all that are left are
-compared, so no candidate pair across components is left out.
+further comparison with each other, so groups of many near copies don't give pairs of all with all. If many pairs of one bucket in
+different components are left after two turns, members with a rare shingle in common are compared, and those are dropped that cannot be linked
+with any other, as their shingles that aren't rare are too few. Once the pairs left are few (two for each row of the buckets), or a turn hasn't taken a tenth off them,
+or after MAX_TURNS, all that are left are compared, so no pair of a common bucket that could be a link is left out.
 
 A pair's signatures are compared in batches. After n of them with m agreements the similarity has a Beta(m + 1, n - m + 1)
 posterior (uniform prior); the pair is dropped once the probability that it reaches the threshold is below `miss`. Survivors are
@@ -30,6 +31,7 @@ BATCH, MISS = 20, 1e-5
 #: Ids that are sent to all tasks (8 bytes each); more of them are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 MAX_TURNS = 12
+RARE_SLOTS = 16
 _RNG = np.random.default_rng(77)
 MULTIPLIERS = _RNG.integers(1, 1 << 31, ROWS * BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 ADDENDS = _RNG.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)
@@ -148,6 +150,36 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def linkable(rows: DataFrame, sizes: DataFrame, docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of bucket rows (key, rep): those whose class may be linked with another of its bucket, and pairs beside them; exact together.
+
+    A shingle is rare if each of RARE_SLOTS slots that its classes fall into by hash has two at most: first and last of a slot are
+    all of them then. Classes with a rare shingle in common are given as pairs (a, b). All others share none, so that a class of n
+    shingles, c of them not rare, shares at most min(c, d) with one of m and d, and is linked only if
+    (100 + percent) * min(c, d) >= percent * (n + m). Rows (key, rep, n, c) stay that can be linked even with the bucket's smallest class.
+    """
+    ids = store(rows.select(F.col("rep").alias("doc_id")).distinct(), "open_ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, size=1 << 20):
+            sets = sets_of(batch.column("text"))
+            owners = np.repeat(batch.column("doc_id").to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(owners), pa.array(np.concatenate(sets).view(np.int64))], names=["rep", "h"])
+
+    slots = texts.mapInArrow(work, "rep long, h long").groupBy("h", F.pmod(F.xxhash64("rep"), F.lit(RARE_SLOTS)).alias("slot")).agg(F.count("*").alias("n"), F.min("rep").alias("x"), F.max("rep").alias("y"))
+    by_shingle = slots.groupBy("h").agg(F.max("n").alias("most"), F.array_distinct(F.flatten(F.collect_list(F.array("x", "y")))).alias("reps")).where("most <= 2")
+    rare = store(by_shingle.select("reps"), "rare")
+    counts = rare.select(F.explode("reps").alias("rep")).groupBy("rep").agg(F.count("*").alias("rare"))
+    bound = sizes.join(counts, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("c"))
+    at = store(rows.select("key", "rep").join(bound, "rep"), "bounded")
+    kept = at.join(at.groupBy("key").agg(F.min("n").alias("m")), "key").where((100 + percent) * F.col("c") >= percent * (F.col("n") + F.greatest("m", "c")))
+    several = rare.where(F.size("reps") > 1).distinct()
+    pairs = several.select("reps", F.explode("reps").alias("a")).select("a", F.explode("reps").alias("b")).where("a < b").distinct()
+    return store(kept.select("key", "rep", "n", "c"), "buckets"), pairs
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id of every row of docs (doc_id, text).
 
@@ -161,30 +193,38 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = MISS) -> D
     by_set = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     members = store(full.select("doc_id", "n_shingles", "d1", "d2").join(by_set, ["d1", "d2"]), "members")
     reps = members.where("doc_id = rep").select("rep", "d1", "d2").distinct()
-    classes = store(full.join(reps.withColumnRenamed("rep", "doc_id"), ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "sig", "keys"), "classes")
+    classes = store(full.join(reps.withColumnRenamed("rep", "doc_id"), ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "sig", "keys"), "classes")
     rows = classes.select("rep", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("key")
     rows = store(rows.join(shared, "key"), "buckets")  # of buckets with two classes or more
     comp, tested = classes.select(F.col("rep").alias("id"), F.col("rep").alias("comp")), None
-    before = math.inf
-    for turn in range(MAX_TURNS):
-        at = rows.join(comp.toDF("rep", "comp"), "rep").select("key", "rep", "comp")
+    before, turn, bounded = math.inf, 0, False
+    while True:
+        at = rows.join(comp.toDF("rep", "comp"), "rep")
         counts = at.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own")).where("comps > 1")
         counts = store(counts, "open")
         at = store(at.join(counts.select("key"), "key"), "open")
         size = counts.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("cross")).first()
         if not size["rows"]:
             break
-        # another turn pays only while turns take a tenth off what is left
-        last = size["cross"] <= 2 * size["rows"] or size["cross"] > 0.9 * before or turn == MAX_TURNS - 1
-        before = size["cross"]
-        other = at.toDF("key", "b", "comp_b")
-        if last:  # all pairs that are left
-            pairs = at.toDF("key", "a", "comp_a").join(other, "key").where("a < b and comp_a <> comp_b").select("a", "b")
-        else:  # with one member of the bucket, by an order that a quarter of the buckets share
-            order = F.xxhash64("rep", F.pmod("key", F.lit(4)), F.lit(turn))
-            pivots = at.groupBy("key").agg(F.min(F.struct(order.alias("o"), "rep", "comp")).alias("p")).select("key", F.col("p.rep").alias("a"), F.col("p.comp").alias("comp_a"))
-            pairs = pivots.join(other, "key").where("a <> b and comp_a <> comp_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        many, last = size["cross"] > 2 * size["rows"], False
+        if many and turn >= 2 and not bounded:
+            rows, pairs = linkable(at, classes.select("rep", F.col("n_shingles").alias("n")), docs, percent)
+            pairs = pairs.join(comp.toDF("a", "ca"), "a").join(comp.toDF("b", "cb"), "b").where("ca <> cb").select("a", "b")
+            bounded, before = True, math.inf
+        else:
+            # another turn pays only while turns take a tenth off what is left
+            last = not many or size["cross"] > 0.9 * before or turn == MAX_TURNS - 1
+            before, turn = size["cross"], turn + 1
+            known = ["n", "c"] if bounded else []
+            one = at.select("key", F.col("rep").alias("a"), F.col("comp").alias("comp_a"), *[F.col(c).alias(f"{c}_a") for c in known])
+            other = at.select("key", F.col("rep").alias("b"), F.col("comp").alias("comp_b"), *[F.col(c).alias(f"{c}_b") for c in known])
+            fits = (100 + percent) * F.least("c_a", "c_b") >= percent * (F.col("n_a") + F.col("n_b")) if bounded else F.lit(True)
+            if not last:  # with one member of the bucket, by an order that a quarter of the buckets share
+                order = F.xxhash64("a", F.pmod("key", F.lit(4)), F.lit(turn))
+                one = one.groupBy("key").agg(F.min_by(F.struct(*[c for c in one.columns if c != "key"]), F.struct(order, "a")).alias("p")).select("key", "p.*")
+            apart = F.col("a") < F.col("b") if last else F.col("a") != F.col("b")
+            pairs = one.join(other, (one["key"] == other["key"]) & apart & (F.col("comp_a") != F.col("comp_b")) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = store((pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti")), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = verify(pairs, classes, docs, percent, miss)
