@@ -3,8 +3,8 @@
 Documents of equal shingle sets are one class; classes are banded, and links between classes are confirmed on whole sets.
 Within a bucket, members are compared with one of them only, another one in each turn; members that are connected by then need no
 further comparison with each other, so groups of many near copies don't give pairs of all with all. If many pairs of one bucket in
-different components are left after two turns, members with a rare shingle in common are compared, and those are dropped that cannot be linked
-with any other, as their shingles that aren't rare are too few. Once the pairs left are few (two for each row of the buckets), or a turn hasn't taken a tenth off them,
+different components are left after a turn, members with a rare shingle in common are compared, and those are dropped that cannot be linked
+with any other, as their shingles that aren't rare are too few. Once the pairs left are few (two for each row of the buckets), or a turn has not halved them,
 or after MAX_TURNS, all that are left are compared, so no pair of a common bucket that could be a link is left out.
 
 A pair's signatures are compared in batches. After n of them with m agreements the similarity has a Beta(m + 1, n - m + 1)
@@ -208,13 +208,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = MISS) -> D
         if not size["rows"]:
             break
         many, last = size["cross"] > 2 * size["rows"], False
-        if many and turn >= 2 and not bounded:
+        if many and turn and not bounded:
             rows, pairs = linkable(at, classes.select("rep", F.col("n_shingles").alias("n")), docs, percent)
             pairs = pairs.join(comp.toDF("a", "ca"), "a").join(comp.toDF("b", "cb"), "b").where("ca <> cb").select("a", "b")
             bounded, before = True, math.inf
         else:
-            # another turn pays only while turns take a tenth off what is left
-            last = not many or size["cross"] > 0.9 * before or turn == MAX_TURNS - 1
+            # another turn pays only while turns halve what is left
+            last = not many or size["cross"] > 0.5 * before or turn == MAX_TURNS - 1
             before, turn = size["cross"], turn + 1
             known = ["n", "c"] if bounded else []
             one = at.select("key", F.col("rep").alias("a"), F.col("comp").alias("comp_a"), *[F.col(c).alias(f"{c}_a") for c in known])
