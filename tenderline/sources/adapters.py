@@ -52,6 +52,12 @@ TABLES: dict[str, str] = {
     "calls": "SELECT event_id AS id, user_id AS rfq_id, event_type AS node, ts, CAST(floor(value * 10) AS BIGINT) AS latency_ms, CAST(event_id % 900 AS BIGINT) AS tokens_in, CAST(event_id % 200 AS BIGINT) AS tokens_out, event_id % 4 = 0 AS cache_hit, CAST(1 + event_id % 3 AS INT) AS attempts, event_id % 17 <> 0 AS ok FROM {events}",
     # before and after a review: operations of a line with changed times
     "edited": "SELECT rfq_id, line_no, seq, centre, setup_min AS before_setup, cycle_min AS before_cycle, CASE WHEN rfq_id % 5 = 0 THEN setup_min + 2 ELSE setup_min END AS after_setup, CASE WHEN (rfq_id + seq) % 4 = 0 THEN cycle_min * 1.25 ELSE cycle_min END AS after_cycle, (rfq_id + line_no) % 13 = 0 AS removed FROM {ops} WHERE centre IS NOT NULL",
+    # sizes as printed: some are missing, some drawings are in inches
+    "printed": "SELECT part_id, shape_class, CASE WHEN part_id % 4 = 0 OR main_mm = 0 THEN NULL ELSE main_mm END AS max_diameter_mm, CASE WHEN part_id % 5 = 0 THEN NULL ELSE length_mm END AS length_mm, width_mm, CASE WHEN part_id % 10 = 3 THEN NULL ELSE height_mm END AS height_mm, part_id % 6 = 2 AS inch FROM {parts}",
+    # parts of an assembly: bought or made, with the plant of their recorded cost where there is one
+    "make_items": "SELECT l_orderkey AS rfq_id, l_linenumber AS item_no, CASE WHEN l_suppkey % 10 = 0 THEN NULL WHEN l_suppkey % 10 < 5 THEN 'PL' WHEN l_suppkey % 10 < 8 THEN 'CN' ELSE 'DE' END AS plant, l_linenumber % 3 = 0 AS make FROM {lineitem}",
+    # prices by plant and quantity before and after a review round
+    "price_edits": "SELECT l_orderkey AS rfq_id, CAST(l_linenumber % 3 AS INT) AS round, CASE l_suppkey % 3 WHEN 0 THEN 'DE' WHEN 1 THEN 'PL' ELSE 'CN' END || '@' || CAST(CAST(l_quantity AS INT) AS VARCHAR(9)) AS cell, CASE WHEN l_suppkey % 8 = 0 THEN 0.0 WHEN l_suppkey % 8 = 1 THEN NULL ELSE CAST(l_extendedprice AS DOUBLE) / 100 END AS before, CASE WHEN l_suppkey % 9 = 0 THEN NULL ELSE CAST(l_extendedprice AS DOUBLE) * (1 - CAST(l_discount AS DOUBLE)) / 100 END AS after FROM {lineitem}",
     "predicted": "SELECT l_orderkey AS drawing, l_linenumber AS n, l_returnflag AS ftype, l_quantity AS nominal, l_tax AS band FROM {lineitem} WHERE l_suppkey % 7 <> 0",
     "gold": "SELECT l_orderkey AS drawing, l_linenumber AS n, l_returnflag AS ftype, CASE WHEN l_suppkey % 9 = 0 THEN l_quantity + 2 WHEN l_suppkey % 4 = 0 THEN l_quantity + 0.25 ELSE l_quantity END AS nominal, CASE WHEN l_suppkey % 6 = 0 THEN l_tax + 0.01 ELSE l_tax END AS band FROM {lineitem} WHERE l_suppkey % 8 <> 0",
 }
