@@ -108,6 +108,23 @@ def test_near_duplicates(spark, texts):
     assert neardup.near_duplicates(table(spark, [(None, "a b"), (1, "a b")])).where("kept").count() == 2
 
 
+def test_near_duplicates_round_the_threshold(spark, monkeypatch):
+    """Copies with 0 to 7 changed words of 100: links, chains of them and many pairs just below; the bound by rare shingles is used."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(500)}" for _ in range(100)]
+    copies = []
+    for i in range(260):
+        words = list(base)
+        for k in rng.sample(range(100), i % 8):
+            words[k] = f"v{rng.randrange(40)}"
+        copies.append((i + 1, " ".join(words)))
+    used, plain = [], neardup.linkable
+    monkeypatch.setattr(neardup, "linkable", lambda *a: used.append(1) or plain(*a))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(table(spark, copies)).collect()}
+    assert got == brute_components(copies)
+    assert used and len({c for _, c in got.values()}) > 10
+
+
 def test_substrings(spark, texts):
     first, want = set(), {}
     for i, t in texts:
