@@ -316,12 +316,14 @@ def duplicate_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             a, b = np.maximum(pos - reach, offsets[row]), np.minimum(pos + width, offsets[row + 1])
             ctx = span_hash(running, a, b)
             ids, crc = batch.column("doc_id").to_numpy(), batch.column("crc").to_numpy()
-            order = np.lexsort((pos - offsets[row], crc[row], ids[row], ctx))
+            lr = (pos - a) * 256 + (b - pos)
+            # of each context and minimiser in it (a short text is the context of several), the first place in the slice
+            order = np.lexsort((pos - offsets[row], crc[row], ids[row], lr, ctx))
+            new = np.append(True, (ctx[order][1:] != ctx[order][:-1]) | (lr[order][1:] != lr[order][:-1]))[: len(order)]
             seen = np.zeros(len(pos), bool)
-            seen[order[np.append(True, ctx[order][1:] != ctx[order][:-1])[: len(order)]]] = True  # the first place in the slice
+            seen[order[new]] = True
             raw = data.tobytes()
             texts = [raw[x:y] if s else None for x, y, s in zip(a, b, seen)]
-            lr = (pos - a) * 256 + (b - pos)
             # what strings share whose minimiser is in their right half, and in their left half; 0 if there are none
             left = np.where((pos - a >= half) & (b - pos >= width - reach), span_hash(running, np.maximum(pos - half, a), pos + GRAM), np.uint64(0))
             right = np.where(b - pos >= half + GRAM, span_hash(running, pos, np.minimum(pos + half + GRAM, b)) ^ np.uint64(1), np.uint64(0))

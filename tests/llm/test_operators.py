@@ -145,6 +145,30 @@ def test_substrings_of_hot_keys(spark, texts, monkeypatch):
     assert {r["doc_id"]: bytes(r["kept"]) for r in suffixes.dedup_substrings(table(spark, texts)).collect()} == whole
 
 
+def test_substrings_of_short_texts(spark, monkeypatch):
+    """Texts of 100 to 180 bytes, which are one context at many places, share parts; several shards."""
+    rng = random.Random(11)
+    chars = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    bases = [chars(180) for _ in range(40)]
+    texts = []
+    for i in range(400):
+        base, n = rng.choice(bases), rng.randint(100, 180)
+        a = rng.randint(0, 180 - n)
+        own = rng.randint(0, n - 100)  # bytes of its own, before or after the shared ones
+        texts.append((i, chars(own) + base[a : a + n - own] if i % 2 else base[a : a + n - own] + chars(own)))
+    monkeypatch.setattr(suffixes, "SHARD", 1 << 14)
+    first, want = set(), {}
+    for i, t in texts:
+        b, gone = t.encode(), np.zeros(len(t), bool)
+        for o in range(len(b) - 99):
+            if b[o : o + 100] in first:
+                gone[o : o + 100] = True
+            first.add(b[o : o + 100])
+        want[i] = np.frombuffer(b, np.uint8)[~gone].tobytes()
+    got = {r["doc_id"]: bytes(r["kept"]) for r in suffixes.dedup_substrings(table(spark, texts)).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("k", [1, 2, 5])
 def test_suffix_array(k):
     rng = np.random.default_rng(k)
