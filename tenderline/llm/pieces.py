@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 from tenderline.llm.text import flat, slices
 
 MARK = "▁"
+#: Characters of a word up to which open positions of the forward table are filled by nested calls, on demand.
+NESTED = 200
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -124,6 +126,10 @@ class Pieces:
             while shared < most and word[shared] == before[shared]:
                 shared += 1
             back[shared + 1 :] = [None] * (len(word) - shared)
+            if len(word) > NESTED:  # from the left, so that no call needs another
+                for i in range(1, len(word) + 1):
+                    if back[i] is None:
+                        self.last(word, back, i)
             out, i = [], len(word)
             while i:
                 n = back[i]

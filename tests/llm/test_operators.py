@@ -244,6 +244,18 @@ def test_pieces(spark, texts):
         assert r["round_trip"] == (r["doc_id"] != 501)
 
 
+def test_pieces_of_long_words(spark):
+    """Words without a space of more characters than calls can nest."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rng = random.Random(8)
+    chars = lambda v, n: "".join(rng.choice(v) for _ in range(n))
+    rows = [(1, chars("ABCDEFabcdefghijklmnopqrstuvwxyz0123456789+/", 100_000)), (2, chars("0123456789abcdef", 5000)), (3, "the" * 2000), (4, "plain text " + chars("etaoinshr", 1500) + " and more")]
+    for r in pieces.encode(table(spark, rows)).collect():
+        assert r["ids"] == sp.encode(r["text"]) and r["round_trip"]
+
+
 def graded(spark, column, good, bad):
     rng = random.Random(5)
     rows = [(i, (bad if i % 4 == 0 else good)(rng)) for i in range(400)]
