@@ -5,7 +5,11 @@ the rank of the first 2h lines is the rank of the pair (rank of the first h, ran
 form the intervals of the suffix array whose common prefix is h lines or more. A run starts at each line and takes as many lines
 as hold `min_words` words; as its length follows from its lines, equal runs are exactly such an interval at that depth.
 Of each interval the first run (in order of document, then line) stays; the lines of all others are deleted. Overlapping and
-adjoining runs join, so that maximal repeated runs go as a whole.
+adjoining runs join. With runs that end at each line and grow backward as well (`maximal`), maximal repeated runs go as a whole: a
+line of one either has min_words words from there to its end, or stands in the run that ends with it.
+
+The words of a line are counted by blanks; a line that has few of them counts by its characters, as text does that is
+written without spaces.
 
 Lines that occur once end every run; only repeated lines are ranked, and only classes of two or more go on to the next depth.
 """
@@ -19,6 +23,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tenderline.llm.storage import store
 
 BLANKS = " \t\r\f\x0b"
+#: Characters that count as a word where blanks give fewer words: of any kind, and of scripts written without spaces.
+WORD_CHARS, DENSE_CHARS = 8, 2
+DENSE = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
 
 
 def _key(docs: DataFrame) -> DataFrame:
@@ -26,12 +33,19 @@ def _key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn("_h", F.xxhash64(F.lit(9), "text"))
 
 
+def _words(x: Column) -> Column:
+    """Words of a line: its blanks and one, or what its characters come to if that is more."""
+    blanks = F.length(x) - F.length(F.translate(x, BLANKS, "")) + 1
+    dense = F.when(F.octet_length(x) > F.length(x), F.regexp_count(x, F.lit(DENSE))).otherwise(0)
+    return F.greatest(blanks, F.floor(F.length(x) / WORD_CHARS).cast("int"), F.floor(dense / DENSE_CHARS).cast("int"))
+
+
 def line_table(docs: DataFrame) -> DataFrame:
     """_d, _h, i (number among the lines that are not blank), p (line number), a, b (128-bit line id), w (words)."""
     found = F.filter(F.transform(F.split("text", "\n"), lambda x, p: F.struct(p.alias("p"), F.trim(x, F.lit(BLANKS)).alias("x"))), lambda s: s["x"] != "")
     rows = _key(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("_d", "_h", F.posexplode(found).alias("i", "s"))
     x = F.col("s.x")
-    return rows.select("_d", "_h", "i", F.col("s.p").alias("p"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), (F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("w"))
+    return rows.select("_d", "_h", "i", F.col("s.p").alias("p"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), _words(x).alias("w"))
 
 
 def dense_rank(classes: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -63,41 +77,53 @@ def suffix_ranks(lines: DataFrame, depth: int) -> DataFrame:
     return out
 
 
-def repeated_runs(lines: DataFrame, min_words: int) -> DataFrame:
+def repeated_runs(lines: DataFrame, min_words: int, maximal: bool = False) -> DataFrame:
     """_d, _h and dead (array of line numbers): the lines of runs that also start earlier."""
     depth = 2 ** max(0, math.ceil(math.log2(min_words)))
     ranks = suffix_ranks(lines, depth)
     powers = [2**k for k in range(int(math.log2(depth)) + 1)]
-    ahead = Window.partitionBy("_d", "_h").orderBy("i").rowsBetween(0, min_words - 1)
-    runs = ranks.withColumn("_x", F.collect_list(F.struct("i", "p", "w", *[f"r{h}" for h in powers])).over(ahead))
-
-    def add(acc: Column, x: Column) -> Column:
-        go = (acc["w"] < min_words) & acc["on"] & (x["i"] == acc["i"])
-        return F.struct((acc["i"] + 1).alias("i"), F.when(go, acc["w"] + x["w"]).otherwise(acc["w"]).alias("w"), F.when(go, acc["n"] + 1).otherwise(acc["n"]).alias("n"), (go | (acc["w"] >= min_words)).alias("on"))
-
-    start = F.struct(F.col("i").alias("i"), F.lit(0).alias("w"), F.lit(0).alias("n"), F.lit(True).alias("on"))
-    runs = runs.withColumn("_s", F.aggregate("_x", start, add)).where(F.col("_s.w") >= min_words).withColumn("n", F.col("_s.n"))
+    order = Window.partitionBy("_d", "_h").orderBy("i")
+    line = F.struct("i", "p", "w", *[f"r{h}" for h in powers])
+
+    def reach(near: str, step: int) -> Column:
+        """w and n: words and lines of the run at a line, over the lines `near` from it on."""
+
+        def add(acc: Column, x: Column) -> Column:
+            go = (acc["w"] < min_words) & acc["on"] & (x["i"] == acc["i"])
+            return F.struct((acc["i"] + step).alias("i"), F.when(go, acc["w"] + x["w"]).otherwise(acc["w"]).alias("w"), F.when(go, acc["n"] + 1).otherwise(acc["n"]).alias("n"), (go | (acc["w"] >= min_words)).alias("on"))
+
+        return F.aggregate(near, F.struct(F.col("i").alias("i"), F.lit(0).alias("w"), F.lit(0).alias("n"), F.lit(True).alias("on")), add)
+
+    runs = ranks.withColumn("_x", F.collect_list(line).over(order.rowsBetween(0, min_words - 1)))
+    if maximal:
+        runs = runs.withColumn("_y", F.reverse(F.collect_list(line).over(order.rowsBetween(1 - min_words, 0))))
+    runs = runs.withColumn("_s", reach("_x", 1))
+    found = [F.when(F.col("_s.w") >= min_words, F.slice("_x", 1, F.col("_s.n")))]
+    if maximal:  # those with enough words before the last line; all others also grow forward from their first line
+        runs = runs.withColumn("_t", reach("_y", -1))
+        found.append(F.when(F.col("_t.w") - F.col("w") >= min_words, F.reverse(F.slice("_y", 1, F.col("_t.n")))))
+    runs = runs.select("_d", "_h", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("_x")).withColumn("n", F.size("_x"))
     first, second = F.lit(None).cast("long"), F.lit(None).cast("long")
     for h in powers:  # n lines are covered by the h first and the h last of them, h the largest power in n
         inside = (F.col("n") >= h) & (F.col("n") < 2 * h)
-        first = F.when(inside, F.col(f"r{h}")).otherwise(first)
+        first = F.when(inside, F.element_at("_x", 1)[f"r{h}"]).otherwise(first)
         second = F.when(inside, F.element_at("_x", F.col("n") - h + 1)[f"r{h}"]).otherwise(second)
     runs = runs.withColumn("_a", first).withColumn("_b", second).where("_a is not null and _b is not null")
-    runs = store(runs.select("_d", "_h", "i", "n", "_a", "_b", F.transform(F.slice("_x", 1, F.col("n")), lambda s: s["p"]).alias("ps")), "runs")
+    runs = store(runs.select("_d", "_h", F.element_at("_x", 1)["i"].alias("i"), "n", "_a", "_b", F.transform("_x", lambda s: s["p"]).alias("ps")), "runs")
     intervals = runs.groupBy("n", "_a", "_b").agg(F.min(F.struct("_d", "_h", "i")).alias("first"), F.count("*").alias("m")).where("m > 1").drop("m")
     later = runs.join(intervals, ["n", "_a", "_b"]).where(F.struct("_d", "_h", "i") != F.col("first"))
     return later.groupBy("_d", "_h").agg(F.array_distinct(F.flatten(F.collect_list("ps"))).alias("dead"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 4) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 4, maximal: bool = False) -> DataFrame:
     """docs with the later copies of repeated line runs deleted from `text`, and n_lines, n_removed.
 
     A run is as many consecutive lines as hold min_words words; blank lines are no part of runs, compared lines are trimmed, and a line is a run
-    alone if it has the words. What stays is joined by line feeds as it was. Null texts stay null, empty ones empty, with no
+    alone if it has the words. With `maximal`, repeated runs go up to their last line, however few words it has. What stays is joined by line feeds as it was. Null texts stay null, empty ones empty, with no
     line removed. Rows with the same doc_id and text are one document and fare alike; a null doc_id comes after all others. Columns
     n_lines and n_removed of the input are replaced.
     """
-    dead = repeated_runs(store(line_table(docs), "lines"), min_words)
+    dead = repeated_runs(store(line_table(docs), "lines"), min_words, maximal)
     kept = _key(docs.drop("n_lines", "n_removed").withColumn("text", F.col("text").cast("string")))
     joined = kept.join(dead.hint("shuffle_hash"), ["_d", "_h"], "left")
     parts = F.split("text", "\n")

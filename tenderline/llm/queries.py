@@ -42,7 +42,7 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.digest(lines.dedup_lines(_table(spark, sf_dir, "documents")))
+    return lines.digest(lines.dedup_lines(_table(spark, sf_dir, "documents"), maximal=True))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,6 +83,28 @@ def test_line_dedup(spark, texts):
     assert dead[texts[61][0]] and lines.dedup_lines(table(spark, [])).count() == 0
 
 
+def test_maximal_line_runs(spark, texts):
+    """Whole repeated runs go: short last lines too, and lines without spaces."""
+    licence = "Permission is hereby granted\nfree of charge to any\nPERSON\nSOFTWARE."
+    rows = [*texts, *((100 + i, f"own {i}\n{x}\nrest {i} of it") for i, x in enumerate([licence, licence, "这是一个很长的重复的句子没有空格", "这是一个很长的重复的句子没有空格", "a\tb\tc\td", "a\tb\tc\td", "QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVo0MTIzNDU2Nzg5MA==", "QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVo0MTIzNDU2Nzg5MA==", "短い", "短い"]))]
+    size = lambda v: max(sum(v.count(c) for c in " \t") + 1, len(v) // 8, len(re.findall("[\u3040-\u30ff\u4e00-\u9fff]", v)) // 2)
+    seen, dead, own = set(), defaultdict(set), {}
+    for i, t in rows:
+        own[i] = (t or "").split("\n")
+        x = [(p, v) for p, y in enumerate(own[i]) if (v := y.strip(" \t\r\f\x0b"))]
+        for a in range(len(x)):
+            for b in range(a + 1, len(x) + 1):
+                if sum(size(v) for _, v in x[a:b]) >= 4:
+                    run = tuple(v for _, v in x[a:b])
+                    if run in seen:
+                        dead[i].update(p for p, _ in x[a:b])
+                    seen.add(run)
+    got = {r["doc_id"]: r for r in lines.dedup_lines(table(spark, rows), maximal=True).collect()}
+    for i, t in rows:
+        assert got[i]["text"] == (None if t is None else "\n".join(v for p, v in enumerate(own[i]) if p not in dead[i])), i
+    assert got[101]["n_removed"] == 4 and [got[i]["n_removed"] for i in (103, 105, 107, 109)] == [1, 1, 1, 0]
+
+
 def brute_components(texts):
     def sets(t):
         w = [x for x in re.split("[\x20\x09-\x0d]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) if x]
