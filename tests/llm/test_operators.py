@@ -317,3 +317,26 @@ def test_flat_takes_slices():
 
     data, offsets = flat(pa.array(["ab", None, "é", ""]).slice(1))
     assert bytes(data) == "é".encode() and offsets.tolist() == [0, 0, 2, 2]
+
+
+def test_pipeline_with_null_and_repeated_ids(spark, tmp_path):
+    """The stages against brute force: only near copies of documents with an id go, and all that hold a benchmark window."""
+    import corpus_pipeline
+    import sentencepiece
+
+    rng = random.Random(6)
+    prose = lambda n=60: " ".join("".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randint(3, 7))) for _ in range(n))
+    near = lambda t: t.rsplit(" ", 1)[0] + " other"
+    a, c, test = prose(), prose(), prose(20)
+    rows = [(1, a), (1, prose()), (2, c), (2, c), (3, near(a)), (None, prose()), (None, prose()), (None, near(a) + " too"), (None, prose() + " " + test), (4, prose()), (4, prose(30) + " " + test), (5, prose()), (6, near(c))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, test)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    distinct = list(dict.fromkeys(r for r in rows if r[0] is not None))
+    linked = brute_components([(k, t) for k, (_, t) in enumerate(sorted(distinct, key=lambda r: r[0]))])
+    kept = [r for k, r in enumerate(sorted(distinct, key=lambda r: r[0])) if linked[k][1] == k] + [r for r in rows if r[0] is None]
+    windows = {tuple(test.split()[i : i + 10]) for i in range(11)}
+    want = [(i, t) for i, t in kept if not windows & {tuple(t.split()[k : k + 10]) for k in range(len(t.split()) - 9)}]
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    got = [(r["doc_id"], sp.decode(r["ids"])) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(want) == 8
