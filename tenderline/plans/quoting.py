@@ -47,11 +47,17 @@ def recommended_plant(spark: SparkSession, d: str) -> DataFrame:
 
 
 def price_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """CO-15: labelled prices by plant, feasible or not (labels without the amounts' last digit)."""
+    """CO-15 without the prices: labels by plant with 0.00 for each price, feasible or not (price_matrix_amounts has them)."""
     m = costing.price_matrix(_breakdown(spark, d).withColumn("unit_price", F.lit(0.0)), PLANTS)
     return m.select(*costing.LINE, "qty", *[F.col(p).alias(p.lower()) for p in PLANTS])
 
 
+def price_matrix_amounts(spark: SparkSession, d: str) -> DataFrame:
+    """CO-15 with the prices: labelled prices to the cent by plant, feasible or not."""
+    m = costing.price_matrix(_breakdown(spark, d).withColumn("unit_price", F.round(F.col("unit_price") + 1e-7, 2)), PLANTS)
+    return m.select(*costing.LINE, "qty", *[F.col(p).alias(p.lower()) for p in PLANTS])
+
+
 def routing_view(spark: SparkSession, d: str) -> DataFrame:
     """CO-20."""
     return costing.routing_view(domain(spark, d, "ops")).withColumnRenamed("where_", "place")
@@ -83,12 +89,20 @@ def similar_parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reference_costs(spark: SparkSession, d: str) -> DataFrame:
-    """SI-04, SI-05, SI-07: the recorded cost of each similar part at the quantity nearest to 20."""
+    """SI-04, SI-05: the recorded cost of the most similar part at the quantity nearest to 20 (requested_reference_costs has all parts and SI-07)."""
     q = _similar(spark, d).where("rank = 1").withColumn("want", F.lit(20))
     out = similarity.reference_costs(q, domain(spark, d, "part_costs"), domain(spark, d, "history"), ["query_id"], "want")
     return out.select("query_id", "part_id", rounded("ref_unit_cost").alias("ref_unit_cost"), "ref_qty")
 
 
+def requested_reference_costs(spark: SparkSession, d: str) -> DataFrame:
+    """SI-04, SI-05, SI-07: the recorded cost of each similar part at the quantity nearest to the smallest one requested of the part, else to 200."""
+    asked = domain(spark, d, "items").where("qty > 0").groupBy(F.col("part_id").alias("query_id")).agg(F.min("qty").alias("asked"))
+    q = _similar(spark, d).join(asked, "query_id", "left").withColumn("want", F.coalesce("asked", F.lit(200)))
+    out = similarity.reference_costs(q, domain(spark, d, "part_costs"), domain(spark, d, "history"), ["query_id"], "want")
+    return out.select("query_id", "part_id", "rank", "want", rounded("ref_unit_cost").alias("ref_unit_cost"), "ref_qty")
+
+
 _VOLUME = "CASE WHEN shape_class = 'rotational' THEN pi() / 4 * main_mm * main_mm * length_mm ELSE length_mm * width_mm * height_mm END / 1000"
 
 _COST = (
@@ -129,7 +143,7 @@ _SIM = (
     top AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, part_id) AS INT) AS rank FROM scored WHERE score >= 0.5) WHERE rank <= 3)"""
 )
 
-QUERIES = {f.__name__: f for f in (cost_lines, cost_breakdown, recommended_plant, price_matrix, routing_view, offered_quantities, feature_vectors, similar_parts, reference_costs)}
+QUERIES = {f.__name__: f for f in (cost_lines, cost_breakdown, recommended_plant, price_matrix, routing_view, offered_quantities, feature_vectors, similar_parts, reference_costs, price_matrix_amounts, requested_reference_costs)}
 ORACLES = {
     "cost_lines": _COST + " SELECT rfq_id, line_no, plant, qty, category, ordinal, round(amount + 1e-7, 4) AS amount FROM amounts",
     "cost_breakdown": _COST + " SELECT rfq_id, line_no, plant, qty, feasible, reason, round(unit_cost + 1e-7, 4) AS unit_cost, round(unit_price + 1e-7, 4) AS unit_price, round(total + 1e-7, 4) AS total, min_order_applied, lead_weeks, meets_due FROM broken",
@@ -138,6 +152,8 @@ ORACLES = {
             ORDER BY CASE WHEN coalesce(meets_due, TRUE) THEN 0 ELSE 1 END, round(unit_price + 1e-7, 2), CASE WHEN plant = 'DE' THEN 0 ELSE 1 END, ord) AS k FROM broken WHERE feasible) WHERE k = 1""",
     "price_matrix": _COST + """, lab AS (SELECT rfq_id, line_no, qty, plant, CASE WHEN NOT feasible THEN 'not feasible' ELSE '0.00' || CASE WHEN min_order_applied THEN ' (minimum order)' ELSE '' END || CASE WHEN NOT coalesce(meets_due, TRUE) THEN ' (late)' ELSE '' END END AS x FROM broken)
         SELECT rfq_id, line_no, qty, max(x) FILTER (WHERE plant = 'DE') AS de, max(x) FILTER (WHERE plant = 'PL') AS pl, max(x) FILTER (WHERE plant = 'CN') AS cn FROM lab GROUP BY 1, 2, 3""",
+    "price_matrix_amounts": _COST + """, lab AS (SELECT rfq_id, line_no, qty, plant, CASE WHEN NOT feasible THEN 'not feasible' ELSE printf('%.2f', round(unit_price + 1e-7, 2)) || CASE WHEN min_order_applied THEN ' (minimum order)' ELSE '' END || CASE WHEN NOT coalesce(meets_due, TRUE) THEN ' (late)' ELSE '' END END AS x FROM broken)
+        SELECT rfq_id, line_no, qty, max(x) FILTER (WHERE plant = 'DE') AS de, max(x) FILTER (WHERE plant = 'PL') AS pl, max(x) FILTER (WHERE plant = 'CN') AS cn FROM lab GROUP BY 1, 2, 3""",
     "routing_view": ctes("ops") + " SELECT rfq_id, line_no, seq, coalesce(centre, service) AS place, CASE WHEN suggested THEN 'suggested' WHEN service IS NOT NULL THEN 'outsourced: ' || service ELSE 'costed' END AS status FROM ops",
     "offered_quantities": ctes("items") + """, a AS (SELECT rfq_id, list_sort(list_distinct(list(qty) FILTER (WHERE qty > 0))) AS q FROM items GROUP BY 1)
         SELECT rfq_id, array_to_string(q, ',') AS asked, CASE WHEN len(q) = 1 THEN array_to_string(list_concat(q, list_filter([50, 200, 500, 1000, 2500], lambda t : t > q[1])[1:1]), ',') ELSE array_to_string(q, ',') END AS offered FROM a""",
@@ -145,5 +161,12 @@ ORACLES = {
     "similar_parts": _SIM + ' SELECT query_id, part_id, rank, score, diameter, "precision" FROM top',
     "reference_costs": _SIM.replace("WITH ", ctes("part_costs") + ", ", 1) + """ SELECT query_id, part_id, round(unit_cost + 1e-7, 4) AS ref_unit_cost, qty AS ref_qty FROM (
         SELECT t.query_id, t.part_id, unit_cost, qty, row_number() OVER (PARTITION BY query_id ORDER BY abs(qty - 20), unit_cost, plant) AS k FROM top t LEFT JOIN part_costs c USING (part_id) WHERE rank = 1) WHERE k = 1""",
+    "requested_reference_costs": _SIM.replace("WITH ", ctes("part_costs", "history", "items") + ", ", 1) + """,
+        asked AS (SELECT part_id AS query_id, min(qty) AS want FROM items WHERE qty > 0 GROUP BY 1),
+        q AS (SELECT t.query_id, t.part_id, t.rank, CAST(coalesce(a.want, 200) AS INT) AS want FROM top t LEFT JOIN asked a USING (query_id)),
+        c AS (SELECT q.query_id, q.part_id, k.unit_cost AS x, k.qty, row_number() OVER (PARTITION BY q.query_id, q.part_id ORDER BY abs(k.qty - want), k.unit_cost, k.plant) AS n FROM q JOIN part_costs k USING (part_id)),
+        h AS (SELECT q.query_id, q.part_id, k.unit_price AS x, k.qty, row_number() OVER (PARTITION BY q.query_id, q.part_id ORDER BY abs(k.qty - want), k.unit_price, k.plant) AS n FROM q JOIN history k USING (part_id))
+        SELECT q.query_id, q.part_id, q.rank, q.want, round((CASE WHEN c.n IS NOT NULL THEN c.x ELSE h.x END) + 1e-7, 4) AS ref_unit_cost, CASE WHEN c.n IS NOT NULL THEN c.qty ELSE h.qty END AS ref_qty
+        FROM q LEFT JOIN c ON c.query_id = q.query_id AND c.part_id = q.part_id AND c.n = 1 LEFT JOIN h ON h.query_id = q.query_id AND h.part_id = q.part_id AND h.n = 1""",
 }
 ORACLES = {k: doubles(v) for k, v in ORACLES.items()}
