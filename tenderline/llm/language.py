@@ -1,8 +1,8 @@
 """Language identification by cross-parsing against labelled text.
 
 For each language a bounded sample of its labelled text is turned into a suffix automaton. A text is parsed from left
-to right into the longest pieces that occur in a language's sample; its cross-parsing entropy is the number of pieces.
-The language that needs the fewest wins.
+to right into the longest pieces that occur in a language's sample; its cross-parsing entropy is the number of pieces
+times the logarithm of the sample's size, as a piece of a larger sample takes more to name. The language of the least wins.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tenderline.llm.text import slices
 
-#: Letters of a sample for each language, and of all samples together; texts that a sample is taken from.
-SAMPLE, SAMPLES, TEXTS = 40_000, 400_000, 128
+#: Letters of a sample for each language, and of all samples together.
+SAMPLE, SAMPLES = 40_000, 400_000
 #: Symbols: 0 ends a piece of text, 1 is a gap between words, 2 a letter that no sample has.
 GAP, OTHER, FIRST = 1, 2, 3
 
@@ -79,8 +79,8 @@ def suffix_automaton(symbols: list[int], n_symbols: int) -> np.ndarray:
 def train(labelled: DataFrame, sample: int = SAMPLE, max_languages: int = 200) -> dict:
     """A model from rows (text, lang) with non-null lang.
 
-    Of each language, texts are used up to about `sample` letters, or its share of SAMPLES if there are many
-    languages: those of the smallest hashes, so the same texts at every partitioning. Languages beyond
+    Of each language, texts are used up to `sample` letters (only letters count), or its share of SAMPLES if there are many
+    languages: those of the smallest hashes, so the same texts at every partitioning. `sizes` has the letters of each sample. Languages beyond
     max_languages are refused. Without any labelled text the model knows no language.
     """
     rows = labelled.where("lang is not null and text is not null").select("lang", F.col("text").cast("string").alias("text"))
@@ -88,23 +88,21 @@ def train(labelled: DataFrame, sample: int = SAMPLE, max_languages: int = 200) -
     if len(langs) > max_languages:
         raise ValueError(f"{len(langs)} languages; at most {max_languages}")
     share = min(sample, SAMPLES // max(1, len(langs)))
-    # the texts with the smallest hashes, copies once: at most TEXTS of each language, each cut to the share
-    hashed = rows.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, share).alias("text"))
-    least = hashed.select("lang", "h").distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= TEXTS)
+    # the texts with the smallest hashes, copies once, until their letters fill the share: first by ranges of hashes, then exactly
+    plain = F.substring(F.regexp_replace("text", r"\P{L}+", " "), 1, 2 * share)
+    hashed = rows.select("lang", F.xxhash64("text").alias("h"), plain.alias("text"))
+    sized = hashed.select("lang", "h", F.length(F.replace("text", F.lit(" "), F.lit(""))).alias("n")).where("n > 0").groupBy("lang", "h").agg(F.max("n").alias("n")).withColumn("g", F.shiftright("h", 52))
+    before = lambda order: F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = sized.groupBy("lang", "g").agg(F.sum("n").alias("n")).withColumn("k", before("g")).where(F.col("k") < share)
+    least = sized.join(F.broadcast(ranges.select("lang", "g")), ["lang", "g"]).withColumn("k", before("h")).where(F.col("k") < share)
     few = hashed.join(F.broadcast(least.select("lang", "h")), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     texts: dict[str, list[str]] = {}
     for r in sorted(few.toLocalIterator()):
         texts.setdefault(r["lang"], []).append(r["text"])
     picked, seen = {}, {}
     for lang, found in sorted(texts.items()):
-        codes, n = [], 0
-        for t in found:
-            c, _ = letters([t])
-            codes.append(np.append(c, 0))
-            n += len(c)
-            if n >= share:
-                break
-        picked[lang] = np.concatenate(codes)[: 2 * share]
+        codes = np.concatenate([np.append(letters([t])[0], 0) for t in found])
+        picked[lang] = codes[: int(np.searchsorted(np.cumsum(codes > 0), share)) + 1]
         for code, k in zip(*np.unique(picked[lang], return_counts=True)):
             seen[int(code)] = seen.get(int(code), 0) + int(k)
     alphabet = sorted(c for c in seen if c)
@@ -118,11 +116,15 @@ def train(labelled: DataFrame, sample: int = SAMPLE, max_languages: int = 200) -
         tables.append(np.where(t >= 0, t + base, -1).astype(np.int32))
         roots.append(base)
         base += len(t)
-    return {"langs": sorted(picked), "alphabet": np.array(alphabet, np.uint32), "table": np.concatenate(tables) if tables else np.zeros((0, FIRST), np.int32), "roots": np.array(roots, np.int32)}
+    return {"langs": sorted(picked), "alphabet": np.array(alphabet, np.uint32), "table": np.concatenate(tables) if tables else np.zeros((0, FIRST), np.int32), "roots": np.array(roots, np.int32), "sizes": np.array([np.count_nonzero(picked[lang]) for lang in sorted(picked)], np.int64)}
 
 
 def phrases(model: dict, codes: np.ndarray, offsets: np.ndarray, piece: int = 256) -> np.ndarray:
-    """Phrases [text, language] that each text's letters need; texts are parsed in pieces of `piece` symbols, all pieces at once."""
+    """Phrases [text, language] that each text's letters need.
+
+    Texts are parsed in pieces of `piece` symbols, all pieces at once; pieces are parsed again from where the one before
+    ends until none starts elsewhere, so that phrases go across the cuts.
+    """
     n, n_langs = len(offsets) - 1, len(model["langs"])
     row = np.repeat(np.arange(n), np.diff(offsets))
     lut = np.full(0x110000, OTHER, np.uint8 if len(model["alphabet"]) < 250 else np.uint16)
@@ -139,32 +141,46 @@ def phrases(model: dict, codes: np.ndarray, offsets: np.ndarray, piece: int = 25
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     start = np.repeat(first, pieces) + nth * piece
     length = np.minimum(piece, np.repeat(own, pieces) - nth * piece)
-    order = np.argsort(-length, kind="stable")
-    start, length, owner = start[order], length[order], owner[order]
     table, width = model["table"].ravel(), model["table"].shape[1]
-    roots = np.repeat(model["roots"], len(start)).reshape(n_langs, -1)
-    state, count = roots.copy(), np.ones(roots.shape, np.int32)
-    active = len(start)
-    for t in range(piece if len(start) else 0):
-        active = int(np.searchsorted(-length[:active], -t, "left"))
-        if not active:
-            break
-        c = sym[start[:active] + t].astype(np.int64)
-        go = table[state[:, :active].astype(np.int64) * width + c]
-        bad = go < 0
-        if bad.any():
-            count[:, :active] += bad
-            again = table[roots[:, :active].astype(np.int64) * width + c]
-            go = np.where(bad, np.where(again < 0, roots[:, :active], again), go)
-        state[:, :active] = go
+
+    def walk(which: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(states after the pieces `which`, phrases begun in them), [language, piece], from the states before them."""
+        order = np.argsort(-length[which], kind="stable")
+        size, at, state = length[which][order], start[which][order], state[:, order]
+        roots, count = np.repeat(model["roots"], len(which)).reshape(n_langs, -1), np.zeros(state.shape, np.int32)
+        active = len(which)
+        for t in range(piece):
+            active = int(np.searchsorted(-size[:active], -t, "left"))
+            if not active:
+                break
+            c = sym[at[:active] + t].astype(np.int64)
+            go = table[state[:, :active].astype(np.int64) * width + c]
+            bad = go < 0
+            if bad.any():
+                count[:, :active] += bad
+                again = table[roots[:, :active].astype(np.int64) * width + c]
+                go = np.where(bad, np.where(again < 0, roots[:, :active], again), go)
+            state[:, :active] = go
+        back = np.argsort(order)
+        return state[:, back], count[:, back]
+
+    begun = np.repeat(model["roots"], len(start)).reshape(n_langs, -1)
+    ended, count = walk(np.arange(len(start)), begun)
+    inner, turn = np.flatnonzero(nth > 0), 0
+    while len(todo := inner[(ended[:, inner - 1] != begun[:, inner]).any(axis=0)]):
+        if turn >= 4:  # then only the first of each text, whose start is final
+            todo = todo[np.append(True, owner[todo][1:] != owner[todo][:-1])]
+        begun[:, todo] = ended[:, todo - 1]
+        ended[:, todo], count[:, todo] = walk(todo, begun[:, todo])
+        turn += 1
     out = np.zeros((n, n_langs), np.int64)
     for k in range(n_langs):
-        out[:, k] = np.bincount(owner, count[k], minlength=n)
+        out[:, k] = np.bincount(owner, count[k], minlength=n) + (own > 0)
     return out
 
 
 def predict(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
-    """docs' columns `keep` with lang_pred and score (0 to 1: the share of the winner, were each phrase one bit).
+    """docs' columns `keep` with lang_pred and score (0 to 1: the share of the winner, were each phrase of the largest sample one bit).
 
     `und` with score 0 for a null text, one without a letter, or a model without languages; ties go to the language
     first in alphabetical order. Texts are used whole, at any length.
@@ -174,12 +190,13 @@ def predict(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in slices(batches, size=4 << 20):
+        bits = np.log2(np.maximum(m["sizes"], 2)) if m["langs"] else np.zeros(0)  # to name a phrase of each sample
+        for batch in slices(batches, size=1 << 20):
             codes, offsets = letters(batch.column("text").to_pylist())
             has = np.add.reduceat(np.append(codes > 0, False), offsets[:-1]) * (np.diff(offsets) > 0) > 0
             langs, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
             if m["langs"]:
-                need = phrases(m, codes, offsets)
+                need = phrases(m, codes, offsets) * (bits / bits.max())
                 best = need.argmin(axis=1)
                 gap = need - need.min(axis=1, keepdims=True)
                 share = 1 / np.exp2(-np.minimum(gap, 60).astype(float)).sum(axis=1)

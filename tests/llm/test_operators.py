@@ -340,3 +340,29 @@ def test_pipeline_with_null_and_repeated_ids(spark, tmp_path):
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     got = [(r["doc_id"], sp.decode(r["ids"])) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
     assert sorted(got, key=str) == sorted(want, key=str) and len(want) == 8
+
+
+def test_language_samples_of_unequal_size(spark):
+    """Short labelled texts, or many without letters, fill a sample as long ones do; phrases of smaller samples count less."""
+    rng = random.Random(2)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(1500)]
+    own = {"short": vocabulary[:1000], "long": vocabulary[500:]}
+    say = lambda lang, n: " ".join(rng.choice(own[lang]) for _ in range(n))
+    rows = [(say("short", 4), "short") for _ in range(3000)] + [(f"{i} 123 .", "short") for i in range(3000)] + [(say("long", 800), "long") for _ in range(20)]
+    model = language.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert model["sizes"].tolist() == [40_000, 40_000]
+    tests = [(i, say(g, 60), g) for i, g in enumerate(["short", "long"] * 40)]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(spark.createDataFrame(tests, "doc_id long, text string, lang string"), model, "doc_id").collect()}
+    assert all(got[i] == g for i, _, g in tests)
+    few = language.train(spark.createDataFrame([("ab abc cab", "a"), ("ab abc cab " + say("long", 2000), "b")], "text string, lang string"))
+    assert few["sizes"][0] == 8
+    assert language.predict(spark.createDataFrame([(1, "ab abc cab")], "doc_id long, text string"), few, "doc_id").first()["lang_pred"] == "a"
+
+
+def test_phrases_go_across_pieces():
+    rng = random.Random(9)
+    model = {"langs": ["a"], "alphabet": np.array([97, 98, 99], np.uint32), "table": language.suffix_automaton([3, 4, 5, 3, 3, 4, 4, 5, 5, 3], 6), "roots": np.array([0], np.int32)}
+    texts = ["".join(rng.choice("abc") for _ in range(n)) for n in (1, 7, 8, 9, 50, 300)] + ["a" * 200, ""]
+    codes, offsets = language.letters(texts)
+    whole = language.phrases(model, codes, offsets, 1000)
+    assert (language.phrases(model, codes, offsets, 8) == whole).all() and (language.phrases(model, codes, offsets, 1) == whole).all()
