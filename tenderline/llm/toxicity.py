@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -23,7 +22,6 @@ from tenderline.llm.text import slices
 
 #: Labelled texts (those of least id hash) that the lexicon and the classifier are fitted on; terms of the lexicon; groups of its terms.
 SAMPLE, TERMS, GROUPS = 40_000, 600, 8
-CANDIDATES = 20_000
 PREFIXES = (4, 5, 6)
 WORD = r"[^\W\d_]+"
 
@@ -42,43 +40,44 @@ def _words(text: str | None) -> list[str]:
 def mine_lexicon(sample: DataFrame, n_terms: int = TERMS) -> list[str]:
     """Terms that toxic texts have and others lack, the strongest first; sample has text and label.
 
-    First the commonest terms of the toxic texts (CANDIDATES at most), then how many other texts have them.
+    All terms of `least` toxic texts or more are weighed; only the n_terms strongest pass the driver.
     """
     toxic, clean = sample.where("label = 1"), sample.where("label = 0")
     n_toxic, n_clean = (r := sample.agg(F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b")).first())["a"], r["b"]
 
-    def count(rows: DataFrame, only: set | None) -> DataFrame:
-        shared = rows.sparkSession.sparkContext.broadcast(only)
-
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def count(rows: DataFrame, name: str) -> DataFrame:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tally: dict[str, int] = {}
             known: dict[str, tuple] = {}
+
+            def counted() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(list(tally), pa.string()), pa.array(list(tally.values()), pa.int64())], names=["term", "n"])
+
             for batch in batches:
-                for text in batch["text"]:
+                for text in batch.column("text").to_pylist():
                     found: set = set()
                     for w in set(_words(text)):
                         if w not in known:
                             if len(known) > 300_000:
                                 known.clear()
-                            known[w] = tuple(t for t in terms_of(w[:40]) if shared.value is None or t in shared.value)
+                            known[w] = terms_of(w[:40])
                         found.update(known[w])
                     for t in found:
                         tally[t] = tally.get(t, 0) + 1
-                if len(tally) > 500_000:
-                    yield pd.DataFrame({"term": list(tally), "n": list(tally.values())})
-                    tally = {}
-            yield pd.DataFrame({"term": list(tally), "n": list(tally.values())})
+                    if len(tally) > 500_000:
+                        yield counted()
+                        tally = {}
+            yield counted()
 
-        return rows.select("text").mapInPandas(work, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        return rows.select("text").mapInArrow(work, "term string, n long").groupBy("term").agg(F.sum("n").alias(name))
 
-    least = max(3, int(0.002 * n_toxic))
-    common = count(toxic, None).where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()
-    if not common or not n_clean:
+    if not n_toxic or not n_clean:
         return []
-    others = {r["term"]: r["n"] for r in count(clean, {r["term"] for r in common}).collect()}  # at most CANDIDATES rows
-    strength = {r["term"]: np.log((r["n"] + 0.5) / (n_toxic + 1)) - np.log((others.get(r["term"], 0) + 0.5) / (n_clean + 1)) for r in common}
-    best = sorted((t for t in strength if strength[t] > 1.5), key=lambda t: (-strength[t], t))
-    return best[:n_terms]
+    least = max(3, int(0.002 * n_toxic))
+    both = count(toxic, "n").where(F.col("n") >= least).join(count(clean, "m"), "term", "left")
+    strength = F.log((F.col("n") + 0.5) / (n_toxic + 1)) - F.log((F.coalesce("m", F.lit(0)) + 0.5) / (n_clean + 1))
+    best = both.withColumn("strength", strength).where("strength > 1.5").orderBy(F.desc("strength"), "term").limit(n_terms)
+    return [r["term"] for r in best.select("term").collect()]
 
 
 VOTERS = GROUPS + 6

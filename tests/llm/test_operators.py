@@ -342,6 +342,14 @@ def test_pipeline_with_null_and_repeated_ids(spark, tmp_path):
     assert sorted(got, key=str) == sorted(want, key=str) and len(want) == 8
 
 
+def test_lexicon_weighs_all_terms(spark):
+    """A toxic word rarer than more than 20,000 neutral terms of the toxic texts."""
+    rng = random.Random(4)
+    common = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxy") for _ in range(8)) for _ in range(12_000))
+    rows = [(common + " zzvile" * (i < 4), int(i < 10)) for i in range(20)]
+    assert toxicity.mine_lexicon(spark.createDataFrame(rows, "text string, label int"))[:1] == ["zzvi"]
+
+
 def test_language_samples_of_unequal_size(spark):
     """Short labelled texts, or many without letters, fill a sample as long ones do; phrases of smaller samples count less."""
     rng = random.Random(2)
