@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tenderline.llm.storage import store
 from tenderline.llm.text import slices
 
 #: Letters of a sample for each language, and of all samples together.
@@ -89,13 +90,20 @@ def train(labelled: DataFrame, sample: int = SAMPLE, max_languages: int = 200) -
         raise ValueError(f"{len(langs)} languages; at most {max_languages}")
     share = min(sample, SAMPLES // max(1, len(langs)))
     # the texts with the smallest hashes, copies once, until their letters fill the share: first by ranges of hashes, then exactly
-    plain = F.substring(F.regexp_replace("text", r"\P{L}+", " "), 1, 2 * share)
-    hashed = rows.select("lang", F.xxhash64("text").alias("h"), plain.alias("text"))
-    sized = hashed.select("lang", "h", F.length(F.replace("text", F.lit(" "), F.lit(""))).alias("n")).where("n > 0").groupBy("lang", "h").agg(F.max("n").alias("n")).withColumn("g", F.shiftright("h", 52))
+    keyed = rows.select("lang", F.xxhash64("text").alias("h"), "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, size=1 << 20):
+            codes, offsets = letters(batch.column("text").to_pylist())
+            sums = np.concatenate([[0], np.cumsum(codes > 0)])
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(np.minimum(sums[offsets[1:]] - sums[offsets[:-1]], share))], names=["lang", "h", "n"])
+
+    sized = store(keyed.mapInArrow(count, "lang string, h long, n long").where("n > 0").groupBy("lang", "h").agg(F.max("n").alias("n")).withColumn("g", F.shiftright("h", 52)), "sizes")
     before = lambda order: F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranges = sized.groupBy("lang", "g").agg(F.sum("n").alias("n")).withColumn("k", before("g")).where(F.col("k") < share)
     least = sized.join(F.broadcast(ranges.select("lang", "g")), ["lang", "g"]).withColumn("k", before("h")).where(F.col("k") < share)
-    few = hashed.join(F.broadcast(least.select("lang", "h")), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    few = keyed.join(F.broadcast(least.select("lang", "h")), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    few = few.withColumn("text", F.substring(F.regexp_replace("text", r"\P{L}+", " "), 1, 2 * share))
     texts: dict[str, list[str]] = {}
     for r in sorted(few.toLocalIterator()):
         texts.setdefault(r["lang"], []).append(r["text"])
