@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tenderline.functions.expressions import plain_number
+from tenderline.functions.expressions import plain_number, truthy
 from tenderline.params import DEFAULT, Params
 
 LINE = ["rfq_id", "line_no"]
@@ -17,35 +17,55 @@ def grid(lines: DataFrame, plants: DataFrame) -> DataFrame:
     return lines.where("qty > 0").crossJoin(F.broadcast(p))
 
 
-def machining(cells: DataFrame, ops: DataFrame, centres: DataFrame) -> DataFrame:
-    """Cost of each in-house operation per piece, null where the plant lacks the work centre (CO-03, CO-06)."""
-    own = ops.where("centre is not null and not suggested").select(*LINE, "seq", "centre", "setup_min", "cycle_min")
+def operation_lines(cells: DataFrame, ops: DataFrame, centres: DataFrame, services: DataFrame, weight: str = "weight_kg") -> DataFrame:
+    """In-house operations per piece, null where the plant lacks the work centre (CO-03, CO-06), and outsourced ones: price by weight, at least the
+    lot minimum over the pieces (CO-04); unknown services cost 0. Operations meet their cells in one join; rates and services are small tables."""
+    own = ops.where("not suggested and (centre is not null or service is not null)").select(*LINE, "seq", "centre", "service", "setup_min", "cycle_min")
     rates = F.broadcast(centres.select(F.col("code").alias("centre"), "plant", "rate_eur_h"))
-    minutes = F.col("setup_min") / F.col("qty") + F.col("cycle_min")
-    out = cells.join(own, LINE).join(rates, ["centre", "plant"], "left")
-    formula = F.concat(F.lit("("), plain_number(F.col("setup_min")), F.lit("/"), F.col("qty"), F.lit("+"), plain_number(F.col("cycle_min")), F.lit(")/60*"), plain_number(F.col("rate_eur_h")))
-    return out.select(*CELL, F.lit("machining").alias("category"), F.col("seq").alias("ordinal"), (minutes / 60 * F.col("rate_eur_h")).alias("amount"), formula.alias("formula"), F.concat_ws(":", F.lit("work_centers"), "centre", "plant").alias("source"), "centre")
-
-
-def outsourced(cells: DataFrame, ops: DataFrame, services: DataFrame, weight: str = "weight_kg") -> DataFrame:
-    """Outsourced operations: price by weight, at least the lot minimum over the pieces (CO-04); unknown services cost 0."""
-    own = ops.where("service is not null and not suggested").select(*LINE, "seq", F.col("service").alias("code"))
-    out = cells.join(own, LINE).join(F.broadcast(services), "code", "left")
-    amount = F.greatest(F.col("price_eur_kg") * F.col(weight), F.col("lot_min_eur") / F.col("qty"))
-    return out.select(*CELL, F.lit("outsourced").alias("category"), F.col("seq").alias("ordinal"), F.coalesce(amount, F.lit(0.0)).alias("amount"), F.when(F.col("lot_min_eur").isNull(), "price on request").otherwise(F.concat(F.lit("max("), plain_number(F.col("price_eur_kg")), F.lit("*kg, lot/"), F.col("qty"), F.lit(")"))).alias("formula"), F.concat(F.lit("outsourced_services:"), "code").alias("source"), F.lit(None).cast("string").alias("centre"))
+    priced = F.broadcast(services.select(F.col("code").alias("service"), F.col("price_eur_kg").alias("kg_eur"), "lot_min_eur"))
+    x = cells.join(own, LINE).join(rates, ["centre", "plant"], "left").join(priced, "service", "left")
+    inside, c, num = F.col("centre").isNotNull(), F.col, lambda n: plain_number(F.col(n))
+    outside = F.coalesce(F.greatest(c("kg_eur") * c(weight), c("lot_min_eur") / c("qty")), F.lit(0.0))
+    in_text = F.when(c("rate_eur_h").isNotNull(), F.concat(F.lit("("), num("setup_min"), F.lit("/"), "qty", F.lit("+"), num("cycle_min"), F.lit(")/60*"), num("rate_eur_h")))
+    out_text = F.when(c("lot_min_eur").isNull(), "price on request").otherwise(F.concat(F.lit("max("), num("kg_eur"), F.lit("*kg, lot/"), "qty", F.lit(")")))
+    return x.select(
+        *CELL,
+        F.when(inside, "machining").otherwise("outsourced").alias("category"),
+        c("seq").alias("ordinal"),
+        F.when(inside, (c("setup_min") / c("qty") + c("cycle_min")) / 60 * c("rate_eur_h")).otherwise(outside).alias("amount"),
+        F.when(inside, in_text).otherwise(out_text).alias("formula"),
+        F.when(inside, F.concat_ws(":", F.lit("work_centers"), "centre", "plant")).otherwise(F.concat(F.lit("outsourced_services:"), "service")).alias("source"),
+        "centre",
+    )
 
 
 def material(cells: DataFrame, materials: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Raw material with scrap; without a price it costs 0 and is marked (CO-02)."""
     m = F.broadcast(materials.select(F.col("code").alias("material_code"), F.col("price_eur_kg").alias("kg_price")))
-    out = cells.join(m, "material_code", "left")
+    made = cells.where("shape_class <> 'assembly' or shape_class is null") if "shape_class" in cells.columns else cells
+    out = made.join(m, "material_code", "left")
     amount = F.col("weight_kg") * F.col("kg_price") * (1 + params.scrap)
     return out.select(*CELL, F.lit("material").alias("category"), F.lit(0).alias("ordinal"), F.coalesce(amount, F.lit(0.0)).alias("amount"), F.when(amount.isNull(), "price on request").otherwise(F.concat(plain_number(F.col("weight_kg"), 4), F.lit("*"), plain_number(F.col("kg_price")), F.lit(f"*{1 + params.scrap:g}"))).alias("formula"), F.concat(F.lit("materials:"), "material_code").alias("source"), F.lit(None).cast("string").alias("centre"))
 
 
-def cost_lines(cells: DataFrame, ops: DataFrame, centres: DataFrame, services: DataFrame, materials: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """All cost lines of all cells (CO-02 to CO-05, CO-10); an amount is null where the plant cannot do the operation."""
-    return material(cells, materials, params).unionByName(machining(cells, ops, centres)).unionByName(outsourced(cells, ops, services))
+def parts_lines(cells: DataFrame, bom: DataFrame) -> DataFrame:
+    """Bought and own parts of assemblies; items without a price stay visible at 0 (CO-05). bom: of bom.price_bom()."""
+    made = F.col("source") != "catalog"
+    b = bom.select("part_id", "item_no", F.col("qty").alias("qty_per"), "source", "matched", F.col("unit_cost").alias("piece"), F.col("plant").alias("from_plant"))
+    x = cells.where("shape_class = 'assembly'").join(b, "part_id")
+    priced = F.col("piece").isNotNull()
+    source = F.when(~priced, F.concat(F.lit("bom:"), "source")).when(made, F.concat(F.lit("parts:"), "matched", F.coalesce(F.concat(F.lit("@"), "from_plant"), F.lit("")))).otherwise(F.concat(F.lit("catalog:"), "matched"))
+    formula = F.concat(F.col("qty_per").cast("string"), F.when(priced, F.concat(F.lit("*"), plain_number(F.round(F.col("piece") + 1e-7, 2), 2))).otherwise(" unpriced"))
+    return x.select(*CELL, F.when(made, "internal_parts").otherwise("purchased").alias("category"), F.col("item_no").alias("ordinal"), F.coalesce(F.col("qty_per") * F.col("piece"), F.lit(0.0)).alias("amount"), formula.alias("formula"), source.alias("source"), F.lit(None).cast("string").alias("centre"))
+
+
+def cost_lines(cells: DataFrame, ops: DataFrame, centres: DataFrame, services: DataFrame, materials: DataFrame, bom: DataFrame | None = None, params: Params = DEFAULT) -> DataFrame:
+    """All cost lines of all cells (CO-02 to CO-05, CO-10); an amount is null where the plant cannot do the operation.
+
+    Assemblies have the lines of their parts list (bom) and no raw material.
+    """
+    lines = material(cells, materials, params).unionByName(operation_lines(cells, ops, centres, services))
+    return lines.unionByName(parts_lines(cells, bom)) if bom is not None else lines
 
 
 def breakdown(cells: DataFrame, lines: DataFrame, params: Params = DEFAULT, today: str = "1996-01-01") -> DataFrame:
@@ -83,7 +103,7 @@ def recommend_plant(breakdowns: DataFrame, params: Params = DEFAULT) -> DataFram
     """Per line and quantity the plant: cheapest on time, else cheapest; prices to the cent, home plant first, then plant order (CO-12)."""
     late = F.when(F.coalesce(F.col("meets_due"), F.lit(True)), 0).otherwise(1)
     order = F.struct(late, F.round(F.col("unit_price") + 1e-7, 2), F.when(F.col("plant") == params.home_plant, 0).otherwise(1), F.col("ord"))
-    return breakdowns.where("feasible").groupBy(*LINE, "qty").agg(F.min_by("plant", order).alias("plant"), F.min_by("unit_price", order).alias("unit_price"), F.count("*").alias("n_feasible"))
+    return breakdowns.where("feasible").groupBy(*LINE, "qty").agg(F.min_by("plant", order).alias("plant"), F.min_by("unit_cost", order).alias("unit_cost"), F.min_by("unit_price", order).alias("unit_price"), F.count("*").alias("n_feasible"))
 
 
 def price_matrix(breakdowns: DataFrame, plants: list[str]) -> DataFrame:
@@ -104,17 +124,48 @@ def offer_quantities(lines: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return lines.withColumn("asked", asked).withColumn("offered", F.when(F.size("asked") == 1, F.concat("asked", F.slice(next_tier, 1, 1))).otherwise(F.col("asked"))).drop("quantities")
 
 
-def price_deviation(chosen: DataFrame, similar: DataFrame, volumes: DataFrame, part_costs: DataFrame) -> DataFrame:
-    """Deviation of the unit cost from the best similar part's recorded cost at the same plant and nearest quantity,
-    scaled by (volume / reference volume)^(2/3) (CO-13); null without such a cost."""
-    top = similar.where("rank = 1").select(*LINE, F.col("part_id").alias("ref_id"))
-    ref = part_costs.select(F.col("part_id").alias("ref_id"), "plant", F.col("qty").alias("ref_qty"), F.col("unit_cost").alias("ref_cost"))
-    near = F.struct(F.abs(F.col("ref_qty") - F.col("qty")), F.col("ref_cost"))
-    x = chosen.join(top, LINE).join(ref, ["ref_id", "plant"]).groupBy(*LINE, "qty", "plant", "part_id", "ref_id", "unit_cost").agg(F.min_by("ref_cost", near).alias("ref_cost"))
-    v = volumes.select("part_id", "volume")
-    x = x.join(v, "part_id").join(v.toDF("ref_id", "ref_volume"), "ref_id")
-    scaled = F.col("ref_cost") * F.pow(F.col("volume") / F.nullif("ref_volume", F.lit(0.0)), 2 / 3)
-    return x.select(*LINE, "qty", "plant", ((F.col("unit_cost") - scaled) / F.nullif(scaled, F.lit(0.0))).alias("deviation"))
+def price_deviation(chosen: DataFrame, top: DataFrame, volumes: DataFrame, refs: DataFrame, part_costs: DataFrame, history: DataFrame) -> DataFrame:
+    """CO-13: chosen lines with `deviation` from the most similar part's recorded cost at the same plant and the nearest quantity, scaled by
+    (volume / reference volume)^(2/3); without such a cost, of our price from its quoted price; null without either. `basis` tells which.
+
+    chosen: line keys, qty, plant, part_id, unit_cost, unit_price; top: part_id, ref_id (one row a part); volumes: part_id, volume; refs: ref_id, ref_volume.
+    Costs and quotes are looked up once for each (reference, plant, quantity).
+    """
+    x = chosen.join(top.select("part_id", "ref_id"), "part_id", "left").join(volumes.select("part_id", "volume"), "part_id", "left").join(refs.select("ref_id", "ref_volume"), "ref_id", "left")
+    asked = x.where("ref_id is not null").select("ref_id", "plant", "qty").distinct()
+
+    def nearest(rows: DataFrame, value: str, name: str) -> DataFrame:
+        r = rows.select(F.col("part_id").alias("ref_id"), "plant", F.col("qty").alias("at"), F.col(value).alias("v"))
+        return asked.join(r, ["ref_id", "plant"]).groupBy("ref_id", "plant", "qty").agg(F.min_by("v", F.struct(F.abs(F.col("at") - F.col("qty")), "v")).alias(name))
+
+    x = x.join(nearest(part_costs, "unit_cost", "c"), ["ref_id", "plant", "qty"], "left").join(nearest(history, "unit_price", "h"), ["ref_id", "plant", "qty"], "left")
+    by_cost = F.col("c").isNotNull()
+    mine, ref = F.when(by_cost, F.col("unit_cost")).otherwise(F.col("unit_price")), F.coalesce("c", "h")
+    scaled = F.when((F.col("volume") > 0) & (F.col("ref_volume") > 0), ref * F.pow(F.col("volume") / F.col("ref_volume"), F.lit(2 / 3)))
+    deviation = F.when(scaled > 0, (mine - scaled) / scaled)
+    return x.select(*chosen.columns, deviation.alias("deviation"), F.when(deviation.isNotNull(), F.when(by_cost, "cost").otherwise("quote")).alias("basis"))
+
+
+def reference_volumes(parts: DataFrame) -> DataFrame:
+    """ref_id, ref_volume (cm³) of recorded parts from their columns: a cylinder where there is a diameter, else a box; null if sizes are missing."""
+    n = lambda c: truthy(F.col(c))
+    round_ = F.pi() / 4 * n("main_mm") * n("main_mm") * n("length_mm") / 1000
+    return parts.select(F.col("part_id").alias("ref_id"), F.coalesce(round_, n("length_mm") * n("width_mm") * n("height_mm") / 1000).alias("ref_volume"))
+
+
+def override_plants(recommended: DataFrame, breakdowns: DataFrame, overrides: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """CO-19: recommended lines with the plant that the request sets (if it is feasible there) and prices at the request's margin (above 1: percent).
+
+    A margin outside 0 to 0.9 is no margin; `auto` and null set no plant.
+    """
+    o = overrides.select("rfq_id", F.when(F.col("margin") > 1, F.col("margin") / 100).otherwise(F.col("margin")).alias("m"), F.nullif(F.upper("plant"), F.lit("AUTO")).alias("wish"))
+    x = recommended.select(*LINE, "qty", F.col("plant").alias("advised")).join(o, "rfq_id", "left")
+    able = breakdowns.where("feasible").select(*LINE, "qty", "plant", "unit_cost")
+    wished = able.select(*LINE, "qty", F.col("plant").alias("wish"), F.col("unit_cost").alias("wish_cost"))
+    x = x.join(wished, [*LINE, "qty", "wish"], "left").join(able.withColumnRenamed("plant", "advised"), [*LINE, "qty", "advised"], "left")
+    margin = F.when((F.col("m") >= 0) & (F.col("m") < 0.9), F.col("m")).otherwise(params.margin)
+    cost = F.coalesce("wish_cost", "unit_cost")
+    return x.select(*LINE, "qty", F.when(F.col("wish_cost").isNotNull(), F.col("wish")).otherwise(F.col("advised")).alias("plant"), F.col("wish_cost").isNotNull().alias("overridden"), margin.alias("margin"), (cost / (1 - margin)).alias("unit_price"))
 
 
 def routing_view(ops: DataFrame) -> DataFrame:
@@ -125,7 +176,7 @@ def routing_view(ops: DataFrame) -> DataFrame:
 def with_weight(lines: DataFrame, parts: DataFrame, materials: DataFrame) -> DataFrame:
     """Lines with the part's material and weight: volume times density (GE-02, GE-06)."""
     m = F.broadcast(materials.select(F.col("code").alias("material_code"), "density"))
-    p = parts.join(m, "material_code", "left").select("part_id", "material_code", volume().alias("volume"), (volume() * F.col("density") / 1000).alias("weight_kg"))
+    p = parts.join(m, "material_code", "left").select("part_id", "shape_class", "material_code", volume().alias("volume"), (volume() * F.col("density") / 1000).alias("weight_kg"))
     return lines.join(p, "part_id", "left")
 
 

@@ -7,52 +7,37 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tenderline.functions.expressions import norm_token
 from tenderline.params import DEFAULT, Params
 
-# fixed values: confidence of a parts-list price by how it was found
-BOM_CONFIDENCE = {"exact": 0.95, "internal": 0.85, "internal_other": 0.6, "new": 0.2}
 #: Least length of a key that may be found inside a text.
 MIN_KEY = 4
-#: Keys that are sent to every task; more of them are refused.
-MAX_KEYS = 100_000
-# fixed values: what generated prose may not hold
-CURRENCY = r"(?i)(?:€|\bEUR\b|\bEuro?s?\b|\$|£|\bUSD\b|\bPLN\b|\bCNY\b|\bRMB\b)\s*\d|\d[\d.,\s]*\s*(?:€|\bEUR\b|\bEuros?\b|\$|£|\bUSD\b|\bPLN\b|\bCNY\b|\bRMB\b)"
-LIST_ITEM = r"(?m)^\s*(?:\d+[.)]|[-•*])\s+\S"
+# fixed values: signs and codes of currencies
+CURRENCY_SIGNS, CURRENCY_CODES = "€$£", ("eur", "euro", "usd", "pln", "cny", "rmb")
+_MONEY = rf"(?:[{CURRENCY_SIGNS}]|\b(?:{'|'.join(CURRENCY_CODES)})s?\b)"
+#: An amount: a number with a currency before or after it. A list item: a line that a bullet or a number with a point or bracket opens.
+CURRENCY = rf"(?i){_MONEY} ?\d|\d[.,-]* ?{_MONEY}"
+LIST_ITEM = r"(?m)^[ \t]*(?:[•*-]|\d{1,3}[.)])[ \t]+[^ \t]"
 MIN_PROSE, MAX_PROSE = 40, 3000
 
 
 def resolve_materials(callouts: DataFrame, keys: DataFrame) -> DataFrame:
     """NR-02: callouts (id, text) with the code of the key that equals the text, first by ordinal; else of the longest
-    key (MIN_KEY characters at least) inside it; else null. Keys: code, key, ordinal; MAX_KEYS at most.
+    key (MIN_KEY characters at least) inside it; else null. Keys: code, key, ordinal.
 
-    Texts are resolved once each, however many rows share one.
+    Texts are resolved once each, however many rows share one. Both joins are on equal values: the whole text, and for keys inside
+    it their first MIN_KEY characters, which must be one of the text's pieces of that length.
     """
     k = keys.select("code", "ordinal", norm_token(F.col("key")).alias("k")).where("k <> ''").distinct()
-    if k.limit(MAX_KEYS + 1).count() > MAX_KEYS:
-        raise ValueError(f"more than {MAX_KEYS} keys")
     texts = callouts.select("text").where("text is not null").distinct().withColumn("t", norm_token(F.col("text")))
-    met = texts.join(F.broadcast(k), (F.col("t") == F.col("k")) | ((F.length("k") >= MIN_KEY) & F.contains("t", "k")))
-    exact = F.col("t") == F.col("k")
-    best = met.groupBy("text").agg(F.min_by("code", F.struct(F.when(exact, 0).otherwise(1), F.when(exact, 0).otherwise(-F.length("k")), "ordinal")).alias("code"))
-    return callouts.join(best, "text", "left")
+    exact = texts.join(k.withColumnRenamed("k", "t"), "t").groupBy("text").agg(F.min_by("code", "ordinal").alias("exact"))
+    rest = texts.join(exact.select("text"), "text", "left_anti").where(F.length("t") >= MIN_KEY)
+    within = pieces_of(rest, "t", MIN_KEY).join(k.where(F.length("k") >= MIN_KEY).withColumn("piece", F.substring("k", 1, MIN_KEY)), "piece").where(F.contains("t", "k"))
+    inside = within.groupBy("text").agg(F.min_by("code", F.struct(-F.length("k"), "ordinal")).alias("inside"))
+    return callouts.join(exact, "text", "left").join(inside, "text", "left").withColumn("code", F.coalesce("exact", "inside")).drop("exact", "inside")
 
 
-def internal_costs(part_costs: DataFrame, qty: int, params: Params = DEFAULT) -> DataFrame:
-    """BM-03: per part the recorded cost at the home plant at the nearest quantity, else at any other plant; ties to the lower cost."""
-    away = F.col("plant") != params.home_plant
-    best = F.min_by(F.struct(F.col("unit_cost"), away.alias("away")), F.struct(away.cast("int"), F.abs(F.col("qty") - qty), F.col("unit_cost")))
-    return part_costs.groupBy("part_id").agg(best.alias("b")).select("part_id", "b.*")
-
-
-def price_bom(bom: DataFrame, catalog: DataFrame, costs: DataFrame) -> DataFrame:
-    """BM-02, BM-04: items with method, unit_cost and confidence: catalog number, else own part, else new and unpriced.
-
-    bom: part_id, item_no, qty, part_number, child_id; catalog: part_number, unit_price; costs: of internal_costs().
-    """
-    own = costs.select(F.col("part_id").alias("child_id"), F.col("unit_cost").alias("own_cost"), "away")
-    x = bom.join(catalog.select("part_number", "unit_price").dropDuplicates(["part_number"]), "part_number", "left").join(own, "child_id", "left")
-    method = F.when(F.col("unit_price").isNotNull(), "exact").when(F.col("away"), "internal_other").when(F.col("own_cost").isNotNull(), "internal").otherwise("new")
-    x = x.withColumn("method", method)
-    sure = F.element_at(F.create_map(*[F.lit(v) for kv in BOM_CONFIDENCE.items() for v in kv]), F.col("method"))
-    return x.select("part_id", "item_no", "qty", "method", F.coalesce("unit_price", "own_cost").alias("unit_cost"), sure.alias("confidence"))
+def pieces_of(rows: DataFrame, column: str, n: int) -> DataFrame:
+    """rows once for each different `piece` of n characters of the column."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(column) - n + 1, F.lit(1)))
+    return rows.withColumn("piece", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(column), i, F.lit(n))))))
 
 
 def calibrate(ops: DataFrame, top: DataFrame, recorded: DataFrame, volumes: DataFrame, params: Params = DEFAULT) -> DataFrame:
@@ -84,7 +69,7 @@ def calibrate(ops: DataFrame, top: DataFrame, recorded: DataFrame, volumes: Data
     sure = F.when(extra, F.round(0.6 * F.col("score") + 1e-9, 3)).when(blended, F.round(F.least(F.lit(0.95), F.col("confidence") + 0.25 * F.col("w")) + 1e-9, 3)).otherwise(F.col("confidence"))
     return x.select(
         "part_id", F.coalesce("op_code", "ref_op_code").alias("op_code"), F.when(extra & serviced, "OUTSOURCED").otherwise(F.coalesce("work_center", "ref_work_center")).alias("work_center"),
-        F.when(extra, F.col("ref_service_code")).otherwise(F.col("service_code")).alias("service_code"), cycle.alias("cycle_min"), F.when(blended | extra, "blend").otherwise("rule").alias("basis"), extra.alias("suggested"), sure.alias("confidence"),
+        F.when(extra, F.col("ref_service_code")).otherwise(F.col("service_code")).alias("service_code"), F.when(extra & serviced, 0.0).when(extra, F.round(F.col("ref_setup_min") + 1e-7, 2)).otherwise(F.col("setup_min")).alias("setup_min"), cycle.alias("cycle_min"), F.when(blended | extra, "blend").otherwise("rule").alias("basis"), extra.alias("suggested"), sure.alias("confidence"),
     )
 
 

@@ -9,6 +9,10 @@ from tenderline.params import DEFAULT, Params
 # fixed values: weights of the seven terms (they sum to 1) and the scale of size similarity
 WEIGHTS = {"diameter": 0.20, "length": 0.15, "material": 0.15, "holes": 0.10, "threads": 0.10, "flags": 0.15, "precision": 0.15}
 TAU = 0.35
+#: Parts of the work of each shape class.
+SALTS = 16
+# fixed values: least score and largest size difference at which a part counts as the same but for details
+REUSE_SCORE, REUSE_DIFFERENCE = 0.92, 0.05
 #: Factor for parts of another shape class.
 OTHER_SHAPE = 0.3
 
@@ -52,9 +56,12 @@ def find_similar(queries: DataFrame, parts: DataFrame, keys: list[str], params:
     queries: keys and a vector; parts: vectors. A part of another shape class scores OTHER_SHAPE at most, so above that
     threshold the class is a join key and only equal classes meet. Order: score, then part_id. Scores are rounded to 4 places.
     """
-    q, p = queries.alias("q"), parts.alias("p")
+    # a class has few values: its queries are dealt to SALTS tasks, each of which meets all parts of the class
+    q = queries.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS))).alias("q")
+    p = parts.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).alias("p")
     same = F.col("q.shape_class").eqNullSafe(F.col("p.shape_class"))
-    on = same if params.min_similarity > OTHER_SHAPE else F.lit(True)
+    on = F.col("q._salt") == F.col("p._salt")
+    on = (on & same) if params.min_similarity > OTHER_SHAPE else on
     if exclude_self:
         on = on & (F.col("q.part_id").isNull() | (F.col("q.part_id") != F.col("p.part_id")))
     terms = pair_terms()
@@ -80,3 +87,15 @@ def reference_costs(similar: DataFrame, part_costs: DataFrame, history: DataFram
     both = nearest_cost(with_cost, history, keys, qty, "unit_price", "h")
     ref = F.coalesce("c", "h")
     return both.withColumns({"ref_unit_cost": ref["value"], "ref_qty": ref["qty"], "ref_plant": ref["plant"]}).drop("c", "h")
+
+
+def reuse_hints(similar: DataFrame, vectors: DataFrame) -> DataFrame:
+    """VA-16: most similar parts that are nearly the same: score, same known material, and main sizes within REUSE_DIFFERENCE.
+
+    The difference of a size, (larger - smaller) / larger, comes back from its term of the score, which has four places.
+    """
+    m = vectors.select("part_id", "material_code")
+    x = similar.where((F.col("rank") == 1) & (F.col("score") >= REUSE_SCORE)).join(m.toDF("part_id", "theirs"), "part_id").join(m.toDF("query_id", "mine"), "query_id").where("mine = theirs")
+    gap = lambda term: F.when(term <= 0, 1.0).otherwise(1 - F.exp(TAU * F.ln(term)))
+    most = F.greatest(*[gap(F.col("score_breakdown")[k]) for k in ("diameter", "length")])
+    return x.withColumn("largest_difference", most).where(F.col("largest_difference") < REUSE_DIFFERENCE).select("query_id", "part_id", "score", "largest_difference")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenderline.operators import geometry, routing, triage, validation
+from tenderline.operators import bom as bom_ops, geometry, routing, triage, validation
 from tenderline.params import DEFAULT
+from tenderline.plans import quoting
 from tenderline.plans.quoting import rounded
 from tenderline.sources.adapters import ctes, domain, doubles
 
@@ -43,6 +44,11 @@ def rule_operations(spark: SparkSession, d: str) -> DataFrame:
     return routing.rule_routing(_context(spark, d))
 
 
+def single_part_boms(spark: SparkSession, d: str) -> DataFrame:
+    """BM-01."""
+    return bom_ops.single_part_bom(_measured(spark, d), routing.rule_routing(_context(spark, d)), domain(spark, d, "materials"))
+
+
 def uncovered_features(spark: SparkSession, d: str) -> DataFrame:
     """RT-16, TR-03."""
     return routing.uncovered(_context(spark, d)).withColumn("coverage", rounded("coverage"))
@@ -68,16 +74,15 @@ def ordered_findings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _assessed(spark: SparkSession, d: str) -> DataFrame:
-    """Lines with their scores: the similar part's quoted price stands for the top score's evidence."""
-    items, parts = domain(spark, d, "items"), domain(spark, d, "parts")
+    """Lines with their scores: most similar part, deviation of the recommended price from it, priced share of the parts list, coverage and findings."""
+    parts = domain(spark, d, "parts")
     found = _findings(spark, d).groupBy("part_id").agg(F.count_if(F.col("severity") == "blocker").alias("n_blockers"), F.count_if((F.col("severity") == "warning") & F.col("fid").isNull()).alias("n_warnings"))
     cover = routing.uncovered(_context(spark, d)).select("part_id", "coverage")
-    cost = domain(spark, d, "part_costs").groupBy("part_id").agg(F.avg("unit_cost").alias("known_cost"))
     filled = F.col("material_code").isNotNull().cast("int") + (F.col("main_mm") > 0).cast("int") + F.col("min_it").isNotNull().cast("int") + 2
-    share = F.when(F.col("part_id") % 10 < 9, 1.0).otherwise(0.5)
-    x = parts.join(found, "part_id", "left").join(cover, "part_id").join(cost, "part_id", "left").fillna(0, ["n_blockers", "n_warnings"])
-    scored = x.select("part_id", "shape_class", triage.extraction(filled, 5, share, F.col("n_warnings")).alias("extraction"), F.when(F.col("part_id") % 6 > 0, 0.7 + F.col("part_id") % 29 / 100).alias("top_score"), "coverage", (F.col("known_cost") / F.col("list_price") - 1).alias("deviation"), F.lit(0.75).alias("bom_match"), "n_blockers", "n_warnings")
-    return triage.assess(items.select("rfq_id", "line_no", "part_id").join(scored, "part_id"))
+    evidence = domain(spark, d, "features").groupBy("part_id").agg(F.avg(F.col("fit").isNotNull().cast("double")).alias("told"))
+    x = parts.join(found, "part_id", "left").join(cover, "part_id").join(evidence, "part_id", "left").join(bom_ops.priced_share(quoting._priced_bom(spark, d)), "part_id", "left").fillna(0, ["n_blockers", "n_warnings"]).fillna({"told": 1.0, "bom_match": 0.0})
+    scored = x.select("part_id", "shape_class", triage.extraction(filled, 5, F.col("told"), F.col("n_warnings")).alias("extraction"), "coverage", "bom_match", "n_blockers", "n_warnings")
+    return triage.assess(quoting._deviations(spark, d).join(scored, "part_id"))
 
 
 def line_tiers(spark: SparkSession, d: str) -> DataFrame:
@@ -178,6 +183,7 @@ _FOUND = f""", dr AS (SELECT p.part_id, shape_class, material_code, mat_group, s
         UNION ALL SELECT part_id, fid, 'DFM-002', 'warning' FROM ff WHERE ftype IN ('hole', 'bore') AND deep > 10
         UNION ALL SELECT part_id, fid, 'DFM-003', 'info' FROM ff WHERE vgrade <= 6
         UNION ALL SELECT part_id, fid, 'DFM-004', 'warning' FROM ff WHERE ra_um <= 0.4
+        UNION ALL SELECT part_id, NULL, 'DFM-004', 'warning' FROM dr WHERE default_ra <= 0.4
         UNION ALL SELECT part_id, NULL, 'DFM-005', 'info' FROM dr WHERE trim(coalesce(heat_treatment, '')) <> '' AND part_id IN (SELECT part_id FROM ff WHERE vgrade <= 7 OR ra_um <= 0.8)
         UNION ALL SELECT part_id, fid, 'DFM-006', 'warning' FROM ff WHERE ftype IN ('pocket', 'slot') AND radius < 0.5
         UNION ALL SELECT part_id, NULL, 'DFM-006', 'warning' FROM dr WHERE regexp_matches(lower(notes), '(sharp|scharf).*(corner|radi|ecke)')
@@ -185,32 +191,46 @@ _FOUND = f""", dr AS (SELECT p.part_id, shape_class, material_code, mat_group, s
     lf AS (SELECT rfq_id, line_no, fid, code, severity FROM items JOIN finds USING (part_id) UNION ALL SELECT rfq_id, line_no, NULL, 'VAL-010', 'blocker' FROM items WHERE part_id NOT IN (SELECT part_id FROM dr)
         UNION ALL SELECT rfq_id, line_no, NULL, 'VAL-003', 'blocker' FROM items WHERE coalesce(qty, 0) <= 0)"""
 _TIERS = """, fc AS (SELECT part_id, count(*) FILTER (severity = 'blocker') AS n_blockers, count(*) FILTER (severity = 'warning' AND fid IS NULL) AS n_warnings FROM finds GROUP BY 1),
-    kc AS (SELECT part_id, avg(unit_cost) AS known_cost FROM part_costs GROUP BY 1),
-    sc AS (SELECT p.part_id, p.shape_class, ((p.material_code IS NOT NULL)::INT + (p.main_mm > 0)::INT + (p.min_it IS NOT NULL)::INT + 2) / 5 * CASE WHEN p.part_id % 10 < 9 THEN 1.0 ELSE 0.5 END * (1 - 0.1 * coalesce(n_warnings, 0)) AS extraction,
-        CASE WHEN p.part_id % 6 > 0 THEN 0.7 + p.part_id % 29 / 100 END AS top, coverage, known_cost / list_price - 1 AS dev, coalesce(n_blockers, 0) AS nb, coalesce(n_warnings, 0) AS nw FROM parts p JOIN cov USING (part_id) LEFT JOIN fc USING (part_id) LEFT JOIN kc USING (part_id)),
-    rw AS (SELECT *, CASE WHEN dev IS NULL THEN 0.6 WHEN abs(dev) <= 0.15 THEN 1.0 WHEN abs(dev) <= 0.3 THEN 0.7 ELSE 0.4 END AS ps FROM sc),
-    ov AS (SELECT *, CASE WHEN shape_class = 'assembly' THEN 0.3 * extraction + 0.2 * coalesce(top, 0.3) + 0.15 * coverage + 0.15 * ps + 0.2 * 0.75 ELSE 0.35 * extraction + 0.25 * coalesce(top, 0.3) + 0.2 * coverage + 0.2 * ps END AS raw FROM rw),
+    tl AS (SELECT part_id, avg((fit IS NOT NULL)::INT) AS told FROM features GROUP BY 1), ps_ AS (SELECT part_id, count(unit_cost) / count(*) AS bm FROM pb GROUP BY 1),
+    sc AS (SELECT p.part_id, p.shape_class, ((p.material_code IS NOT NULL)::INT + (p.main_mm > 0)::INT + (p.min_it IS NOT NULL)::INT + 2) / 5 * coalesce(told, 1.0) * (1 - 0.1 * coalesce(n_warnings, 0)) AS extraction,
+        coverage, coalesce(bm, 0.0) AS bm, coalesce(n_blockers, 0) AS nb, coalesce(n_warnings, 0) AS nw FROM parts p JOIN cov USING (part_id) LEFT JOIN fc USING (part_id) LEFT JOIN tl USING (part_id) LEFT JOIN ps_ USING (part_id)),
+    rw AS (SELECT i.rfq_id, i.line_no, sc.*, t.score AS top, dv.deviation AS dev FROM items i JOIN sc USING (part_id) LEFT JOIN top t ON t.query_id = i.part_id AND t.rank = 1 LEFT JOIN dv ON dv.rfq_id = i.rfq_id AND dv.line_no = i.line_no),
+    rs AS (SELECT *, CASE WHEN dev IS NULL THEN 0.6 WHEN abs(dev) <= 0.15 THEN 1.0 WHEN abs(dev) <= 0.3 THEN 0.7 ELSE 0.4 END AS ps FROM rw),
+    ov AS (SELECT *, CASE WHEN shape_class = 'assembly' THEN 0.3 * extraction + 0.2 * coalesce(top, 0.3) + 0.15 * coverage + 0.15 * ps + 0.2 * bm ELSE 0.35 * extraction + 0.25 * coalesce(top, 0.3) + 0.2 * coverage + 0.2 * ps END AS raw FROM rs),
     gt AS (SELECT *, CASE WHEN nw > 0 THEN 'warnings present' WHEN coalesce(top, 0) < 0.85 THEN 'no close precedent' WHEN dev IS NULL OR abs(dev) > 0.3 THEN 'price not confirmed' END AS gate FROM ov),
-    tr AS (SELECT rfq_id, line_no, CASE WHEN nb > 0 OR raw < 0.55 THEN 'manual' WHEN raw >= 0.8 AND gate IS NULL THEN 'fast_track' ELSE 'standard' END AS tier,
-        CASE WHEN nb > 0 THEN 'blocked' WHEN raw < 0.55 THEN 'low confidence' WHEN raw >= 0.8 THEN gate END AS reason, CASE WHEN nb > 0 THEN 0.0 ELSE raw END AS overall FROM items JOIN gt USING (part_id))"""
-_TABLE = ", ".join(f"({a}, {b}, {g}, {um})" for a, b, g, um in geometry.tolerance_rows())
+    tr AS (SELECT rfq_id, line_no, part_id, CASE WHEN nb > 0 OR raw < 0.55 THEN 'manual' WHEN raw >= 0.8 AND gate IS NULL THEN 'fast_track' ELSE 'standard' END AS tier,
+        CASE WHEN nb > 0 THEN 'blocked' WHEN raw < 0.55 THEN 'low confidence' WHEN raw >= 0.8 THEN gate END AS reason, CASE WHEN nb > 0 THEN 0.0 ELSE raw END AS overall FROM gt)"""
+
+
+def tolerance_values() -> str:
+    return ", ".join(f"({a}, {b}, {g}, {um})" for a, b, g, um in geometry.tolerance_rows())
+
+
+_TABLE = tolerance_values()
 _M, _R = ctes("parts", "features"), ctes("parts", "features", "specs", "materials", "bom")
-_F, _T = ctes("parts", "features", "specs", "materials", "items"), ctes("parts", "features", "specs", "materials", "bom", "items", "part_costs")
+_F = ctes("parts", "features", "specs", "materials", "items")
+ASSESSED = ctes("features", "specs", "history", "recorded", *quoting._COST_TABLES) + quoting._COST_BODY + quoting._SIM_BODY + _ROUTED + quoting.DEVIATION + _COVERAGE + _FOUND + _TIERS
 
-QUERIES = {f.__name__: f for f in (tolerance_grades, part_geometry, rule_operations, uncovered_features, drawing_findings, findings_by_request, ordered_findings, line_tiers, request_tiers, tier_distribution)}
+QUERIES = {f.__name__: f for f in (tolerance_grades, part_geometry, rule_operations, single_part_boms, uncovered_features, drawing_findings, findings_by_request, ordered_findings, line_tiers, request_tiers, tier_distribution)}
 ORACLES = {
     "tolerance_grades": _M + f""", tt(above, upto, g, um) AS (VALUES {_TABLE}), near AS (SELECT fid, g FROM (SELECT fid, g, row_number() OVER (PARTITION BY fid ORDER BY abs(um - band * 1000), g DESC) AS k FROM features JOIN tt ON nominal > above AND nominal <= upto WHERE fit IS NULL AND band > 0) WHERE k = 1),
         fl AS (SELECT f.*, n.g AS near_g, regexp_extract(fit, '^([A-Za-z]+)[0-9]+$', 1) AS letters, t.um / 1000 AS mm FROM features f LEFT JOIN near n USING (fid) LEFT JOIN tt t ON f.nominal > t.above AND f.nominal <= t.upto AND f.fit NOT LIKE '%/%' AND t.g = CAST(nullif(regexp_extract(f.fit, '([0-9]+)', 1), '') AS INT))
         SELECT fid, part_id, coalesce(CAST(nullif(regexp_extract(fit, '([0-9]+)', 1), '') AS INT), near_g) AS grade, CASE letters WHEN 'H' THEN mm WHEN 'h' THEN mm * 0 WHEN 'JS' THEN mm / 2 END AS upper_mm, CASE letters WHEN 'H' THEN mm * 0 WHEN 'h' THEN -mm WHEN 'JS' THEN -mm / 2 END AS lower_mm FROM fl""",
     "part_geometry": _M + _MEASURED + f" SELECT part_id, d, stock, stock_mm, standard_stock, {', '.join(f'round({v} + 1e-7, 4) AS {v}' for v in VOLUMES)} FROM measured",
     "rule_operations": _R + _ROUTED + f", fired AS ({_FIRED}) SELECT part_id, CAST(10 * row_number() OVER (PARTITION BY part_id ORDER BY k) AS INT) AS seq, op_code, work_center, service_code, setup_min, cycle_min, rule_ids, round(cf + 1e-9, 3) AS confidence FROM fired",
+    "price_deviations": ctes("features", "history", *quoting._COST_TABLES) + quoting._COST_BODY + quoting._SIM_BODY + _MEASURED + quoting.DEVIATION + """
+        SELECT i.rfq_id, i.line_no, dv.plant, round(deviation + 1e-7, 4) AS deviation, CASE WHEN deviation IS NOT NULL THEN CASE WHEN by_cost THEN 'cost' ELSE 'quote' END END AS basis FROM items i LEFT JOIN dv ON dv.rfq_id = i.rfq_id AND dv.line_no = i.line_no""",
+    "single_part_boms": _R + _ROUTED + f""", fired AS ({_FIRED}), mk AS (SELECT m.part_id, m.material_code, stock_cm3, finished_cm3, density, price_eur_kg FROM measured m LEFT JOIN materials t ON m.material_code = t.code WHERE shape_class <> 'assembly'),
+        sv AS (SELECT part_id, service_code, min(k) AS k, arg_min(cf, k) AS cf FROM fired WHERE service_code IS NOT NULL GROUP BY 1, 2)
+        SELECT part_id, 1 AS item_no, CASE WHEN density IS NOT NULL THEN material_code END AS number, 'raw_material' AS source, round(coalesce(stock_cm3 * density / 1000, 0.0) + 1e-7, 3) AS qty, price_eur_kg AS unit_cost, CASE WHEN density IS NOT NULL THEN 0.9 ELSE 0.2 END AS confidence FROM mk
+        UNION ALL SELECT part_id, CAST(1 + row_number() OVER (PARTITION BY part_id ORDER BY k) AS INT), service_code, 'service', round(coalesce(finished_cm3 * density / 1000, 0.0) + 1e-7, 3), NULL, round(cf + 1e-9, 3) FROM sv JOIN mk USING (part_id)""",
     "uncovered_features": _R + _ROUTED + _COVERAGE + " SELECT part_id, n_uncovered, n_features, unknown_heat, unknown_surface, round(coverage + 1e-7, 4) AS coverage FROM cov",
     "drawing_findings": _F + _FOUND + " SELECT * FROM finds",
     "findings_by_request": _F + _FOUND + " SELECT rfq_id, count(*) FILTER (severity = 'blocker') AS n_blocker, count(*) FILTER (severity = 'warning') AS n_warning, count(*) FILTER (severity = 'info') AS n_info, string_agg(DISTINCT code, ',' ORDER BY code) AS codes, count(*) FILTER (severity = 'blocker') > 0 AS blocked FROM lf GROUP BY 1",
     "ordered_findings": _F + _FOUND + f" SELECT *, CAST(row_number() OVER (PARTITION BY rfq_id, line_no ORDER BY list_position({list(validation.SEVERITIES)}, severity), list_position({list(validation.REGISTRY)}, code), fid NULLS FIRST) AS INT) AS ordinal FROM lf",
-    "line_tiers": _T + _ROUTED + _COVERAGE + _FOUND + _TIERS + " SELECT rfq_id, line_no, tier, reason, round(overall + 1e-7, 4) AS overall FROM tr",
-    "request_tiers": _T + _ROUTED + _COVERAGE + _FOUND + _TIERS + """, rk AS (SELECT rfq_id, max(CASE tier WHEN 'manual' THEN 3 WHEN 'standard' THEN 2 ELSE 1 END) AS r, count(*) AS n_lines FROM tr GROUP BY 1)
+    "line_tiers": ASSESSED + " SELECT rfq_id, line_no, tier, reason, round(overall + 1e-7, 4) AS overall FROM tr",
+    "request_tiers": ASSESSED + """, rk AS (SELECT rfq_id, max(CASE tier WHEN 'manual' THEN 3 WHEN 'standard' THEN 2 ELSE 1 END) AS r, count(*) AS n_lines FROM tr GROUP BY 1)
         SELECT rfq_id, ['fast_track', 'standard', 'manual'][r] AS tier, r = 1 AS auto, n_lines, [30, 90, 240][r] AS minutes, 240 - [30, 90, 240][r] AS saved_minutes, (240 - [30, 90, 240][r]) / 60 * 65.0 AS saved_eur FROM rk""",
-    "tier_distribution": _T + _ROUTED + _COVERAGE + _FOUND + _TIERS + " SELECT t AS tier, count(tier) AS n_lines FROM (VALUES ('fast_track'), ('standard'), ('manual')) x(t) LEFT JOIN tr ON tier = t GROUP BY 1",
+    "tier_distribution": ASSESSED + " SELECT t AS tier, count(tier) AS n_lines FROM (VALUES ('fast_track'), ('standard'), ('manual')) x(t) LEFT JOIN tr ON tier = t GROUP BY 1",
 }
 ORACLES = {k: doubles(v) for k, v in ORACLES.items()}

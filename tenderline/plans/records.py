@@ -21,18 +21,15 @@ def resolved_materials(spark: SparkSession, d: str) -> DataFrame:
     return matching.resolve_materials(domain(spark, d, "callouts"), domain(spark, d, "material_keys")).select("id", "text", "code")
 
 
-def bom_prices(spark: SparkSession, d: str) -> DataFrame:
-    """BM-02 to BM-04."""
-    bom = domain(spark, d, "bom").join(domain(spark, d, "features").select(F.col("fid").alias("item_no"), (F.col("part_id") + 1).alias("child_id")), "item_no")
-    return matching.price_bom(bom, domain(spark, d, "catalog"), matching.internal_costs(domain(spark, d, "part_costs"), 200)).withColumn("unit_cost", rounded("unit_cost"))
+def calibrated_operations(spark: SparkSession, d: str) -> DataFrame:
+    """RT-17: rule operations blended with those recorded for the most similar part."""
+    return _calibrated(spark, d).select("part_id", "op_code", "work_center", "service_code", "cycle_min", "basis", "suggested", "confidence")
 
 
-def calibrated_operations(spark: SparkSession, d: str) -> DataFrame:
-    """RT-17: recorded operations are the rules' with a fifth more time, some inspections lacking."""
+def _calibrated(spark: SparkSession, d: str) -> DataFrame:
     ops = routing.rule_routing(eng._context(spark, d))
-    recorded = ops.where("not (part_id % 5 = 0 and op_code = 'INSPECT')").withColumn("cycle_min", F.col("cycle_min") * 1.2)
     top = quoting._similar(spark, d).where("rank = 1").select(F.col("query_id").alias("part_id"), F.col("part_id").alias("ref_part_id"), "score")
-    return matching.calibrate(ops, top, recorded, eng._measured(spark, d))
+    return matching.calibrate(ops, top, domain(spark, d, "recorded"), eng._measured(spark, d))
 
 
 def edit_diff(spark: SparkSession, d: str) -> DataFrame:
@@ -88,29 +85,28 @@ def stream_calls(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("start", F.date_format("start", "yyyy-MM-dd"))
 
 
-def _norm(text: str) -> str:
-    return f"translate(regexp_replace(translate(upper({text}), '×*', 'XX'), '([0-9])\\s*X\\s*([0-9])', '\\1X\\2', 'g'), ' -.+/', '')"
-
-
-_CAL = eng._R + quoting._SIM.replace(ctes("parts", "materials"), "") + eng._ROUTED
+_norm = quoting.norm_sql
+_CAL_TABLES = ("parts", "features", "specs", "materials", "bom", "recorded")
 _POINTS = ctes("history", "part_costs") + ", e AS (SELECT plant, unit_price / unit_cost - 1 AS e, (unit_price - unit_cost) / unit_cost AS err FROM history JOIN part_costs USING (part_id, plant, qty) WHERE unit_cost <> 0)"
-QUERIES = {f.__name__: f for f in (resolved_materials, bom_prices, calibrated_operations, edit_diff, extraction_scores, extraction_diff, stale_drawings, repeated_calls, prose_check, next_versions, error_boxes, stream_calls)}
+#: Needs the fragments of similar parts and routing before it.
+CAL_TAIL = f""", fired AS ({eng._FIRED}), ops_ AS (SELECT part_id, k, op_code, work_center, service_code, setup_min, cycle_min, round(cf + 1e-9, 3) AS confidence FROM fired),
+    best AS (SELECT t.query_id AS part_id, t.part_id AS ref, score, round(score * score + 1e-9, 4) AS w, CASE WHEN a.envelope_cm3 > 0 AND b.envelope_cm3 > 0 THEN pow(a.envelope_cm3 / b.envelope_cm3, 2.0 / 3) ELSE 1.0 END AS scale FROM top t JOIN measured a ON a.part_id = t.query_id JOIN measured b ON b.part_id = t.part_id WHERE rank = 1 AND score >= 0.6),
+    theirs AS (SELECT b.part_id, o.seq AS k, o.op_code, o.work_center, o.service_code, o.setup_min, o.cycle_min AS cycle, coalesce(o.service_code, o.work_center || '|' || o.op_code) AS kind FROM best b JOIN recorded o ON o.part_id = b.ref),
+    tk AS (SELECT *, row_number() OVER (PARTITION BY part_id, kind ORDER BY k) AS nth FROM theirs),
+    ok_ AS (SELECT *, coalesce(service_code, work_center || '|' || op_code) AS kind, row_number() OVER (PARTITION BY part_id, coalesce(service_code, work_center || '|' || op_code) ORDER BY k) AS nth FROM ops_),
+    hit AS (SELECT o.part_id, o.k AS k, t.k AS rk FROM ok_ o JOIN tk t ON o.part_id = t.part_id AND o.kind = t.kind AND o.nth = t.nth),
+    lone AS (SELECT part_id, k, work_center, row_number() OVER (PARTITION BY part_id, work_center ORDER BY k) AS nth FROM ok_ WHERE service_code IS NULL AND (part_id, k) NOT IN (SELECT (part_id, k) FROM hit)),
+    spare AS (SELECT part_id, k, work_center, row_number() OVER (PARTITION BY part_id, work_center ORDER BY k) AS nth FROM tk WHERE service_code IS NULL AND (part_id, k) NOT IN (SELECT (part_id, rk) FROM hit)),
+    pairs2 AS (SELECT * FROM hit UNION ALL SELECT l.part_id, l.k, s.k FROM lone l JOIN spare s ON l.part_id = s.part_id AND l.work_center = s.work_center AND l.nth = s.nth),
+    cal AS (SELECT o.part_id, o.op_code, o.work_center, o.service_code, o.setup_min, CASE WHEN t.k IS NOT NULL AND o.service_code IS NULL THEN round(w * t.cycle * scale + (1 - w) * o.cycle_min + 1e-7, 2) ELSE o.cycle_min END AS cycle_min, CASE WHEN t.k IS NOT NULL AND o.service_code IS NULL THEN 'blend' ELSE 'rule' END AS basis, FALSE AS suggested,
+            CASE WHEN t.k IS NOT NULL AND o.service_code IS NULL THEN round(least(0.95, confidence + 0.25 * w) + 1e-9, 3) ELSE confidence END AS confidence FROM ops_ o LEFT JOIN pairs2 p ON p.part_id = o.part_id AND p.k = o.k LEFT JOIN tk t ON t.part_id = o.part_id AND t.k = p.rk LEFT JOIN best b ON b.part_id = o.part_id
+        UNION ALL SELECT t.part_id, t.op_code, CASE WHEN t.service_code IS NOT NULL THEN 'OUTSOURCED' ELSE t.work_center END, t.service_code, CASE WHEN t.service_code IS NOT NULL THEN 0.0 ELSE round(t.setup_min + 1e-7, 2) END, CASE WHEN t.service_code IS NOT NULL THEN 0.0 ELSE round(t.cycle * scale + 1e-7, 2) END, 'blend', TRUE, round(0.6 * score + 1e-9, 3) FROM tk t JOIN best b ON b.part_id = t.part_id WHERE (t.part_id, t.k) NOT IN (SELECT (part_id, rk) FROM pairs2))"""
+CALIBRATED = quoting._SIM_BODY + eng._ROUTED + CAL_TAIL
+QUERIES = {f.__name__: f for f in (resolved_materials, calibrated_operations, edit_diff, extraction_scores, extraction_diff, stale_drawings, repeated_calls, prose_check, next_versions, error_boxes, stream_calls)}
 ORACLES = {
     "resolved_materials": ctes("callouts", "material_keys") + f""", ks AS (SELECT DISTINCT code, ordinal, {_norm('key')} AS k FROM material_keys), m AS (SELECT id, text, code, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN t = k THEN 0 ELSE 1 END, CASE WHEN t = k THEN 0 ELSE -length(k) END, ordinal) AS r
         FROM (SELECT *, {_norm('text')} AS t FROM callouts) c LEFT JOIN ks ON t = k OR (length(k) >= 4 AND contains(t, k))) SELECT id, text, code FROM m WHERE r = 1""",
-    "bom_prices": ctes("bom", "features", "catalog", "part_costs") + """, ic AS (SELECT * FROM (SELECT part_id, unit_cost, plant <> 'DE' AS away, row_number() OVER (PARTITION BY part_id ORDER BY (plant <> 'DE')::INT, abs(qty - 200), unit_cost) AS k FROM part_costs) WHERE k = 1),
-        x AS (SELECT b.part_id, b.item_no, b.qty, unit_price, unit_cost, away FROM bom b JOIN features f ON f.fid = b.item_no LEFT JOIN catalog c ON c.part_number = b.part_number LEFT JOIN ic ON ic.part_id = f.part_id + 1),
-        y AS (SELECT *, CASE WHEN unit_price IS NOT NULL THEN 'exact' WHEN away THEN 'internal_other' WHEN unit_cost IS NOT NULL THEN 'internal' ELSE 'new' END AS method FROM x)
-        SELECT part_id, item_no, qty, method, round(coalesce(unit_price, unit_cost) + 1e-7, 4) AS unit_cost, CASE method WHEN 'exact' THEN 0.95 WHEN 'internal' THEN 0.85 WHEN 'internal_other' THEN 0.6 ELSE 0.2 END AS confidence FROM y""",
-    "calibrated_operations": _CAL + f""", fired AS ({eng._FIRED}), ops AS (SELECT part_id, k, op_code, work_center, service_code, cycle_min, round(cf + 1e-9, 3) AS confidence FROM fired),
-        best AS (SELECT t.query_id AS part_id, t.part_id AS ref, score, round(score * score + 1e-9, 4) AS w, CASE WHEN a.envelope_cm3 > 0 AND b.envelope_cm3 > 0 THEN pow(a.envelope_cm3 / b.envelope_cm3, 2.0 / 3) ELSE 1.0 END AS scale FROM top t JOIN measured a ON a.part_id = t.query_id JOIN measured b ON b.part_id = t.part_id WHERE rank = 1 AND score >= 0.6),
-        theirs AS (SELECT b.part_id, o.k, o.op_code, o.work_center, o.service_code, o.cycle_min * 1.2 AS cycle FROM best b JOIN ops o ON o.part_id = b.ref WHERE NOT (o.part_id % 5 = 0 AND o.op_code = 'INSPECT')),
-        hit AS (SELECT o.part_id, o.k AS k, t.k AS rk FROM ops o JOIN theirs t ON o.part_id = t.part_id AND coalesce(o.service_code, o.work_center || '|' || o.op_code) = coalesce(t.service_code, t.work_center || '|' || t.op_code)),
-        loose AS (SELECT o.part_id, o.k AS k, t.k AS rk FROM ops o JOIN theirs t ON o.part_id = t.part_id AND o.work_center = t.work_center AND o.service_code IS NULL AND t.service_code IS NULL WHERE (o.part_id, o.k) NOT IN (SELECT (part_id, k) FROM hit) AND (t.part_id, t.k) NOT IN (SELECT (part_id, rk) FROM hit)),
-        pairs2 AS (SELECT * FROM hit UNION ALL SELECT * FROM loose)
-        SELECT o.part_id, o.op_code, o.work_center, o.service_code, CASE WHEN t.k IS NOT NULL AND o.service_code IS NULL THEN round(w * t.cycle * scale + (1 - w) * o.cycle_min + 1e-7, 2) ELSE o.cycle_min END AS cycle_min, CASE WHEN t.k IS NOT NULL AND o.service_code IS NULL THEN 'blend' ELSE 'rule' END AS basis, FALSE AS suggested,
-            CASE WHEN t.k IS NOT NULL AND o.service_code IS NULL THEN round(least(0.95, confidence + 0.25 * w) + 1e-9, 3) ELSE confidence END AS confidence FROM ops o LEFT JOIN pairs2 p ON p.part_id = o.part_id AND p.k = o.k LEFT JOIN theirs t ON t.part_id = o.part_id AND t.k = p.rk LEFT JOIN best b ON b.part_id = o.part_id
-        UNION ALL SELECT t.part_id, t.op_code, CASE WHEN t.service_code IS NOT NULL THEN 'OUTSOURCED' ELSE t.work_center END, t.service_code, CASE WHEN t.service_code IS NOT NULL THEN 0.0 ELSE round(t.cycle * scale + 1e-7, 2) END, 'blend', TRUE, round(0.6 * score + 1e-9, 3) FROM theirs t JOIN best b ON b.part_id = t.part_id WHERE (t.part_id, t.k) NOT IN (SELECT (part_id, rk) FROM pairs2)""",
+    "calibrated_operations": ctes(*_CAL_TABLES) + CALIBRATED + " SELECT part_id, op_code, work_center, service_code, cycle_min, basis, suggested, confidence FROM cal",
     "edit_diff": ctes("edited") + """, c AS (SELECT rfq_id, line_no, seq, 'setup_min' AS path, before_setup AS b, CASE WHEN NOT removed THEN after_setup END AS a FROM edited UNION ALL SELECT rfq_id, line_no, seq, 'cycle_min', before_cycle, CASE WHEN NOT removed THEN after_cycle END FROM edited)
         SELECT rfq_id, line_no, seq, path, round(b + 1e-7, 4) AS before, round(a + 1e-7, 4) AS after FROM c WHERE a IS DISTINCT FROM b""",
     "extraction_scores": ctes("predicted", "gold") + """, x AS (SELECT g.ftype, p.n IS NOT NULL AS found, (p.n IS NOT NULL AND p.nominal IS NOT DISTINCT FROM g.nominal)::INT + (p.n IS NOT NULL AND p.band IS NOT DISTINCT FROM g.band)::INT AS ok FROM gold g LEFT JOIN predicted p ON p.drawing = g.drawing AND p.n = g.n)
