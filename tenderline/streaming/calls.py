@@ -2,15 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame, Window, functions as F
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-
-
-def _folder(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(found or 'file://' + tempfile.mkdtemp(prefix='tenderline-stream-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+from tenderline.sources.scratch import folder as new_folder
 
 
 def windowed_calls(calls: DataFrame, window: str = "1 day", late: str = "7 days") -> DataFrame:
@@ -28,7 +22,8 @@ def drain(stream: DataFrame, keys: list[str]) -> DataFrame:
     Updates are appended to a table by micro-batch number, each batch into its own folder, so that a batch that is run again
     replaces itself.
     """
-    spark, folder = stream.sparkSession, _folder(stream.sparkSession)
+    spark = stream.sparkSession
+    folder = new_folder(spark, "stream")
 
     def keep(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
