@@ -23,23 +23,27 @@ def reachable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The folder named by spark.checkpoint.dir. Only where one machine does all the work (local mode, as in tests) a temporary one is made."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tenderline-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, dictionary: bool = True) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: the lineage ends here.
 
+    Without `dictionary` no time is spent on dictionaries, which tables of hashes don't profit from.
+
     Shuffle files of what led to the table go once the driver has collected its garbage, which is asked for. The table is
     removed by release(), or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     gc.collect()
