@@ -12,6 +12,8 @@ The words of a line are counted by blanks; a line that has few of them counts by
 written without spaces.
 
 Lines that occur once end every run; only repeated lines are ranked, and only classes of two or more go on to the next depth.
+Doubling ends at the depth that holds min_words lines. Deeper intervals delete nothing more: a repeated run of n lines, n above that depth,
+is covered by runs of that depth that stand at each of its lines, and each of these is a later copy as well.
 """
 
 from __future__ import annotations
@@ -41,9 +43,15 @@ def _words(x: Column) -> Column:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """_d, _h, i (number among the lines that are not blank), p (line number), a, b (128-bit line id), w (words)."""
+    """_d, _h, i (number among the lines that are not blank), p (line number), a, b (128-bit line id), w (words).
+
+    Rows of one doc_id and text give their lines once; only keys that occur again are gathered for that.
+    """
     found = F.filter(F.transform(F.split("text", "\n"), lambda x, p: F.struct(p.alias("p"), F.trim(x, F.lit(BLANKS)).alias("x"))), lambda s: s["x"] != "")
-    rows = _key(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("_d", "_h", F.posexplode(found).alias("i", "s"))
+    rows = _key(docs.select("doc_id", F.col("text").cast("string").alias("text"))).where("text is not null")
+    again = store(rows.groupBy("_d", "_h").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated_rows")
+    rows = rows.join(again, ["_d", "_h"], "left_anti").unionByName(rows.join(again, ["_d", "_h"], "left_semi").dropDuplicates(["_d", "_h"]))
+    rows = rows.select("_d", "_h", F.posexplode(found).alias("i", "s"))
     x = F.col("s.x")
     return rows.select("_d", "_h", "i", F.col("s.p").alias("p"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), _words(x).alias("w"))
 
@@ -111,6 +119,7 @@ def repeated_runs(lines: DataFrame, min_words: int, maximal: bool = False) -> Da
     runs = runs.withColumn("_a", first).withColumn("_b", second).where("_a is not null and _b is not null")
     runs = store(runs.select("_d", "_h", F.element_at("_x", 1)["i"].alias("i"), "n", "_a", "_b", F.transform("_x", lambda s: s["p"]).alias("ps")), "runs")
     intervals = runs.groupBy("n", "_a", "_b").agg(F.min(F.struct("_d", "_h", "i")).alias("first"), F.count("*").alias("m")).where("m > 1").drop("m")
+    intervals = store(intervals, "intervals")  # a table of its own, so that a join partition with a very common run can be split
     later = runs.join(intervals, ["n", "_a", "_b"]).where(F.struct("_d", "_h", "i") != F.col("first"))
     return later.groupBy("_d", "_h").agg(F.array_distinct(F.flatten(F.collect_list("ps"))).alias("dead"))
 
@@ -121,14 +130,15 @@ def dedup_lines(docs: DataFrame, min_words: int = 4, maximal: bool = False) -> D
     A run is as many consecutive lines as hold min_words words; blank lines are no part of runs, compared lines are trimmed, and a line is a run
     alone if it has the words. With `maximal`, repeated runs go up to their last line, however few words it has. What stays is joined by line feeds as it was. Null texts stay null, empty ones empty, with no
     line removed. Rows with the same doc_id and text are one document and fare alike; a null doc_id comes after all others. Columns
-    n_lines and n_removed of the input are replaced.
+    n_lines and n_removed of the input are replaced, and those named _d, _h, _lines and dead go.
     """
     dead = repeated_runs(store(line_table(docs), "lines"), min_words, maximal)
-    kept = _key(docs.drop("n_lines", "n_removed").withColumn("text", F.col("text").cast("string")))
+    kept = _key(docs.drop("n_lines", "n_removed", "_d", "_h", "_lines", "dead").withColumn("text", F.col("text").cast("string")))
     joined = kept.join(dead.hint("shuffle_hash"), ["_d", "_h"], "left")
-    parts = F.split("text", "\n")
-    rest = F.when(F.col("dead").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, p: ~F.array_contains("dead", p)), "\n"))
-    return joined.withColumn("n_lines", F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0))).withColumn("n_removed", F.coalesce(F.size("dead"), F.lit(0))).withColumn("text", rest).drop("_d", "_h", "dead")
+    joined = joined.withColumn("_lines", F.when(F.col("dead").isNotNull(), F.split("text", "\n")))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "dead")  # by hashing: linear in the lines
+    rest = F.when(F.col("dead").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda p: F.col("_lines")[p]), "\n"))
+    return joined.withColumn("n_lines", F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0))).withColumn("n_removed", F.coalesce(F.size("dead"), F.lit(0))).withColumn("text", rest).drop("_d", "_h", "dead", "_lines")
 
 
 def digest(cleaned: DataFrame) -> DataFrame:
