@@ -22,29 +22,41 @@ def communication_matrix(rows: list[int], n_shards: int, seed: int) -> np.ndarra
     left[rng.permutation(n_shards)[: total % n_shards]] += 1
     out = np.zeros((len(rows), n_shards), np.int64)
     for p, n in enumerate(rows):
-        # numpy's sampler takes fewer than 10**9 items a call; larger shards are drawn in equal parts
         out[p] = _draw(rng, left, n)
         left -= out[p]
     return out
 
 
 def _draw(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
-    if left.sum() < 10**9:
-        return rng.multivariate_hypergeometric(left, n, method="marginals")
-    # beyond numpy's limit: conditional binomials corrected to the margins, exact to the last rows
+    """How many of n rows go to each shard, of which `left` rows are still to come: one hypergeometric draw after another."""
     out, rest, total = np.zeros_like(left), int(n), int(left.sum())
-    for s, m in enumerate(left):
-        if s == len(left) - 1:
-            out[s] = rest
-            break
-        low, high = max(0, rest - (total - int(m))), min(int(m), rest)
-        mean = rest * int(m) / total
-        spread = np.sqrt(max(mean * (1 - m / total) * (total - rest) / max(total - 1, 1), 0))
-        out[s] = int(np.clip(round(rng.normal(mean, spread)), low, high))
-        rest, total = rest - int(out[s]), total - int(m)
+    for s, m in enumerate(left.tolist()):
+        out[s] = hypergeometric(rng, m, total - m, rest)
+        rest, total = rest - int(out[s]), total - m
     return out
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n rows drawn without replacement are among the `good`, at any size.
+
+    numpy's sampler takes fewer than 10**9 rows; beyond, the distribution is inverted: the ratios of neighbouring probabilities are known,
+    so all within 20 standard deviations of the mean (what lies beyond is less than 1e-80) follow from the one in the middle.
+    """
+    if good + bad < 10**9:
+        return int(rng.hypergeometric(good, bad, n))
+    low, high, total = max(0, n - bad), min(good, n), good + bad
+    if low == high:
+        return low
+    share = good / total
+    spread = int(20 * np.sqrt(n * share * (1 - share) * (total - n) / (total - 1))) + 20
+    first, last = max(low, int(n * share) - spread), min(high, int(n * share) + spread)
+    x = np.arange(first, last, dtype=np.float64)
+    steps = np.log(good - x) + np.log(n - x) - np.log(x + 1) - np.log(bad - n + x + 1)
+    weight = np.concatenate([[0.0], np.cumsum(steps)])
+    chance = np.cumsum(np.exp(weight - weight.max()))
+    return first + int(np.searchsorted(chance, rng.random() * chance[-1], "right"))
+
+
 def shuffle_shards(rows: DataFrame, n_shards: int = 24, seed: int = 7, chunk_rows: int = 200_000) -> DataFrame:
     """`rows` with `shard` (0 to n_shards - 1) and `slot` (gapless from 0 in each shard), a uniform permutation.
 
