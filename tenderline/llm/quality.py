@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tenderline.llm.language import fold
@@ -18,6 +19,8 @@ CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqr
 _CLASS = np.full(256, len(CLASSES), np.uint8)
 for _i, _b in enumerate(CLASSES.values()):
     _CLASS[list(_b)] = _i
+#: Matrices that one task adds up.
+FAN = 16
 LAGS = (1, 2, 3, 4, 5, 6, 8)
 N_STATS = len(CLASSES) + len(LAGS) + 9
 
@@ -102,14 +105,18 @@ def normal_equations(rows: DataFrame, features: Fourier) -> list[tuple[np.ndarra
                 zy = np.column_stack([z, own["label"].to_numpy()])
                 sums[half] = sums.get(half, 0) + z.T @ zy
         if sums:
-            salt = int(np.abs(hash(float(next(iter(sums.values()))[0, -1])))) % 16
-            yield pd.DataFrame({"half": list(sums), "salt": salt, "sums": [x.tobytes() for x in sums.values()]})
-
-    def total(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"half": [frame["half"].iloc[0]], "sums": [sum(np.frombuffer(x) for x in frame["sums"]).tobytes()]})
-
-    parts = rows.select("stats", "label", "half").mapInPandas(partial, "half int, salt int, sums binary")
-    found = parts.groupBy("half", "salt").applyInPandas(total, "half int, sums binary").collect()  # 32 matrices of fixed size at most
+            yield pd.DataFrame({"half": list(sums), "branch": TaskContext.get().partitionId(), "sums": [x.tobytes() for x in sums.values()]})
+
+    def total(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"half": [key[0]], "branch": [key[1]], "sums": [sum(np.frombuffer(x) for x in frame["sums"]).tobytes()]})
+
+    # a tree of sums: no task adds up more than FAN matrices of each half, and no more than that reach the driver
+    own = rows.select("stats", "label", "half")
+    found, width = own.mapInPandas(partial, "half int, branch int, sums binary"), max(1, own.rdd.getNumPartitions())
+    while width > FAN:
+        found = found.groupBy("half", F.floor(F.col("branch") / FAN).cast("int").alias("branch")).applyInPandas(total, "half int, branch int, sums binary")
+        width = -(-width // FAN)
+    found = found.collect()
     n = len(features.b) + 1
     out = []
     for half in (0, 1):
