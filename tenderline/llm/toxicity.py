@@ -88,7 +88,7 @@ def measure(docs: DataFrame, lexicon: list[str], *keep: str) -> DataFrame:
     """Columns `keep` with the votes (array<int>: 1 toxic, -1 clean, 0 none) and features of each text.
 
     Voter g of GROUPS holds each GROUPS-th term of the lexicon: any of its terms votes toxic. Patterns: two or more
-    different hits, hits on more than 1 % of the words, two hits within 20 words, a hit in capitals or before an exclamation mark; no hit at all and
+    different hits, hits on more than 1 % of the words, two hits within 20 words, a hit in capitals; no hit at all and
     no beginning of any term vote clean.
     """
     shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(lexicon)})
@@ -103,7 +103,7 @@ def measure(docs: DataFrame, lexicon: list[str], *keep: str) -> DataFrame:
             votes, features = [], []
             for text in batch.column("text").to_pylist():
                 low = (text or "").lower()
-                places, hits, loud, n = [], {}, 0, 0
+                places, hits, terms, n = [], {}, set(), 0
                 for n, w in enumerate(word.findall(low), 1):
                     if w[:4] not in short:
                         continue
@@ -115,15 +115,16 @@ def measure(docs: DataFrame, lexicon: list[str], *keep: str) -> DataFrame:
                         hits[t] = hits.get(t, 0) + 1
                     if known[w]:
                         places.append(n)
-                        loud += w.upper() in text
+                        terms.add(w)
+                loud = bool(terms) and any(w.isupper() and w.lower() in terms for w in word.findall(text))
                 by = np.zeros(GROUPS)
                 for t, k in hits.items():
                     by[t % GROUPS] += k
                 close = any(b - a <= 20 for a, b in zip(places, places[1:]))
                 dense = len(places) > 0.01 * n
-                v = [*(by > 0).astype(int), int(len(places) > 1), int(dense and bool(places)), int(close), int(loud > 0), 0 if places else -1, 0 if hits else -1]
+                v = [*(by > 0).astype(int), int(len(places) > 1), int(dense and bool(places)), int(close), int(loud), 0 if places else -1, 0 if hits else -1]
                 votes.append(v)
-                features.append([*np.log1p(by), *(by > 0), np.log1p(len(places)), len(places) / max(n, 1), len(set(hits)) > 1, close, np.log1p(n), loud > 0])
+                features.append([*np.log1p(by), *(by > 0), np.log1p(len(places)), len(places) / max(n, 1), len(set(hits)) > 1, close, np.log1p(n), loud])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([list(map(int, v)) for v in votes], pa.list_(pa.int32())), pa.array([list(map(float, f)) for f in features], pa.list_(pa.float64()))], names=[*keep, "votes", "features"])
 
     kept = docs.select(*keep, F.col("text").cast("string").alias("text"))
