@@ -19,6 +19,8 @@ from tenderline.llm.text import slices
 
 #: Letters of a sample for each language, and of all samples together.
 SAMPLE, SAMPLES = 40_000, 400_000
+#: Transitions that are held as a table, at most (128 MB); automata over larger alphabets are held as sorted transitions.
+DENSE = 32_000_000
 #: Symbols: 0 ends a piece of text, 1 is a gap between words, 2 a letter that no sample has.
 GAP, OTHER, FIRST = 1, 2, 3
 
@@ -43,8 +45,8 @@ def letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return (_folding()[np.concatenate(codes)] if codes else np.zeros(0, np.uint32)), offsets
 
 
-def suffix_automaton(symbols: list[int], n_symbols: int) -> np.ndarray:
-    """Transitions [state, symbol] of the automaton of all substrings; 0 is the root, -1 no transition."""
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Of each state of the automaton of all substrings its transitions (symbol to state); 0 is the root."""
     link, length, step = [-1], [0], [{}]
     last = 0
     for c in symbols:
@@ -70,11 +72,33 @@ def suffix_automaton(symbols: list[int], n_symbols: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.full((len(length), n_symbols), -1, np.int32)
-    for s, own in enumerate(step):
-        for c, t in own.items():
-            table[s, c] = t
-    return table
+    return step
+
+
+class Transitions:
+    """next(states, symbols) of several automata whose states are numbered on; -1 where there is no transition."""
+
+    def __init__(self, automata: list[list[dict[int, int]]], width: int, dense: int = DENSE):
+        states = sum(len(a) for a in automata)
+        self.width, base, keys, targets = width, 0, [], []
+        for a in automata:
+            keys += [np.array([(base + s) * width + c for s, own in enumerate(a) for c in own], np.int64)]
+            targets += [np.array([base + t for own in a for t in own.values()], np.int32)]
+            base += len(a)
+        self.keys, self.targets = (np.concatenate([*x, np.zeros(0, t)]).astype(t) for x, t in ((keys, np.int64), (targets, np.int32)))
+        order = np.argsort(self.keys)
+        self.keys, self.targets, self.table = self.keys[order], self.targets[order], None
+        if states * width <= dense:
+            self.table = np.full(states * width, -1, np.int32)
+            self.table[self.keys] = self.targets
+            self.keys = self.targets = None
+
+    def next(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        key = state.astype(np.int64) * self.width + symbol
+        if self.table is not None:
+            return self.table[key]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.targets[at], -1)
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE, max_languages: int = 200) -> dict:
@@ -115,23 +139,22 @@ def train(labelled: DataFrame, sample: int = SAMPLE, max_languages: int = 200) -
             seen[int(code)] = seen.get(int(code), 0) + int(k)
     alphabet = sorted(c for c in seen if c)
     symbol = {c: i + FIRST for i, c in enumerate(alphabet)}
-    tables, roots, base = [], [], 0
+    automata = []
     for lang in sorted(picked):
         own = np.array([symbol.get(int(c), GAP) for c in picked[lang]])
         keep = np.ones(len(own), bool)
         keep[1:] = (own[1:] != GAP) | (own[:-1] != GAP)
-        t = suffix_automaton(own[keep].tolist(), len(alphabet) + FIRST)
-        tables.append(np.where(t >= 0, t + base, -1).astype(np.int32))
-        roots.append(base)
-        base += len(t)
-    return {"langs": sorted(picked), "alphabet": np.array(alphabet, np.uint32), "table": np.concatenate(tables) if tables else np.zeros((0, FIRST), np.int32), "roots": np.array(roots, np.int32), "sizes": np.array([np.count_nonzero(picked[lang]) for lang in sorted(picked)], np.int64)}
+        automata.append(suffix_automaton(own[keep].tolist()))
+    roots = np.cumsum([0, *(len(a) for a in automata)])[: len(automata)].astype(np.int32)
+    sizes = np.array([np.count_nonzero(picked[lang]) for lang in sorted(picked)], np.int64)
+    return {"langs": sorted(picked), "alphabet": np.array(alphabet, np.uint32), "steps": Transitions(automata, len(alphabet) + FIRST), "roots": roots, "sizes": sizes}
 
 
 def phrases(model: dict, codes: np.ndarray, offsets: np.ndarray, piece: int = 256) -> np.ndarray:
     """Phrases [text, language] that each text's letters need.
 
     Texts are parsed in pieces of `piece` symbols, all pieces at once; pieces are parsed again from where the one before
-    ends until none starts elsewhere, so that phrases go across the cuts.
+    ends, as far as that differs, until none starts elsewhere, so that phrases go across the cuts.
     """
     n, n_langs = len(offsets) - 1, len(model["langs"])
     row = np.repeat(np.arange(n), np.diff(offsets))
@@ -149,38 +172,46 @@ def phrases(model: dict, codes: np.ndarray, offsets: np.ndarray, piece: int = 25
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     start = np.repeat(first, pieces) + nth * piece
     length = np.minimum(piece, np.repeat(own, pieces) - nth * piece)
-    table, width = model["table"].ravel(), model["table"].shape[1]
+    step = model["steps"].next
 
-    def walk(which: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(states after the pieces `which`, phrases begun in them), [language, piece], from the states before them."""
+    def walk(which: np.ndarray, state: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """(states after symbols first to last - 1 of the pieces `which`, phrases begun in them), [language, piece], from the states before them."""
         order = np.argsort(-length[which], kind="stable")
         size, at, state = length[which][order], start[which][order], state[:, order]
         roots, count = np.repeat(model["roots"], len(which)).reshape(n_langs, -1), np.zeros(state.shape, np.int32)
         active = len(which)
-        for t in range(piece):
+        for t in range(first, last):
             active = int(np.searchsorted(-size[:active], -t, "left"))
             if not active:
                 break
             c = sym[at[:active] + t].astype(np.int64)
-            go = table[state[:, :active].astype(np.int64) * width + c]
+            go = step(state[:, :active], c)
             bad = go < 0
             if bad.any():
                 count[:, :active] += bad
-                again = table[roots[:, :active].astype(np.int64) * width + c]
+                again = step(roots[:, :active], c)
                 go = np.where(bad, np.where(again < 0, roots[:, :active], again), go)
             state[:, :active] = go
         back = np.argsort(order)
         return state[:, back], count[:, back]
 
+    near = max(1, piece // 4)  # a parse from another start mostly falls in with the first one by then
     begun = np.repeat(model["roots"], len(start)).reshape(n_langs, -1)
-    ended, count = walk(np.arange(len(start)), begun)
+    everything = np.arange(len(start))
+    middle, count_near = walk(everything, begun, 0, near)
+    ended, count = walk(everything, middle, near, piece)
     inner, turn = np.flatnonzero(nth > 0), 0
     while len(todo := inner[(ended[:, inner - 1] != begun[:, inner]).any(axis=0)]):
         if turn >= 4:  # then only the first of each text, whose start is final
             todo = todo[np.append(True, owner[todo][1:] != owner[todo][:-1])]
         begun[:, todo] = ended[:, todo - 1]
-        ended[:, todo], count[:, todo] = walk(todo, begun[:, todo])
+        state, count_near[:, todo] = walk(todo, begun[:, todo], 0, near)
+        off = (state != middle[:, todo]).any(axis=0)
+        todo, state = todo[off], state[:, off]
+        middle[:, todo] = state
+        ended[:, todo], count[:, todo] = walk(todo, state, near, piece)
         turn += 1
+    count = count + count_near
     out = np.zeros((n, n_langs), np.int64)
     for k in range(n_langs):
         out[:, k] = np.bincount(owner, count[k], minlength=n) + (own > 0)
@@ -199,7 +230,7 @@ def predict(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         bits = np.log2(np.maximum(m["sizes"], 2)) if m["langs"] else np.zeros(0)  # to name a phrase of each sample
-        for batch in slices(batches, size=1 << 20):
+        for batch in slices(batches, size=2 << 20):
             codes, offsets = letters(batch.column("text").to_pylist())
             has = np.add.reduceat(np.append(codes > 0, False), offsets[:-1]) * (np.diff(offsets) > 0) > 0
             langs, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
