@@ -34,62 +34,121 @@ SHARD, MAX_GROUP = 2 << 20, 10_000
 def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
     """The suffix array of s (values 0 to k - 1) by induced sorting; the end counts as less than any value.
 
-    The scan over a bucket of equal first values is done bucket by bucket with whole arrays: entries that a bucket induces in itself
-    come in waves, those for other buckets are dealt out in scan order. Reduced strings whose buckets are too small for that
-    (under 64 entries on average) are sorted by doubling instead of one more level.
+    Leftmost-smaller substrings are sorted by inducing, named, and the string of the names is sorted by the same function. Inducing works with whole
+    arrays: by buckets where they are few for the length (bytes), by levels where they are many (names).
     """
     n = len(s)
     if n < 2:
-        return np.arange(n)
-    s = s.astype(np.uint16 if k <= 1 << 16 else np.int64)
-    up = np.zeros(n, np.int8)
-    up[:-1] = np.sign(s[1:].astype(np.int64) - s[:-1].astype(np.int64))
-    up[-1] = -1
-    place = np.where(up != 0, np.arange(n), n)
-    small = up[np.minimum.accumulate(place[::-1])[::-1]] > 0  # S-type: less than the suffix after it
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+        return np.arange(n, dtype=np.int32)
+    s = s.astype(np.uint16 if k <= 1 << 16 else np.int32)
+    induced = _by_buckets if n >= 64 * k else _by_levels
+    change = np.flatnonzero(s[1:] != s[:-1])
+    rises = np.append(s[change] < s[change + 1], False)  # the last run falls to the end
+    small = np.repeat(rises, np.diff(np.concatenate([[-1], change, [n - 1]])))  # S-type: less than the suffix after it
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     if not len(lms):
-        return _induced(s, k, lms, small)
-    order = _induced(s, k, lms, small)
+        return induced(s, k, lms, small)
+    order = induced(s, k, lms, small)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     order = order[is_lms[order]]  # by leftmost-smaller substrings
-    after = np.append(lms[1:], n)
-    number = np.empty(n, np.int64)
-    number[lms] = np.arange(len(lms))
-    length = after - lms + 1
-    a, b = order[:-1], order[1:]
-    same = length[number[a]] == length[number[b]]
-    same &= (after[number[a]] < n) & (after[number[b]] < n)
+    length = np.zeros(n, np.int32)  # of the substring up to the next leftmost-smaller value; 0 for the last one, which equals no other
+    length[lms[:-1]] = np.diff(lms) + 1
+    sizes = length[order]
+    same = (sizes[1:] == sizes[:-1]) & (sizes[1:] > 0)
     alive = np.flatnonzero(same)
-    j = 0
+    a, b, size, j = order[alive], order[alive + 1], sizes[alive], 0
     while len(alive):
-        keep = s[a[alive] + j] == s[b[alive] + j]
+        keep = s[a + j] == s[b + j]
         same[alive[~keep]] = False
         j += 1
-        alive = alive[keep]
-        alive = alive[length[number[a[alive]]] > j]
-    names = np.empty(len(order), np.int64)
-    names[0] = 0
+        keep &= size > j
+        alive, a, b, size = alive[keep], a[keep], b[keep], size[keep]
+    names = np.zeros(len(order), np.int32)
     names[1:] = np.cumsum(~same)
-    reduced = np.empty(len(lms), np.int64)
-    reduced[number[order]] = names
+    by_place = np.empty(n, np.int32)
+    by_place[order] = names
+    reduced = by_place[lms]
     k2 = int(names[-1]) + 1
     if k2 == len(lms):
-        return _induced(s, k, order, small)
-    inner = suffix_array(reduced, k2) if len(lms) >= 64 * k2 else _doubling(reduced)
-    return _induced(s, k, lms[inner], small)
+        return induced(s, k, order, small)
+    return induced(s, k, lms[suffix_array(reduced, k2)], small)
 
 
-def _induced(s: np.ndarray, k: int, seeds: np.ndarray, small: np.ndarray) -> np.ndarray:
-    """All suffixes in the order that the given order of leftmost-smaller ones induces."""
+def _by_levels(s: np.ndarray, k: int, seeds: np.ndarray, small: np.ndarray) -> np.ndarray:
+    """All suffixes in the order that the given order of leftmost-smaller ones induces, for many buckets.
+
+    A level is what stands one further place before the suffixes that are in order already: all of it is put in at once.
+    """
+    seeds = seeds[np.argsort(s[seeds], kind="stable")]
+    large = _put_in(s, seeds, np.append(np.int32(len(s)), seeds), ~small, False)
+    large = large[~small[large]]
+    return _put_in(s, large, large, small, True)
+
+
+def _merged(at: np.ndarray, old: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """old with new[i] put in before old[at[i]]; at is sorted."""
+    place = at + np.arange(len(at))
+    stay = np.ones(len(old) + len(new), bool)
+    stay[place] = False
+    out = np.empty(len(stay), old.dtype)
+    out[stay], out[place] = old, new
+    return out
+
+
+def _put_in(s: np.ndarray, order: np.ndarray, begin: np.ndarray, kind: np.ndarray, last: bool) -> np.ndarray:
+    """order (sorted suffixes) with those of `kind` that stand before `begin` (sorted too), and so on before these.
+
+    Each goes to the bucket of its first value, by the place of the suffix after it; in a bucket, before the given ones, or after them (`last`).
+    Levels get smaller; those that are small against the order are merged with each other first, and with the order at the end.
+    """
+    n = len(s)
+    half = n + 2
+    rank = np.zeros(n + 1, np.int64)  # of suffixes in order, from 1; 0 is the end
+    new = np.zeros(len(order), bool)
+
+    def before(begin: np.ndarray) -> np.ndarray:
+        p = begin[begin > 0] - 1
+        p = p[kind[p]]
+        return p[np.argsort(s[p], kind="stable")]
+
+    p, values = before(begin), s[order].astype(np.int64) * (2 * half)
+    while len(p):
+        places = np.arange(1, len(order) + 1)
+        rank[order] = places
+        keys = values + half * (new == last)
+        keys[new] += rank[order[new] + 1]
+        keys[~new] += places[~new]
+        if 8 * len(p) < len(order):
+            break
+        mine = s[p].astype(np.int64) * (2 * half)
+        to = np.searchsorted(keys, mine + rank[p + 1] + half * last)
+        order, new, values = _merged(to, order, p), _merged(to, new, np.ones(len(p), bool)), _merged(to, values, mine)
+        p = before(p)
+    more = int(np.count_nonzero(kind) - np.count_nonzero(new)) + 2
+    value = rank * more  # of a suffix that is not in order yet: that of the one before it there, and its place among such
+    late, gap = p[:0], np.zeros(0, np.int64)
+    while len(p):
+        to = np.searchsorted(keys, s[p].astype(np.int64) * (2 * half) + value[p + 1] // more + half * last, "right")
+        place = np.searchsorted(s[late].astype(np.int64) * (half * more) + value[late + 1], s[p].astype(np.int64) * (half * more) + value[p + 1])
+        late, gap = _merged(place, late, p), _merged(place, gap, to)
+        value[late] = gap * more + np.arange(1, len(late) + 1)
+        p = before(p)
+    return _merged(gap, order, late)
+
+
+def _by_buckets(s: np.ndarray, k: int, seeds: np.ndarray, small: np.ndarray) -> np.ndarray:
+    """All suffixes in the order that the given order of leftmost-smaller ones induces, for few buckets.
+
+    Buckets of equal first values are scanned one after another: entries that a bucket induces in itself come in waves, those for other buckets are dealt out in scan order.
+    """
     n = len(s)
     seeds = seeds[np.argsort(s[seeds], kind="stable")]
     cuts = np.searchsorted(s[seeds], np.arange(k + 1))
     large: list[np.ndarray] = []
     parts: list[list[np.ndarray]] = [[] for _ in range(k)]
-    parts[s[n - 1]].append(np.array([n - 1]))
-    none = np.zeros(0, np.int64)
+    parts[s[n - 1]].append(np.array([n - 1], np.int32))
+    none = np.zeros(0, np.int32)
 
     def waves(found: list[np.ndarray], c: int, kind: bool) -> np.ndarray:
         own = found
@@ -130,55 +189,39 @@ def _induced(s: np.ndarray, k: int, seeds: np.ndarray, small: np.ndarray) -> np.
     return np.concatenate(out)
 
 
-def _doubling(s: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling of ranks; suffixes that are alone in their class are left as they are."""
-    n = len(s)
-    rank = np.unique(s, return_inverse=True)[1].astype(np.int64)
-    order = np.argsort(rank, kind="stable")
-    # rank of a suffix: the first place of its class
-    new = np.append(True, rank[order][1:] != rank[order][:-1])
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    h = 1
-    while True:
-        start = np.flatnonzero(new)
-        size = np.diff(np.append(start, n))
-        at = np.flatnonzero(np.repeat(size > 1, size))  # places in classes of two or more
-        if not len(at):
-            return order
-        p = order[at]
-        far = np.where(p + h < n, rank[np.minimum(p + h, n - 1)], -1)
-        by = np.lexsort((far, rank[p]))
-        order[at] = p[by]
-        base, far = rank[p][by], far[by]
-        head = np.append(True, (base[1:] != base[:-1]) | (far[1:] != far[:-1]))
-        new[at] = head
-        rank[order[at]] = at[np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))]
-        h *= 2
-
-
-def common_prefixes(s: np.ndarray, order: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """In the order of the suffixes: the bytes each has in common with the one before, up to its context's end.
+def common_prefixes(s: np.ndarray, order: np.ndarray, left: np.ndarray, least: int = 0) -> np.ndarray:
+    """In the order of the suffixes: the bytes each has in common with the one before, up to its context's end; fewer, maybe, where less than `least` bytes are left.
 
     Computed in text order (permuted): a position whose predecessor's byte equals that of its neighbour's predecessor has one
     less than the position before; only the others are compared. left: bytes to the end of the position's context.
     """
     n = len(s)
-    phi = np.full(n, -1, np.int64)
+    phi = np.full(n, -1, np.int32)
     phi[order[1:]] = order[:-1]
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
     plain = (phi > 0) & (at > 0)
     plain[plain] = s[at[plain] - 1] == s[phi[plain] - 1]
     plain &= np.append(False, left[1:] == left[:-1] - 1)  # not at a context's start
     irreducible = np.flatnonzero(~plain)
-    value = np.zeros(n, np.int64)
-    alive = irreducible[phi[irreducible] >= 0]
-    j = 0
+    value = np.zeros(n, np.int32)
+    # seven values (of 9 bits) at a time; a context's end, 0, differs from all bytes and is cut off below
+    packed = np.zeros(n, np.int64)
+    for j in range(7):
+        packed[: n - j] |= s[j:].astype(np.int64) << (9 * (6 - j))
+    alive = irreducible[(phi[irreducible] >= 0) & (left[irreducible] >= least)]
+    other, j = phi[alive], 0
     while len(alive):
-        room = (left[alive] > j) & (phi[alive] + j < n)
-        alive = alive[room]
-        alive = alive[s[alive + j] == s[phi[alive] + j]]
-        j += 1
-        value[alive] = j
+        ends = np.maximum(alive, other) + j >= n
+        differ = packed[np.minimum(alive + j, n - 1)] ^ packed[np.minimum(other + j, n - 1)]
+        differ[ends] = -1
+        same = differ == 0
+        value[alive[same]] += 7
+        rest = differ[~same]
+        value[alive[~same]] += sum(((rest >> (9 * k)) == 0).astype(np.int32) for k in range(1, 7))
+        same &= left[alive] > j + 7
+        alive, other = alive[same], other[same]
+        j += 7
+    value = np.minimum(value, left)
     last = np.maximum.accumulate(np.where(plain, 0, at))
     out = np.maximum(value[last] - (at - last), 0)
     return out[order]
@@ -193,9 +236,9 @@ def repeated_in_shard(texts: list[bytes], origin: np.ndarray, width: int) -> np.
     inside = np.ones(len(s), bool)
     inside[starts + sizes] = False  # a 0 ends each text
     s[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint16) + 1
-    left = np.repeat(starts + sizes, sizes + 1) - np.arange(len(s))
+    left = (np.repeat(starts + sizes, sizes + 1) - np.arange(len(s))).astype(np.int32)
     order = suffix_array(s, 257)
-    shared = common_prefixes(s, order, left)
+    shared = common_prefixes(s, order, left, width)
     group = np.cumsum(shared < width)
     fit = left[order] >= width
     pos, group = order[fit], group[fit]
@@ -332,10 +375,10 @@ def duplicate_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 names=["fp", "ctx", "lr", "kl", "kr", "doc_id", "crc", "pos", "piece"],
             )
 
-    seen = store(rows.select("doc_id", "crc", "text").mapInArrow(second, "fp long, ctx long, lr int, kl long, kr long, doc_id long, crc long, pos long, piece binary"), "contexts")
+    seen = store(rows.select("doc_id", "crc", "text").mapInArrow(second, "fp long, ctx long, lr int, kl long, kr long, doc_id long, crc long, pos long, piece binary"), "contexts", False)
     # each distinct context with its first place, and how often it occurs
     heads = seen.groupBy(*CONTEXT).agg(F.min(F.struct("doc_id", "crc", "pos")).alias("at"), F.min("kl").alias("kl"), F.min("kr").alias("kr"), F.count("*").alias("n"))
-    heads = store(heads.select(*CONTEXT, "kl", "kr", "n", F.col("at.doc_id").alias("doc_id"), F.col("at.crc").alias("crc"), F.col("at.pos").alias("pos")), "heads")
+    heads = store(heads.select(*CONTEXT, "kl", "kr", "n", F.col("at.doc_id").alias("doc_id"), F.col("at.crc").alias("crc"), F.col("at.pos").alias("pos")), "heads", False)
     left, right = F.floor(F.col("lr") / 256).cast("int"), F.col("lr") % 256
     # contexts that occur again as a whole
     first_ = heads.where("n > 1").select(*CONTEXT, F.col("doc_id").alias("d0"), F.col("crc").alias("c0"), F.col("pos").alias("p0"))
@@ -345,7 +388,7 @@ def duplicate_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     keys = heads.select("lr", F.explode(F.array("kl", "kr")).alias("key")).where("key <> 0")
     groups = store(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "groups")
     wanted = heads.select(*CONTEXT, *KEY, "pos", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("kl").alias("key")), F.struct(F.lit(1).alias("side"), F.col("kr").alias("key")))).alias("x")).select("*", "x.*").drop("x").join(groups, "key")
-    wanted = store(wanted, "wanted")
+    wanted = store(wanted, "wanted", False)
     # their texts: a filter of fixed size keeps most of the others from being shuffled
     asked = spark.sparkContext.broadcast(bloom_filter(wanted.select(F.col("ctx").alias("fp"))))
 
@@ -364,8 +407,11 @@ def duplicate_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     usual = keyed.where(F.col("m") <= MAX_GROUP).withColumn("shard", F.pmod(F.xxhash64("key", F.lit(5)), F.lit(n_shards)))
 
     def shard(frame: pd.DataFrame) -> pd.DataFrame:
-        docs_, inverse = np.unique(np.rec.fromarrays([frame["doc_id"].to_numpy(np.int64), frame["crc"].to_numpy(np.int64)]), return_inverse=True)
-        origin = (inverse.astype(np.int64) << 40) + frame["at"].to_numpy(np.int64)
+        doc, crc = frame["doc_id"].to_numpy(np.int64), frame["crc"].to_numpy(np.int64)
+        order = np.lexsort((crc, doc))
+        number = np.empty(len(doc), np.int64)  # of the document, in order
+        number[order] = np.cumsum(np.append(False, (doc[order][1:] != doc[order][:-1]) | (crc[order][1:] != crc[order][:-1])))
+        origin = (number << 40) + frame["at"].to_numpy(np.int64)
         found = repeated_in_shard(frame["piece"].tolist(), origin, width)
         own, starts = found[:, 0], frame["at"].to_numpy(np.int64)[found[:, 0]] + found[:, 1]
         order = np.lexsort((starts, own))
