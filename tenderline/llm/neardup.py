@@ -1,11 +1,12 @@
 """Near-duplicate documents by MinHash bands and sequential Bayesian verification.
 
 Documents of equal shingle sets are one class; classes are banded, and links between classes are confirmed on whole sets.
-Within a bucket, members are compared with one of them only, another one in each turn; members that are connected by then need no
-further comparison with each other, so groups of many near copies don't give pairs of all with all. If many pairs of one bucket in
-different components are left after a turn, members with a rare shingle in common are compared, and those are dropped that cannot be linked
+Members of buckets of up to SMALL classes are all compared. Within a larger bucket, members are compared with one of them only, another one in each turn;
+members that are connected by then need no further comparison with each other, so groups of many near copies don't give pairs of all with all. If many pairs
+of such buckets in different components are left after a turn, members with a rare shingle in common are compared, and those are dropped that cannot be linked
 with any other, as their shingles that aren't rare are too few. Once the pairs left are few (two for each row of the buckets), or a turn has not halved them,
-or after MAX_TURNS, all that are left are compared, so no pair of a common bucket that could be a link is left out.
+or after MAX_TURNS, all that are left are compared, each in the least bucket that it has in common, so no pair of a common bucket that could be a
+link is left out.
 
 A pair's signatures are compared in batches. After n of them with m agreements the similarity has a Beta(m + 1, n - m + 1)
 posterior (uniform prior); the pair is dropped once the probability that it reaches the threshold is below `miss`. Survivors are
@@ -30,8 +31,11 @@ ROWS, BANDS = 5, 36
 BATCH, MISS = 20, 1e-5
 #: Ids that are sent to all tasks (8 bytes each); more of them are joined by shuffling.
 BROADCAST_IDS = 1_000_000
-MAX_TURNS = 12
+#: Classes of a bucket that are all compared with each other; turns of larger ones, at most.
+SMALL, MAX_TURNS = 5, 12
 RARE_SLOTS = 16
+#: Columns of a pair: two classes, and the components they are in.
+PAIR = ["a", "b", "ca", "cb"]
 _RNG = np.random.default_rng(77)
 MULTIPLIERS = _RNG.integers(1, 1 << 31, ROWS * BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 ADDENDS = _RNG.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)
@@ -104,13 +108,13 @@ def _bayes(batches: Iterator[pa.RecordBatch], threshold: float, miss: float) ->
         for n, m in needed.items():
             agreed[alive] += (a[alive, n - BATCH : n] == b[alive, n - BATCH : n]).sum(1)
             alive = alive[agreed[alive] >= m]
-        yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(alive)), batch.column("b").take(pa.array(alive))], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(alive)) for c in PAIR], names=PAIR)
 
 
 def _exact(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     memo: dict[int, np.ndarray] = {}
     for batch in slices(batches, "tb", 1 << 20):
-        left, right = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+        left = batch.column("a").to_pylist()
         ok = []
         others = sets_of(batch.column("tb"))
         texts = batch.column("ta")
@@ -120,18 +124,18 @@ def _exact(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
             x, y = memo[a], others[r]
             both = len(np.intersect1d(x, y, assume_unique=True))
             ok.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(left, np.int64)[ok]), pa.array(np.array(right, np.int64)[ok])], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("ca", "cb")], names=["a", "b"])
 
 
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int = 75, miss: float = MISS) -> DataFrame:
-    """The pairs (a, b) of class ids that are links: Bayesian pruning on signatures, then whole sets."""
+    """Of pairs of classes (a, b) in components (ca, cb) the components (a, b) that a link joins: Bayesian pruning on signatures, then whole sets."""
     sig = classes.select("rep", "sig")
     both = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b")
-    left = store(both.mapInArrow(lambda x: _bayes(x, percent / 100, miss), "a long, b long"), "survivors")
+    left = store(both.mapInArrow(lambda x: _bayes(x, percent / 100, miss), "a long, b long, ca long, cb long"), "survivors")
     ids = left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     ids = F.broadcast(ids) if left.count() * 2 <= BROADCAST_IDS else ids
     texts = store(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
-    whole = left.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").sortWithinPartitions("a").select("a", "b", "ta", "tb")
+    whole = left.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").sortWithinPartitions("a").select(*PAIR, "ta", "tb")
     return store(whole.mapInArrow(lambda x: _exact(x, percent), "a long, b long").distinct(), "links")
 
 
@@ -195,10 +199,27 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = MISS) -> D
     reps = members.where("doc_id = rep").select("rep", "d1", "d2").distinct()
     classes = store(full.join(reps.withColumnRenamed("rep", "doc_id"), ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "sig", "keys"), "classes")
     rows = classes.select("rep", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("key")
+    shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     rows = store(rows.join(shared, "key"), "buckets")  # of buckets with two classes or more
-    comp, tested = classes.select(F.col("rep").alias("id"), F.col("rep").alias("comp")), None
-    before, turn, bounded = math.inf, 0, False
+
+    def one_of(members: DataFrame, turn: int) -> DataFrame:
+        """One member of each bucket, with its columns: by an order that a quarter of the buckets share, another one in each turn."""
+        order = F.xxhash64("a", F.pmod("key", F.lit(4)), F.lit(turn))
+        return members.groupBy("key").agg(F.min_by(F.struct(*[c for c in members.columns if c != "key"]), F.struct(order, "a")).alias("p")).select("key", "p.*")
+
+    def merged(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+        """The components after the links among pairs."""
+        return store(comp.join(components(verify(pairs, classes, docs, percent, miss)).toDF("comp", "new"), "comp", "left").select("id", F.coalesce("new", "comp").alias("comp")), "comp")
+
+    small = F.col("size") <= SMALL
+    one = rows.withColumnRenamed("rep", "a")
+    one = one.where(small).unionByName(one_of(one.where(~small), 1)).withColumnRenamed("size", "size_a")
+    other = rows.select("key", F.col("rep").alias("b"))
+    apart = F.when(F.col("size_a") <= SMALL, F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
+    tested = store(one.join(other, (one["key"] == other["key"]) & apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    comp = merged(tested.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")), classes.select(F.col("rep").alias("id"), F.col("rep").alias("comp")))
+    rows = rows.where(~small).drop("size")
+    before, turn, bounded = math.inf, 1, False
     while True:
         at = rows.join(comp.toDF("rep", "comp"), "rep")
         counts = at.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own")).where("comps > 1")
@@ -208,29 +229,30 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = MISS) -> D
         if not size["rows"]:
             break
         many, last = size["cross"] > 2 * size["rows"], False
-        if many and turn and not bounded:
+        if many and not bounded:
             rows, pairs = linkable(at, classes.select("rep", F.col("n_shingles").alias("n")), docs, percent)
-            pairs = pairs.join(comp.toDF("a", "ca"), "a").join(comp.toDF("b", "cb"), "b").where("ca <> cb").select("a", "b")
+            pairs = pairs.join(comp.toDF("a", "ca"), "a").join(comp.toDF("b", "cb"), "b").where("ca <> cb").select(*PAIR)
             bounded, before = True, math.inf
         else:
             # another turn pays only while turns halve what is left
             last = not many or size["cross"] > 0.5 * before or turn == MAX_TURNS - 1
             before, turn = size["cross"], turn + 1
             known = ["n", "c"] if bounded else []
+            if last:  # the open buckets of each class, to take a pair in the first one only
+                at = store(at.join(at.groupBy("rep").agg(F.collect_set("key").alias("keys")), "rep"), "open")
+                known = [*known, "keys"]
             one = at.select("key", F.col("rep").alias("a"), F.col("comp").alias("comp_a"), *[F.col(c).alias(f"{c}_a") for c in known])
             other = at.select("key", F.col("rep").alias("b"), F.col("comp").alias("comp_b"), *[F.col(c).alias(f"{c}_b") for c in known])
             fits = (100 + percent) * F.least("c_a", "c_b") >= percent * (F.col("n_a") + F.col("n_b")) if bounded else F.lit(True)
-            if not last:  # with one member of the bucket, by an order that a quarter of the buckets share
-                order = F.xxhash64("a", F.pmod("key", F.lit(4)), F.lit(turn))
-                one = one.groupBy("key").agg(F.min_by(F.struct(*[c for c in one.columns if c != "key"]), F.struct(order, "a")).alias("p")).select("key", "p.*")
-            apart = F.col("a") < F.col("b") if last else F.col("a") != F.col("b")
-            pairs = one.join(other, (one["key"] == other["key"]) & apart & (F.col("comp_a") != F.col("comp_b")) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = store((pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti")), "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = verify(pairs, classes, docs, percent, miss)
-        named = links.join(comp.toDF("a", "ca"), "a").join(comp.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-        merged = components(named)
-        comp = store(comp.join(merged.toDF("comp", "new"), "comp", "left").select("id", F.coalesce("new", "comp").alias("comp")), "comp")
+            if not last:
+                one = one_of(one, turn)
+            apart = (F.col("a") < F.col("b")) if last else F.col("a") != F.col("b")
+            once = one["key"] == F.array_min(F.array_intersect("keys_a", "keys_b")) if last else F.lit(True)
+            pairs = one.join(other, (one["key"] == other["key"]) & apart & (F.col("comp_a") != F.col("comp_b")) & fits & once)
+            up = F.col("a") < F.col("b")
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(up, F.col("comp_a")).otherwise(F.col("comp_b")).alias("ca"), F.when(up, F.col("comp_b")).otherwise(F.col("comp_a")).alias("cb"))
+        pairs = store(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested, comp = tested.unionByName(pairs.select("a", "b")), merged(pairs, comp)
         if last:
             break
     linked = members.join(comp.toDF("rep", "component_id"), "rep").select("doc_id", "n_shingles", "component_id", F.col("rep").alias("class_id"))
