@@ -86,3 +86,10 @@ def score_requests(understood: DataFrame, wanted: DataFrame, got_items: DataFram
     lines = both.select("rfq_id", (F.size("a") == F.coalesce(F.size("b"), F.lit(0))).cast("int").alias("same_count"), F.coalesce(score, F.lit(0)).alias("ok"), (2 * F.greatest(F.size(right), F.lit(0))).alias("n"))
     out = x.join(lines, "rfq_id", "left")
     return out.select("rfq_id", sum((F.coalesce(h, F.lit(False)).cast("int") for h in head), F.lit(0)).alias("header_right"), F.coalesce("same_count", F.lit(1)).alias("same_count"), F.coalesce("ok", F.lit(0)).alias("item_right"), F.coalesce("n", F.lit(0)).alias("item_fields"))
+
+
+def pool_scores(scores: DataFrame, by: list[str]) -> DataFrame:
+    """EV-12: score_drawings() rows summed up by set and variant, with recall, precision and the share of right tolerances as ratios of sums."""
+    sums = scores.groupBy(*by).agg(F.count("*").alias("n_drawings"), *[F.sum(c).alias(c) for c in ("n_matched", "n_expected", "n_read", "n_right", "n_tolerances")])
+    share = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0))
+    return sums.select(*by, "n_drawings", share("n_matched", "n_expected").alias("recall"), share("n_matched", "n_read").alias("precision"), share("n_right", "n_tolerances").alias("tolerances"))

@@ -134,8 +134,8 @@ _NORMAL = f""", iu AS (SELECT *, coalesce(units = 'inch', FALSE) AS inch FROM mg
     f1 AS (SELECT f.* REPLACE ({_MM('nominal')} AS nominal, {_MM('len_mm')} AS len_mm) FROM mf f JOIN iu ON iu.drawing = f.drawing),
     tt(above, upto, g, um) AS (VALUES {tolerance_values()}),
     cl AS (SELECT drawing, n, arg_min(g, row(abs(um - (upper_mm - lower_mm) * 1000), -g)) AS g FROM f1 JOIN tt ON nominal > above AND nominal <= upto WHERE fit IS NULL AND upper_mm - lower_mm > 0 GROUP BY 1, 2),
-    f2 AS (SELECT f.* EXCLUDE (upper_mm, lower_mm), f.upper_mm AS u0, f.lower_mm AS l0, regexp_extract(trim(fit), '^([A-Za-z]{{1,2}})\s*(\d{{1,2}})$', 1) AS letters, t.um / 1000 AS mm, coalesce(CAST(nullif(regexp_extract(fit, '([A-Za-z]{{1,2}})\s*(\d{{1,2}})', 2), '') AS INT), cl.g) AS grade
-        FROM f1 f LEFT JOIN tt t ON f.nominal > t.above AND f.nominal <= t.upto AND t.g = CAST(nullif(regexp_extract(trim(f.fit), '^([A-Za-z]{{1,2}})\s*(\d{{1,2}})$', 2), '') AS INT) LEFT JOIN cl ON cl.drawing = f.drawing AND cl.n = f.n),
+    f2 AS (SELECT f.* EXCLUDE (upper_mm, lower_mm), f.upper_mm AS u0, f.lower_mm AS l0, regexp_extract(trim(fit), '^([A-Za-z]{{1,2}})\\s*(\\d{{1,2}})$', 1) AS letters, t.um / 1000 AS mm, coalesce(CAST(nullif(regexp_extract(fit, '([A-Za-z]{{1,2}})\\s*(\\d{{1,2}})', 2), '') AS INT), cl.g) AS grade
+        FROM f1 f LEFT JOIN tt t ON f.nominal > t.above AND f.nominal <= t.upto AND t.g = CAST(nullif(regexp_extract(trim(f.fit), '^([A-Za-z]{{1,2}})\\s*(\\d{{1,2}})$', 2), '') AS INT) LEFT JOIN cl ON cl.drawing = f.drawing AND cl.n = f.n),
     f3 AS (SELECT *, CASE WHEN letters = 'H' THEN mm WHEN letters = 'h' THEN mm * 0 WHEN letters IN ('JS', 'js') THEN mm / 2 END AS u1, CASE WHEN letters = 'H' THEN mm * 0 WHEN letters = 'h' THEN -mm WHEN letters IN ('JS', 'js') THEN -mm / 2 END AS l1 FROM f2),
     f4 AS (SELECT *, CASE WHEN u0 IS NULL OR l0 IS NULL THEN coalesce(u1, u0) ELSE u0 END AS upper_mm, CASE WHEN u0 IS NULL OR l0 IS NULL THEN coalesce(l1, l0) ELSE l0 END AS lower_mm FROM f3),
     kn AS (SELECT drawing, max(nullif(nominal, 0)) FILTER (ftype IN ('outer_diameter', 'spline')) AS kd, round(sum(nullif(len_mm, 0)) FILTER (ftype = 'outer_diameter') + 1e-7, 3) AS kl FROM f4 GROUP BY 1),

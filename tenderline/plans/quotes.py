@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenderline.operators import backtest, bom as bom_ops, costing, quotes, reviews, routing, scoring
+from tenderline.operators import backtest, bom as bom_ops, costing, matching, operations, quotes, reviews, routing, scoring, triage
 from tenderline.params import DEFAULT
 from tenderline.plans import engineering as eng, quoting, records
 from tenderline.plans.quoting import rounded
 from tenderline.sources.adapters import ctes, domain, doubles
+from tenderline.sources.scratch import written
 
 LINE = costing.LINE
+#: Date up to which corrections count.
+AS_OF = "1998-01-01"
 METRICS = ("median_abs", "within_10", "within_20", "median_signed", "mean_signed")
 
 
@@ -95,7 +98,8 @@ def _points(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
-    return backtest.sliced_metrics(_points(spark, d).join(domain(spark, d, "parts").select("part_id", "family"), "part_id"))
+    found = _points(spark, d).join(domain(spark, d, "parts").select("part_id", "family"), "part_id")
+    return backtest.sliced_metrics(written(found.select("method", "family", "plant", "qty", "actual", "estimate"), "points"))
 
 
 def backtest_points(spark: SparkSession, d: str) -> DataFrame:
@@ -134,6 +138,30 @@ def drawing_scores(spark: SparkSession, d: str) -> DataFrame:
     return scoring.score_drawings(got, want, scoring.match_features(got, want))
 
 
+def pooled_scores(spark: SparkSession, d: str) -> DataFrame:
+    """EV-12: tuning and held-out drawings, as read and with sizes cut to whole mm."""
+    got, want = _read(spark, d, "read_features"), _read(spark, d, "true_features")
+    sets = F.when(F.col("drawing") % 3 == 0, "held out").otherwise("tuning")
+    out = None
+    for variant, rows in (("model", got), ("repaired", got.withColumn("nominal", F.floor("nominal").cast("double")))):
+        s = scoring.score_drawings(rows, want, scoring.match_features(rows, want)).withColumns({"variant": F.lit(variant), "set": sets})
+        out = s if out is None else out.unionByName(s)
+    return scoring.pool_scores(out, ["set", "variant"]).withColumns({c: rounded(c) for c in ("recall", "precision", "tolerances")})
+
+
+def rolling_factors(spark: SparkSession, d: str) -> DataFrame:
+    """FB-08."""
+    edits = operations.time_edits(domain(spark, d, "edited")).join(domain(spark, d, "items").select("rfq_id", "line_no", "part_id"), LINE).join(domain(spark, d, "reviewed"), "rfq_id")
+    return operations.rolling_factors(edits, AS_OF).withColumn("factor", rounded("factor"))
+
+
+def inbox(spark: SparkSession, d: str) -> DataFrame:
+    """OP-04."""
+    versions = matching.next_versions(domain(spark, d, "requests"), domain(spark, d, "quotes"))
+    out = operations.inbox(operations.latest_runs(domain(spark, d, "calls")), domain(spark, d, "wanted"), triage.rollup(eng._assessed(spark, d)), versions)
+    return out.withColumn("updated", F.date_format("updated", "yyyy-MM-dd HH:mm:ss"))
+
+
 def equal_values(spark: SparkSession, d: str) -> DataFrame:
     """EV-09."""
     x = domain(spark, d, "understood").join(domain(spark, d, "wanted").toDF("rfq_id", "c", "p", "i", "t"), "rfq_id")
@@ -190,12 +218,26 @@ _SLICED = _BACKTEST + f""", sl AS (SELECT method, actual, estimate, 'all' AS sli
 _PLAIN = "trim(regexp_replace(regexp_replace(translate(lower(coalesce(CAST({0} AS VARCHAR), '')), '×ø⌀', 'x'), '[ \\t\\r\\n]*([x:/+\\-.,;])[ \\t\\r\\n]*', '\\1', 'g'), '[ \\t\\r\\n]+', ' ', 'g'), ' .')"
 _STEMS = "list_distinct(list_transform(list_filter(regexp_extract_all(" + _PLAIN + ", '[a-z0-9äöüß.]+'), lambda w : NOT list_contains(" + str(list(scoring.STOP_WORDS)) + ", w)), lambda w : substring(w, 1, 5)))"
 _NUM_EQ = "CASE WHEN {0} IS NULL OR {1} IS NULL THEN {0} IS NULL AND {1} IS NULL ELSE abs({0} - {1}) <= {2} * greatest(abs({1}), 1e-9) END"
-_PAIRS = ctes("read_features", "true_features") + """, cand AS (SELECT g.drawing, g.ftype, CASE WHEN g.nominal IS NULL AND p.nominal IS NULL THEN 0.0 ELSE round(abs(p.nominal - g.nominal), 9) END AS d, g.n AS g, p.n AS p FROM true_features g JOIN read_features p ON p.drawing = g.drawing AND p.ftype = g.ftype),
-    cl_ AS (SELECT drawing, ftype, list({'g': [g], 'p': [p]} ORDER BY d, g, p) AS c FROM cand WHERE d <= 0.5 GROUP BY 1, 2),
-    ch_ AS (SELECT drawing, list_reduce(c, lambda a, b : CASE WHEN list_has_any(a.g, b.g) OR list_has_any(a.p, b.p) THEN a ELSE {'g': list_concat(a.g, b.g), 'p': list_concat(a.p, b.p)} END) AS m FROM cl_),
-    pairs_ AS (SELECT drawing, unnest(m.g) AS g, unnest(m.p) AS p FROM ch_)"""
 
-QUERIES = {f.__name__: f for f in (quote_lines, quote_assumptions, customer_questions, tier_reasons, decision_history, edited_operations, rejected_rounds, line_snapshots, backtest_points, backtest_metrics, backtest_counts, family_gains, feature_pairs, drawing_scores, equal_values, text_matches, request_scores)}
+
+def _paired(got: str = "read_features", k: str = "") -> str:
+    """CTE fragment pairs_ (drawing, g, p) of the true features and those of `got`."""
+    return f""", cand{k} AS (SELECT g.drawing, g.ftype, CASE WHEN g.nominal IS NULL AND p.nominal IS NULL THEN 0.0 ELSE round(abs(p.nominal - g.nominal), 9) END AS d, g.n AS g, p.n AS p FROM true_features g JOIN {got} p ON p.drawing = g.drawing AND p.ftype = g.ftype),
+    cl_{k} AS (SELECT drawing, ftype, list({{'g': [g], 'p': [p]}} ORDER BY d, g, p) AS c FROM cand{k} WHERE d <= 0.5 GROUP BY 1, 2),
+    ch_{k} AS (SELECT drawing, list_reduce(c, lambda a, b : CASE WHEN list_has_any(a.g, b.g) OR list_has_any(a.p, b.p) THEN a ELSE {{'g': list_concat(a.g, b.g), 'p': list_concat(a.p, b.p)}} END) AS m FROM cl_{k}),
+    pairs_{k} AS (SELECT drawing, unnest(m.g) AS g, unnest(m.p) AS p FROM ch_{k})"""
+
+
+def _scored(got: str = "read_features", k: str = "") -> str:
+    """CTE fragment score_ (of score_drawings) of the features in `got`; needs pairs_ before it."""
+    return f""", sx{k} AS (SELECT g.*, m.p AS p, t.band AS got, t.qty AS p_qty, t.len_mm AS p_len FROM true_features g LEFT JOIN pairs_{k} m ON m.drawing = g.drawing AND m.g = g.n LEFT JOIN {got} t ON t.drawing = m.drawing AND t.n = m.p),
+        sy{k} AS (SELECT drawing, count(p) AS n_matched, count(band) AS n_tolerances, count(*) FILTER (p IS NOT NULL AND band IS NOT NULL AND ({_NUM_EQ.format('got', 'band', '0.001')})) AS n_right, count(*) FILTER (p IS NOT NULL AND band IS NULL AND got IS NOT NULL) AS n_made_up, count(*) FILTER (p IS NOT NULL AND p_qty IS NOT DISTINCT FROM qty) AS n_quantities, count(*) FILTER (p IS NOT NULL AND ({_NUM_EQ.format('p_len', 'len_mm', '0.01')})) AS n_lengths, count(*) AS n_expected FROM sx{k} GROUP BY 1),
+        score_{k} AS (SELECT y.*, coalesce(r.k, 0) AS n_read FROM sy{k} y LEFT JOIN (SELECT drawing, count(*) AS k FROM {got} GROUP BY 1) r ON r.drawing = y.drawing)"""
+
+
+_PAIRS = ctes("read_features", "true_features") + _paired()
+
+QUERIES = {f.__name__: f for f in (quote_lines, quote_assumptions, customer_questions, tier_reasons, decision_history, edited_operations, rejected_rounds, line_snapshots, backtest_points, backtest_metrics, backtest_counts, family_gains, feature_pairs, drawing_scores, pooled_scores, rolling_factors, inbox, equal_values, text_matches, request_scores)}
 ORACLES = {
     "quote_lines": quoting._COST + quoting.RECOMMENDED + _UNPRICED + """, x AS (SELECT b.*, i.part_id, r.plant IS NOT NULL AS chosen FROM broken b JOIN items i ON i.rfq_id = b.rfq_id AND i.line_no = b.line_no LEFT JOIN rec r ON r.rfq_id = b.rfq_id AND r.line_no = b.line_no AND r.qty = b.qty AND r.plant = b.plant),
         y AS (SELECT rfq_id, line_no, part_id, max(plant) FILTER (chosen) AS plant, string_agg(qty || ':' || printf('%.2f', round(unit_price + 1e-7, 2)) || CASE WHEN min_order_applied THEN '*' ELSE '' END, ', ' ORDER BY qty) FILTER (chosen AND feasible) AS prices, coalesce(arg_min(lead_weeks, qty) FILTER (chosen), max(lead_weeks)) AS lead_weeks FROM x GROUP BY 1, 2, 3)
@@ -233,9 +275,14 @@ ORACLES = {
     "family_gains": _SLICED + """, fg AS (SELECT key AS family, max(median_abs) FILTER (method = 'rules') AS rules, max(median_abs) FILTER (method = 'calibrated') AS calibrated FROM mt WHERE slice = 'family' GROUP BY 1)
         SELECT family, round(rules + 1e-7, 4) AS rules, round(calibrated + 1e-7, 4) AS calibrated, rules - calibrated > 0.01 AS improved FROM fg WHERE rules IS NOT NULL AND calibrated IS NOT NULL""",
     "feature_pairs": _PAIRS + " SELECT * FROM pairs_",
-    "drawing_scores": _PAIRS + f""", x AS (SELECT g.*, m.p AS p, t.band AS got, t.qty AS p_qty, t.len_mm AS p_len FROM true_features g LEFT JOIN pairs_ m ON m.drawing = g.drawing AND m.g = g.n LEFT JOIN read_features t ON t.drawing = m.drawing AND t.n = m.p),
-        y AS (SELECT drawing, count(p) AS n_matched, count(band) AS n_tolerances, count(*) FILTER (p IS NOT NULL AND band IS NOT NULL AND ({_NUM_EQ.format('got', 'band', '0.001')})) AS n_right, count(*) FILTER (p IS NOT NULL AND band IS NULL AND got IS NOT NULL) AS n_made_up, count(*) FILTER (p IS NOT NULL AND p_qty IS NOT DISTINCT FROM qty) AS n_quantities, count(*) FILTER (p IS NOT NULL AND ({_NUM_EQ.format('p_len', 'len_mm', '0.01')})) AS n_lengths, count(*) AS n_expected FROM x GROUP BY 1)
-        SELECT y.*, coalesce(r.k, 0) AS n_read FROM y LEFT JOIN (SELECT drawing, count(*) AS k FROM read_features GROUP BY 1) r ON r.drawing = y.drawing""",
+    "drawing_scores": _PAIRS + _scored() + " SELECT * FROM score_",
+    "pooled_scores": _PAIRS + ", cutf AS (SELECT * REPLACE (floor(nominal) AS nominal) FROM read_features)" + _paired("cutf", "2") + _scored() + _scored("cutf", "2") + """, u AS (SELECT *, 'model' AS variant FROM score_ UNION ALL SELECT *, 'repaired' FROM score_2)
+        SELECT CASE WHEN drawing % 3 = 0 THEN 'held out' ELSE 'tuning' END AS set, variant, count(*) AS n_drawings, round(sum(n_matched) / nullif(sum(n_expected), 0) + 1e-7, 4) AS recall, round(sum(n_matched) / nullif(sum(n_read), 0) + 1e-7, 4) AS precision, round(sum(n_right) / nullif(sum(n_tolerances), 0) + 1e-7, 4) AS tolerances FROM u GROUP BY 1, 2""",
+    "rolling_factors": ctes("edited", "items", "reviewed") + f""", x AS (SELECT e.centre, after_cycle / nullif(before_cycle, 0) AS r, part_id, reviewer FROM edited e JOIN items i ON i.rfq_id = e.rfq_id AND i.line_no = e.line_no JOIN reviewed v ON v.rfq_id = e.rfq_id WHERE NOT removed AND (abs(after_cycle - before_cycle) > 1e-9 OR abs(after_setup - before_setup) > 1e-9) AND NOT reused AND done <= DATE '{AS_OF}' AND done > DATE '{AS_OF}' - INTERVAL 6 MONTH)
+        SELECT centre, count(*) AS n, count(DISTINCT part_id) AS n_parts, count(DISTINCT reviewer) AS n_engineers, round(median(r) + 1e-7, 4) AS factor FROM x WHERE r IS NOT NULL GROUP BY 1 HAVING count(*) >= 20 AND count(DISTINCT part_id) >= 5 AND count(DISTINCT reviewer) >= 2""",
+    "inbox": eng.ASSESSED.replace("WITH ", ctes("calls", "wanted", "requests", "quotes") + ", ", 1) + """, rn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rfq_id ORDER BY ts DESC, id DESC) AS k FROM calls) WHERE k = 1),
+        rk AS (SELECT rfq_id, max(CASE tier WHEN 'manual' THEN 3 WHEN 'standard' THEN 2 ELSE 1 END) AS r, count(*) AS n_lines FROM tr GROUP BY 1), vs AS (SELECT r.rfq_id, 'Q-' || r.rfq_id || '-v' || coalesce(v + 1, 1) AS quote_id FROM requests r LEFT JOIN (SELECT rfq_id, max(version) AS v FROM quotes GROUP BY 1) q ON q.rfq_id = r.rfq_id)
+        SELECT rn.rfq_id, customer, node, ok, ['fast_track', 'standard', 'manual'][r] AS tier, n_lines, quote_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS updated FROM rn LEFT JOIN wanted w ON w.rfq_id = rn.rfq_id LEFT JOIN rk ON rk.rfq_id = rn.rfq_id LEFT JOIN vs ON vs.rfq_id = rn.rfq_id""",
     "equal_values": ctes("understood", "wanted") + f" SELECT u.rfq_id, {_PLAIN.format('u.customer')} = {_PLAIN.format('w.customer')} AS customer, {_PLAIN.format('u.priority')} = {_PLAIN.format('w.priority')} AS priority, {_NUM_EQ.format('u.total', 'w.total', '0.01')} AS total FROM understood u JOIN wanted w ON w.rfq_id = u.rfq_id",
     "text_matches": f"""WITH x AS (SELECT a.conv_id, a.turn, a.text AS got, b.text AS want, {_STEMS.format('a.text')} AS gs, {_STEMS.format('b.text')} AS ws FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn + 1 = a.turn)
         SELECT conv_id, turn, CASE WHEN coalesce(got, '') = '' OR coalesce(want, '') = '' THEN coalesce(got, '') = '' AND coalesce(want, '') = '' ELSE len(ws) > 0 AND len(list_intersect(ws, gs)) >= 0.6 * len(ws) END AS same FROM x""",

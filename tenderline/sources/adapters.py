@@ -84,6 +84,7 @@ TABLES: dict[str, str] = {
     # what reviewers did: edits of a line in their order, the margin and plant they set, and their decisions
     "edits": "SELECT l_orderkey AS rfq_id, l_linenumber AS line_no, CAST(k AS INT) AS ordinal, CASE WHEN k = 3 AND l_suppkey % 3 = 0 THEN 'margin' ELSE CASE (l_suppkey + k) % 6 WHEN 0 THEN 'cycle_min' WHEN 1 THEN 'setup_min' WHEN 2 THEN 'remove_op' WHEN 3 THEN 'accept_suggested' WHEN 4 THEN 'cycle_min' ELSE 'add_op' END END AS field, CAST(CASE WHEN l_suppkey % 29 = 0 THEN 77 ELSE 10 * (1 + (l_partkey + k) % 3) END AS INT) AS seq, CASE WHEN l_suppkey % 31 = 0 THEN -1.0 ELSE CAST(l_quantity AS DOUBLE) / 2 END AS new_value FROM {orderlines} CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3) x WHERE l_orderkey % 4 = 0",
     "overrides": "SELECT o_orderkey AS rfq_id, CASE o_custkey % 5 WHEN 0 THEN 0.25 WHEN 1 THEN 20.0 WHEN 2 THEN 95.0 END AS margin, CASE o_custkey % 7 WHEN 0 THEN 'PL' WHEN 1 THEN 'auto' WHEN 2 THEN 'CN' END AS plant, CASE WHEN o_orderkey % 2 = 0 THEN 'de' ELSE 'en' END AS language, CASE o_custkey % 3 WHEN 0 THEN 'FCA' WHEN 1 THEN 'DAP' END AS incoterm, CASE WHEN o_orderkey % 17 = 0 THEN ' ' || o_orderpriority || ' ' END AS remark FROM {orders}",
+    "reviewed": "SELECT o_orderkey AS rfq_id, 'R' || CAST(o_custkey % 7 AS VARCHAR(4)) AS reviewer, CAST(o_orderdate AS DATE) AS done, o_custkey % 9 = 0 AS reused FROM {orders}",
     "reviews": "SELECT user_id AS rfq_id, event_id, ts, event_type AS action, 'R' || CAST(user_id % 7 AS VARCHAR(4)) AS reviewer, CAST(event_id % 4 AS INT) AS n_edits, CASE WHEN event_id % 5 = 0 THEN props END AS remark FROM {events}",
     # pages as text with headings
     "articles": "SELECT page_id, 'p' || CAST(page_id AS VARCHAR(12)) || '.md' AS file, replace(replace(replace(replace(replace(replace(html, '<article>', chr(10) || '# page' || chr(10)), '<h1>', chr(10) || '## '), '</h1>', chr(10)), '<p><b>', chr(10) || '### '), '</b>', chr(10)), '<br>', chr(10) || '```' || chr(10)) AS content FROM {pages}",
