@@ -9,6 +9,9 @@ forward state that gives their segmentation is the last piece of each prefix: th
 ends in a piece that stays beside t when the two are merged on their own. At most one piece fits at each position, so
 the forward table keeps that piece where a sum-of-scores model would keep the best score; the ids are those of the
 model's own encoder. Positions that no segmentation asks for are left open in the table.
+
+For models of sums of scores (unigram), `kind="unigram"` runs the Viterbi pass itself on the same walk: the table keeps, at
+each position, the best sum and the piece that it ends with.
 """
 
 from __future__ import annotations
@@ -26,15 +29,19 @@ from tenderline.llm.text import flat, slices
 MARK = "▁"
 #: Characters of a word up to which open positions of the forward table are filled by nested calls, on demand.
 NESTED = 200
+#: Encoded words, and pairs of pieces, that a worker remembers (about 30 MB each); ids of encoded words (4 bytes each).
+WORDS, PAIRS, IDS = 150_000, 100_000, 5_000_000
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 class Pieces:
     """The vocabulary of a model file and the forward pass over it."""
 
-    def __init__(self, model: str, cache_size: int = 1_000_000):
+    def __init__(self, model: str, kind: str = "bpe", cache_size: int = WORDS):
         import sentencepiece
 
+        self.kind = kind
+
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
         self.ids: dict[str, int] = {}
         self.score: dict[str, float] = {}
@@ -57,6 +64,9 @@ class Pieces:
             raise ValueError("pieces that go across words are not supported")
         self.cache_size = cache_size
         #: ends of pieces, and whether they are pieces that merging their characters gives
+        self.longest = max(map(len, self.ids))
+        #: a character without a piece scores less than any piece (10 below the least)
+        self.unknown = min(self.score.values()) - 10
         self.tails = {p[k:]: False for p in self.ids for k in range(len(p))}
         self.tails |= {p: True for p in self.ids if len(self.merge(p)) == 1}
         self.beside: dict[tuple[str, str], bool] = {}
@@ -83,7 +93,7 @@ class Pieces:
 
     def fits(self, a: str, b: str) -> bool:
         if (a, b) not in self.beside:
-            if len(self.beside) > 2_000_000:
+            if len(self.beside) > PAIRS:
                 self.beside.clear()
             self.beside[a, b] = self.merge(a + b) == [a, b]
         return self.beside[a, b]
@@ -117,16 +127,31 @@ class Pieces:
         back[i] = found
         return found
 
+    def best(self, word: str, back: list[int | None], sums: list[float], start: int) -> None:
+        """Fills back and sums from position `start` on: the Viterbi pass, equal sums to the longer piece."""
+        score = self.score
+        for i in range(start, len(word) + 1):
+            top, found = sums[i - 1] + self.unknown, 0
+            for n in range(1, min(i, self.longest) + 1):
+                s = score.get(word[i - n : i])
+                if s is not None and sums[i - n] + s >= top:
+                    top, found = sums[i - n] + s, n
+            back[i] = found
+            sums.append(top)
+
     def encode_words(self, words: list[bytes]) -> None:
         """Adds the ids of `words` to the cache: one depth-first walk over their trie."""
-        ids, back, before = self.ids, [0], ""
+        ids, back, before, sums = self.ids, [0], "", [0.0]
         for raw in sorted(words):
             word = raw.decode().replace(" ", MARK)
             shared, most = 0, min(len(word), len(before))
             while shared < most and word[shared] == before[shared]:
                 shared += 1
             back[shared + 1 :] = [None] * (len(word) - shared)
-            if len(word) > NESTED:  # from the left, so that no call needs another
+            if self.kind == "unigram":
+                del sums[shared + 1 :]
+                self.best(word, back, sums, shared + 1)
+            elif len(word) > NESTED:  # from the left, so that no call needs another
                 for i in range(1, len(word) + 1):
                     if back[i] is None:
                         self.last(word, back, i)
@@ -153,7 +178,7 @@ class Pieces:
         words, owner = marked_words(data, offsets)
         coded = pc.dictionary_encode(words)
         distinct = coded.dictionary.to_pylist()
-        if len(self.known) + len(distinct) > self.cache_size:
+        if len(self.known) + len(distinct) > self.cache_size or len(self.pool) > IDS:
             self.forget()
         self.encode_words([w for w in distinct if w not in self.known])
         numbers = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
@@ -199,14 +224,14 @@ def marked_words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.nd
 _loaded: dict[str, Pieces] = {}
 
 
-def loaded(model: str) -> Pieces:
-    return _loaded.get(model) or _loaded.setdefault(model, Pieces(model))
+def loaded(model: str, kind: str = "bpe") -> Pieces:
+    return _loaded.get(f"{kind} {model}") or _loaded.setdefault(f"{kind} {model}", Pieces(model, kind))
 
 
-def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, kind: str = "bpe") -> DataFrame:
     """docs' rows with `ids` (array<int>), `n_ids` and `round_trip`: whether decoding gives the text again.
 
-    The ids are those of the model's own encoder. Null and empty texts have no ids; the null one stays null after a round
+    The ids are those of the model's own encoder (kind `bpe`), or of the largest sum of scores (`unigram`). Null and empty texts have no ids; the null one stays null after a round
     trip, so it counts as one. Text holding the mark U+2581 itself decodes to a space there. Rows are encoded where
     they are read, with no shuffle; repeated words are encoded once in a batch. Columns `ids`, `n_ids`,
     `round_trip` of the input are replaced.
@@ -215,8 +240,8 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     names = kept.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = loaded(model)
-        for batch in slices(batches, size=3 << 20):
+        pieces = loaded(model, kind)
+        for batch in slices(batches, size=1 << 20):
             texts = batch.column("text")
             plain = pc.replace_substring(pc.fill_null(texts, ""), MARK, " ")
             ids, ends = pieces.encode(plain)
@@ -230,7 +255,8 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """`encoded` (ids array<int>, other columns) with `decoded` (string); null ids give null, no ids an empty text."""
+    """`encoded` (ids array<int>, other columns) with `decoded` (string; one of the input is replaced); null ids give null, no ids an empty text."""
+    encoded = encoded.drop("decoded")
     names = encoded.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

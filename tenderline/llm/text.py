@@ -6,7 +6,9 @@ Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,15 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (data[offsets[0] : offsets[-1]], offsets - offsets[0]) if len(texts) else (data[:0], np.zeros(1, np.int64))
 
 
+def give_back() -> None:
+    """Returns memory that is free to the machine: workers live on between tasks, and would keep what their largest slice took."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries don't have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches again, each with about `size` bytes of text (one row at least)."""
+    """Batches again, each with about `size` bytes of text (one row at least); free memory is given back at the end."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -47,6 +56,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+    give_back()
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,10 +90,14 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _power(kind: str, n: int) -> np.ndarray:
+    """The first n powers; those of usual slices are kept (32 MB at most), those of longer texts are not."""
     if len(_powers.get(kind, ())) < n:
         steps = np.full(max(n, 1 << 16), BASE if kind == "up" else _BACK, np.uint64)
         steps[0] = 1
-        _powers[kind] = np.cumprod(steps)
+        found = np.cumprod(steps)
+        if n > 1 << 22:
+            return found
+        _powers[kind] = found
     return _powers[kind][:n]
 
 

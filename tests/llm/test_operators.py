@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -198,7 +199,7 @@ def test_suffix_array(k):
         s = rng.integers(0, k, n)
         want = sorted(range(n), key=lambda i: s[i:].tolist())
         assert suffixes.suffix_array(s, k).tolist() == want
-        assert suffixes._doubling(s).tolist() == want
+        assert suffixes.suffix_array(s, 1000).tolist() == want  # by levels
 
 
 def test_sharding(spark, texts):
@@ -210,6 +211,26 @@ def test_sharding(spark, texts):
     m = communication_matrix([5, 0, 9, 100], 24, 1)
     assert m.sum(1).tolist() == [5, 0, 9, 100] and m.sum(0).max() - m.sum(0).min() <= 1
     assert sharding.shard_documents(table(spark, [])).count() == 0
+    for r in got.to_dict("records"):
+        b = (dict(texts)[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"]) == (len(b) + 8, zlib.crc32(b), "rows")
+
+
+def test_hypergeometric_law():
+    """Small draws against the exact law (chi square); large ones by mean and variance, and at the edges."""
+    from math import comb
+
+    rng = np.random.default_rng(3)
+    found = np.bincount([communication_matrix([6, 9, 5], 4, s)[1, 0] for s in range(4000)], minlength=6)
+    want = np.array([comb(5, x) * comb(15, 9 - x) / comb(20, 9) for x in range(6)]) * 4000
+    assert ((found - want) ** 2 / want).sum() < 25
+    big = 3 * 10**10
+    x = np.array([sharding.hypergeometric(rng, big, 2 * big, 10**6) for _ in range(2000)])
+    assert abs(x.mean() - 10**6 / 3) < 50 and 0.85 < x.var() / (10**6 * 2 / 9) < 1.15
+    assert sharding.hypergeometric(rng, big, 0, 77) == 77 and sharding.hypergeometric(rng, 0, big, 77) == 0
+    assert 0 <= sharding.hypergeometric(rng, 5, big, 2 * 10**10) <= 5
+    m = communication_matrix([4 * 10**9, 3 * 10**9 + 5], 24, 1)
+    assert m.sum(1).tolist() == [4 * 10**9, 3 * 10**9 + 5] and m.sum(0).max() - m.sum(0).min() <= 1
 
 
 def test_language(spark):
@@ -224,8 +245,7 @@ def test_language(spark):
 
 def test_cross_parsing_counts_greedy_phrases():
     sample = [3, 4, 5, 3, 3, 4]
-    table_ = suffixes and language.suffix_automaton(sample, 6)
-    model = {"langs": ["a"], "alphabet": np.array([97, 98, 99], np.uint32), "table": table_, "roots": np.array([0], np.int32)}
+    model = {"langs": ["a"], "alphabet": np.array([97, 98, 99], np.uint32), "steps": language.Transitions([language.suffix_automaton(sample)], 6), "roots": np.array([0], np.int32)}
     for text in ("abc", "abca", "ccc", "aabab", "bcaab"):
         codes, offsets = language.letters([text])
         s, n, i = "abcaab", 0, 0
@@ -238,6 +258,29 @@ def test_cross_parsing_counts_greedy_phrases():
         assert language.phrases(model, codes, offsets)[0, 0] == n, text
 
 
+def test_neighbours_through_the_index(spark):
+    """20,000 vectors, a hundred queries: the index finds nine of ten true neighbours or more; odd vectors do no harm."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(200, 24))
+    v = (centres[rng.integers(0, 200, 20_000)] + rng.normal(scale=0.5, size=(20_000, 24))).astype(np.float64)
+    rows = list(zip(range(20_000), v.tolist()))
+    odd = [(30_050, [1e-200] * 24), (30_100, [1e-200, *[0.0] * 23]), (30_150, [1.0, 2.0]), (30_200, [float("inf")] * 24), (30_250, None)]
+    vectors = spark.createDataFrame([*rows, *odd], "vec_id long, embedding array<double>").repartition(4)
+    asked = vectors.where("vec_id % 200 = 0 or vec_id >= 30000")
+    got = neighbours.search(vectors, asked).toPandas()
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    hits = 0
+    for q in range(0, 20_000, 200):
+        s = u @ u[q]
+        s[q] = -2
+        hits += len(set(got[got.query_id == q].vec_id) & set(np.argsort(-s)[:5].tolist()))
+        assert np.allclose(got[got.query_id == q].sort_values("rank").score, sorted(got[got.query_id == q].score, reverse=True))
+    assert hits >= 0.9 * 5 * 100
+    assert set(got.query_id[got.query_id >= 30_000]) == {30_050, 30_100, 30_200} - {30_200} and got.score.notna().all()
+    assert neighbours.search(vectors.limit(0), vectors.limit(0)).count() == 0
+    assert neighbours.search(vectors.where("vec_id < 50"), vectors.where("vec_id = 30150")).count() == 0
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(300, 8)).tolist()
@@ -266,6 +309,25 @@ def test_pieces(spark, texts):
         assert r["round_trip"] == (r["doc_id"] != 501)
 
 
+def test_pieces_of_the_largest_sum():
+    """The Viterbi pass against all segmentations of short words, walked in any order."""
+    own = pieces.Pieces(pieces.MODEL, "unigram")
+    rng = random.Random(3)
+    words = ["".join(rng.choice("theandi☃") for _ in range(rng.randint(1, 9))) for _ in range(150)]
+
+    def cuts(w):
+        yield from ([w[:n], *rest] for n in range(1, len(w)) for rest in cuts(w[n:]))
+        yield [w]
+
+    value = lambda w: max(sum(own.score.get(p, own.unknown if len(p) == 1 else -1e18) for p in c) for c in cuts(w))
+    ids, ends = own.encode(pa.array(words))
+    raw = {i: p for p, i in own.ids.items()}
+    for w, a, b in zip(words, ends, ends[1:]):
+        parts = [raw.get(int(i)) for i in ids[a:b]]
+        spelled = sum(p is None for p in parts) // 3  # bytes of a character without a piece
+        assert abs(sum(own.score[p] for p in parts if p) + spelled * own.unknown - value("▁" + w)) < 1e-6, w
+
+
 def test_pieces_of_long_words(spark):
     """Words without a space of more characters than calls can nest."""
     import sentencepiece
@@ -342,6 +404,36 @@ def test_pipeline_with_null_and_repeated_ids(spark, tmp_path):
     assert sorted(got, key=str) == sorted(want, key=str) and len(want) == 8
 
 
+def test_toxicity_without_evidence(spark):
+    """Empty tables, no labels, labels of one class, and partitions without rows: scores are defined."""
+    rows = table(spark, [(1, "some text"), (2, None), (None, "x")]).repartition(7)
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    one = spark.createDataFrame([(i, 1) for i in range(3)], "doc_id long, toxic int")
+    for labels in (none, one):
+        assert [r["score"] for r in toxicity.score_toxicity(rows, labels).collect()] == [0.5] * 3
+        assert toxicity.score_toxicity(rows.limit(0), labels).count() == 0
+    few = table(spark, [(i, "zzvile words here" if i % 4 == 0 else "plain words here") for i in range(60)]).repartition(40)
+    got = toxicity.score_toxicity(few, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(60)], "doc_id long, toxic int"))
+    assert {r["doc_id"]: r["predicted"] for r in got.collect()} == {i: int(i % 4 == 0) for i in range(60)}
+
+
+def test_empty_tables(spark):
+    docs, labels = table(spark, []), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.score_quality(docs, labels).count() == 0
+    assert language.identify(docs).count() == 0
+    assert neardup.near_duplicates(docs).count() == 0
+    assert suffixes.dedup_substrings(docs).count() == 0
+    assert pieces.encode(docs).count() == 0
+
+
+def test_lines_of_repeated_rows(spark):
+    """Rows of one doc_id and text are one document: their runs are no copies of each other, and they lose what is a copy of another's."""
+    run = "one two three four five\nsix seven eight nine ten\nlast"
+    rows = [(1, run), (2, "own words of two here\n" + run), (2, "own words of two here\n" + run), (3, "words that stand here twice"), (3, "words that stand here twice"), (None, run), (None, run)]
+    got = sorted(((r["doc_id"], r["text"], r["n_removed"]) for r in lines.dedup_lines(table(spark, rows), maximal=True).collect()), key=str)
+    assert got == sorted([(1, run, 0), *[(2, "own words of two here", 3)] * 2, *[(3, "words that stand here twice", 0)] * 2, *[(None, "", 3)] * 2], key=str)
+
+
 def test_lexicon_weighs_all_terms(spark):
     """A toxic word rarer than more than 20,000 neutral terms of the toxic texts."""
     rng = random.Random(4)
@@ -367,9 +459,10 @@ def test_language_samples_of_unequal_size(spark):
     assert language.predict(spark.createDataFrame([(1, "ab abc cab")], "doc_id long, text string"), few, "doc_id").first()["lang_pred"] == "a"
 
 
-def test_phrases_go_across_pieces():
+@pytest.mark.parametrize("dense", [1000, 0])
+def test_phrases_go_across_pieces(dense):
     rng = random.Random(9)
-    model = {"langs": ["a"], "alphabet": np.array([97, 98, 99], np.uint32), "table": language.suffix_automaton([3, 4, 5, 3, 3, 4, 4, 5, 5, 3], 6), "roots": np.array([0], np.int32)}
+    model = {"langs": ["a"], "alphabet": np.array([97, 98, 99], np.uint32), "steps": language.Transitions([language.suffix_automaton([3, 4, 5, 3, 3, 4, 4, 5, 5, 3])], 6, dense), "roots": np.array([0], np.int32)}
     texts = ["".join(rng.choice("abc") for _ in range(n)) for n in (1, 7, 8, 9, 50, 300)] + ["a" * 200, ""]
     codes, offsets = language.letters(texts)
     whole = language.phrases(model, codes, offsets, 1000)
