@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 GIVEN = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -107,10 +108,17 @@ def _needs(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
 
 
+#: Schemas of the given tables by path: queries read a table many times, and its footers need be looked at once.
+_schemas: dict[str, StructType] = {}
+
+
 def domain(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The DataFrame of a domain table or a given table."""
     if name in GIVEN:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        path = f"{sf_dir}/{name}.parquet"
+        if path not in _schemas:
+            _schemas[path] = spark.read.parquet(path).schema
+        return spark.read.schema(_schemas[path]).parquet(path)
     sql = TABLES[name]
     return spark.sql(sql, **{n: domain(spark, sf_dir, n) for n in _needs(sql)})
 
