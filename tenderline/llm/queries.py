@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenderline.llm import decontaminate, language, lines, neardup, neighbours, pieces, quality, sharding, suffixes, toxicity
+from tenderline.llm import decontaminate, language, lines, merkle, neardup, neighbours, pieces, quality, sharding, suffixes, toxicity
 
 from tenderline.llm.storage import reachable
 
@@ -57,14 +57,48 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(pieces.encode(_table(spark, sf_dir, "documents")))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality, op2_decontaminate, op3_toxicity, op4_sharding, op5_language, op6_neighbours, op7_line_dedup, op8_near_dedup, op9_suffix_dedup, op10_sentencepiece)
+    for f in (op1_quality, op2_decontaminate, op3_toxicity, op4_sharding, op5_language, op6_neighbours, op7_line_dedup, op8_near_dedup, op9_suffix_dedup, op10_sentencepiece, op12_merkle)
 }
 
 WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+#: CRC-32 of a short ASCII text, bit by bit.
+CRC = "xor(list_reduce(list_transform(range(1, strlen({0}) + 1), lambda p : ascii(substr({0}, p, 1))::BIGINT), lambda acc, b : list_reduce(range(8)::BIGINT[], lambda c, k : CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(acc, b)), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+def _merkle_sql() -> str:
+    """Trees level by level, in joins: up to 8 levels in a language and 3 above."""
+    mark = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+    leaf = lambda text: "sha256(" + " || ".join(mark(c) for c in (*merkle.FIELDS[:-1], text)) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    sql = f"""WITH langs AS (SELECT l, row_number() OVER (ORDER BY l IS NOT NULL, encode(l)) - 1 AS t FROM (SELECT DISTINCT lang AS l FROM documents)),
+        d AS (SELECT doc_id, t, {leaf("text")} AS leaf, CASE WHEN {CRC.format("doc_id::VARCHAR")} % 3 = 0 THEN {leaf(lower)} END AS changed FROM documents JOIN langs ON lang IS NOT DISTINCT FROM l),
+        a0 AS (SELECT doc_id, leaf, coalesce(changed, leaf) AS f, t, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, '' AS proof FROM d),
+        l0 AS (SELECT t, i, leaf AS h FROM a0)"""
+
+    def level(k: int, l: str, a: str, nl: str, na: str) -> str:  # noqa: E741
+        return f""", c{k} AS (SELECT t, count(*) AS n FROM {l} GROUP BY t), r{k} AS (SELECT t, i // 8 AS run, list(h ORDER BY i) AS hs FROM {l} JOIN c{k} USING (t) WHERE n > 1 GROUP BY 1, 2),
+        {nl} AS (SELECT t, run AS i, sha256(array_to_string(hs, '')) AS h FROM r{k} UNION ALL SELECT t, i, h FROM {l} JOIN c{k} USING (t) WHERE n = 1),
+        {na} AS (SELECT a.doc_id, a.leaf, a.t, CASE WHEN hs IS NULL THEN i ELSE i // 8 END AS i,
+            CASE WHEN hs IS NULL THEN f ELSE sha256(array_to_string(list_concat(list_concat(hs[1:i % 8], [f]), hs[i % 8 + 2:]), '')) END AS f,
+            CASE WHEN hs IS NULL THEN proof ELSE proof || array_to_string(list_concat(hs[1:i % 8], hs[i % 8 + 2:]), '') END AS proof{{extra}} FROM {a} a LEFT JOIN r{k} r ON r.t = a.t AND r.run = a.i // 8)"""
+
+    for k in range(8):
+        sql += level(k, f"l{k}", f"a{k}", f"l{k + 1}", f"a{k + 1}").format(extra="")
+    sql += ", l9 AS (SELECT 0 AS t, t AS i, h FROM l8), a9 AS (SELECT doc_id, leaf, 0 AS t, a.t AS i, f, proof, h AS subroot FROM a8 a JOIN l8 USING (t))"
+    for k in range(9, 12):
+        sql += level(k, f"l{k}", f"a{k}", f"l{k + 1}", f"a{k + 1}").format(extra=", subroot")
+    return sql + " SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = h AS verified FROM a12, l12"
+
+
 ORACLES: dict[str, str] = {
+    "op12_merkle": _merkle_sql(),
     "op2_decontaminate": f"""
         WITH d AS (SELECT doc_id, coalesce({WORDS}, []) AS w FROM documents),
         b AS (SELECT item_id, {WORDS} AS w FROM benchmark),
