@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenderline.llm import conversations, decontaminate, language, lines, merkle, neardup, neighbours, pieces, quality, sharding, suffixes, toxicity
+from tenderline.llm import conversations, decontaminate, jaccard, language, lines, merkle, neardup, neighbours, pieces, quality, sharding, suffixes, toxicity
 
 from tenderline.llm.storage import reachable
 
@@ -65,9 +65,13 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(_table(spark, sf_dir, "documents"))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality, op2_decontaminate, op3_toxicity, op4_sharding, op5_language, op6_neighbours, op7_line_dedup, op8_near_dedup, op9_suffix_dedup, op10_sentencepiece, op11_conversation_repair, op12_merkle)
+    for f in (op1_quality, op2_decontaminate, op3_toxicity, op4_sharding, op5_language, op6_neighbours, op7_line_dedup, op8_near_dedup, op9_suffix_dedup, op10_sentencepiece, op11_conversation_repair, op12_merkle, op13_jaccard_join)
 }
 
 WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
