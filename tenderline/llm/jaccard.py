@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tenderline.llm.lines import dense_rank
 from tenderline.llm.neardup import components
-from tenderline.llm.storage import release, store
+from tenderline.llm.storage import store
 from tenderline.llm.text import LOWER, SOLID, flat, mix, shingle_hashes, slices, word_hashes
 
 WORDS, PERCENT = 4, 85
@@ -264,10 +264,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
     named = store(dense_rank(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), ["d1", "d2"], "c").select("d1", "d2", "rep", F.col("c").cast("long").alias("c")), "classes")
     members = store(full.select("doc_id", "n_shingles", "d1", "d2").join(named.drop("rep"), ["d1", "d2"]).select("doc_id", "n_shingles", "c"), "members")
     chosen = full.join(named.withColumnRenamed("rep", "doc_id"), ["doc_id", "d1", "d2"]).dropDuplicates(["c"]).select("c", F.explode("keys").alias("key"))
-    chosen = store(chosen, "partitions", dictionary=False)
-    firsts = store(chosen.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("key", "a"), "shared")
-    met = store(chosen.join(firsts, "key"), "met", dictionary=False)
-    release(chosen)
+    firsts = store(chosen.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("key", "a"), "shared", dictionary=False)
+    met = store(chosen.join(firsts, "key"), "shared", dictionary=False)
+    # near copies share many partitions: of those with the same members one is enough
+    members_of = met.groupBy("key").agg(F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y"), F.count("*").alias("m"), F.first("a").alias("a"))
+    once = store(members_of.groupBy("x", "y", "m", "a").agg(F.min("key").alias("key")).select("key"), "once", dictionary=False)
+    met = store(met.join(once, "key"), "met", dictionary=False)
     sets = store(read_sets(docs, named.join(met.select("c").distinct(), "c", "left_semi"), words), "sets", dictionary=False)
     own = members.groupBy("doc_id").agg(F.min("c").alias("a"), F.max("c").alias("z")).where("a < z").select("doc_id", "a")
     texts = members.join(own, "doc_id").select("a", F.col("c").alias("b")).where("a <> b").distinct()
