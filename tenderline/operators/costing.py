@@ -99,10 +99,14 @@ def breakdown(cells: DataFrame, lines: DataFrame, params: Params = DEFAULT, toda
     )
 
 
-def recommend_plant(breakdowns: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Per line and quantity the plant: cheapest on time, else cheapest; prices to the cent, home plant first, then plant order (CO-12)."""
+def recommend_plant(breakdowns: DataFrame, make: DataFrame | None = None, params: Params = DEFAULT) -> DataFrame:
+    """Per line and quantity the plant (CO-12): where its made parts come from, if that is feasible; else the cheapest on time, else the cheapest; prices to the cent, home plant
+    first, then plant order. make: line keys and make_plant of assemblies with made parts (CO-11)."""
+    if make is not None:
+        breakdowns = breakdowns.join(make.select(*LINE, "make_plant"), LINE, "left")
+    there = F.when(F.col("make_plant") == F.col("plant"), 0).otherwise(1) if make is not None else F.lit(1)
     late = F.when(F.coalesce(F.col("meets_due"), F.lit(True)), 0).otherwise(1)
-    order = F.struct(late, F.round(F.col("unit_price") + 1e-7, 2), F.when(F.col("plant") == params.home_plant, 0).otherwise(1), F.col("ord"))
+    order = F.struct(there, late, F.round(F.col("unit_price") + 1e-7, 2), F.when(F.col("plant") == params.home_plant, 0).otherwise(1), F.col("ord"))
     return breakdowns.where("feasible").groupBy(*LINE, "qty").agg(F.min_by("plant", order).alias("plant"), F.min_by("unit_cost", order).alias("unit_cost"), F.min_by("unit_price", order).alias("unit_price"), F.count("*").alias("n_feasible"))
 
 

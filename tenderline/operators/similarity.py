@@ -2,27 +2,113 @@
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tenderline.functions.expressions import truthy
+from tenderline.operators import geometry
 from tenderline.params import DEFAULT, Params
+from tenderline.sources import scratch
 
 # fixed values: weights of the seven terms (they sum to 1) and the scale of size similarity
 WEIGHTS = {"diameter": 0.20, "length": 0.15, "material": 0.15, "holes": 0.10, "threads": 0.10, "flags": 0.15, "precision": 0.15}
 TAU = 0.35
-#: Parts of the work of each shape class.
-SALTS = 16
+# fixed values: likeness of materials that are the same, of one group, neither; grade that counts where none is known
+MATERIAL, NO_GRADE = (1.0, 0.7, 0.3), 12
+FLAGS = ("has_keyway", "has_gear", "has_heat", "has_surface")
+#: Losses of score that turns of the search allow; width of a band of main sizes (of their logarithm); grades that are looked up one by one.
+TURNS = (0.04, 0.07, 0.1, 0.13, 0.2, 0.3)
+BAND, NEAR_GRADES = 0.2, 4
+#: Marks among grades and bands: more than NEAR_GRADES away; size unknown; any size. Scores have four places.
+FAR, UNKNOWN, ALL = -1000, -100_000, -100_001
+SLACK = 1e-4
 # fixed values: least score and largest size difference at which a part counts as the same but for details
 REUSE_SCORE, REUSE_DIFFERENCE = 0.92, 0.05
 #: Factor for parts of another shape class.
 OTHER_SHAPE = 0.3
 
-VECTOR = ["part_id", "shape_class", "main_mm", "length_mm", "material_code", "mat_group", "n_holes", "n_threads", "has_keyway", "has_gear", "has_heat", "has_surface", "min_it"]
+FIELDS = ["shape_class", "main_mm", "length_mm", "material_code", "mat_group", "n_holes", "n_threads", "has_keyway", "has_gear", "has_heat", "has_surface", "min_it"]
+VECTOR = ["part_id", *FIELDS]
+
+
+def nested_drawings(parts: DataFrame, features: DataFrame, specs: DataFrame) -> DataFrame:
+    """Drawings as one row each: part_id, shape_class, material_code, the sizes of the envelope (null: not printed), treatments, and their features as an array of structs.
+
+    A drawing has as many features as a sheet holds, so the array is small.
+    """
+    own = features.groupBy("part_id").agg(F.collect_list(F.struct("fid", "ftype", "nominal", "len_mm", "qty", "band", "it_grade", "ra_um", "fit")).alias("features"))
+    sizes = [truthy(F.col(c)).alias(n) for c, n in (("main_mm", "max_diameter_mm"), ("length_mm", "length_mm"), ("width_mm", "width_mm"), ("height_mm", "height_mm"))]
+    x = parts.select("part_id", "shape_class", "material_code", *sizes).join(specs.select("part_id", "heat_treatment", "surface_treatment"), "part_id", "left").join(own, "part_id", "left")
+    none = F.array().cast(own.schema["features"].dataType)
+    return x.withColumn("features", F.coalesce("features", none))
+
+
+def _main_size(shape: Column, d: Column, w: Column, h: Column) -> Column:
+    """Diameter of turned parts, larger side of milled ones; of assemblies the diameter, else the larger side. 0: unknown."""
+    z = lambda c: F.coalesce(c, F.lit(0.0))
+    side = F.greatest(z(w), z(h))
+    return F.round(F.when(shape == "rotational", z(d)).when(shape == "prismatic", side).otherwise(F.coalesce(truthy(d), side)), 3)
+
+
+def part_columns(drawings: DataFrame) -> DataFrame:
+    """GE-09: nested drawings as rows of a table of parts: sizes with what outer diameters tell where none is printed, counts, flags, least grade and roughness.
+
+    The inverse of what part_vectors() reads: both ways to a vector agree.
+    """
+    of = lambda kind: F.filter("features", lambda f: f["ftype"] == kind)
+    count = lambda kind: F.aggregate(of(kind), F.lit(0), lambda n, f: n + F.coalesce(f["qty"], F.lit(0)))
+    ods = F.filter(of("outer_diameter"), lambda f: truthy(f["nominal"]).isNotNull())
+    length = F.aggregate(ods, F.lit(0.0), lambda n, f: n + F.coalesce(f["len_mm"], F.lit(0.0)) * f["qty"])
+    told = lambda c: F.length(F.trim(F.coalesce(F.col(c), F.lit("")))) > 0
+    least = lambda get: F.array_min(F.filter(F.transform("features", get), lambda v: v.isNotNull()))
+    return drawings.select(
+        "part_id", "shape_class", "material_code",
+        F.round(F.coalesce(truthy(F.col("max_diameter_mm")), F.array_max(F.transform(ods, lambda f: f["nominal"]))), 3).alias("max_diameter_mm"), F.round(F.coalesce(truthy(F.col("length_mm")), truthy(length)), 3).alias("length_mm"),
+        F.round("width_mm", 3).alias("width_mm"), F.round("height_mm", 3).alias("height_mm"), count("hole").alias("n_holes"), count("thread").alias("n_threads"), (count("keyway") > 0).alias("has_keyway"), (count("gear") > 0).alias("has_gear"),
+        told("heat_treatment").alias("has_heat"), told("surface_treatment").alias("has_surface"), least(lambda f: geometry.scoring_grade(lambda c: f[c])).alias("min_it"), least(lambda f: f["ra_um"]).alias("min_ra"),
+    )
+
+
+def _grouped(rows: DataFrame, materials: DataFrame) -> DataFrame:
+    return rows.join(materials.select(F.col("code").alias("material_code"), "mat_group"), "material_code", "left").select(*VECTOR, "min_ra")
+
+
+def part_vectors(rows: DataFrame, materials: DataFrame) -> DataFrame:
+    """GE-09: vectors of recorded parts (part_columns): a missing shape is turned, missing counts are 0, missing flags false."""
+    shape = F.coalesce("shape_class", F.lit("rotational"))
+    x = rows.withColumn("main_mm", _main_size(shape, F.col("max_diameter_mm"), F.col("width_mm"), F.col("height_mm")))
+    x = x.withColumns({"shape_class": shape, "length_mm": F.round(F.coalesce("length_mm", F.lit(0.0)), 3)} | {c: F.coalesce(c, F.lit(0)) for c in ("n_holes", "n_threads")} | {c: F.coalesce(c, F.lit(False)) for c in FLAGS})
+    return _grouped(x, materials)
 
 
-def feature_vectors(parts: DataFrame, materials: DataFrame) -> DataFrame:
-    """The 13 fields that pairs are scored on (GE-08, GE-09); materials are a small table."""
-    groups = materials.select(F.col("code").alias("material_code"), "mat_group")
-    return parts.join(F.broadcast(groups), "material_code", "left").select(*VECTOR)
+def drawing_vectors(drawings: DataFrame, materials: DataFrame) -> DataFrame:
+    """GE-08: vectors of nested drawings, straight from their features: 12 fields that pairs are scored on, and the least roughness."""
+    kinds = {"n_holes": "hole", "n_threads": "thread", "_keyways": "keyway", "_gears": "gear"}
+    f = F.col("f")
+    flat = drawings.select("part_id", F.explode_outer("features").alias("f"))
+    od = (f["ftype"] == "outer_diameter") & truthy(f["nominal"]).isNotNull()
+    sums = flat.groupBy("part_id").agg(
+        F.max(F.when(od, f["nominal"])).alias("_d"), F.sum(F.when(od, F.coalesce(f["len_mm"], F.lit(0.0)) * f["qty"])).alias("_l"), *[F.coalesce(F.sum(F.when(f["ftype"] == kind, f["qty"])), F.lit(0)).cast("int").alias(c) for c, kind in kinds.items()],
+        F.min(geometry.scoring_grade(lambda c: f[c])).alias("min_it"), F.min(f["ra_um"]).alias("min_ra"),
+    )
+    x = drawings.drop("features").join(sums, "part_id")
+    told = lambda c: F.coalesce(F.trim(F.col(c)) != "", F.lit(False))
+    x = x.withColumns({
+        "main_mm": _main_size(F.col("shape_class"), F.coalesce(truthy(F.col("max_diameter_mm")), "_d"), F.col("width_mm"), F.col("height_mm")), "length_mm": F.round(F.coalesce(truthy(F.col("length_mm")), "_l", F.lit(0.0)), 3),
+        "has_keyway": F.col("_keyways") > 0, "has_gear": F.col("_gears") > 0, "has_heat": told("heat_treatment"), "has_surface": told("surface_treatment"),
+    })
+    return _grouped(x, materials)
+
+
+def differing_fields(a: DataFrame, b: DataFrame) -> DataFrame:
+    """part_id and n_different: fields in which two tables of vectors differ; a part that one of them lacks differs in all."""
+    fields = [*FIELDS, "min_ra"]
+    x, y = a.select("part_id", F.struct(*fields).alias("x")), b.select("part_id", F.struct(*fields).alias("y"))
+    unlike = sum((F.when(F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")), 0).otherwise(1) for c in fields), F.lit(0))
+    lone = F.col("x").isNull() | F.col("y").isNull()
+    return x.join(y, "part_id", "full_outer").select("part_id", F.when(lone, len(fields)).otherwise(unlike).alias("n_different"))
 
 
 def _size(a: Column, b: Column) -> Column:
@@ -38,38 +124,126 @@ def pair_terms(q: str = "q", p: str = "p") -> dict[str, Column]:
     """The seven terms of a joined pair, each 0 to 1 (SI-01)."""
     c = lambda side, name: F.col(f"{side}.{name}")
     same = lambda name: c(q, name).eqNullSafe(c(p, name))
-    flags = sum((F.when(same(f), 0.25).otherwise(0.0) for f in ("has_keyway", "has_gear", "has_heat", "has_surface")), F.lit(0.0))
+    flags = sum((F.when(same(f), 1 / len(FLAGS)).otherwise(0.0) for f in FLAGS), F.lit(0.0))
     return {
         "diameter": _size(c(q, "main_mm"), c(p, "main_mm")),
         "length": _size(c(q, "length_mm"), c(p, "length_mm")),
-        "material": F.when(same("material_code"), 1.0).when(c(q, "mat_group") == c(p, "mat_group"), 0.7).otherwise(0.3),
+        "material": F.when(same("material_code"), MATERIAL[0]).when(c(q, "mat_group") == c(p, "mat_group"), MATERIAL[1]).otherwise(MATERIAL[2]),
         "holes": _count(c(q, "n_holes"), c(p, "n_holes")),
         "threads": _count(c(q, "n_threads"), c(p, "n_threads")),
         "flags": flags,
-        "precision": F.exp(-F.abs(F.coalesce(c(q, "min_it"), F.lit(12)) - F.coalesce(c(p, "min_it"), F.lit(12))) / 2.0),
+        "precision": F.exp(-F.abs(F.coalesce(c(q, "min_it"), F.lit(NO_GRADE)) - F.coalesce(c(p, "min_it"), F.lit(NO_GRADE))) / 2.0),
     }
 
 
+def _moves(loss: float) -> list[dict]:
+    """Ways in which two parts may differ in grade, flags and material at a loss of score of `loss` at most, each with what is left for their other terms.
+
+    d: difference of grades (FAR: more than NEAR_GRADES); mask: flags that differ; mode: same material, same group, or neither.
+    """
+    out = []
+    for d in [*range(-NEAR_GRADES, NEAR_GRADES + 1), FAR]:
+        gap = NEAR_GRADES + 1 if d == FAR else abs(d)
+        for mask in range(2 ** len(FLAGS)):
+            for mode, like in enumerate(MATERIAL):
+                gone = WEIGHTS["precision"] * (1 - math.exp(-gap / 2)) + WEIGHTS["flags"] * mask.bit_count() / len(FLAGS) + WEIGHTS["material"] * (1 - like)
+                if gone <= loss:
+                    out.append({"d": d, "mask": mask, "mode": mode, "left": loss - gone})
+    return out
+
+
+def _keys(rows: DataFrame) -> DataFrame:
+    """Vectors with what they are looked up by: grade, flags as bits, and band of the main size (null: unknown)."""
+    flags = sum((F.when(F.col(f), 1 << k).otherwise(0) for k, f in enumerate(FLAGS)), F.lit(0))
+    return rows.withColumns({"_it": F.coalesce(F.col("min_it"), F.lit(NO_GRADE)).cast("int"), "_flags": flags, "_ln": F.when(F.col("main_mm") > 0, F.ln("main_mm"))}).withColumn("_band", F.floor(F.col("_ln") / BAND).cast("int"))
+
+
+def candidates(queries: DataFrame, parts: DataFrame, loss: float) -> DataFrame:
+    """Pairs (q, p) of vectors that may score 1 - loss or more: all such pairs are among them, each once (SI-02).
+
+    Queries are dealt to the keys at which such parts can stand (shape class, material, grade, flags, band of the main size), one for each way to differ
+    and each band that what is left of the loss can reach; parts stand at theirs. The join is on equal keys.
+    """
+    moves = _moves(loss + SLACK)
+    far, wide = any(m["d"] == FAR for m in moves), max(m["left"] for m in moves)
+    ways = F.from_json(F.lit(json.dumps(moves)), "array<struct<d: int, mask: int, mode: int, left: double>>")
+    # queries become many rows here, which Spark's sizes don't tell: as many tasks as for a shuffle, and neither side is broadcast
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q = _keys(queries).repartition(tasks, "_v").withColumn("_m", F.explode(ways))
+    left = F.col("_m.left")
+    # unknown sizes score a half: an unknown query meets all bands for half the weight, a known one the unknown band too
+    half = left >= WEIGHTS["diameter"] / 2
+    gap = -TAU * F.ln(1 - left / WEIGHTS["diameter"])
+    near = F.sequence(F.floor((F.col("_ln") - gap) / BAND).cast("int"), F.floor((F.col("_ln") + gap) / BAND).cast("int"))
+    some = F.when(half, F.array_append(near, F.lit(UNKNOWN))).otherwise(near)
+    bands = F.when(left >= WEIGHTS["diameter"], F.array(F.lit(ALL))).when(F.col("_ln").isNotNull(), some).when(half, F.array(F.lit(ALL)))
+    material = lambda mode: F.when(mode == 0, F.concat(F.lit("c"), F.coalesce("material_code", F.lit("-")))).when(mode == 1, F.concat(F.lit("g"), F.col("mat_group"))).otherwise("a")
+    grade = F.when(F.col("_m.d") == FAR, FAR).otherwise(F.col("_it") + F.col("_m.d"))
+    q = q.select(*queries.columns, F.col("_it").alias("_i"), F.col("_m.mode").alias("_mode"), material(F.col("_m.mode")).alias("_mat"), grade.alias("_grade"), F.col("_flags").bitwiseXOR(F.col("_m.mask")).alias("_flags"), F.explode(bands).alias("_band"))
+    p = _keys(parts)
+    spots = F.array(F.coalesce("_band", F.lit(UNKNOWN)), F.lit(ALL)) if wide >= WEIGHTS["diameter"] / 2 else F.array(F.coalesce("_band", F.lit(UNKNOWN)))
+    modes, grades = F.array(*[F.lit(m) for m in sorted({m["mode"] for m in moves})]), F.array("_it", F.lit(FAR)) if far else F.array("_it")
+    p = p.withColumn("_mode", F.explode(modes)).withColumn("_mat", material(F.col("_mode"))).where("_mat is not null").withColumn("_grade", F.explode(grades)).withColumn("_band", F.explode(spots))
+    p = p.select(*parts.columns, F.col("_it").alias("_i"), "_mat", "_grade", "_flags", "_band")
+    q, p = q.alias("q"), p.hint("merge").alias("p")
+    c = F.col
+    on = (c("q.shape_class").eqNullSafe(c("p.shape_class"))) & (c("q._mat") == c("p._mat")) & (c("q._grade") == c("p._grade")) & (c("q._flags") == c("p._flags")) & (c("q._band") == c("p._band"))
+    same, group = c("q.material_code").eqNullSafe(c("p.material_code")), F.coalesce(c("q.mat_group") == c("p.mat_group"), F.lit(False))
+    other = F.when(c("q._mode") == 0, True).when(c("q._mode") == 1, ~same).otherwise(~same & ~group)
+    apart = (c("q._grade") != FAR) | (F.abs(c("q._i") - c("p._i")) > NEAR_GRADES)
+    return q.join(p, on & other & apart)
+
+
 def find_similar(queries: DataFrame, parts: DataFrame, keys: list[str], params: Params = DEFAULT, exclude_self: bool = False) -> DataFrame:
     """keys, part_id, rank, score and score_breakdown of the best parts for each query (SI-01 to SI-03, SI-06).
 
-    queries: keys and a vector; parts: vectors. A part of another shape class scores OTHER_SHAPE at most, so above that
-    threshold the class is a join key and only equal classes meet. Order: score, then part_id. Scores are rounded to 4 places.
+    queries: keys and a vector; parts: vectors. Order: score, then part_id. Scores are rounded to 4 places.
+
+    Different vectors are compared once each: of parts with equal vectors the first top_k + 1 ids count, so that equal parts, however many, meet nobody.
+    Each turn takes the pairs that may lose so much of the score at most; a query whose top_k + 1 best have lost less than that has seen all
+    that can be among its best, and the others go on to a larger loss. The last turn goes to min_similarity. A part of another shape class scores OTHER_SHAPE at most;
+    only where min_similarity is below that, classes meet each other, in a turn of their own.
     """
-    # a class has few values: its queries are dealt to SALTS tasks, each of which meets all parts of the class
-    q = queries.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS))).alias("q")
-    p = parts.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).alias("p")
-    same = F.col("q.shape_class").eqNullSafe(F.col("p.shape_class"))
-    on = F.col("q._salt") == F.col("p._salt")
-    on = (on & same) if params.min_similarity > OTHER_SHAPE else on
-    if exclude_self:
-        on = on & (F.col("q.part_id").isNull() | (F.col("q.part_id") != F.col("p.part_id")))
+    most = params.top_k + 1
+    named = lambda df: df.withColumn("_v", F.md5(F.to_json(F.struct(*FIELDS))))
+    first = Window.partitionBy("_v").orderBy("part_id")
+    p = named(parts).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most)
+    p = scratch.written(p.groupBy("_v", *FIELDS).agg(F.array_sort(F.collect_list("part_id")).alias("ids")).drop("_v"), "vectors")
+    asked = named(queries)
+    numbered = scratch.written(asked.select(F.col("_v").alias("_h"), *FIELDS).dropDuplicates(["_h"]).withColumn("_v", F.monotonically_increasing_id()), "queries")
+    asked = asked.select(*keys, F.col("_v").alias("_h")).join(numbered.select("_h", "_v"), "_h").drop("_h")
+    vectors = open_ = numbered.drop("_h")
+    found = []
     terms = pair_terms()
-    total = sum((WEIGHTS[k] * t for k, t in terms.items()), F.lit(0.0)) * F.when(same, 1.0).otherwise(OTHER_SHAPE)
-    scored = q.join(p, on).select(*[F.col(f"q.{k}").alias(k if k != "part_id" else "query_id") for k in keys], F.col("p.part_id").alias("part_id"), F.round(total, 4).alias("score"), *[F.round(t, 4).alias(f"t_{k}") for k, t in terms.items()])
+    total = sum((WEIGHTS[k] * t for k, t in terms.items()), F.lit(0.0))
+    best = Window.partitionBy("_v").orderBy(F.desc("score"), "part_id")
+
+    def scored(pairs: DataFrame, least: float, factor: float = 1.0) -> DataFrame:
+        x = pairs.where(total * factor >= least - SLACK).select("q._v", F.col("p.ids").alias("ids"), F.round(total * factor, 4).alias("score"), *[F.round(t, 4).alias(f"t_{k}") for k, t in terms.items()])
+        x = x.where(F.col("score") >= params.min_similarity)
+        return x.withColumn("part_id", F.explode("ids")).drop("ids").withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= most)
+
+    floor = 1 - params.min_similarity
+    losses = [x for x in TURNS if x < floor] + [floor]
+    for loss in losses:
+        got = scratch.written(scored(candidates(open_, p, loss), 1 - loss), "similar")
+        if loss == floor:
+            found.append(got)
+            break
+        done = got.where((F.col("_rank") == most) & (F.col("score") >= 1 - loss + SLACK)).select("_v")
+        found.append(got.join(done, "_v", "left_semi"))
+        open_ = scratch.written(open_.join(done, "_v", "left_anti"), "open")
+    if params.min_similarity <= OTHER_SHAPE:
+        apart = vectors.alias("q").join(p.alias("p"), ~F.col("q.shape_class").eqNullSafe(F.col("p.shape_class")))
+        found.append(scored(apart, params.min_similarity, OTHER_SHAPE))
+    all_ = found[0]
+    for f in found[1:]:
+        all_ = all_.unionByName(f)
+    # the best of each query: its own part is no match of its
+    x = asked.select(*[F.col(k).alias(k if k != "part_id" else "query_id") for k in keys], "_v").join(all_.drop("_rank"), "_v")
     out_keys = [k if k != "part_id" else "query_id" for k in keys]
-    best = Window.partitionBy(*out_keys).orderBy(F.desc("score"), "part_id")
-    top = scored.where(F.col("score") >= params.min_similarity).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= params.top_k)
+    x = x.where(F.col("query_id").isNull() | (F.col("query_id") != F.col("part_id"))) if exclude_self and "part_id" in keys else x
+    top = x.withColumn("rank", F.row_number().over(Window.partitionBy(*out_keys).orderBy(F.desc("score"), "part_id"))).where(F.col("rank") <= params.top_k)
     breakdown = F.map_from_arrays(F.array(*[F.lit(k) for k in terms]), F.array(*[F.col(f"t_{k}") for k in terms]))
     return top.select(*out_keys, "part_id", "rank", "score", breakdown.alias("score_breakdown"))
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tenderline.operators import drawings as dr, geometry, intake
-from tenderline.plans.engineering import tolerance_values
-from tenderline.plans.quoting import norm_sql, rounded
+from tenderline.plans.quoting import norm_sql, rounded, tolerance_values
 from tenderline.sources.adapters import ctes, domain, doubles
 
 FEATURE = ["drawing", "n", "ftype", "nominal", "len_mm", "qty", "fit", "upper_mm", "lower_mm", "thread"]

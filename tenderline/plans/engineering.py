@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tenderline.operators import bom as bom_ops, geometry, routing, triage, validation
 from tenderline.params import DEFAULT
 from tenderline.plans import quoting
-from tenderline.plans.quoting import rounded
+from tenderline.plans.quoting import GUESS, MEAN, rounded, tolerance_values
 from tenderline.sources.adapters import ctes, domain, doubles
 
 VOLUMES = ["envelope_cm3", "finished_cm3", "stock_cm3", "removed_cm3", "cut_mm"]
@@ -131,14 +131,11 @@ _MEASURED = f""", g AS (SELECT *, nullif(nominal, 0) AS n, nullif(len_mm, 0) AS
         CASE WHEN shape_class = 'assembly' THEN 0.0 ELSE greatest(CASE shape_class WHEN 'rotational' THEN {_CYL.format('stock_mm', '(l + 5)')} ELSE (sides[3] + 3) * (sides[2] + 3) * stock_mm / 1000 END - finished_cm3, 0.0) END AS removed_cm3,
         CASE shape_class WHEN 'rotational' THEN stock_mm WHEN 'prismatic' THEN sqrt((sides[2] + 3) * stock_mm) ELSE 0.0 END AS cut_mm FROM sized)"""
 
-_STEPS = [1, *geometry.SIZE_RANGES]
-_MEAN = "CASE " + " ".join(f"WHEN nominal <= {b} THEN sqrt({a}.0 * {b}.0)" for a, b in zip(_STEPS, _STEPS[1:])) + " ELSE 500.0 END"
-_GUESS = "CASE " + " ".join(f"WHEN abs(band) * 1000 <= {k} * unit * 1.05 THEN {g}" for g, k in geometry.IT_FACTORS.items()) + " ELSE 16 END"
 _ROUTED = (
     _MEASURED
-    + f""", gm AS (SELECT f.*, d, shape_class, {_MEAN} AS mean FROM features f JOIN measured USING (part_id)),
+    + f""", gm AS (SELECT f.*, d, shape_class, {MEAN} AS mean FROM features f JOIN measured USING (part_id)),
     gu AS (SELECT *, 0.45 * pow(mean, 1.0 / 3) + 0.001 * mean AS unit FROM gm),
-    gg AS (SELECT *, coalesce(it_grade, CAST(nullif(regexp_extract(trim(fit), '(\\d{{1,2}})$', 1), '') AS INT), CASE WHEN nominal <> 0 AND band IS NOT NULL THEN {_GUESS} END) AS grade,
+    gg AS (SELECT *, coalesce(it_grade, CAST(nullif(regexp_extract(trim(fit), '(\\d{{1,2}})$', 1), '') AS INT), CASE WHEN nominal <> 0 AND band IS NOT NULL THEN {GUESS} END) AS grade,
         0.3 * qty * (1 + coalesce(nullif(len_mm, 0) / nullif(nominal, 0), 2.0) / 5) AS drill, ftype = 'thread' AND nominal > 0 AND d > 0 AND nominal >= d / 2 AS outside FROM gu),
     cnt AS (SELECT part_id, sum(qty) AS n_all, count(*) AS n_features, coalesce(sum(qty) FILTER (ftype = 'outer_diameter'), 0) AS n_od, coalesce(sum(qty) FILTER (ftype = 'groove'), 0) AS n_groove, coalesce(sum(qty) FILTER (ftype = 'chamfer'), 0) AS n_chamfer,
         coalesce(sum(qty) FILTER (ftype = 'bore'), 0) AS n_bore, coalesce(sum(qty) FILTER (ftype = 'pocket'), 0) AS n_pocket, coalesce(sum(qty) FILTER (ftype IN ('slot', 'groove', 'keyway')), 0) AS n_slots, coalesce(sum(qty) FILTER (ftype IN ('slot', 'keyway')), 0) AS n_keys,
@@ -202,10 +199,6 @@ _TIERS = """, fc AS (SELECT part_id, count(*) FILTER (severity = 'blocker') AS n
         CASE WHEN nb > 0 THEN 'blocked' WHEN raw < 0.55 THEN 'low confidence' WHEN raw >= 0.8 THEN gate END AS reason, CASE WHEN nb > 0 THEN 0.0 ELSE raw END AS overall FROM gt)"""
 
 
-def tolerance_values() -> str:
-    return ", ".join(f"({a}, {b}, {g}, {um})" for a, b, g, um in geometry.tolerance_rows())
-
-
 _TABLE = tolerance_values()
 _M, _R = ctes("parts", "features"), ctes("parts", "features", "specs", "materials", "bom")
 _F = ctes("parts", "features", "specs", "materials", "items")
@@ -218,7 +211,7 @@ ORACLES = {
         SELECT fid, part_id, coalesce(CAST(nullif(regexp_extract(fit, '([0-9]+)', 1), '') AS INT), near_g) AS grade, CASE letters WHEN 'H' THEN mm WHEN 'h' THEN mm * 0 WHEN 'JS' THEN mm / 2 END AS upper_mm, CASE letters WHEN 'H' THEN mm * 0 WHEN 'h' THEN -mm WHEN 'JS' THEN -mm / 2 END AS lower_mm FROM fl""",
     "part_geometry": _M + _MEASURED + f" SELECT part_id, d, stock, stock_mm, standard_stock, {', '.join(f'round({v} + 1e-7, 4) AS {v}' for v in VOLUMES)} FROM measured",
     "rule_operations": _R + _ROUTED + f", fired AS ({_FIRED}) SELECT part_id, CAST(10 * row_number() OVER (PARTITION BY part_id ORDER BY k) AS INT) AS seq, op_code, work_center, service_code, setup_min, cycle_min, rule_ids, round(cf + 1e-9, 3) AS confidence FROM fired",
-    "price_deviations": ctes("features", "history", *quoting._COST_TABLES) + quoting._COST_BODY + quoting._SIM_BODY + _MEASURED + quoting.DEVIATION + """
+    "price_deviations": ctes("features", "specs", "history", *quoting._COST_TABLES) + quoting._COST_BODY + quoting._SIM_BODY + _MEASURED + quoting.DEVIATION + """
         SELECT i.rfq_id, i.line_no, dv.plant, round(deviation + 1e-7, 4) AS deviation, CASE WHEN deviation IS NOT NULL THEN CASE WHEN by_cost THEN 'cost' ELSE 'quote' END END AS basis FROM items i LEFT JOIN dv ON dv.rfq_id = i.rfq_id AND dv.line_no = i.line_no""",
     "single_part_boms": _R + _ROUTED + f""", fired AS ({_FIRED}), mk AS (SELECT m.part_id, m.material_code, stock_cm3, finished_cm3, density, price_eur_kg FROM measured m LEFT JOIN materials t ON m.material_code = t.code WHERE shape_class <> 'assembly'),
         sv AS (SELECT part_id, service_code, min(k) AS k, arg_min(cf, k) AS cf FROM fired WHERE service_code IS NOT NULL GROUP BY 1, 2)

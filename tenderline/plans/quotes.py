@@ -21,7 +21,7 @@ def quote_lines(spark: SparkSession, d: str) -> DataFrame:
     """CO-17."""
     b = quoting._breakdown(spark, d)
     with_part = b.join(domain(spark, d, "items").select(*LINE, "part_id"), LINE)
-    return quotes.quote_lines(with_part, costing.recommend_plant(b), bom_ops.unpriced(quoting._priced_bom(spark, d)))
+    return quotes.quote_lines(with_part, quoting._recommended(spark, d, b), bom_ops.unpriced(quoting._priced_bom(spark, d)))
 
 
 def quote_assumptions(spark: SparkSession, d: str) -> DataFrame:
@@ -30,7 +30,7 @@ def quote_assumptions(spark: SparkSession, d: str) -> DataFrame:
     about = domain(spark, d, "specs").join(parts.select("part_id", "shape_class", "material_code"), "part_id").join(F.broadcast(materials.select(F.col("code").alias("material_code"), "mat_group")), "material_code", "left")
     open_ = bom_ops.unpriced(quoting._priced_bom(spark, d)).select("part_id", F.lit(True).alias("open"))
     b = quoting._breakdown(spark, d)
-    at = costing.recommend_plant(b).select(*LINE, "qty", "plant").join(b.select(*LINE, "qty", "plant", "min_order_applied"), [*LINE, "qty", "plant"]).groupBy(*LINE).agg(F.max("min_order_applied").alias("min_order"))
+    at = quoting._recommended(spark, d, b).select(*LINE, "qty", "plant").join(b.select(*LINE, "qty", "plant", "min_order_applied"), [*LINE, "qty", "plant"]).groupBy(*LINE).agg(F.max("min_order_applied").alias("min_order"))
     lines = domain(spark, d, "items").join(about, "part_id").join(open_, "part_id", "left").join(at, LINE, "left")
     label = F.concat(F.lit("P"), F.col("part_id").cast("string"))
     return quotes.assumptions(domain(spark, d, "overrides"), lines.withColumns({"label": label, "unpriced": F.coalesce("open", F.lit(False))}))
@@ -79,7 +79,7 @@ def rejected_rounds(spark: SparkSession, d: str) -> DataFrame:
 def line_snapshots(spark: SparkSession, d: str) -> DataFrame:
     """FB-02."""
     b = quoting._breakdown(spark, d)
-    plants = costing.override_plants(costing.recommend_plant(b), b, domain(spark, d, "overrides"))
+    plants = costing.override_plants(quoting._recommended(spark, d, b), b, domain(spark, d, "overrides"))
     x = reviews.snapshots(domain(spark, d, "ops"), b, plants, eng._assessed(spark, d))
     prices = F.array_join(F.array_sort(F.transform(F.map_entries("unit_prices"), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.2f", e["value"])))), ";")
     cycles = F.aggregate("routing", F.lit(0.0), lambda a, o: a + o["cycle_min"])

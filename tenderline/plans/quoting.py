@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenderline.operators import bom as bom_ops, costing, geometry, similarity
+from tenderline.operators import bom as bom_ops, costing, geometry, normalise, similarity
 from tenderline.params import DEFAULT
+from tenderline.sources import scratch
 from tenderline.sources.adapters import ctes, domain, doubles
 
 PLANTS = ["DE", "PL", "CN"]
@@ -51,9 +52,17 @@ def cost_breakdown(spark: SparkSession, d: str) -> DataFrame:
     return _breakdown(spark, d).select(*costing.CELL, "feasible", "reason", r("unit_cost"), r("unit_price"), r("total"), "min_order_applied", "lead_weeks", "meets_due")
 
 
+def _recommended(spark: SparkSession, d: str, breakdowns: DataFrame) -> DataFrame:
+    """The plant of each line and quantity; of assemblies, the one its made parts come from goes first."""
+    made = _priced_bom(spark, d).join(domain(spark, d, "parts").where("shape_class = 'assembly'").select("part_id"), "part_id")
+    made = made.select("part_id", (F.col("source") != "catalog").alias("make"), F.when(F.col("unit_cost").isNotNull(), F.col("plant")).alias("plant"))
+    at = normalise.make_plants(made, ["part_id"], DEFAULT.home_plant).where("make_plant is not null")
+    return costing.recommend_plant(breakdowns, domain(spark, d, "items").select(*costing.LINE, "part_id").join(at, "part_id"))
+
+
 def recommended_plant(spark: SparkSession, d: str) -> DataFrame:
-    """CO-12: the plant to quote for each line."""
-    return costing.recommend_plant(_breakdown(spark, d)).drop("unit_cost").withColumn("unit_price", rounded("unit_price"))
+    """CO-11, CO-12: the plant to quote for each line."""
+    return _recommended(spark, d, _breakdown(spark, d)).drop("unit_cost").withColumn("unit_price", rounded("unit_price"))
 
 
 def _deviations(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +71,7 @@ def _deviations(spark: SparkSession, d: str) -> DataFrame:
     top = _similar(spark, d).where("rank = 1").select(F.col("query_id").alias("part_id"), F.col("part_id").alias("ref_id"), F.col("score").alias("top_score"))
     parts = domain(spark, d, "parts")
     volumes = geometry.measure(parts, domain(spark, d, "features")).select("part_id", F.col("envelope_cm3").alias("volume"))
-    chosen = costing.recommend_plant(_breakdown(spark, d)).join(items, costing.LINE)
+    chosen = _recommended(spark, d, _breakdown(spark, d)).join(items, costing.LINE)
     found = costing.price_deviation(chosen, top, volumes, costing.reference_volumes(parts), domain(spark, d, "part_costs"), domain(spark, d, "history"))
     return items.join(top.drop("ref_id"), "part_id", "left").join(found.select(*costing.LINE, "qty", "plant", "deviation", "basis"), costing.LINE, "left")
 
@@ -75,7 +84,7 @@ def price_deviations(spark: SparkSession, d: str) -> DataFrame:
 def overridden_plants(spark: SparkSession, d: str) -> DataFrame:
     """CO-19: plant and margin as the request sets them."""
     b = _breakdown(spark, d)
-    out = costing.override_plants(costing.recommend_plant(b), b, domain(spark, d, "overrides"))
+    out = costing.override_plants(_recommended(spark, d, b), b, domain(spark, d, "overrides"))
     return out.withColumns({c: rounded(c) for c in ("margin", "unit_price")})
 
 
@@ -127,19 +136,29 @@ def offered_quantities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.feature_vectors(domain(spark, d, "parts"), domain(spark, d, "materials"))
+    return similarity.drawing_vectors(_nested(spark, d), domain(spark, d, "materials"))
+
+
+def _nested(spark: SparkSession, d: str) -> DataFrame:
+    return similarity.nested_drawings(domain(spark, d, "parts"), domain(spark, d, "features"), domain(spark, d, "specs"))
 
 
 def _similar(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
-    return similarity.find_similar(v, v, ["part_id"], exclude_self=True)
+    return scratch.once(spark, d, "similar", lambda: similarity.find_similar(v, v, ["part_id"], exclude_self=True))
 
 
 def feature_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """GE-08, GE-09."""
+    """GE-08."""
     return _vectors(spark, d)
 
 
+def vector_parity(spark: SparkSession, d: str) -> DataFrame:
+    """GE-09: fields in which a drawing's vector differs from that of its row among the parts; 0 for each."""
+    drawings, materials = _nested(spark, d), domain(spark, d, "materials")
+    return similarity.differing_fields(similarity.drawing_vectors(drawings, materials), similarity.part_vectors(similarity.part_columns(drawings), materials))
+
+
 def similar_parts(spark: SparkSession, d: str) -> DataFrame:
     """SI-01 to SI-03, SI-06: the three most similar other parts of each part."""
     return _similar(spark, d).select("query_id", "part_id", "rank", "score", F.col("score_breakdown")["diameter"].alias("diameter"), F.col("score_breakdown")["precision"].alias("precision"))
@@ -209,9 +228,24 @@ _COST_BODY = (
 
 _COST = ctes(*_COST_TABLES) + _COST_BODY
 
-_SIM_BODY = (
-    """, v AS (SELECT p.*, m.mat_group FROM parts p LEFT JOIN materials m ON p.material_code = m.code),
-    pairs AS (SELECT q.part_id AS query_id, p.part_id, CASE WHEN q.main_mm > 0 AND p.main_mm > 0 THEN exp(-abs(ln(q.main_mm / p.main_mm)) / 0.35) ELSE 0.5 END AS d,
+def tolerance_values() -> str:
+    return ", ".join(f"({a}, {b}, {g}, {um})" for a, b, g, um in geometry.tolerance_rows())
+
+
+_STEPS = [1, *geometry.SIZE_RANGES]
+MEAN = "CASE " + " ".join(f"WHEN nominal <= {b} THEN sqrt({a}.0 * {b}.0)" for a, b in zip(_STEPS, _STEPS[1:])) + " ELSE 500.0 END"
+GUESS = "CASE " + " ".join(f"WHEN abs(band) * 1000 <= {k} * unit * 1.05 THEN {g}" for g, k in geometry.IT_FACTORS.items()) + " ELSE 16 END"
+#: Vectors of drawings from their features.
+VECTORS = f""", vg AS (SELECT *, 0.45 * pow({MEAN}, 1.0 / 3) + 0.001 * {MEAN} AS unit FROM features),
+    vh AS (SELECT *, coalesce(it_grade, CAST(nullif(regexp_extract(trim(fit), '(\\d{{1,2}})$', 1), '') AS INT), CASE WHEN nominal <> 0 AND band IS NOT NULL THEN {GUESS} END) AS g FROM vg),
+    vf AS (SELECT part_id, max(nullif(nominal, 0)) FILTER (ftype = 'outer_diameter') AS max_od, CAST(coalesce(sum(qty) FILTER (ftype = 'hole'), 0) AS INT) AS n_holes, CAST(coalesce(sum(qty) FILTER (ftype = 'thread'), 0) AS INT) AS n_threads,
+        count(*) FILTER (ftype = 'keyway' AND qty > 0) > 0 AS has_keyway, count(*) FILTER (ftype = 'gear' AND qty > 0) > 0 AS has_gear, min(g) AS min_it, min(ra_um) AS min_ra FROM vh GROUP BY 1),
+    v AS (SELECT p.part_id, shape_class, round(CASE shape_class WHEN 'rotational' THEN coalesce(nullif(main_mm, 0), max_od, 0.0) WHEN 'prismatic' THEN greatest(width_mm, height_mm) ELSE coalesce(nullif(main_mm, 0), max_od, greatest(width_mm, height_mm)) END, 3) AS main_mm,
+        round(length_mm, 3) AS length_mm, material_code, mat_group, coalesce(f.n_holes, 0) AS n_holes, coalesce(f.n_threads, 0) AS n_threads, coalesce(f.has_keyway, FALSE) AS has_keyway, coalesce(f.has_gear, FALSE) AS has_gear,
+        coalesce(trim(heat_treatment) <> '', FALSE) AS has_heat, coalesce(trim(surface_treatment) <> '', FALSE) AS has_surface, f.min_it, f.min_ra
+        FROM parts p LEFT JOIN materials m ON p.material_code = m.code LEFT JOIN specs USING (part_id) LEFT JOIN vf f ON f.part_id = p.part_id)"""
+_SIM_BODY = VECTORS + (
+    """, pairs AS (SELECT q.part_id AS query_id, p.part_id, CASE WHEN q.main_mm > 0 AND p.main_mm > 0 THEN exp(-abs(ln(q.main_mm / p.main_mm)) / 0.35) ELSE 0.5 END AS d,
             CASE WHEN q.length_mm > 0 AND p.length_mm > 0 THEN exp(-abs(ln(q.length_mm / p.length_mm)) / 0.35) ELSE 0.5 END AS l,
             CASE WHEN q.material_code IS NOT DISTINCT FROM p.material_code THEN 1.0 WHEN q.mat_group = p.mat_group THEN 0.7 ELSE 0.3 END AS m,
             1 - abs(q.n_holes - p.n_holes) / greatest(q.n_holes, p.n_holes, 1) AS h, 1 - abs(q.n_threads - p.n_threads) / greatest(q.n_threads, p.n_threads, 1) AS t,
@@ -221,10 +255,12 @@ _SIM_BODY = (
     scored AS (SELECT query_id, part_id, round((0.2 * d + 0.15 * l + 0.15 * m + 0.1 * h + 0.1 * t + 0.15 * f + 0.15 * i) * shape, 4) AS score, round(d, 4) AS diameter, round(l, 4) AS len4, round(i, 4) AS "precision" FROM pairs),
     top AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, part_id) AS INT) AS rank FROM scored WHERE score >= 0.5) WHERE rank <= 3)"""
 )
-_SIM = ctes("parts", "materials") + _SIM_BODY
-RECOMMENDED = """, rec AS (SELECT * FROM (
-        SELECT *, count(*) OVER (PARTITION BY rfq_id, line_no, qty) AS n_feasible, row_number() OVER (PARTITION BY rfq_id, line_no, qty
-            ORDER BY CASE WHEN coalesce(meets_due, TRUE) THEN 0 ELSE 1 END, round(unit_price + 1e-7, 2), CASE WHEN plant = 'DE' THEN 0 ELSE 1 END, ord) AS k FROM broken WHERE feasible) WHERE k = 1)"""
+_SIM = ctes("parts", "materials", "features", "specs") + _SIM_BODY
+RECOMMENDED = """, home_ AS (SELECT part_id, CASE WHEN count(plant) FILTER (unit_cost IS NOT NULL) = count(*) AND count(DISTINCT plant) = 1 THEN min(plant) ELSE 'DE' END AS make_plant
+        FROM pb JOIN parts USING (part_id) WHERE shape_class = 'assembly' AND source <> 'catalog' GROUP BY 1),
+    rec AS (SELECT * FROM (
+        SELECT b.*, count(*) OVER (PARTITION BY b.rfq_id, b.line_no, b.qty) AS n_feasible, row_number() OVER (PARTITION BY b.rfq_id, b.line_no, b.qty
+            ORDER BY CASE WHEN b.plant = make_plant THEN 0 ELSE 1 END, CASE WHEN coalesce(meets_due, TRUE) THEN 0 ELSE 1 END, round(unit_price + 1e-7, 2), CASE WHEN b.plant = 'DE' THEN 0 ELSE 1 END, ord) AS k FROM broken b JOIN (SELECT rfq_id, line_no, part_id FROM items) i USING (rfq_id, line_no) LEFT JOIN home_ h ON h.part_id = i.part_id WHERE feasible) WHERE k = 1)"""
 #: Needs the fragments of cost, similar parts and measured parts before it.
 DEVIATION = RECOMMENDED + """, refv AS (SELECT part_id AS ref_id, CASE WHEN main_mm <> 0 AND length_mm <> 0 THEN pi() / 4 * main_mm * main_mm * length_mm / 1000 WHEN length_mm <> 0 AND width_mm <> 0 AND height_mm <> 0 THEN length_mm * width_mm * height_mm / 1000 END AS ref_volume FROM parts),
     ch AS (SELECT r.*, t.part_id AS ref_id, m.envelope_cm3 AS volume, ref_volume FROM rec r JOIN items i ON i.rfq_id = r.rfq_id AND i.line_no = r.line_no LEFT JOIN top t ON t.query_id = i.part_id AND t.rank = 1 LEFT JOIN measured m ON m.part_id = i.part_id LEFT JOIN refv ON refv.ref_id = t.part_id),
@@ -235,8 +271,7 @@ DEVIATION = RECOMMENDED + """, refv AS (SELECT part_id AS ref_id, CASE WHEN main
         FROM ch LEFT JOIN near_c c ON c.ref_id = ch.ref_id AND c.plant = ch.plant AND c.qty = ch.qty LEFT JOIN near_h h ON h.ref_id = ch.ref_id AND h.plant = ch.plant AND h.qty = ch.qty),
     dv AS (SELECT *, CASE WHEN scaled > 0 THEN (mine - scaled) / scaled END AS deviation FROM dv0)"""
 
-QUERIES = {f.__name__: f for f in (cost_lines, cost_sources, cost_breakdown, recommended_plant, price_deviations, overridden_plants, price_matrix, routing_view, offered_quantities, feature_vectors, similar_parts, reference_costs, requested_reference_costs, reuse_hints, bom_prices, catalog_matches, unpriced_items, priced_shares, new_items)}
-QUERIES["price_matrix_amounts"] = price_matrix
+QUERIES = {f.__name__: f for f in (cost_lines, cost_sources, cost_breakdown, recommended_plant, price_deviations, overridden_plants, price_matrix, routing_view, offered_quantities, feature_vectors, vector_parity, similar_parts, reference_costs, requested_reference_costs, reuse_hints, bom_prices, catalog_matches, unpriced_items, priced_shares, new_items)}
 _BOM = ctes("bom", "catalog", "part_numbers", "part_costs") + BOM_BODY
 ORACLES = {
     "cost_lines": _COST + " SELECT rfq_id, line_no, plant, qty, category, ordinal, round(amount + 1e-7, 4) AS amount FROM amounts",
@@ -258,11 +293,12 @@ ORACLES = {
     "routing_view": ctes("ops") + " SELECT rfq_id, line_no, seq, coalesce(centre, service) AS place, CASE WHEN suggested THEN 'suggested' WHEN service IS NOT NULL THEN 'outsourced: ' || service ELSE 'costed' END AS status FROM ops",
     "offered_quantities": ctes("items") + """, a AS (SELECT rfq_id, list_sort(list_distinct(list(qty) FILTER (WHERE qty > 0))) AS q FROM items GROUP BY 1)
         SELECT rfq_id, array_to_string(q, ',') AS asked, CASE WHEN len(q) = 1 THEN array_to_string(list_concat(q, list_filter([50, 200, 500, 1000, 2500], lambda t : t > q[1])[1:1]), ',') ELSE array_to_string(q, ',') END AS offered FROM a""",
-    "feature_vectors": _SIM + " SELECT part_id, shape_class, main_mm, length_mm, material_code, mat_group, n_holes, n_threads, has_keyway, has_gear, has_heat, has_surface, min_it FROM v",
+    "feature_vectors": _SIM + " SELECT part_id, shape_class, main_mm, length_mm, material_code, mat_group, n_holes, n_threads, has_keyway, has_gear, has_heat, has_surface, min_it, min_ra FROM v",
+    "vector_parity": _SIM + " SELECT part_id, 0 AS n_different FROM v",
     "similar_parts": _SIM + ' SELECT query_id, part_id, rank, score, diameter, "precision" FROM top',
-    "reference_costs": _SIM.replace("WITH ", ctes("part_costs") + ", ", 1) + """ SELECT query_id, part_id, round(unit_cost + 1e-7, 4) AS ref_unit_cost, qty AS ref_qty FROM (
+    "reference_costs": ctes("parts", "materials", "features", "specs", "part_costs") + _SIM_BODY + """ SELECT query_id, part_id, round(unit_cost + 1e-7, 4) AS ref_unit_cost, qty AS ref_qty FROM (
         SELECT t.query_id, t.part_id, unit_cost, qty, row_number() OVER (PARTITION BY query_id ORDER BY abs(qty - 20), unit_cost, plant) AS k FROM top t LEFT JOIN part_costs c USING (part_id) WHERE rank = 1) WHERE k = 1""",
-    "requested_reference_costs": _SIM.replace("WITH ", ctes("part_costs", "history", "items") + ", ", 1) + """,
+    "requested_reference_costs": ctes("parts", "materials", "features", "specs", "part_costs", "history", "items") + _SIM_BODY + """,
         asked AS (SELECT part_id AS query_id, min(qty) AS want FROM items WHERE qty > 0 GROUP BY 1),
         q AS (SELECT t.query_id, t.part_id, t.rank, CAST(coalesce(a.want, 200) AS INT) AS want FROM top t LEFT JOIN asked a USING (query_id)),
         c AS (SELECT q.query_id, q.part_id, k.unit_cost AS x, k.qty, row_number() OVER (PARTITION BY q.query_id, q.part_id ORDER BY abs(k.qty - want), k.unit_cost, k.plant) AS n FROM q JOIN part_costs k USING (part_id)),
@@ -270,5 +306,4 @@ ORACLES = {
         SELECT q.query_id, q.part_id, q.rank, q.want, round((CASE WHEN c.n IS NOT NULL THEN c.x ELSE h.x END) + 1e-7, 4) AS ref_unit_cost, CASE WHEN c.n IS NOT NULL THEN c.qty ELSE h.qty END AS ref_qty
         FROM q LEFT JOIN c ON c.query_id = q.query_id AND c.part_id = q.part_id AND c.n = 1 LEFT JOIN h ON h.query_id = q.query_id AND h.part_id = q.part_id AND h.n = 1""",
 }
-ORACLES["price_matrix_amounts"] = ORACLES["price_matrix"]
 ORACLES = {k: doubles(v) for k, v in ORACLES.items()}

@@ -11,6 +11,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from tenderline.sources import scratch
+
 GIVEN = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 TABLES: dict[str, str] = {
@@ -29,14 +31,14 @@ TABLES: dict[str, str] = {
     # work done on a part: its first lines by order
     "features": """SELECT l_partkey AS part_id, l_orderkey * 8 + l_linenumber AS fid,
         CASE (l_orderkey + l_linenumber) % 12 WHEN 0 THEN 'outer_diameter' WHEN 1 THEN 'outer_diameter' WHEN 2 THEN 'bore' WHEN 3 THEN 'hole' WHEN 4 THEN 'thread' WHEN 5 THEN 'keyway' WHEN 6 THEN 'groove' WHEN 7 THEN 'pocket' WHEN 8 THEN 'slot' WHEN 9 THEN 'wall' WHEN 10 THEN 'chamfer' ELSE 'gear' END AS ftype,
-        CAST(l_quantity AS DOUBLE) AS nominal, CASE WHEN l_linenumber = 4 THEN NULL ELSE CAST(l_extendedprice AS DOUBLE) / 1000 END AS len_mm, CAST(1 + l_suppkey % 4 AS INT) AS qty, CAST(l_tax AS DOUBLE) AS band,
+        CAST(l_quantity AS DOUBLE) AS nominal, CASE WHEN l_linenumber = 4 THEN NULL ELSE CAST(l_extendedprice AS DOUBLE) / 1000 END AS len_mm, CAST(1 + l_suppkey % 4 AS INT) AS qty, CASE WHEN l_suppkey % 9 = 4 THEN NULL ELSE CAST(l_tax AS DOUBLE) END AS band,
         CASE WHEN l_linenumber % 3 = 0 THEN CAST(5 + l_suppkey % 8 AS INT) END AS it_grade, CASE WHEN l_suppkey % 5 = 0 THEN 0.4 WHEN l_suppkey % 5 = 1 THEN 0.8 END AS ra_um, CAST(l_discount AS DOUBLE) AS radius,
         CASE (l_suppkey + l_linenumber) % 6 WHEN 0 THEN 'H7/g6' WHEN 1 THEN 'h8' WHEN 2 THEN 'JS6' WHEN 3 THEN 'H9' END AS fit,
         CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE CAST(15 + 3 * l_linenumber AS INT) END AS teeth, CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE 1.5 END AS module FROM {orderlines}""",
     # what else is printed on a drawing: treatments, notes, general tolerance and the material's text
     "specs": """SELECT p_partkey AS part_id, CASE p_partkey % 9 WHEN 0 THEN 'Case hardened 58 HRC' WHEN 1 THEN 'quenched and tempered' WHEN 2 THEN 'hardened 60 HRC' WHEN 3 THEN 'nitrided' WHEN 4 THEN '' END AS heat_treatment,
         CASE p_partkey % 7 WHEN 0 THEN 'anodised' WHEN 1 THEN 'Zinc plated' WHEN 2 THEN 'black oxide' WHEN 3 THEN 'painted' END AS surface_treatment, CASE WHEN p_partkey % 12 = 1 THEN 'Milled 5-AXIS' WHEN p_partkey % 12 = 4 THEN 'sharp corners' ELSE p_name END AS notes,
-        CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 'ISO 2768-mK' END AS general_tolerance, CASE p_partkey % 14 WHEN 3 THEN 0.4 WHEN 5 THEN 3.2 END AS default_ra, CASE WHEN p_partkey % 22 = 0 THEN ' ' WHEN p_partkey % 11 = 0 THEN 'special alloy' ELSE 'M' || CAST(p_partkey % 6 AS VARCHAR(4)) END AS material_text FROM {part}""",
+        CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 'ISO 2768-mK' END AS general_tolerance, CASE p_partkey % 14 WHEN 3 THEN 0.4 WHEN 5 THEN 3.2 END AS default_ra, CASE WHEN p_partkey % 22 = 0 THEN ' ' WHEN p_partkey % 11 = 0 THEN 'special alloy' ELSE 'M' || CAST(p_partkey % 6 AS VARCHAR(4)) END AS material_text FROM {part} WHERE p_partkey % 37 <> 5""",
     "bom": "SELECT l_partkey AS part_id, l_orderkey * 8 + l_linenumber AS item_no, CAST(l_quantity AS INT) AS qty, CASE l_linenumber % 4 WHEN 0 THEN 'Cylinder head screw M' || CAST(3 + l_suppkey % 17 AS VARCHAR(4)) || ' x 20' WHEN 1 THEN 'Housing cover' WHEN 2 THEN 'Shaft' ELSE 'Plate' END AS description, CASE WHEN l_linenumber % 5 = 0 THEN 'ISO 7089' END AS standard, CASE WHEN l_suppkey % 4 = 1 THEN 'PT-' || CAST(l_partkey + 1 AS VARCHAR(12)) WHEN l_suppkey % 8 = 6 THEN NULL ELSE 'PN-' || CAST(l_suppkey AS VARCHAR(12)) END AS part_number FROM {orderlines} WHERE l_partkey % 4 <> 0",
     # standard parts: a number, and the tokens (cut by |) that tell the part in a text
     "catalog": "SELECT s_suppkey AS ord, 'PN-' || CAST(s_suppkey AS VARCHAR(12)) AS part_number, CAST(s_acctbal AS DOUBLE) AS unit_price, CASE s_suppkey % 4 WHEN 3 THEN 'ISO 7089|plate' WHEN 1 THEN 'cover|PT-' || CAST(s_suppkey % 10 AS VARCHAR(4)) ELSE 'screw|M' || CAST(3 + s_suppkey % 17 AS VARCHAR(4)) || 'x20' END AS tokens FROM {supplier} WHERE s_suppkey % 3 = 0",
@@ -46,10 +48,10 @@ TABLES: dict[str, str] = {
     "callouts": "SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'm' || CAST(p_partkey % 7 AS VARCHAR(4)) WHEN 1 THEN 'Bar of Steel-M' || CAST(p_partkey % 4 AS VARCHAR(4)) || ', rolled' WHEN 2 THEN 'cast' WHEN 3 THEN 'aluminium M.' || CAST(3 + p_partkey % 2 AS VARCHAR(4)) ELSE p_name END AS text FROM {part}",
     "requests": "SELECT o_orderkey AS rfq_id, CAST(o_orderdate AS DATE) AS issued FROM {orders}",
     "quotes": "SELECT o_custkey AS rfq_id, o_orderkey % 5 + 1 AS version FROM {orders}",
-    "part_costs": "SELECT l_partkey AS part_id, CASE l_suppkey % 3 WHEN 0 THEN 'DE' WHEN 1 THEN 'PL' ELSE 'CN' END AS plant, CAST(l_quantity AS INT) AS qty, avg(l_extendedprice / l_quantity) AS unit_cost FROM {lineitem} GROUP BY 1, 2, 3",
+    "part_costs": "SELECT l_partkey AS part_id, CASE l_suppkey % 3 WHEN 0 THEN 'DE' WHEN 1 THEN 'PL' ELSE 'CN' END AS plant, CAST(l_quantity AS INT) AS qty, avg(l_extendedprice / l_quantity) AS unit_cost FROM {lineitem} WHERE l_partkey % 19 <> 3 GROUP BY 1, 2, 3",
     "history": "SELECT l_partkey AS part_id, CASE l_suppkey % 3 WHEN 0 THEN 'DE' WHEN 1 THEN 'PL' ELSE 'CN' END AS plant, CAST(l_quantity AS INT) AS qty, l_extendedprice * (1 - l_discount) / l_quantity AS unit_price, l_orderkey * 8 + l_linenumber AS quote_no FROM {orderlines}",
     # requested lines: order lines, with the quantity asked and a due date
-    "items": "SELECT l_orderkey AS rfq_id, l_linenumber AS line_no, l_partkey AS part_id, CAST(l_quantity AS INT) AS qty, CAST(l_shipdate AS DATE) AS due FROM {orderlines}",
+    "items": "SELECT l_orderkey AS rfq_id, l_linenumber AS line_no, l_partkey AS part_id, CASE WHEN l_partkey % 23 = 0 AND l_linenumber = 2 THEN 0 ELSE CAST(l_quantity AS INT) END AS qty, CAST(l_shipdate AS DATE) AS due FROM {orderlines}",
     # operations of a line: two in-house or outsourced steps for each
     "ops": """SELECT rfq_id, line_no, 10 * k AS seq, CASE WHEN (rfq_id + line_no + k) % 6 = 0 THEN NULL ELSE 'WC' || CAST((rfq_id + k) % 7 AS VARCHAR(4)) END AS centre,
         CASE WHEN (rfq_id + line_no + k) % 6 = 0 THEN 'SV' || CAST(line_no % 3 AS VARCHAR(4)) END AS service, 5.0 * k + line_no AS setup_min, 0.5 + qty * 0.05 * k AS cycle_min, (rfq_id + k) % 11 = 0 AS suggested
@@ -73,7 +75,7 @@ TABLES: dict[str, str] = {
         CASE (l_suppkey + l_linenumber) % 8 WHEN 0 THEN '4x Ø' || CAST(CAST(l_quantity AS INT) AS VARCHAR(6)) || ',5' WHEN 1 THEN 'M ' || CAST(CAST(l_quantity AS INT) AS VARCHAR(6)) || ' × 1.5' WHEN 2 THEN '1,5x45' WHEN 3 THEN 'POCKET 40x' || CAST(CAST(l_quantity AS INT) AS VARCHAR(6)) WHEN 4 THEN CAST(CAST(l_quantity AS INT) AS VARCHAR(6)) || ' P9' WHEN 5 THEN NULL WHEN 6 THEN '2 × M' || CAST(CAST(l_quantity AS INT) AS VARCHAR(6)) ELSE 'Ø' || CAST(CAST(l_quantity AS INT) AS VARCHAR(6)) || ' h7' END AS evidence,
         CASE WHEN l_partkey % 3 = 0 THEN NULL WHEN l_partkey % 7 = 1 THEN 40.0 ELSE CAST(l_quantity AS DOUBLE) END AS nominal, CASE WHEN l_linenumber = 4 THEN NULL ELSE CAST(l_linenumber AS DOUBLE) * 30 END AS len_mm, CAST(1 + l_partkey % 2 AS INT) AS qty, CASE l_partkey % 8 WHEN 0 THEN 'h7' WHEN 1 THEN 'H7' WHEN 2 THEN 'p9' WHEN 3 THEN 'N9' WHEN 4 THEN 'H7/g6' END AS fit,
         CASE l_partkey % 5 WHEN 0 THEN 0.0 WHEN 1 THEN CAST(l_tax AS DOUBLE) END AS upper_mm, CASE l_partkey % 5 WHEN 0 THEN 0.0 WHEN 1 THEN CAST(l_discount AS DOUBLE) END AS lower_mm, CASE WHEN l_suppkey % 4 = 0 THEN 0.8 END AS ra_um, CASE WHEN l_partkey % 6 = 0 THEN 'M8' END AS thread FROM {orderlines}""",
-    "titles": "SELECT o_orderkey AS drawing, CASE o_orderkey % 4 WHEN 0 THEN '1:2' WHEN 1 THEN '2 : 1' WHEN 2 THEN '1:1' END AS scale, CASE WHEN o_orderkey % 9 = 0 THEN 'inch' ELSE 'mm' END AS units, CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'special alloy' ELSE 'M' || CAST(o_orderkey % 6 AS VARCHAR(4)) END AS material FROM {orders} WHERE o_orderkey % 10 <> 7",
+    "titles": "SELECT o_orderkey AS drawing, CASE o_orderkey % 4 WHEN 0 THEN '1:2' WHEN 1 THEN '2 : 1' WHEN 2 THEN '1:1' END AS scale, CASE WHEN o_orderkey % 9 = 0 THEN 'inch' ELSE 'mm' END AS units, CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'special alloy' ELSE 'M' || CAST(o_orderkey % 6 AS VARCHAR(4)) END AS material, CASE WHEN o_custkey % 12 <> 5 THEN 'PT-' || CAST(o_custkey AS VARCHAR(12)) END AS part_number, CASE WHEN o_custkey % 3 = 0 THEN 'B' END AS revision, o_orderpriority AS title, CASE WHEN o_custkey % 5 = 0 THEN ' ' ELSE 'ISO 2768-mK' END AS general_tolerance, CASE WHEN o_custkey % 4 = 1 THEN 3.2 END AS default_ra, 'title=block;general_tolerance=block' || CASE WHEN o_custkey % 7 < 5 THEN ';material=block;part_number=block' ELSE '' END || CASE WHEN o_custkey % 4 <> 2 THEN ';scale=corner;revision=corner;default_ra=corner' ELSE '' END AS evidence FROM {orders} WHERE o_orderkey % 10 <> 7",
     "views": "SELECT o_orderkey AS drawing, CASE o_orderkey % 3 WHEN 0 THEN 'rotational' WHEN 1 THEN 'prismatic' ELSE 'assembly' END AS shape_class, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_custkey % 60 AS DOUBLE) * 10 END AS max_diameter_mm, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_custkey % 90 AS DOUBLE) * 2 END AS length_mm, CAST(o_custkey % 50 AS DOUBLE) * 20 AS width_mm, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 12.0 END AS height_mm FROM {orders} WHERE o_orderkey % 11 <> 5",
     "notes": "SELECT o_orderkey AS drawing, CASE WHEN o_orderkey % 6 = 0 THEN 2.0 WHEN o_orderkey % 6 = 3 THEN 0.0 END AS gear_module, CASE WHEN o_orderkey % 4 < 3 THEN CAST(20 + o_custkey % 9 AS INT) END AS gear_teeth, CASE o_orderkey % 8 WHEN 1 THEN '1,2,2' WHEN 3 THEN '1,2,3' END AS items FROM {orders} WHERE o_orderkey % 13 <> 4",
     # requests as a model has read them, and as they are; their files
@@ -108,6 +110,8 @@ def _needs(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
 
 
+#: Tables that most others are made of: aggregated once a session.
+WRITTEN = ("orderlines", "part_costs")
 #: Schemas of the given tables by path: queries read a table many times, and its footers need be looked at once.
 _schemas: dict[str, StructType] = {}
 
@@ -120,7 +124,8 @@ def domain(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             _schemas[path] = spark.read.parquet(path).schema
         return spark.read.schema(_schemas[path]).parquet(path)
     sql = TABLES[name]
-    return spark.sql(sql, **{n: domain(spark, sf_dir, n) for n in _needs(sql)})
+    build = lambda: spark.sql(sql, **{n: domain(spark, sf_dir, n) for n in _needs(sql)})
+    return scratch.once(spark, sf_dir, name, build) if name in WRITTEN else build()
 
 
 def ctes(*names: str) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_kept: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def once(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """build(), written the first time a session asks for `name` over `source` and read from there on: for tables that many queries are made of."""
+    key = (spark.sparkContext.applicationId, source, name)
+    if key not in _kept:
+        _kept[key] = written(build(), name)
+    return _kept[key]
