@@ -11,7 +11,7 @@ one point, so exact copies meet nobody.
 
 In each partition all points are bounded against one of them first, survivors are verified, and what is linked is joined to components. Where a partition still
 holds several components, its points are packed into boxes (by component, then size and coordinates), and boxes into pages of bounded size. Pairs of pages, of boxes and of points are
-followed down only where the bound allows a link between different components; each pair is taken in the least partition that it has in common. Survivors are verified on their sets.
+followed down only where the bound allows a link between different components. Points in boxes are folded to few groups; survivors meet on all groups, then on their sets.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from tenderline.llm.text import LOWER, SOLID, flat, mix, shingle_hashes, slices,
 WORDS, PERCENT = 4, 85
 #: Points of a box, and of a page (which is what one task row holds; two pages meet in one row).
 BOX, PAGE = 32, 512
+#: Groups of the points in boxes, which are small; pairs that they allow meet on all groups, then on their sets.
+COARSE = 64
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -72,7 +74,7 @@ def point(tokens: np.ndarray) -> np.ndarray:
 
 def fold(p: np.ndarray, size: int) -> np.ndarray:
     """The point with neighbouring groups summed up, down to `size` of them."""
-    return p if len(p) == size else p.reshape(size, -1).sum(1)
+    return p if len(p) == size else p.reshape(size, -1).sum(1).astype(p.dtype)
 
 
 def reach(shared: np.ndarray | int, n: np.ndarray | int, m: np.ndarray | int, percent: int) -> np.ndarray | bool:
@@ -114,15 +116,16 @@ def profiles(docs: DataFrame, percent: int, words: int) -> DataFrame:
 
 
 def read_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
-    """c, n, tokens (sorted 64-bit values) and point of classes (c, rep, d1, d2), read from the texts of their documents."""
+    """c, n, tokens (sorted 64-bit values), point and coarse (the point on COARSE groups at most) of classes (c, rep, d1, d2), read from the texts of their documents."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets, digests in _sets(batches, words):
-            yield pa.RecordBatch.from_arrays([*digests, pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([point(x).tobytes() for x in sets], pa.binary())], names=["d1", "d2", "n", "tokens", "point"])
+            points = [point(x) for x in sets]
+            yield pa.RecordBatch.from_arrays([*digests, pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in points], pa.binary()), pa.array([fold(x, min(len(x), COARSE)).tobytes() for x in points], pa.binary())], names=["d1", "d2", "n", "tokens", "point", "coarse"])
 
     kept = _texts(docs).join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    read = kept.mapInArrow(work, "d1 long, d2 long, n long, tokens binary, point binary")
-    return read.join(classes.select("c", "d1", "d2"), ["d1", "d2"]).select("c", "n", "tokens", "point").dropDuplicates(["c"])
+    read = kept.mapInArrow(work, "d1 long, d2 long, n long, tokens binary, point binary, coarse binary")
+    return read.join(classes.select("c", "d1", "d2"), ["d1", "d2"]).select("c", "n", "tokens", "point", "coarse").dropDuplicates(["c"])
 
 
 def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -149,12 +152,11 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int, bounded: bool = False) -> DataFrame:
-    """Links among pairs (a, b) of classes: points first, unless they are `bounded` already, then whole sets of what is left."""
-    if not bounded:
-        points = sets.select("c", "point")
-        met = pairs.join(points.toDF("a", "pa"), "a").join(points.toDF("b", "pb"), "b")
-        pairs = store(met.select("a", "b", "pa", "pb").mapInArrow(lambda x: _bounded(x, percent), "a long, b long"), "bounded")
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among pairs (a, b) of classes: points first, then whole sets of what is left."""
+    points = sets.select("c", "point")
+    met = pairs.join(points.toDF("a", "pa"), "a").join(points.toDF("b", "pb"), "b")
+    pairs = store(met.select("a", "b", "pa", "pb").mapInArrow(lambda x: _bounded(x, percent), "a long, b long"), "bounded")
     whole = sets.select("c", "tokens")
     met = pairs.join(whole.toDF("b", "tb"), "b").join(whole.toDF("a", "ta"), "a").sortWithinPartitions("a").select("a", "b", "ta", "tb")
     return store(met.mapInArrow(lambda x: _verified(x, percent), "a long, b long"), "links")
@@ -175,12 +177,11 @@ class Page:
     def __init__(self, members: list[dict], size: int) -> None:
         self.c, self.comp, self.n = (np.array([m[f] for m in members], np.int64) for f in ("c", "comp", "n"))
         self.grid = np.stack([fold(np.frombuffer(m["point"], np.uint32), size) for m in members]).astype(np.int64)
-        self.keys = [m["keys"] for m in members]
         self.boxes = [Box(self, slice(k, min(k + BOX, len(members)))) for k in range(0, len(members), BOX)]
 
 
-def _meet(x: Page, y: Page, key: int, percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of two pages, or within one, that boxes and points allow, of different components, if `key` is the least partition they have in common."""
+def _meet(x: Page, y: Page, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of two pages, or within one, that boxes and points allow, of different components."""
     for i, one in enumerate(x.boxes):
         for other in y.boxes[i if x is y else 0 :]:
             if (one.comp is not None and one.comp == other.comp) or not reach(int(np.minimum(one.top, other.top).sum()), one.low, other.low, percent):
@@ -192,19 +193,18 @@ def _meet(x: Page, y: Page, key: int, percent: int) -> Iterator[tuple[int, int]]
                     continue
                 near = (y.comp[rows] != x.comp[a]) & reach(np.minimum(x.grid[a], y.grid[rows]).sum(1), x.n[a], y.n[rows], percent)
                 for b in np.flatnonzero(near) + first:
-                    if min(set(x.keys[a]) & set(y.keys[b])) == key:
-                        yield min(int(x.c[a]), int(y.c[b])), max(int(x.c[a]), int(y.c[b]))
+                    yield min(int(x.c[a]), int(y.c[b])), max(int(x.c[a]), int(y.c[b]))
 
 
 def _search(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) of the pages x and y (null: x alone) of each row."""
     for batch in batches:
         found: list[tuple[int, int]] = []
-        for key, x, y in zip(batch.column("key").to_pylist(), batch.column("x"), batch.column("y")):
+        for x, y in zip(batch.column("x"), batch.column("y")):
             both = [p for p in (x.as_py(), y.as_py()) if p is not None]
             size = min(len(m["point"]) // 4 for p in both for m in p)
             pages = [Page(p, size) for p in both]
-            found += _meet(pages[0], pages[-1], key, percent)
+            found += _meet(pages[0], pages[-1], percent)
         yield pa.RecordBatch.from_pydict({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
 
@@ -231,13 +231,13 @@ def _near_pages(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
 
 
 def tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of rows (key, c, comp, n, keys, point) of one partition (key) and of different components whose points allow a link.
+    """Pairs (a, b) of rows (key, c, comp, n, point) of one partition (key) and of different components whose points allow a link, each once.
 
     The points of a partition are packed PAGE at a time by component, size and coordinates: their places come from a window, which sorts on disk. Corners of pages meet first; pages are fetched for
     the pairs of pages that are left.
     """
     place = F.floor((F.row_number().over(Window.partitionBy("key").orderBy("comp", "n", "point", "c")) - 1) / PAGE)
-    grouped = rows.withColumn("page", place).groupBy("key", "page").agg(F.collect_list(F.struct("c", "comp", "n", "keys", "point")).alias("members"), F.min("n").alias("low"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    grouped = rows.withColumn("page", place).groupBy("key", "page").agg(F.collect_list(F.struct("c", "comp", "n", "point")).alias("members"), F.min("n").alias("low"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     members = grouped.schema["members"].dataType
     kind = f"key long, page long, members {members.simpleString()}, low long, c0 long, c1 long, top binary"
     pages = store(grouped.mapInArrow(_tops, kind), "pages", dictionary=False)
@@ -246,8 +246,8 @@ def tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
     alike = "x0 = x1 and y0 = y1 and x0 = y0"
     near = x.join(y, "key").where(f"px < py and not ({alike})").select("key", "px", "py", "tx", "ty", "lx", "ly").mapInArrow(lambda b: _near_pages(b, percent), "key long, px long, py long")
     whole = pages.select("key", "page", "members")
-    two = near.join(whole.toDF("key", "px", "x"), ["key", "px"]).join(whole.toDF("key", "py", "y"), ["key", "py"]).select("key", "x", "y")
-    one = pages.where("c0 <> c1").select("key", F.col("members").alias("x"), F.lit(None).cast(members).alias("y"))
+    two = near.join(whole.toDF("key", "px", "x"), ["key", "px"]).join(whole.toDF("key", "py", "y"), ["key", "py"]).select("x", "y")
+    one = pages.where("c0 <> c1").select(F.col("members").alias("x"), F.lit(None).cast(members).alias("y"))
     return store(one.unionByName(two).mapInArrow(lambda b: _search(b, percent), "a long, b long").distinct(), "tree_pairs")
 
 
@@ -263,9 +263,9 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
     full = found.where("n_shingles > 0 and doc_id is not null")
     named = store(dense_rank(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), ["d1", "d2"], "c").select("d1", "d2", "rep", F.col("c").cast("long").alias("c")), "classes")
     members = store(full.select("doc_id", "n_shingles", "d1", "d2").join(named.drop("rep"), ["d1", "d2"]).select("doc_id", "n_shingles", "c"), "members")
-    chosen = full.join(named.withColumnRenamed("rep", "doc_id"), ["doc_id", "d1", "d2"]).dropDuplicates(["c"]).select("c", F.explode("keys").alias("key"))
+    chosen = full.join(named.withColumnRenamed("rep", "doc_id"), ["doc_id", "d1", "d2"]).select("c", F.explode("keys").alias("key"))
     firsts = store(chosen.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("key", "a"), "shared", dictionary=False)
-    met = store(chosen.join(firsts, "key"), "shared", dictionary=False)
+    met = store(chosen.join(firsts, "key").distinct(), "shared", dictionary=False)  # repeated rows of a document give its keys again
     # near copies share many partitions: of those with the same members one is enough
     members_of = met.groupBy("key").agg(F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y"), F.count("*").alias("m"), F.first("a").alias("a"))
     once = store(members_of.groupBy("x", "y", "m", "a").agg(F.min("key").alias("key")).select("key"), "once", dictionary=False)
@@ -279,8 +279,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
     at = met.select("key", "c").join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     several = at.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
     at = store(at.join(several, "key"), "open", dictionary=False)
-    at = at.join(at.groupBy("c").agg(F.collect_set("key").alias("keys")), "c").join(sets.select("c", "n", "point"), "c")
-    more = verify(tree_pairs(at, percent), sets, percent, bounded=True)
+    more = verify(tree_pairs(at.join(sets.select("c", "n", F.col("coarse").alias("point")), "c"), percent), sets, percent)
     comp = components(store(links.unionByName(more), "links")).toDF("c", "comp")
     placed = store(members.join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c")), "placed")
     least = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

@@ -114,8 +114,8 @@ def test_tree_pairs_are_those_the_bound_allows(spark, monkeypatch):
     base = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
     sets = [np.unique(np.concatenate([rng.choice(base, 90, replace=False), rng.integers(0, 1 << 63, int(k % 9), dtype=np.uint64)])) for k in range(130)]
     points = [jaccard.point(x) for x in sets]
-    rows = [(7, k, k // 50, len(x), [7, 9], points[k].tobytes()) for k, x in enumerate(sets)] + [(9, k, k // 50, len(x), [7, 9], points[k].tobytes()) for k, x in enumerate(sets)]
-    df = spark.createDataFrame(rows, "key long, c long, comp long, n long, keys array<long>, point binary")
+    rows = [(7, k, k // 50, len(x), points[k].tobytes()) for k, x in enumerate(sets)] + [(9, k, k // 50, len(x), points[k].tobytes()) for k, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, "key long, c long, comp long, n long, point binary")
     want = {(a, b) for a in range(130) for b in range(a + 1, 130) if a // 50 != b // 50 and jaccard.reach(int(np.minimum(points[a], points[b]).sum()), len(sets[a]), len(sets[b]), 85)}
     got = [(r["a"], r["b"]) for r in jaccard.tree_pairs(df, 85).collect()]
     assert len(got) == len(set(got)) and set(got) == want and want
