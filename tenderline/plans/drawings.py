@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tenderline.operators import drawings as dr, geometry, intake
 from tenderline.plans.quoting import norm_sql, rounded, tolerance_values
+from tenderline.sources import scratch
 from tenderline.sources.adapters import ctes, domain, doubles
 
 FEATURE = ["drawing", "n", "ftype", "nominal", "len_mm", "qty", "fit", "upper_mm", "lower_mm", "thread"]
@@ -60,10 +61,16 @@ def drawing_checks(spark: SparkSession, d: str) -> DataFrame:
     return dr.checks(x, own).select("drawing", F.array_join("warnings", ",").alias("warnings"))
 
 
+def read_drawings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """NR-11: (drawings, features) of requests, brought to one form and written once; and the numbers of those that cannot be read."""
+    x, own, rejected = _merged(spark, d)
+    out, features = dr.normalise_drawings(x, own, domain(spark, d, "material_keys"))
+    return scratch.once(spark, d, "normal_drawings", lambda: out), scratch.once(spark, d, "normal_features", lambda: features), rejected
+
+
 def normalised_drawings(spark: SparkSession, d: str) -> DataFrame:
     """NR-11."""
-    x, own, _ = _merged(spark, d)
-    out, features = dr.normalise_drawings(x, own, domain(spark, d, "material_keys"))
+    out, features, _ = read_drawings(spark, d)
     graded = features.groupBy("drawing").agg(F.count("grade").alias("n_graded"), F.round(F.sum("upper_mm") + 1e-7, 3).alias("upper_sum"))
     out = out.join(graded, "drawing", "left")
     return out.select("drawing", "shape_class", "material_code", rounded("max_diameter_mm").alias("max_diameter_mm"), rounded("length_mm").alias("length_mm"), F.coalesce("n_graded", F.lit(0)).alias("n_graded"), "upper_sum", F.array_join("warnings", ",").alias("warnings"))
@@ -140,12 +147,15 @@ _NORMAL = f""", iu AS (SELECT *, coalesce(units = 'inch', FALSE) AS inch FROM mg
     kn AS (SELECT drawing, max(nullif(nominal, 0)) FILTER (ftype IN ('outer_diameter', 'spline')) AS kd, round(sum(nullif(len_mm, 0)) FILTER (ftype = 'outer_diameter') + 1e-7, 3) AS kl FROM f4 GROUP BY 1),
     d2 AS (SELECT d.* EXCLUDE (max_diameter_mm, length_mm), CASE WHEN shape_class = 'rotational' THEN coalesce(max_diameter_mm, kd) ELSE max_diameter_mm END AS max_diameter_mm, CASE WHEN shape_class = 'rotational' THEN coalesce(length_mm, kl) ELSE length_mm END AS length_mm,
         shape_class = 'rotational' AND max_diameter_mm IS NULL AND kd IS NOT NULL AS from_d, shape_class = 'rotational' AND length_mm IS NULL AND kl IS NOT NULL AS from_l FROM d1 d LEFT JOIN kn ON kn.drawing = d.drawing),
-    d3 AS (SELECT *, CASE shape_class WHEN 'rotational' THEN max_diameter_mm IS NULL OR length_mm IS NULL WHEN 'prismatic' THEN length_mm IS NULL OR width_mm IS NULL OR height_mm IS NULL ELSE FALSE END AS incomplete FROM d2)""" + _checked("d3", "f4") + """, gr AS (SELECT drawing, count(grade) AS n_graded, round(sum(upper_mm) + 1e-7, 3) AS upper_sum FROM f4 GROUP BY 1)
-    SELECT d.drawing, shape_class, material_code, round(max_diameter_mm + 1e-7, 4) AS max_diameter_mm, round(length_mm + 1e-7, 4) AS length_mm, coalesce(n_graded, 0) AS n_graded, upper_sum,
-        array_to_string(list_filter(list_concat([CASE WHEN inch THEN 'inches converted' END, CASE WHEN listed THEN 'set to assembly' END, CASE WHEN material IS NOT NULL AND material_code IS NULL AND shape_class <> 'assembly' THEN 'material not found' END, CASE WHEN material IS NULL AND shape_class <> 'assembly' THEN 'no material' END,
-            CASE WHEN from_d THEN 'diameter derived' END, CASE WHEN from_l THEN 'length derived' END, CASE WHEN incomplete THEN 'envelope incomplete' END], ck.warnings), lambda m : m IS NOT NULL), ',') AS warnings FROM d3 d JOIN ck ON ck.drawing = d.drawing LEFT JOIN gr ON gr.drawing = d.drawing"""
+    d3 AS (SELECT *, CASE shape_class WHEN 'rotational' THEN max_diameter_mm IS NULL OR length_mm IS NULL WHEN 'prismatic' THEN length_mm IS NULL OR width_mm IS NULL OR height_mm IS NULL ELSE FALSE END AS incomplete FROM d2)""" + _checked("d3", "f4") + """, gr AS (SELECT drawing, count(grade) AS n_graded, round(sum(upper_mm) + 1e-7, 3) AS upper_sum FROM f4 GROUP BY 1),
+    normal AS (SELECT d.drawing, shape_class, items, width_mm, height_mm, material_code, round(max_diameter_mm + 1e-7, 4) AS max_diameter_mm, round(length_mm + 1e-7, 4) AS length_mm, coalesce(n_graded, 0) AS n_graded, upper_sum,
+        list_filter(list_concat([CASE WHEN inch THEN 'inches converted' END, CASE WHEN listed THEN 'set to assembly' END, CASE WHEN material IS NOT NULL AND material_code IS NULL AND shape_class <> 'assembly' THEN 'material not found' END, CASE WHEN material IS NULL AND shape_class <> 'assembly' THEN 'no material' END,
+            CASE WHEN from_d THEN 'diameter derived' END, CASE WHEN from_l THEN 'length derived' END, CASE WHEN incomplete THEN 'envelope incomplete' END], ck.warnings), lambda m : m IS NOT NULL) AS warnings FROM d3 d JOIN ck ON ck.drawing = d.drawing LEFT JOIN gr ON gr.drawing = d.drawing)"""
+#: What the drawings of requests look like once read, merged and normalised: (normal, f4).
+READ = _MERGED + _NORMAL
 _KEY = "regexp_replace(lower(regexp_replace({0}, '\\.[A-Za-z0-9]+$', '')), '[^a-z0-9]', '', 'g')"
 _READ = ctes("readings", "views")
+READ_TABLES = ("readings", "views", "titles", "notes", "material_keys")
 _ALL = ctes("readings", "views", "titles", "notes")
 
 QUERIES = {f.__name__: f for f in (repaired_features, completed_features, feature_repairs, plausible_envelopes, merged_drawings, rejected_drawings, drawing_checks, normalised_drawings, matched_attachments, normalised_requests, normalised_lines)}
@@ -157,7 +167,7 @@ ORACLES = {
     "merged_drawings": _ALL + _MERGED + " SELECT mg.drawing, shape_class, no_title, no_notes, CASE WHEN built THEN k ELSE 0 END AS n_ignored, coalesce(c, 0) AS n_features, gear_mm FROM mg LEFT JOIN (SELECT drawing, count(*) AS c, max(nominal) FILTER (evidence = 'gear data') AS gear_mm FROM mf GROUP BY 1) x ON x.drawing = mg.drawing",
     "rejected_drawings": ctes("views", "titles", "notes") + " SELECT drawing FROM (SELECT drawing FROM titles UNION SELECT drawing FROM notes) WHERE drawing NOT IN (SELECT drawing FROM views)",
     "drawing_checks": _ALL + _MERGED + _checked("mg", "mf") + " SELECT drawing, array_to_string(warnings, ',') AS warnings FROM ck",
-    "normalised_drawings": ctes("readings", "views", "titles", "notes", "material_keys") + _MERGED + _NORMAL,
+    "normalised_drawings": ctes(*READ_TABLES) + READ + " SELECT drawing, shape_class, material_code, max_diameter_mm, length_mm, n_graded, upper_sum, array_to_string(warnings, ',') AS warnings FROM normal",
     "matched_attachments": ctes("intake_items", "attachments") + f""", x AS (SELECT i.rfq_id, line_no, file, {_KEY.format('drawing_ref')} AS r, {_KEY.format('file')} AS k FROM intake_items i JOIN attachments a ON a.rfq_id = i.rfq_id WHERE {_KEY.format('drawing_ref')} <> ''),
         b AS (SELECT rfq_id, line_no, min(file) FILTER (r = k) AS same, min(file) FILTER (contains(r, k) OR contains(k, r)) AS one, count(*) FILTER (contains(r, k) OR contains(k, r)) AS n FROM x GROUP BY 1, 2)
         SELECT i.rfq_id, i.line_no, drawing_ref, coalesce(same, CASE WHEN n = 1 THEN one END) AS file FROM intake_items i LEFT JOIN b ON b.rfq_id = i.rfq_id AND b.line_no = i.line_no""",

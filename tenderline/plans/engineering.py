@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tenderline.operators import bom as bom_ops, geometry, routing, triage, validation
 from tenderline.params import DEFAULT
-from tenderline.plans import quoting
+from tenderline.plans import drawings, quoting
 from tenderline.plans.quoting import GUESS, MEAN, rounded, tolerance_values
+from tenderline.sources import scratch
 from tenderline.sources.adapters import ctes, domain, doubles
 
 VOLUMES = ["envelope_cm3", "finished_cm3", "stock_cm3", "removed_cm3", "cut_mm"]
@@ -60,7 +61,10 @@ def drawing_findings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _line_findings(spark: SparkSession, d: str) -> DataFrame:
-    return validation.line_findings(domain(spark, d, "items"), _drawings(spark, d), _findings(spark, d))
+    built = domain(spark, d, "parts").where("shape_class = 'assembly'").select("part_id")
+    unknown = bom_ops.new_items(quoting._priced_bom(spark, d)).join(built, "part_id")
+    unreadable = drawings.read_drawings(spark, d)[2].withColumnRenamed("drawing", "rfq_id")
+    return validation.line_findings(domain(spark, d, "items"), _drawings(spark, d), _findings(spark, d), unknown, unreadable)
 
 
 def findings_by_request(spark: SparkSession, d: str) -> DataFrame:
@@ -74,15 +78,20 @@ def ordered_findings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _assessed(spark: SparkSession, d: str) -> DataFrame:
-    """Lines with their scores: most similar part, deviation of the recommended price from it, priced share of the parts list, coverage and findings."""
-    parts = domain(spark, d, "parts")
-    found = _findings(spark, d).groupBy("part_id").agg(F.count_if(F.col("severity") == "blocker").alias("n_blockers"), F.count_if((F.col("severity") == "warning") & F.col("fid").isNull()).alias("n_warnings"))
-    cover = routing.uncovered(_context(spark, d)).select("part_id", "coverage")
-    filled = F.col("material_code").isNotNull().cast("int") + (F.col("main_mm") > 0).cast("int") + F.col("min_it").isNotNull().cast("int") + 2
-    evidence = domain(spark, d, "features").groupBy("part_id").agg(F.avg(F.col("fit").isNotNull().cast("double")).alias("told"))
-    x = parts.join(found, "part_id", "left").join(cover, "part_id").join(evidence, "part_id", "left").join(bom_ops.priced_share(quoting._priced_bom(spark, d)), "part_id", "left").fillna(0, ["n_blockers", "n_warnings"]).fillna({"told": 1.0, "bom_match": 0.0})
-    scored = x.select("part_id", "shape_class", triage.extraction(filled, 5, F.col("told"), F.col("n_warnings")).alias("extraction"), "coverage", "bom_match", "n_blockers", "n_warnings")
-    return triage.assess(quoting._deviations(spark, d).join(scored, "part_id"))
+    """Lines with their scores: what was read of the request's drawing and with what evidence, most similar part, deviation of the recommended price from it, priced
+    share of the parts list, coverage, and all findings of the line."""
+
+    def build() -> DataFrame:
+        cover = routing.uncovered(_context(spark, d)).select("part_id", "coverage")
+        x = domain(spark, d, "parts").select("part_id", "shape_class").join(cover, "part_id").join(bom_ops.priced_share(quoting._priced_bom(spark, d)), "part_id", "left").fillna({"bom_match": 0.0})
+        read, features, _ = drawings.read_drawings(spark, d)
+        told = triage.extraction_scores(read, features, domain(spark, d, "titles")).withColumnRenamed("drawing", "rfq_id")
+        lines = quoting._deviations(spark, d).drop("qty").join(x, "part_id").join(domain(spark, d, "items").select("rfq_id", "line_no", F.col("qty").alias("asked")), ["rfq_id", "line_no"])
+        lines = lines.join(validation.count_findings(_line_findings(spark, d)), ["rfq_id", "line_no"], "left").fillna(0, ["n_blockers", "n_warnings"]).join(told, "rfq_id", "left")
+        lines = lines.withColumn("extraction", triage.extraction(F.col("has"), F.col("told"), F.col("n_faults"), F.col("asked")))
+        return triage.assess(lines.drop("has", "told", "n_faults", "asked"))
+
+    return scratch.once(spark, d, "assessed", build)
 
 
 def line_tiers(spark: SparkSession, d: str) -> DataFrame:
@@ -185,13 +194,22 @@ _FOUND = f""", dr AS (SELECT p.part_id, shape_class, material_code, mat_group, s
         UNION ALL SELECT part_id, fid, 'DFM-006', 'warning' FROM ff WHERE ftype IN ('pocket', 'slot') AND radius < 0.5
         UNION ALL SELECT part_id, NULL, 'DFM-006', 'warning' FROM dr WHERE regexp_matches(lower(notes), '(sharp|scharf).*(corner|radi|ecke)')
         UNION ALL SELECT part_id, fid, 'DFM-007', 'info' FROM ff WHERE ftype = 'thread' AND deep > 3),
-    lf AS (SELECT rfq_id, line_no, fid, code, severity FROM items JOIN finds USING (part_id) UNION ALL SELECT rfq_id, line_no, NULL, 'VAL-010', 'blocker' FROM items WHERE part_id NOT IN (SELECT part_id FROM dr)
-        UNION ALL SELECT rfq_id, line_no, NULL, 'VAL-003', 'blocker' FROM items WHERE coalesce(qty, 0) <= 0)"""
-_TIERS = """, fc AS (SELECT part_id, count(*) FILTER (severity = 'blocker') AS n_blockers, count(*) FILTER (severity = 'warning' AND fid IS NULL) AS n_warnings FROM finds GROUP BY 1),
-    tl AS (SELECT part_id, avg((fit IS NOT NULL)::INT) AS told FROM features GROUP BY 1), ps_ AS (SELECT part_id, count(unit_cost) / count(*) AS bm FROM pb GROUP BY 1),
-    sc AS (SELECT p.part_id, p.shape_class, ((p.material_code IS NOT NULL)::INT + (p.main_mm > 0)::INT + (p.min_it IS NOT NULL)::INT + 2) / 5 * coalesce(told, 1.0) * (1 - 0.1 * coalesce(n_warnings, 0)) AS extraction,
-        coverage, coalesce(bm, 0.0) AS bm, coalesce(n_blockers, 0) AS nb, coalesce(n_warnings, 0) AS nw FROM parts p JOIN cov USING (part_id) LEFT JOIN fc USING (part_id) LEFT JOIN tl USING (part_id) LEFT JOIN ps_ USING (part_id)),
-    rw AS (SELECT i.rfq_id, i.line_no, sc.*, t.score AS top, dv.deviation AS dev FROM items i JOIN sc USING (part_id) LEFT JOIN top t ON t.query_id = i.part_id AND t.rank = 1 LEFT JOIN dv ON dv.rfq_id = i.rfq_id AND dv.line_no = i.line_no),
+    lf0 AS (SELECT rfq_id, line_no, fid, code, severity FROM items JOIN finds USING (part_id) UNION ALL SELECT rfq_id, line_no, NULL, 'VAL-010', 'blocker' FROM items WHERE part_id NOT IN (SELECT part_id FROM dr)
+        UNION ALL SELECT rfq_id, line_no, NULL, 'VAL-003', 'blocker' FROM items WHERE coalesce(qty, 0) <= 0),
+    lf AS (SELECT * FROM lf0 UNION ALL SELECT rfq_id, line_no, NULL, 'VAL-011', 'warning' FROM items JOIN pb USING (part_id) JOIN parts USING (part_id) WHERE shape_class = 'assembly' AND source = 'new' AND coalesce(standard, '') = ''
+        UNION ALL SELECT rfq_id, line_no, NULL, 'VAL-010', 'blocker' FROM items i WHERE rfq_id IN (SELECT drawing FROM titles UNION SELECT drawing FROM notes) AND rfq_id NOT IN (SELECT drawing FROM views) AND NOT EXISTS (SELECT 1 FROM lf0 l WHERE l.rfq_id = i.rfq_id AND l.line_no = i.line_no AND severity = 'blocker'))"""
+_TIERS = """, fc AS (SELECT rfq_id, line_no, count(*) FILTER (severity = 'blocker') AS nb, count(*) FILTER (severity = 'warning') AS nw FROM lf GROUP BY 1, 2),
+    tb AS (SELECT drawing, unnest(['part_number', 'revision', 'title', 'material', 'general_tolerance', 'default_ra', 'scale']) AS field, unnest([part_number, revision, title, material, general_tolerance, default_ra::VARCHAR, scale]) AS val, evidence FROM titles),
+    tf AS (SELECT drawing, count(*) AS n, count(*) FILTER (contains(';' || evidence, ';' || field || '=')) AS shown, bool_or(field = 'part_number') AS pn, bool_or(field = 'material') AS mt FROM tb WHERE trim(val) <> '' GROUP BY 1),
+    fe AS (SELECT drawing, count(*) AS n, count(evidence) AS shown FROM f4 GROUP BY 1),
+    ex AS (SELECT nd.drawing, CASE WHEN coalesce(tf.n, 0) + coalesce(fe.n, 0) = 0 THEN 0.0 ELSE (coalesce(tf.shown, 0) + coalesce(fe.shown, 0)) / (coalesce(tf.n, 0) + coalesce(fe.n, 0)) END AS told, len(warnings) AS faults,
+        coalesce(pn, FALSE)::INT + (coalesce(mt, FALSE) OR shape_class = 'assembly')::INT + (coalesce(fe.n, 0) > 0 OR (shape_class = 'assembly' AND items IS NOT NULL))::INT
+        + coalesce(CASE shape_class WHEN 'rotational' THEN max_diameter_mm > 0 AND length_mm > 0 WHEN 'prismatic' THEN length_mm > 0 AND width_mm > 0 AND height_mm > 0 ELSE coalesce(max_diameter_mm > 0, FALSE) OR coalesce(length_mm > 0, FALSE) OR coalesce(width_mm > 0, FALSE) OR coalesce(height_mm > 0, FALSE) END, FALSE)::INT AS has
+        FROM normal nd LEFT JOIN tf ON tf.drawing = nd.drawing LEFT JOIN fe ON fe.drawing = nd.drawing),
+    ps_ AS (SELECT part_id, count(unit_cost) / count(*) AS bm FROM pb GROUP BY 1),
+    sc AS (SELECT p.part_id, p.shape_class, coverage, coalesce(bm, 0.0) AS bm FROM parts p JOIN cov USING (part_id) LEFT JOIN ps_ USING (part_id)),
+    rw AS (SELECT i.rfq_id, i.line_no, sc.*, coalesce(nb, 0) AS nb, coalesce(nw, 0) AS nw, t.score AS top, dv.deviation AS dev, CASE WHEN told IS NULL THEN 0.0 ELSE least(1.0, greatest(0.0, (has + (i.qty > 0)::INT) / 5 * told * (1 - 0.1 * faults))) END AS extraction
+        FROM items i JOIN sc USING (part_id) LEFT JOIN fc ON fc.rfq_id = i.rfq_id AND fc.line_no = i.line_no LEFT JOIN ex ON ex.drawing = i.rfq_id LEFT JOIN top t ON t.query_id = i.part_id AND t.rank = 1 LEFT JOIN dv ON dv.rfq_id = i.rfq_id AND dv.line_no = i.line_no),
     rs AS (SELECT *, CASE WHEN dev IS NULL THEN 0.6 WHEN abs(dev) <= 0.15 THEN 1.0 WHEN abs(dev) <= 0.3 THEN 0.7 ELSE 0.4 END AS ps FROM rw),
     ov AS (SELECT *, CASE WHEN shape_class = 'assembly' THEN 0.3 * extraction + 0.2 * coalesce(top, 0.3) + 0.15 * coverage + 0.15 * ps + 0.2 * bm ELSE 0.35 * extraction + 0.25 * coalesce(top, 0.3) + 0.2 * coverage + 0.2 * ps END AS raw FROM rs),
     gt AS (SELECT *, CASE WHEN nw > 0 THEN 'warnings present' WHEN coalesce(top, 0) < 0.85 THEN 'no close precedent' WHEN dev IS NULL OR abs(dev) > 0.3 THEN 'price not confirmed' END AS gate FROM ov),
@@ -201,8 +219,17 @@ _TIERS = """, fc AS (SELECT part_id, count(*) FILTER (severity = 'blocker') AS n
 
 _TABLE = tolerance_values()
 _M, _R = ctes("parts", "features"), ctes("parts", "features", "specs", "materials", "bom")
-_F = ctes("parts", "features", "specs", "materials", "items")
-ASSESSED = ctes("features", "specs", "history", "recorded", *quoting._COST_TABLES) + quoting._COST_BODY + quoting._SIM_BODY + _ROUTED + quoting.DEVIATION + _COVERAGE + _FOUND + _TIERS
+FOUND_TABLES = ("parts", "features", "specs", "materials", "items", "bom", "catalog", "part_numbers", "part_costs", "views", "titles", "notes")
+_F = ctes(*FOUND_TABLES) + quoting.BOM_BODY
+ASSESSED_TABLES = ("features", "specs", "history", "recorded", *drawings.READ_TABLES, *quoting._COST_TABLES)
+
+
+def assessed(*more: str) -> str:
+    """SQL up to the tiers of lines (tr), with more domain tables before it."""
+    return ctes(*ASSESSED_TABLES, *more) + drawings.READ + quoting._COST_BODY + quoting._SIM_BODY + _ROUTED + quoting.DEVIATION + _COVERAGE + _FOUND + _TIERS
+
+
+ASSESSED = assessed()
 
 QUERIES = {f.__name__: f for f in (tolerance_grades, part_geometry, rule_operations, single_part_boms, uncovered_features, drawing_findings, findings_by_request, ordered_findings, line_tiers, request_tiers, tier_distribution)}
 ORACLES = {

@@ -249,7 +249,7 @@ ORACLES = {
         al AS (SELECT rfq_id, -1 AS line_no, coalesce(incoterm, 'FCA') AS label, 0 AS k, 'prices' AS key FROM overrides UNION ALL SELECT rfq_id, line_no, label, x.k, x.key FROM ks UNION ALL SELECT rfq_id, 1000, '', 0, 'lead' FROM overrides UNION ALL SELECT rfq_id, 1001, '', 0, 'validity' FROM overrides),
         en(key, t) AS (VALUES {_texts(quotes.ASSUMPTIONS, 0)}), de(key, t) AS (VALUES {_texts(quotes.ASSUMPTIONS, 1)})
         SELECT al.rfq_id, CAST(row_number() OVER (PARTITION BY al.rfq_id ORDER BY line_no, k) AS INT) AS ordinal, replace(CASE WHEN language = 'de' THEN de.t ELSE en.t END, '{{}}', label) AS text FROM al JOIN overrides o ON o.rfq_id = al.rfq_id JOIN en ON en.key = al.key JOIN de ON de.key = al.key""",
-    "customer_questions": ctes("parts", "features", "specs", "materials", "items", "overrides") + eng._FOUND + _LISTED + f""", en(code, t) AS (VALUES {_texts(quotes.QUESTIONS, 0)}), de(code, t) AS (VALUES {_texts(quotes.QUESTIONS, 1)}),
+    "customer_questions": ctes(*eng.FOUND_TABLES, "overrides") + quoting.BOM_BODY + eng._FOUND + _LISTED + f""", en(code, t) AS (VALUES {_texts(quotes.QUESTIONS, 0)}), de(code, t) AS (VALUES {_texts(quotes.QUESTIONS, 1)}),
         q AS (SELECT o.rfq_id, o.line_no, ordinal AS k, '#' || o.line_no || coalesce(' (' || CASE o.code WHEN 'DFM-001' THEN 'wall ' || CAST(nominal AS INT) || ' mm' WHEN 'DFM-002' THEN 'hole ' || CAST(nominal AS INT) || ' mm' END || ')', '') || ': ' || CASE WHEN language = 'de' THEN coalesce(de.t, '{quotes.OTHER_QUESTION[1]}') ELSE coalesce(en.t, '{quotes.OTHER_QUESTION[0]}') END AS text
             FROM ord_ o JOIN overrides v ON v.rfq_id = o.rfq_id LEFT JOIN features f ON f.fid = o.fid LEFT JOIN en ON en.code = o.code LEFT JOIN de ON de.code = o.code WHERE severity IN ('blocker', 'warning') UNION ALL SELECT rfq_id, 1000, 0, trim(remark) FROM overrides WHERE trim(coalesce(remark, '')) <> '')
         SELECT rfq_id, CAST(row_number() OVER (PARTITION BY rfq_id ORDER BY line_no, k) AS INT) AS ordinal, text FROM q""",
@@ -262,7 +262,7 @@ ORACLES = {
     "edited_operations": ctes("ops", "edits") + _steps() + """ SELECT s.rfq_id, s.line_no, seq, op_code, round(setup_min + 1e-7, 4) AS setup_min, round(cycle_min + 1e-7, 4) AS cycle_min, basis, suggested FROM s3 s LEFT JOIN er ON er.rfq_id = s.rfq_id AND er.line_no = s.line_no WHERE error IS NULL
         UNION ALL SELECT s.rfq_id, s.line_no, seq, op_code, round(setup_min + 1e-7, 4), round(cycle_min + 1e-7, 4), basis, suggested FROM s0 s JOIN er ON er.rfq_id = s.rfq_id AND er.line_no = s.line_no WHERE error IS NOT NULL""",
     "rejected_rounds": ctes("ops", "edits") + _steps() + " SELECT rfq_id, line_no, error FROM er WHERE error IS NOT NULL",
-    "line_snapshots": eng.ASSESSED.replace("WITH ", ctes("overrides") + ", ", 1) + f""", w AS (SELECT rfq_id, CASE WHEN margin > 1 THEN margin / 100 ELSE margin END AS m, nullif(upper(plant), 'AUTO') AS wish FROM overrides),
+    "line_snapshots": eng.assessed("overrides") + f""", w AS (SELECT rfq_id, CASE WHEN margin > 1 THEN margin / 100 ELSE margin END AS m, nullif(upper(plant), 'AUTO') AS wish FROM overrides),
         pl AS (SELECT r.rfq_id, r.line_no, coalesce(b.plant, r.plant) AS plant, CASE WHEN m >= 0 AND m < 0.9 THEN m ELSE {DEFAULT.margin} END AS margin FROM rec r LEFT JOIN w USING (rfq_id) LEFT JOIN broken b ON b.rfq_id = r.rfq_id AND b.line_no = r.line_no AND b.qty = r.qty AND b.plant = w.wish AND b.feasible),
         pr AS (SELECT rfq_id, line_no, string_agg(x, ';' ORDER BY x) AS prices FROM (SELECT rfq_id, line_no, plant || '@' || qty || '=' || printf('%.2f', round(unit_price + 1e-7, 2)) AS x FROM broken WHERE feasible) GROUP BY 1, 2),
         os AS (SELECT rfq_id, line_no, CAST(count(*) AS INT) AS n_ops, sum(cycle_min) AS c FROM ops GROUP BY 1, 2)
@@ -280,7 +280,7 @@ ORACLES = {
         SELECT CASE WHEN drawing % 3 = 0 THEN 'held out' ELSE 'tuning' END AS set, variant, count(*) AS n_drawings, round(sum(n_matched) / nullif(sum(n_expected), 0) + 1e-7, 4) AS recall, round(sum(n_matched) / nullif(sum(n_read), 0) + 1e-7, 4) AS precision, round(sum(n_right) / nullif(sum(n_tolerances), 0) + 1e-7, 4) AS tolerances FROM u GROUP BY 1, 2""",
     "rolling_factors": ctes("edited", "items", "reviewed") + f""", x AS (SELECT e.centre, after_cycle / nullif(before_cycle, 0) AS r, part_id, reviewer FROM edited e JOIN items i ON i.rfq_id = e.rfq_id AND i.line_no = e.line_no JOIN reviewed v ON v.rfq_id = e.rfq_id WHERE NOT removed AND (abs(after_cycle - before_cycle) > 1e-9 OR abs(after_setup - before_setup) > 1e-9) AND NOT reused AND done <= DATE '{AS_OF}' AND done > DATE '{AS_OF}' - INTERVAL 6 MONTH)
         SELECT centre, count(*) AS n, count(DISTINCT part_id) AS n_parts, count(DISTINCT reviewer) AS n_engineers, round(median(r) + 1e-7, 4) AS factor FROM x WHERE r IS NOT NULL GROUP BY 1 HAVING count(*) >= 20 AND count(DISTINCT part_id) >= 5 AND count(DISTINCT reviewer) >= 2""",
-    "inbox": eng.ASSESSED.replace("WITH ", ctes("calls", "wanted", "requests", "quotes") + ", ", 1) + """, rn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rfq_id ORDER BY ts DESC, id DESC) AS k FROM calls) WHERE k = 1),
+    "inbox": eng.assessed("calls", "wanted", "requests", "quotes") + """, rn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rfq_id ORDER BY ts DESC, id DESC) AS k FROM calls) WHERE k = 1),
         rk AS (SELECT rfq_id, max(CASE tier WHEN 'manual' THEN 3 WHEN 'standard' THEN 2 ELSE 1 END) AS r, count(*) AS n_lines FROM tr GROUP BY 1), vs AS (SELECT r.rfq_id, 'Q-' || r.rfq_id || '-v' || coalesce(v + 1, 1) AS quote_id FROM requests r LEFT JOIN (SELECT rfq_id, max(version) AS v FROM quotes GROUP BY 1) q ON q.rfq_id = r.rfq_id)
         SELECT rn.rfq_id, customer, node, ok, ['fast_track', 'standard', 'manual'][r] AS tier, n_lines, quote_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS updated FROM rn LEFT JOIN wanted w ON w.rfq_id = rn.rfq_id LEFT JOIN rk ON rk.rfq_id = rn.rfq_id LEFT JOIN vs ON vs.rfq_id = rn.rfq_id""",
     "equal_values": ctes("understood", "wanted") + f" SELECT u.rfq_id, {_PLAIN.format('u.customer')} = {_PLAIN.format('w.customer')} AS customer, {_PLAIN.format('u.priority')} = {_PLAIN.format('w.priority')} AS priority, {_NUM_EQ.format('u.total', 'w.total', '0.01')} AS total FROM understood u JOIN wanted w ON w.rfq_id = u.rfq_id",
