@@ -98,21 +98,31 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def profiles(docs: DataFrame, percent: int, words: int) -> DataFrame:
-    """doc_id, n_shingles, d1, d2 (128-bit digest of the set), keys (its partitions)."""
+def profiles(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n_shingles, d1, d2 (128-bit digest of the set)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets, digests in _sets(batches, words):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), *digests], names=["doc_id", "n_shingles", "d1", "d2"])
+
+    return _texts(docs).mapInArrow(work, "doc_id long, n_shingles long, d1 long, d2 long")
+
+
+def with_partitions(docs: DataFrame, percent: int, words: int) -> DataFrame:
+    """doc_id, d1, d2 and keys (the partitions of the set); no keys without shingles."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = levels(1 << 12, percent)
         for batch, sets, digests in _sets(batches, words):
-            sizes = np.array([len(x) for x in sets], np.int64)
-            if sizes.max() >= bounds[-3]:
-                bounds = levels(int(sizes.max()) * 2, percent)
+            largest = max(len(x) for x in sets)
+            if largest >= bounds[-3]:
+                bounds = levels(largest * 2, percent)
             with np.errstate(over="ignore"):
                 keys = [partitions(x, bounds, percent) if len(x) else x for x in sets]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), *digests, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64)))], names=["doc_id", "n_shingles", "d1", "d2", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *digests, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64)))], names=["doc_id", "d1", "d2", "keys"])
 
-    return _texts(docs).mapInArrow(work, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>")
+    return _texts(docs).mapInArrow(work, "doc_id long, d1 long, d2 long, keys array<long>")
 
 
 def read_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
@@ -259,13 +269,15 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
     nothing; a null doc_id is linked with nothing, its component is null. Rows of one doc_id are one document, which is linked with whatever any of its texts is.
     An empty table has no rows; other columns are ignored.
     """
-    found = store(profiles(docs, percent, words), "profiles", dictionary=False)
+    found = store(profiles(docs, words), "profiles", dictionary=False)
     full = found.where("n_shingles > 0 and doc_id is not null")
     named = store(dense_rank(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), ["d1", "d2"], "c").select("d1", "d2", "rep", F.col("c").cast("long").alias("c")), "classes")
     members = store(full.select("doc_id", "n_shingles", "d1", "d2").join(named.drop("rep"), ["d1", "d2"]).select("doc_id", "n_shingles", "c"), "members")
-    chosen = full.join(named.withColumnRenamed("rep", "doc_id"), ["doc_id", "d1", "d2"]).select("c", F.explode("keys").alias("key"))
-    firsts = store(chosen.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("key", "a"), "shared", dictionary=False)
-    met = store(chosen.join(firsts, "key").distinct(), "shared", dictionary=False)  # repeated rows of a document give its keys again
+    # one document of each class gives its partitions; those that no other class is in go where they arrive, in the one shuffle by partition
+    firsts = with_partitions(docs, percent, words).join(named.withColumnRenamed("rep", "doc_id").hint("shuffle_hash"), ["doc_id", "d1", "d2"])
+    per = Window.partitionBy("key")
+    spread = firsts.select("c", F.explode("keys").alias("key")).withColumns({"a": F.min("c").over(per), "z": F.max("c").over(per)})
+    met = store(spread.where("a < z").select("key", "c", "a").distinct(), "shared", dictionary=False)  # repeated rows of a document give its keys again
     # near copies share many partitions: of those with the same members one is enough
     members_of = met.groupBy("key").agg(F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y"), F.count("*").alias("m"), F.first("a").alias("a"))
     once = store(members_of.groupBy("x", "y", "m", "a").agg(F.min("key").alias("key")).select("key"), "once", dictionary=False)
