@@ -40,29 +40,47 @@ def pieces_of(rows: DataFrame, column: str, n: int) -> DataFrame:
     return rows.withColumn("piece", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(column), i, F.lit(n))))))
 
 
+def assign(ops: DataFrame, recorded: DataFrame) -> DataFrame:
+    """Which recorded operation each operation of a part takes: part_id, seq, ref_seq, one row for each that finds one.
+
+    Operations choose in their order, each among what those before it have left: an outsourced one the first of the same service; any other the first of the same centre and operation, else the
+    first of the same centre that is not outsourced. A part's operations are few, so both lists of a part are one row, and the choice is a fold over them that carries what is used.
+    """
+    fields = ("op_code", "work_center", "service_code")
+    listed = lambda df, name: df.groupBy("part_id").agg(F.array_sort(F.collect_list(F.struct("seq", *fields))).alias(name))
+    both = listed(ops.withColumn("seq", F.col("seq").cast("long")), "mine").join(listed(recorded.withColumn("seq", F.col("seq").cast("long")), "theirs"), "part_id")
+
+    def choose(acc: Column, op: Column) -> Column:
+        free = F.filter("theirs", lambda r: ~F.array_contains(acc["used"], r["seq"]))
+        first = lambda fits: F.get(F.filter(free, fits), F.lit(0))["seq"]
+        centre = lambda r: F.coalesce(r["work_center"] == op["work_center"], F.lit(False))
+        same = first(lambda r: F.coalesce(r["service_code"] == op["service_code"], F.lit(False)))
+        alike = first(lambda r: centre(r) & F.coalesce(r["op_code"] == op["op_code"], F.lit(False)))
+        near = first(lambda r: centre(r) & (F.coalesce(r["service_code"], F.lit("")) == ""))
+        hit = F.when(op["service_code"].isNotNull(), same).otherwise(F.coalesce(alike, near))
+        pair = F.array(F.struct(op["seq"].alias("seq"), hit.alias("ref_seq")))
+        return F.when(hit.isNull(), acc).otherwise(F.struct(F.array_append(acc["used"], hit).alias("used"), F.concat(acc["pairs"], pair).alias("pairs")))
+
+    none = F.struct(F.array().cast("array<bigint>").alias("used"), F.array().cast("array<struct<seq: bigint, ref_seq: bigint>>").alias("pairs"))
+    return both.select("part_id", F.explode(F.aggregate("mine", none, choose)["pairs"]).alias("p")).select("part_id", "p.*")
+
+
 def calibrate(ops: DataFrame, top: DataFrame, recorded: DataFrame, volumes: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """RT-17: rule operations blended with the recorded ones of the most similar part, and its other operations as suggestions.
 
     top: part_id, ref_part_id, score (one row a part; below min_blend no effect). The weight is the squared score, recorded
-    times scale with volume to 2/3. An operation takes the recorded one of the same service, else of the same centre and
-    operation, else of the same centre; several of one kind pair up in their order, exact matches before looser ones.
+    times scale with volume to 2/3. Which recorded operation an operation takes: assign().
     """
     v = volumes.select("part_id", "envelope_cm3")
     t = top.where(F.col("score") >= params.min_blend).join(v, "part_id", "left").join(v.toDF("ref_part_id", "ref_cm3"), "ref_part_id", "left")
     scale = F.when((F.col("envelope_cm3") > 0) & (F.col("ref_cm3") > 0), F.pow(F.col("envelope_cm3") / F.col("ref_cm3"), F.lit(2 / 3))).otherwise(1.0)
     t = t.select("part_id", "ref_part_id", "score", F.round(F.col("score") * F.col("score") + 1e-9, 4).alias("w"), scale.alias("scale"))
-    kind = F.coalesce("service_code", F.concat_ws("|", "work_center", "op_code"))
-    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("seq"))
-    mine = ops.withColumn("kind", kind).withColumn("k", nth("part_id", "kind"))
-    theirs = recorded.select(F.col("part_id").alias("ref_part_id"), "seq", *[F.col(c).alias(f"ref_{c}") for c in ("op_code", "work_center", "service_code", "setup_min", "cycle_min")])
-    theirs = t.select("part_id", "ref_part_id").join(theirs, "ref_part_id").withColumn("kind", F.coalesce("ref_service_code", F.concat_ws("|", "ref_work_center", "ref_op_code"))).withColumn("k", nth("part_id", "kind")).withColumnRenamed("seq", "ref_seq").drop("ref_part_id")
-    both = mine.join(theirs, ["part_id", "kind", "k"], "full_outer").drop("kind", "k")
-    loose = lambda c: F.when(F.col(f"{c}op_code").isNotNull() & F.col(f"{c}service_code").isNull(), F.col(f"{c}work_center"))
-    matched = both.where("op_code is not null and ref_op_code is not null")
-    lone = both.where("ref_op_code is null").select(*ops.columns).withColumn("centre", loose("")).withColumn("k", nth("part_id", "centre"))
-    spare = both.where("op_code is null").select(*[c for c in theirs.columns if c not in ("kind", "k")]).withColumn("centre", loose("ref_")).withColumn("k", F.row_number().over(Window.partitionBy("part_id", "centre").orderBy("ref_seq")))
-    rest = lone.join(spare, ["part_id", "centre", "k"], "full_outer").drop("centre", "k")
-    x = matched.unionByName(rest).join(t, "part_id", "left")
+    refs = t.select("part_id", "ref_part_id").join(recorded.withColumnRenamed("part_id", "ref_part_id"), "ref_part_id")
+    pairs = assign(ops, refs)
+    theirs = refs.select("part_id", F.col("seq").cast("long").alias("ref_seq"), *[F.col(c).alias(f"ref_{c}") for c in ("op_code", "work_center", "service_code", "setup_min", "cycle_min")])
+    mine = ops.withColumn("seq", F.col("seq").cast("long")).join(pairs, ["part_id", "seq"], "left").drop("seq")
+    # operations with what they took, and what nobody took: one full join
+    x = mine.join(theirs, ["part_id", "ref_seq"], "full_outer").drop("ref_seq").join(t, "part_id", "left")
     blended = F.col("op_code").isNotNull() & F.col("ref_op_code").isNotNull() & F.col("service_code").isNull() & F.col("w").isNotNull()
     extra, serviced = F.col("op_code").isNull(), F.col("ref_service_code").isNotNull()
     cycle = F.when(extra & serviced, 0.0).when(extra, F.round(F.col("ref_cycle_min") * F.col("scale") + 1e-7, 2)).when(blended, F.round(F.col("w") * F.col("ref_cycle_min") * F.col("scale") + (1 - F.col("w")) * F.col("cycle_min") + 1e-7, 2)).otherwise(F.col("cycle_min"))

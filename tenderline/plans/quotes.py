@@ -86,6 +86,23 @@ def line_snapshots(spark: SparkSession, d: str) -> DataFrame:
     return x.select(*LINE, F.size("routing").alias("n_ops"), rounded(cycles).alias("cycle_min"), rounded("margin").alias("margin"), "plant", prices.alias("prices"), "tier")
 
 
+def _table_edits(spark: SparkSession, d: str) -> DataFrame:
+    ops = domain(spark, d, "ops").select(*LINE, "seq", F.coalesce("centre", "service").alias("op_code"), F.col("centre").alias("work_center"), "setup_min", "cycle_min", "suggested", "rule_cycle_min")
+    return reviews.table_edits(ops, domain(spark, d, "edit_rows"))
+
+
+def edit_table(spark: SparkSession, d: str) -> DataFrame:
+    """FB-04, FB-05: what reviewers changed in the tables of operations, and what each edit does to the price."""
+    chosen = quoting._recommended(spark, d, quoting._breakdown(spark, d)).select(*LINE, "qty", "plant")
+    out = reviews.price_effects(_table_edits(spark, d), chosen, domain(spark, d, "centres"), domain(spark, d, "plants"))
+    return out.select(*LINE, "seq", "field", "op_code", "work_center", "plant", "qty", *[rounded(c).alias(c) for c in ("before", "after", "ratio", "rule_ratio", "price_effect")])
+
+
+def edit_table_by_centre(spark: SparkSession, d: str) -> DataFrame:
+    """FB-06."""
+    return reviews.edits_by_centre(_table_edits(spark, d)).withColumns({c: rounded(c) for c in ("cycle_ratio", "setup_ratio", "rule_ratio")})
+
+
 def _points(spark: SparkSession, d: str) -> DataFrame:
     rules, cal = routing.rule_routing(eng._context(spark, d)), records._calibrated(spark, d)
     m = F.broadcast(domain(spark, d, "materials").select(F.col("code").alias("material_code"), "density", "price_eur_kg"))
@@ -204,7 +221,7 @@ def _steps() -> str:
     return out + """, er AS (SELECT e1.rfq_id, e1.line_no, coalesce(e1.error, e2.error, e3.error) AS error FROM e1 JOIN e2 ON e2.rfq_id = e1.rfq_id AND e2.line_no = e1.line_no JOIN e3 ON e3.rfq_id = e1.rfq_id AND e3.line_no = e1.line_no)"""
 
 
-_BACKTEST = ctes("parts", "features", "specs", "materials", "bom", "recorded", "catalog", "part_numbers", "part_costs", "plants", "shop", "shop_services") + quoting.BOM_BODY + records.CALIBRATED + f""", allops AS (SELECT 'rules' AS method, part_id, work_center, service_code, setup_min, cycle_min FROM ops_ UNION ALL SELECT 'calibrated', part_id, work_center, service_code, setup_min, cycle_min FROM cal WHERE NOT suggested UNION ALL SELECT 'accepted', part_id, work_center, service_code, setup_min, cycle_min FROM cal),
+_BACKTEST = ctes("parts", "features", "specs", "materials", "bom", "recorded", "catalog", "part_numbers", "part_costs", "plants", "shop", "shop_services").replace("WITH ", "WITH RECURSIVE ", 1) + quoting.BOM_BODY + records.CALIBRATED + f""", allops AS (SELECT 'rules' AS method, part_id, work_center, service_code, setup_min, cycle_min FROM ops_ UNION ALL SELECT 'calibrated', part_id, work_center, service_code, setup_min, cycle_min FROM cal WHERE NOT suggested UNION ALL SELECT 'accepted', part_id, work_center, service_code, setup_min, cycle_min FROM cal),
     atp AS (SELECT DISTINCT part_id, plant FROM part_costs),
     ins AS (SELECT a.part_id, a.plant, method, sum(setup_min / 60 * rate_eur_h) AS lot, sum(cycle_min / 60 * rate_eur_h) AS per_piece, count(*) FILTER (rate_eur_h IS NULL) AS lacking FROM atp a JOIN allops o USING (part_id) LEFT JOIN shop r ON r.code = o.work_center AND r.plant = a.plant WHERE service_code IS NULL GROUP BY 1, 2, 3),
     kg AS (SELECT m.part_id, stock_cm3 * density / 1000 AS stock_kg, finished_cm3 * density / 1000 AS finished_kg, price_eur_kg FROM measured m LEFT JOIN materials t ON t.code = m.material_code),
@@ -237,8 +254,25 @@ def _scored(got: str = "read_features", k: str = "") -> str:
 
 _PAIRS = ctes("read_features", "true_features") + _paired()
 
-QUERIES = {f.__name__: f for f in (quote_lines, quote_assumptions, customer_questions, tier_reasons, decision_history, edited_operations, rejected_rounds, line_snapshots, backtest_points, backtest_metrics, backtest_counts, family_gains, feature_pairs, drawing_scores, pooled_scores, rolling_factors, inbox, equal_values, text_matches, request_scores)}
+#: Edits of tables: rows by number and occurrence against operations.
+TABLE_EDITS = """, er AS (SELECT rfq_id, line_no, seq, nullif(upper(trim(op_code)), '') AS new_op, coalesce(nullif(upper(trim(work_center)), ''), nullif(upper(trim(op_code)), '')) AS new_centre, setup_min AS ns, cycle_min AS nc, accept, row_number() OVER (PARTITION BY rfq_id, line_no, seq ORDER BY pos) AS nth FROM edit_rows),
+    op_ AS (SELECT rfq_id, line_no, CAST(seq AS BIGINT) AS seq, coalesce(centre, service) AS op_code, centre AS work_center, setup_min, cycle_min, suggested, rule_cycle_min FROM ops),
+    hitr AS (SELECT o.*, ns, nc, accept, e.rfq_id IS NOT NULL AS given FROM op_ o LEFT JOIN er e ON e.rfq_id = o.rfq_id AND e.line_no = o.line_no AND e.seq = o.seq AND e.nth = 1),
+    newr AS (SELECT e.* FROM er e LEFT JOIN op_ o ON e.rfq_id = o.rfq_id AND e.line_no = o.line_no AND e.seq = o.seq AND e.nth = 1 WHERE o.rfq_id IS NULL AND new_op IS NOT NULL),
+    te AS (SELECT rfq_id, line_no, seq, 'cycle_min' AS field, op_code, work_center, cycle_min AS before, nc AS after, nc / nullif(cycle_min, 0) AS ratio, nc / nullif(rule_cycle_min, 0) AS rule_ratio, CASE WHEN suggested THEN 0.0 ELSE nc - cycle_min END AS dc, 0.0 AS ds FROM hitr WHERE given AND abs(nc - cycle_min) > 1e-9
+        UNION ALL SELECT rfq_id, line_no, seq, 'setup_min', op_code, work_center, setup_min, ns, ns / nullif(setup_min, 0), NULL, 0.0, CASE WHEN suggested THEN 0.0 ELSE ns - setup_min END FROM hitr WHERE given AND abs(ns - setup_min) > 1e-9
+        UNION ALL SELECT rfq_id, line_no, seq, 'accept_suggested', op_code, work_center, 0.0, coalesce(nc, cycle_min), NULL, NULL, coalesce(nc, cycle_min), coalesce(ns, setup_min) FROM hitr WHERE given AND suggested AND accept
+        UNION ALL SELECT rfq_id, line_no, seq, 'remove_op', op_code, work_center, CASE WHEN suggested THEN 0.0 ELSE cycle_min END, 0.0, NULL, NULL, CASE WHEN suggested THEN 0.0 ELSE -cycle_min END, CASE WHEN suggested THEN 0.0 ELSE -setup_min END FROM hitr WHERE NOT given
+        UNION ALL SELECT rfq_id, line_no, seq, 'add_op', new_op, new_centre, 0.0, coalesce(nc, 0.0), NULL, NULL, coalesce(nc, 0.0), coalesce(ns, 0.0) FROM newr)"""
+
+QUERIES = {f.__name__: f for f in (edit_table, edit_table_by_centre, quote_lines, quote_assumptions, customer_questions, tier_reasons, decision_history, edited_operations, rejected_rounds, line_snapshots, backtest_points, backtest_metrics, backtest_counts, family_gains, feature_pairs, drawing_scores, pooled_scores, rolling_factors, inbox, equal_values, text_matches, request_scores)}
 ORACLES = {
+    "edit_table": ctes("edit_rows", *quoting._COST_TABLES) + quoting._COST_BODY + quoting.RECOMMENDED + TABLE_EDITS + f""", at_ AS (SELECT rfq_id, line_no, min(qty) AS qty, arg_min(plant, qty) AS plant FROM rec GROUP BY 1, 2)
+        SELECT t.rfq_id, t.line_no, t.seq, field, op_code, work_center, a.plant, a.qty, round(before + 1e-7, 4) AS before, round(after + 1e-7, 4) AS after, round(ratio + 1e-7, 4) AS ratio, round(rule_ratio + 1e-7, 4) AS rule_ratio,
+            round((dc + ds / a.qty) / 60 * rate_eur_h * (1 + overhead_pct + logistics_pct) / (1 - {DEFAULT.margin}) + 1e-7, 4) AS price_effect
+        FROM te t LEFT JOIN at_ a ON a.rfq_id = t.rfq_id AND a.line_no = t.line_no LEFT JOIN centres w ON w.code = t.work_center AND w.plant = a.plant LEFT JOIN plants p ON p.code = a.plant""",
+    "edit_table_by_centre": ctes("edit_rows", "ops") + TABLE_EDITS + """ SELECT work_center, count(*) AS n_edits, round(avg(ratio) FILTER (field = 'cycle_min') + 1e-7, 4) AS cycle_ratio, round(avg(ratio) FILTER (field = 'setup_min') + 1e-7, 4) AS setup_ratio, round(avg(rule_ratio) FILTER (field = 'cycle_min') + 1e-7, 4) AS rule_ratio,
+        count(*) FILTER (field IN ('add_op', 'remove_op', 'accept_suggested')) AS op_changes FROM te GROUP BY 1""",
     "quote_lines": quoting._COST + quoting.RECOMMENDED + _UNPRICED + """, x AS (SELECT b.*, i.part_id, r.plant IS NOT NULL AS chosen FROM broken b JOIN items i ON i.rfq_id = b.rfq_id AND i.line_no = b.line_no LEFT JOIN rec r ON r.rfq_id = b.rfq_id AND r.line_no = b.line_no AND r.qty = b.qty AND r.plant = b.plant),
         y AS (SELECT rfq_id, line_no, part_id, max(plant) FILTER (chosen) AS plant, string_agg(qty || ':' || printf('%.2f', round(unit_price + 1e-7, 2)) || CASE WHEN min_order_applied THEN '*' ELSE '' END, ', ' ORDER BY qty) FILTER (chosen AND feasible) AS prices, coalesce(arg_min(lead_weeks, qty) FILTER (chosen), max(lead_weeks)) AS lead_weeks FROM x GROUP BY 1, 2, 3)
         SELECT rfq_id, line_no, coalesce(plant, '-') AS plant, coalesce(prices, '') AS prices, lead_weeks, concat_ws('; ', CASE WHEN prices IS NULL THEN 'no plant can make it' END, o.items) AS unpriced FROM y LEFT JOIN open_ o ON o.part_id = y.part_id""",
@@ -253,7 +287,7 @@ ORACLES = {
         q AS (SELECT o.rfq_id, o.line_no, ordinal AS k, '#' || o.line_no || coalesce(' (' || CASE o.code WHEN 'DFM-001' THEN 'wall ' || CAST(nominal AS INT) || ' mm' WHEN 'DFM-002' THEN 'hole ' || CAST(nominal AS INT) || ' mm' END || ')', '') || ': ' || CASE WHEN language = 'de' THEN coalesce(de.t, '{quotes.OTHER_QUESTION[1]}') ELSE coalesce(en.t, '{quotes.OTHER_QUESTION[0]}') END AS text
             FROM ord_ o JOIN overrides v ON v.rfq_id = o.rfq_id LEFT JOIN features f ON f.fid = o.fid LEFT JOIN en ON en.code = o.code LEFT JOIN de ON de.code = o.code WHERE severity IN ('blocker', 'warning') UNION ALL SELECT rfq_id, 1000, 0, trim(remark) FROM overrides WHERE trim(coalesce(remark, '')) <> '')
         SELECT rfq_id, CAST(row_number() OVER (PARTITION BY rfq_id ORDER BY line_no, k) AS INT) AS ordinal, text FROM q""",
-    "tier_reasons": eng.ASSESSED + records.CAL_TAIL + _LISTED + f""", nt AS (SELECT c.part_id, CASE WHEN suggested THEN 'suggested ' || op_code WHEN c.confidence < {quotes.LOW_CONFIDENCE} THEN 'unsure ' || op_code WHEN basis = 'rule' AND service_code IS NULL AND t.score >= 0.6 THEN 'rule only ' || op_code END AS note FROM cal c LEFT JOIN top t ON t.query_id = c.part_id AND t.rank = 1),
+    "tier_reasons": eng.ASSESSED.replace("WITH ", "WITH RECURSIVE ", 1) + records.CAL_TAIL + _LISTED + f""", nt AS (SELECT c.part_id, CASE WHEN suggested THEN 'suggested ' || op_code WHEN c.confidence < {quotes.LOW_CONFIDENCE} THEN 'unsure ' || op_code WHEN basis = 'rule' AND service_code IS NULL AND t.score >= 0.6 THEN 'rule only ' || op_code END AS note FROM cal c LEFT JOIN top t ON t.query_id = c.part_id AND t.rank = 1),
         ns AS (SELECT part_id, list(note ORDER BY note) AS l FROM nt WHERE note IS NOT NULL GROUP BY 1),
         tc AS (SELECT rfq_id, line_no, severity, code, count(*) AS k, min(ordinal) AS o FROM ord_ WHERE severity IN ('blocker', 'warning') GROUP BY 1, 2, 3, 4),
         tt_ AS (SELECT rfq_id, line_no, list(upper(severity) || ' ' || code || CASE WHEN k > 1 THEN ' x' || k ELSE '' END ORDER BY o) AS l FROM tc GROUP BY 1, 2)

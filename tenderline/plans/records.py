@@ -9,6 +9,7 @@ from tenderline.operators import routing
 from tenderline.plans import engineering as eng, quoting
 from tenderline.plans.quoting import rounded
 from tenderline.plans.reporting import _points
+from tenderline.sources import scratch
 from tenderline.sources.adapters import ctes, domain, doubles
 from tenderline.streaming import calls as stream
 
@@ -29,7 +30,7 @@ def calibrated_operations(spark: SparkSession, d: str) -> DataFrame:
 def _calibrated(spark: SparkSession, d: str) -> DataFrame:
     ops = routing.rule_routing(eng._context(spark, d))
     top = quoting._similar(spark, d).where("rank = 1").select(F.col("query_id").alias("part_id"), F.col("part_id").alias("ref_part_id"), "score")
-    return matching.calibrate(ops, top, domain(spark, d, "recorded"), eng._measured(spark, d))
+    return scratch.once(spark, d, "calibrated", lambda: matching.calibrate(ops, top, domain(spark, d, "recorded"), eng._measured(spark, d)))
 
 
 def edit_diff(spark: SparkSession, d: str) -> DataFrame:
@@ -91,13 +92,12 @@ _POINTS = ctes("history", "part_costs") + ", e AS (SELECT plant, unit_price / un
 #: Needs the fragments of similar parts and routing before it.
 CAL_TAIL = f""", fired AS ({eng._FIRED}), ops_ AS (SELECT part_id, k, op_code, work_center, service_code, setup_min, cycle_min, round(cf + 1e-9, 3) AS confidence FROM fired),
     best AS (SELECT t.query_id AS part_id, t.part_id AS ref, score, round(score * score + 1e-9, 4) AS w, CASE WHEN a.envelope_cm3 > 0 AND b.envelope_cm3 > 0 THEN pow(a.envelope_cm3 / b.envelope_cm3, 2.0 / 3) ELSE 1.0 END AS scale FROM top t JOIN measured a ON a.part_id = t.query_id JOIN measured b ON b.part_id = t.part_id WHERE rank = 1 AND score >= 0.6),
-    theirs AS (SELECT b.part_id, o.seq AS k, o.op_code, o.work_center, o.service_code, o.setup_min, o.cycle_min AS cycle, coalesce(o.service_code, o.work_center || '|' || o.op_code) AS kind FROM best b JOIN recorded o ON o.part_id = b.ref),
-    tk AS (SELECT *, row_number() OVER (PARTITION BY part_id, kind ORDER BY k) AS nth FROM theirs),
-    ok_ AS (SELECT *, coalesce(service_code, work_center || '|' || op_code) AS kind, row_number() OVER (PARTITION BY part_id, coalesce(service_code, work_center || '|' || op_code) ORDER BY k) AS nth FROM ops_),
-    hit AS (SELECT o.part_id, o.k AS k, t.k AS rk FROM ok_ o JOIN tk t ON o.part_id = t.part_id AND o.kind = t.kind AND o.nth = t.nth),
-    lone AS (SELECT part_id, k, work_center, row_number() OVER (PARTITION BY part_id, work_center ORDER BY k) AS nth FROM ok_ WHERE service_code IS NULL AND (part_id, k) NOT IN (SELECT (part_id, k) FROM hit)),
-    spare AS (SELECT part_id, k, work_center, row_number() OVER (PARTITION BY part_id, work_center ORDER BY k) AS nth FROM tk WHERE service_code IS NULL AND (part_id, k) NOT IN (SELECT (part_id, rk) FROM hit)),
-    pairs2 AS (SELECT * FROM hit UNION ALL SELECT l.part_id, l.k, s.k FROM lone l JOIN spare s ON l.part_id = s.part_id AND l.work_center = s.work_center AND l.nth = s.nth),
+    tk AS (SELECT b.part_id, CAST(o.seq AS BIGINT) AS k, o.op_code, o.work_center, o.service_code, o.setup_min, o.cycle_min AS cycle FROM best b JOIN recorded o ON o.part_id = b.ref),
+    both_ AS (SELECT part_id, ms, ts FROM (SELECT part_id, list(struct_pack(k := CAST(k AS BIGINT), o := op_code, c := work_center, s := service_code) ORDER BY k) AS ms FROM ops_ GROUP BY 1) JOIN (SELECT part_id, list(struct_pack(k := k, o := op_code, c := work_center, s := service_code) ORDER BY k) AS ts FROM tk GROUP BY 1) USING (part_id)),
+    greedy(part_id, pos, used, hits, ms, ts) AS (SELECT part_id, 0::BIGINT, []::BIGINT[], []::BIGINT[], ms, ts FROM both_
+        UNION ALL SELECT part_id, pos + 1, list_append(used, coalesce(h, -1)), list_append(hits, h), ms, ts FROM (SELECT *, CASE WHEN ms[pos + 1].s IS NOT NULL THEN list_filter(ts, lambda r : NOT list_contains(used, r.k) AND r.s = ms[pos + 1].s)[1].k
+            ELSE coalesce(list_filter(ts, lambda r : NOT list_contains(used, r.k) AND r.c = ms[pos + 1].c AND r.o = ms[pos + 1].o)[1].k, list_filter(ts, lambda r : NOT list_contains(used, r.k) AND r.c = ms[pos + 1].c AND coalesce(r.s, '') = '')[1].k) END AS h FROM greedy WHERE pos < len(ms))),
+    pairs2 AS (SELECT * FROM (SELECT part_id, unnest(list_transform(ms, lambda m : m.k)) AS k, unnest(hits) AS rk FROM greedy WHERE pos = len(ms)) WHERE rk IS NOT NULL),
     cal AS (SELECT o.part_id, o.op_code, o.work_center, o.service_code, o.setup_min, CASE WHEN t.k IS NOT NULL AND o.service_code IS NULL THEN round(w * t.cycle * scale + (1 - w) * o.cycle_min + 1e-7, 2) ELSE o.cycle_min END AS cycle_min, CASE WHEN t.k IS NOT NULL AND o.service_code IS NULL THEN 'blend' ELSE 'rule' END AS basis, FALSE AS suggested,
             CASE WHEN t.k IS NOT NULL AND o.service_code IS NULL THEN round(least(0.95, confidence + 0.25 * w) + 1e-9, 3) ELSE confidence END AS confidence FROM ops_ o LEFT JOIN pairs2 p ON p.part_id = o.part_id AND p.k = o.k LEFT JOIN tk t ON t.part_id = o.part_id AND t.k = p.rk LEFT JOIN best b ON b.part_id = o.part_id
         UNION ALL SELECT t.part_id, t.op_code, CASE WHEN t.service_code IS NOT NULL THEN 'OUTSOURCED' ELSE t.work_center END, t.service_code, CASE WHEN t.service_code IS NOT NULL THEN 0.0 ELSE round(t.setup_min + 1e-7, 2) END, CASE WHEN t.service_code IS NOT NULL THEN 0.0 ELSE round(t.cycle * scale + 1e-7, 2) END, 'blend', TRUE, round(0.6 * score + 1e-9, 3) FROM tk t JOIN best b ON b.part_id = t.part_id WHERE (t.part_id, t.k) NOT IN (SELECT (part_id, rk) FROM pairs2))"""
@@ -106,7 +106,7 @@ QUERIES = {f.__name__: f for f in (resolved_materials, calibrated_operations, ed
 ORACLES = {
     "resolved_materials": ctes("callouts", "material_keys") + f""", ks AS (SELECT DISTINCT code, ordinal, {_norm('key')} AS k FROM material_keys), m AS (SELECT id, text, code, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN t = k THEN 0 ELSE 1 END, CASE WHEN t = k THEN 0 ELSE -length(k) END, ordinal) AS r
         FROM (SELECT *, {_norm('text')} AS t FROM callouts) c LEFT JOIN ks ON t = k OR (length(k) >= 4 AND contains(t, k))) SELECT id, text, code FROM m WHERE r = 1""",
-    "calibrated_operations": ctes(*_CAL_TABLES) + CALIBRATED + " SELECT part_id, op_code, work_center, service_code, cycle_min, basis, suggested, confidence FROM cal",
+    "calibrated_operations": (ctes(*_CAL_TABLES) + CALIBRATED).replace("WITH ", "WITH RECURSIVE ", 1) + " SELECT part_id, op_code, work_center, service_code, cycle_min, basis, suggested, confidence FROM cal",
     "edit_diff": ctes("edited") + """, c AS (SELECT rfq_id, line_no, seq, 'setup_min' AS path, before_setup AS b, CASE WHEN NOT removed THEN after_setup END AS a FROM edited UNION ALL SELECT rfq_id, line_no, seq, 'cycle_min', before_cycle, CASE WHEN NOT removed THEN after_cycle END FROM edited)
         SELECT rfq_id, line_no, seq, path, round(b + 1e-7, 4) AS before, round(a + 1e-7, 4) AS after FROM c WHERE a IS DISTINCT FROM b""",
     "extraction_scores": ctes("predicted", "gold") + """, x AS (SELECT g.ftype, p.n IS NOT NULL AS found, (p.n IS NOT NULL AND p.nominal IS NOT DISTINCT FROM g.nominal)::INT + (p.n IS NOT NULL AND p.band IS NOT DISTINCT FROM g.band)::INT AS ok FROM gold g LEFT JOIN predicted p ON p.drawing = g.drawing AND p.n = g.n)

@@ -48,17 +48,23 @@ TABLES: dict[str, str] = {
     "callouts": "SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'm' || CAST(p_partkey % 7 AS VARCHAR(4)) WHEN 1 THEN 'Bar of Steel-M' || CAST(p_partkey % 4 AS VARCHAR(4)) || ', rolled' WHEN 2 THEN 'cast' WHEN 3 THEN 'aluminium M.' || CAST(3 + p_partkey % 2 AS VARCHAR(4)) ELSE p_name END AS text FROM {part}",
     "requests": "SELECT o_orderkey AS rfq_id, CAST(o_orderdate AS DATE) AS issued FROM {orders}",
     "quotes": "SELECT o_custkey AS rfq_id, o_orderkey % 5 + 1 AS version FROM {orders}",
-    "part_costs": "SELECT l_partkey AS part_id, CASE l_suppkey % 3 WHEN 0 THEN 'DE' WHEN 1 THEN 'PL' ELSE 'CN' END AS plant, CAST(l_quantity AS INT) AS qty, avg(l_extendedprice / l_quantity) AS unit_cost FROM {lineitem} WHERE l_partkey % 19 <> 3 GROUP BY 1, 2, 3",
-    "history": "SELECT l_partkey AS part_id, CASE l_suppkey % 3 WHEN 0 THEN 'DE' WHEN 1 THEN 'PL' ELSE 'CN' END AS plant, CAST(l_quantity AS INT) AS qty, l_extendedprice * (1 - l_discount) / l_quantity AS unit_price, l_orderkey * 8 + l_linenumber AS quote_no FROM {orderlines}",
+    "part_costs": "SELECT l_partkey AS part_id, CASE l_suppkey % 3 WHEN 0 THEN 'DE' WHEN 1 THEN 'PL' ELSE 'CN' END AS plant, CAST(CASE WHEN l_quantity >= 48 THEN 200 ELSE l_quantity END AS INT) AS qty, avg(l_extendedprice / l_quantity) AS unit_cost FROM {lineitem} WHERE l_partkey % 19 <> 3 GROUP BY 1, 2, 3",
+    "history": "SELECT l_partkey AS part_id, CASE l_suppkey % 3 WHEN 0 THEN 'DE' WHEN 1 THEN 'PL' ELSE 'CN' END AS plant, CAST(CASE WHEN l_quantity >= 48 THEN 200 ELSE l_quantity END AS INT) AS qty, l_extendedprice * (1 - l_discount) / l_quantity AS unit_price, l_orderkey * 8 + l_linenumber AS quote_no FROM {orderlines}",
     # requested lines: order lines, with the quantity asked and a due date
     "items": "SELECT l_orderkey AS rfq_id, l_linenumber AS line_no, l_partkey AS part_id, CASE WHEN l_partkey % 23 = 0 AND l_linenumber = 2 THEN 0 ELSE CAST(l_quantity AS INT) END AS qty, CAST(l_shipdate AS DATE) AS due FROM {orderlines}",
     # operations of a line: two in-house or outsourced steps for each
     "ops": """SELECT rfq_id, line_no, 10 * k AS seq, CASE WHEN (rfq_id + line_no + k) % 6 = 0 THEN NULL ELSE 'WC' || CAST((rfq_id + k) % 7 AS VARCHAR(4)) END AS centre,
-        CASE WHEN (rfq_id + line_no + k) % 6 = 0 THEN 'SV' || CAST(line_no % 3 AS VARCHAR(4)) END AS service, 5.0 * k + line_no AS setup_min, 0.5 + qty * 0.05 * k AS cycle_min, (rfq_id + k) % 11 = 0 AS suggested
+        CASE WHEN (rfq_id + line_no + k) % 6 = 0 THEN 'SV' || CAST(line_no % 3 AS VARCHAR(4)) END AS service, 5.0 * k + line_no AS setup_min, 0.5 + qty * 0.05 * k AS cycle_min, (rfq_id + k) % 11 = 0 AS suggested, CASE WHEN (rfq_id + k) % 5 > 0 THEN 0.4 + qty * 0.04 * k END AS rule_cycle_min
         FROM {items} CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3) x""",
     "calls": "SELECT event_id AS id, user_id AS rfq_id, event_type AS node, ts, CAST(floor(value * 10) AS BIGINT) AS latency_ms, CAST(event_id % 900 AS BIGINT) AS tokens_in, CAST(event_id % 200 AS BIGINT) AS tokens_out, event_id % 4 = 0 AS cache_hit, CAST(1 + event_id % 3 AS INT) AS attempts, event_id % 17 <> 0 AS ok FROM {events}",
     # before and after a review: operations of a line with changed times
     "edited": "SELECT rfq_id, line_no, seq, centre, setup_min AS before_setup, cycle_min AS before_cycle, CASE WHEN rfq_id % 5 = 0 THEN setup_min + 2 ELSE setup_min END AS after_setup, CASE WHEN (rfq_id + seq) % 4 = 0 THEN cycle_min * 1.25 ELSE cycle_min END AS after_cycle, (rfq_id + line_no) % 13 = 0 AS removed FROM {ops} WHERE centre IS NOT NULL",
+    # the table of operations as a reviewer gave it back: changed times, rows gone, sequence numbers twice, new rows, rows begun and left blank
+    "edit_rows": """SELECT rfq_id, line_no, 10 * seq AS pos, CAST(seq AS BIGINT) AS seq, coalesce(centre, service) AS op_code, centre AS work_center, CASE WHEN rfq_id % 5 = 0 THEN setup_min + 2 WHEN rfq_id % 7 = 3 THEN NULL ELSE setup_min END AS setup_min,
+        CASE WHEN (rfq_id + seq) % 4 = 0 THEN cycle_min * 1.25 ELSE cycle_min END AS cycle_min, rfq_id % 3 = 0 AS accept FROM {ops} WHERE (rfq_id * 3 + line_no + seq) % 13 <> 0
+        UNION ALL SELECT rfq_id, line_no, 10 * seq + 5, CAST(seq AS BIGINT), 'extra', NULL, 4.0, 1.5, FALSE FROM {ops} WHERE seq = 10 AND (rfq_id + line_no) % 6 = 1
+        UNION ALL SELECT rfq_id, line_no, 900, NULL, ' ', NULL, NULL, 3.0, FALSE FROM {items} WHERE (rfq_id + line_no) % 5 = 2
+        UNION ALL SELECT rfq_id, line_no, 910, CASE WHEN rfq_id % 2 = 0 THEN 77 END, 'wc3 ', CASE WHEN rfq_id % 4 = 0 THEN 'wc2' END, 12.0, NULL, FALSE FROM {items} WHERE (rfq_id + line_no) % 9 = 4""",
     # sizes as printed: some are missing, some drawings are in inches
     "printed": "SELECT part_id, shape_class, CASE WHEN part_id % 4 = 0 OR main_mm = 0 THEN NULL ELSE main_mm END AS max_diameter_mm, CASE WHEN part_id % 5 = 0 THEN NULL ELSE length_mm END AS length_mm, width_mm, CASE WHEN part_id % 10 = 3 THEN NULL ELSE height_mm END AS height_mm, part_id % 6 = 2 AS inch FROM {parts}",
     # parts of an assembly: bought or made, with the plant of their recorded cost where there is one
