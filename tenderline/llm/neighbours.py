@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by its nearest pivots in order of nearness. Inverted files list, for each pivot, the vectors
-that have it among theirs, with its place. A query adds up, over the files of its own pivots, how far the places are
-apart (the footrule distance of the truncated orders); the vectors of least distance are compared exactly.
+A vector is represented by its nearest pivots in order of nearness. Inverted files hold, for each pivot, its place in the order of each
+vector, the place after the last where it is not among them: as most vectors have most pivots, a file has an entry for each vector of its part. A query adds up, over the files of its own
+pivots, how far the places are apart (the footrule distance of the truncated orders); the vectors of least distance are compared exactly.
 """
 
 from __future__ import annotations
@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tenderline.llm.storage import store
 
-PIVOTS, PLACES = 256, 48
+PIVOTS, PLACES = 256, 160
 #: Share of an index part, and least number of its vectors, that are compared exactly for each query.
-SHARE, LEAST = 0.1, 200
+SHARE, LEAST = 0.05, 400
 #: Vectors in a part of the index; queries asked at once; vectors from which pivots are drawn.
 PART, BLOCK, SAMPLE = 20_000, 4_000, 20_000
 
@@ -134,16 +134,17 @@ def _nearest(frames: Iterator[pd.DataFrame], pivots: np.ndarray, block: tuple, k
         ids, n = ids[order], len(ids)
         v, norms = lengths(v[order])
         own = np.stack(frame["near"].to_numpy())[order]
-        # inverted files: by pivot, the vectors and the place it has in each
-        by = np.argsort(own.ravel(), kind="stable")
-        cuts = np.searchsorted(own.ravel()[by], np.arange(len(pivots) + 1))
-        posted, place = by // m, (by % m).astype(np.int32)
+        # inverted files: by pivot, the place it has in each vector
+        files = np.full((n, len(pivots)), m, np.int16)
+        np.put_along_axis(files, own, np.arange(m, dtype=np.int16)[None, :], axis=1)
+        files = np.ascontiguousarray(files.T)
         keep = min(n, max(LEAST, int(share * n)))
+        gap = np.empty(n, np.int16)
         for i in range(len(q_ids)):
             near = np.zeros(n, np.int32)
             for r, p in enumerate(q_places[i]):
-                s = slice(cuts[p], cuts[p + 1])
-                near[posted[s]] += m - np.abs(place[s] - r)  # a pivot missing on one side counts as m places apart
+                np.subtract(files[p], np.int16(r), out=gap)
+                near -= np.abs(gap, out=gap)
             edge = np.partition(near, n - keep)[n - keep]
             sure, tied = np.flatnonzero(near > edge), np.flatnonzero(near == edge)
             cand = np.concatenate([sure, tied[: keep - len(sure)]])  # ties to the smaller vec_id
