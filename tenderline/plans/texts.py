@@ -107,7 +107,9 @@ def quote_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """IO-09."""
     h = domain(spark, d, "history").select("quote_no", "part_id", rounded("unit_price").alias("unit_price"))
     new = h.where("quote_no % 3 = 0").withColumn("unit_price", rounded(F.col("unit_price") + 1)).unionByName(h.where("quote_no % 5 = 0").withColumn("quote_no", -F.col("quote_no") - 1))
-    return files.write_snapshot(h, new, ["quote_no"], ["part_id", "unit_price"], folder(spark, "quotes"))
+    at = folder(spark, "quotes")
+    files.create_store(h, ["quote_no"], at)
+    return files.upsert_store(at, new, ["quote_no"], ["part_id", "unit_price"])
 
 
 def call_journal(spark: SparkSession, d: str) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from tenderline.sources import scratch
+
 MASTERS = {
     "materials": "code string, mat_group string, density double, price_eur_kg double, machinability double, aliases string",
     "plants": "code string, overhead_pct double, logistics_pct double, base_weeks int, ord int",
@@ -84,13 +88,44 @@ def check_contract(raw: DataFrame, schema: str, required: list[str]) -> tuple[Da
     return x.where("error is null").withColumn("data", F.col("data").dropFields("_corrupt")).drop("error", "value"), x.where("error is not null").select("id", "value", "error")
 
 
-def write_snapshot(existing: DataFrame, new: DataFrame, key: list[str], order: list[str], path: str) -> DataFrame:
-    """IO-09: inserts or replaces by key and writes the whole as a new snapshot, which is read back; of rows of one key the last in `order` stays."""
-    w = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order])
-    both = existing.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    w = Window.partitionBy(*key).orderBy(F.desc("_new"), *[F.desc(c) for c in order])
-    both.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "_new").write.mode("overwrite").parquet(path)
-    return existing.sparkSession.read.schema(existing.schema).parquet(path)
+#: Parts that a store of quotes is cut into, by the hash of its key.
+BUCKETS = 64
+
+
+def _bucketed(rows: DataFrame, key: list[str], buckets: int) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+
+
+def create_store(rows: DataFrame, key: list[str], path: str, buckets: int = BUCKETS) -> DataFrame:
+    """A store of rows, one for each key, in `buckets` partitions by the hash of the key; read back."""
+    _bucketed(rows, key, buckets).repartition(buckets, "bucket").write.partitionBy("bucket").parquet(path)
+    return read_store(rows, path)
+
+
+def read_store(like: DataFrame, path: str) -> DataFrame:
+    """The rows of the store at path, with the columns of `like`."""
+    return _stored(like, path).drop("bucket")
+
+
+def _stored(like: DataFrame, path: str) -> DataFrame:
+    return like.sparkSession.read.schema(T.StructType([*like.schema, T.StructField("bucket", T.IntegerType())])).parquet(path)
+
+
+def upsert_store(path: str, new: DataFrame, key: list[str], order: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """IO-09: inserts or replaces rows of the store at path by key; of new rows of one key the last in `order` counts. Read back.
+
+    Only partitions that new rows fall into are read and written again; files of all others stay as they are. The merged partitions are written apart
+    first, so that a failure leaves the store whole until they replace the old ones.
+    """
+    last = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order])
+    rows = scratch.written(_bucketed(new, key, buckets).withColumn("_k", F.row_number().over(last)).where("_k = 1").drop("_k"), "upserts")
+    touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # BUCKETS numbers at most
+    old = _stored(new, path).where(F.col("bucket").isin(touched))
+    same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in key]
+    kept = old.alias("o").join(rows.select("bucket", *key).alias("n"), reduce(lambda a, b: a & b, same, F.col("o.bucket") == F.col("n.bucket")), "left_anti")
+    merged = scratch.written(kept.unionByName(rows), "merged")
+    merged.repartition(buckets, "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return read_store(new, path)
 
 
 def append_log(rows: DataFrame, path: str) -> DataFrame:

@@ -5,8 +5,9 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from tenderline.operators import costing, matching, reviews, similarity, triage, validation
+from tenderline.operators import costing, matching, reviews, search, similarity, triage, validation
 from tenderline.plans import catalog
+from tenderline.sources import files
 from tenderline.sources.adapters import domain
 
 DATA = "/root/testdata/sf0.001"
@@ -87,6 +88,22 @@ def test_vectors_of_drawings(spark):
     assert [r["n_different"] for r in similarity.differing_fields(other.where("part_id = 1"), other.where("part_id = 1").withColumn("n_holes", F.lit(9))).collect()] == [1]
 
 
+def test_headings_get_names_of_their_own(spark):
+    text = "## A\none\n## A\ntwo\n## A-2\nthree\n## A\nfour\n### B\nfive"
+    rows = search.sections(spark.createDataFrame([("f", text), ("g", "## A\nx")], "file string, content string")).orderBy("file", "k").collect()
+    assert [r["id"] for r in rows] == ["f#a", "f#a-2", "f#a-2-2", "f#a-3", "f#b", "g#a"] and rows[2]["text"] == "three"
+
+
+def test_upserts_write_touched_partitions_only(spark, tmp_path):
+    at = f"file://{tmp_path}/store"
+    files.create_store(spark.createDataFrame([(k, "old") for k in range(100)], "id long, v string"), ["id"], at, buckets=16)
+    names = lambda: {str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*.parquet")}
+    before = names()
+    out = files.upsert_store(at, spark.createDataFrame([(3, "b"), (3, "c"), (1000, "new")], "id long, v string"), ["id"], ["v"], buckets=16)
+    assert {r["id"]: r["v"] for r in out.collect()} == {**{k: "old" for k in range(100)}, 3: "c", 1000: "new"}
+    assert 1 <= len(before - names()) <= 2 and len(before & names()) >= len(before) - 2
+
+
 @needs_tables
 def test_branches_occur_in_the_derived_tables(spark):
     d = lambda name: domain(spark, DATA, name)
