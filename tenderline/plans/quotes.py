@@ -303,7 +303,7 @@ ORACLES = {
         SELECT os.rfq_id, os.line_no, n_ops, round(c + 1e-7, 4) AS cycle_min, round(margin + 1e-7, 4) AS margin, plant, prices, tier FROM os LEFT JOIN pr ON pr.rfq_id = os.rfq_id AND pr.line_no = os.line_no LEFT JOIN pl ON pl.rfq_id = os.rfq_id AND pl.line_no = os.line_no LEFT JOIN tr ON tr.rfq_id = os.rfq_id AND tr.line_no = os.line_no""",
     "backtest_points": _BACKTEST + " SELECT part_id, plant, qty, round(actual + 1e-7, 4) AS actual, method, round(estimate + 1e-7, 4) AS estimate FROM pts",
     "backtest_metrics": _SLICED + f" SELECT method, slice, key, n, infeasible, {', '.join(f'round({c} + 1e-7, 4) AS {c}' for c in METRICS)} FROM mt",
-    "backtest_counts": ctes(*records._CAL_TABLES) + records.CALIBRATED + f""", h AS (SELECT DISTINCT t.query_id FROM top t JOIN v q ON q.part_id = t.query_id JOIN v p ON p.part_id = t.part_id WHERE rank = 1 AND score >= 0.92 AND q.material_code = p.material_code AND greatest(CASE WHEN diameter <= 0 THEN 1.0 ELSE 1 - exp(0.35 * ln(diameter)) END, CASE WHEN len4 <= 0 THEN 1.0 ELSE 1 - exp(0.35 * ln(len4)) END) < 0.05),
+    "backtest_counts": ctes(*records._CAL_TABLES).replace("WITH ", "WITH RECURSIVE ", 1) + records.CALIBRATED + f""", h AS (SELECT DISTINCT t.query_id FROM top t JOIN v q ON q.part_id = t.query_id JOIN v p ON p.part_id = t.part_id WHERE rank = 1 AND score >= 0.92 AND q.material_code = p.material_code AND greatest(CASE WHEN diameter <= 0 THEN 1.0 ELSE 1 - exp(0.35 * ln(diameter)) END, CASE WHEN len4 <= 0 THEN 1.0 ELSE 1 - exp(0.35 * ln(len4)) END) < 0.05),
         sg AS (SELECT family, op_code, count(*) AS n FROM cal JOIN parts USING (part_id) WHERE suggested GROUP BY 1, 2), sl AS (SELECT family, string_agg(op_code || ':' || n, ',' ORDER BY op_code || ':' || n) AS suggested FROM sg GROUP BY 1),
         b AS (SELECT family, count(*) AS n_parts, count(*) FILTER (t.score >= 0.6) AS n_calibrated, count(h.query_id) AS n_reuse FROM parts p LEFT JOIN top t ON t.query_id = p.part_id AND t.rank = 1 LEFT JOIN h ON h.query_id = p.part_id GROUP BY 1) SELECT b.*, coalesce(suggested, '') AS suggested FROM b LEFT JOIN sl USING (family)""",
     "family_gains": _SLICED + """, fg AS (SELECT key AS family, max(median_abs) FILTER (method = 'rules') AS rules, max(median_abs) FILTER (method = 'calibrated') AS calibrated FROM mt WHERE slice = 'family' GROUP BY 1)
