@@ -130,9 +130,9 @@ def routing_view(spark: SparkSession, d: str) -> DataFrame:
 
 
 def offered_quantities(spark: SparkSession, d: str) -> DataFrame:
-    """CO-14: quantities of a part's lines in one request, with the next tier if there is one only."""
+    """CO-14: quantities of a part's lines in one request, with the next tier if there is one only; null without a positive one."""
     asked = domain(spark, d, "items").groupBy("rfq_id").agg(F.collect_list("qty").alias("quantities"))
-    return costing.offer_quantities(asked).select("rfq_id", F.array_join("asked", ",").alias("asked"), F.array_join("offered", ",").alias("offered"))
+    return costing.offer_quantities(asked).select("rfq_id", *[F.nullif(F.array_join(c, ","), F.lit("")).alias(c) for c in ("asked", "offered")])
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -296,8 +296,11 @@ ORACLES = {
     "feature_vectors": _SIM + " SELECT part_id, shape_class, main_mm, length_mm, material_code, mat_group, n_holes, n_threads, has_keyway, has_gear, has_heat, has_surface, min_it, min_ra FROM v",
     "vector_parity": _SIM + " SELECT part_id, 0 AS n_different FROM v",
     "similar_parts": _SIM + ' SELECT query_id, part_id, rank, score, diameter, "precision" FROM top',
-    "reference_costs": ctes("parts", "materials", "features", "specs", "part_costs") + _SIM_BODY + """ SELECT query_id, part_id, round(unit_cost + 1e-7, 4) AS ref_unit_cost, qty AS ref_qty FROM (
-        SELECT t.query_id, t.part_id, unit_cost, qty, row_number() OVER (PARTITION BY query_id ORDER BY abs(qty - 20), unit_cost, plant) AS k FROM top t LEFT JOIN part_costs c USING (part_id) WHERE rank = 1) WHERE k = 1""",
+    "reference_costs": ctes("parts", "materials", "features", "specs", "part_costs", "history") + _SIM_BODY + """,
+        c AS (SELECT t.query_id, k.unit_cost AS x, k.qty, row_number() OVER (PARTITION BY t.query_id ORDER BY abs(k.qty - 20), k.unit_cost, k.plant) AS n FROM top t JOIN part_costs k USING (part_id) WHERE rank = 1),
+        h AS (SELECT t.query_id, k.unit_price AS x, k.qty, row_number() OVER (PARTITION BY t.query_id ORDER BY abs(k.qty - 20), k.unit_price, k.plant) AS n FROM top t JOIN history k USING (part_id) WHERE rank = 1)
+        SELECT t.query_id, t.part_id, round((CASE WHEN c.n IS NOT NULL THEN c.x ELSE h.x END) + 1e-7, 4) AS ref_unit_cost, CASE WHEN c.n IS NOT NULL THEN c.qty ELSE h.qty END AS ref_qty
+        FROM top t LEFT JOIN c ON c.query_id = t.query_id AND c.n = 1 LEFT JOIN h ON h.query_id = t.query_id AND h.n = 1 WHERE rank = 1""",
     "requested_reference_costs": ctes("parts", "materials", "features", "specs", "part_costs", "history", "items") + _SIM_BODY + """,
         asked AS (SELECT part_id AS query_id, min(qty) AS want FROM items WHERE qty > 0 GROUP BY 1),
         q AS (SELECT t.query_id, t.part_id, t.rank, CAST(coalesce(a.want, 200) AS INT) AS want FROM top t LEFT JOIN asked a USING (query_id)),

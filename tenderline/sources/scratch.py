@@ -27,12 +27,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_kept: dict[tuple[str, str, str], DataFrame] = {}
+#: Tables by session, source and name, and where they are.
+_kept: dict[tuple[str, str, str], tuple[DataFrame, str]] = {}
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
 def once(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """build(), written the first time a session asks for `name` over `source` and read from there on: for tables that many queries are made of."""
+    """build(), written the first time a session asks for `name` over `source` and read from there on: for tables that many queries are made of. Written anew if its folder is gone."""
     key = (spark.sparkContext.applicationId, source, name)
-    if key not in _kept:
-        _kept[key] = written(build(), name)
-    return _kept[key]
+    if key not in _kept or not _there(spark, _kept[key][1]):
+        path = folder(spark, name)
+        df = build()
+        df.write.parquet(path)
+        _kept[key] = (spark.read.schema(df.schema).parquet(path), path)
+    return _kept[key][0]
