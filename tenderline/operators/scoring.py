@@ -10,15 +10,24 @@ NOMINAL_MM, NUMBER_SLACK, BAND_SLACK, TEXT_RECALL, STEM = 0.5, 0.01, 0.001, 0.6,
 STOP_WORDS = ("with", "the", "and", "per", "of", "in", "as", "a", "an", "to", "for", "be", "by", "on")
 
 
-def plain_text(x: Column) -> Column:
-    """EV-09: lower case, × as x, no diameter sign, no blanks round marks, single blanks, none and no points at the ends; null is empty."""
-    t = F.translate(F.lower(F.coalesce(x.cast("string"), F.lit(""))), "×ø⌀", "x")
-    t = F.regexp_replace(t, r"[ \t\r\n]*([x:/+\-.,;])[ \t\r\n]*", "$1")
-    return F.trim(F.regexp_replace(t, r"[ \t\r\n]+", " "), F.lit(" ."))
+# fixed values: signs that stand for another or for none; signs that part words, whatever blanks are round them
+TWINS, PARTING = ("×ø⌀", "x"), "x:/+-.,;"
+
+
+def parts(x: Column) -> Column:
+    """EV-09: what counts of a text, as a list: its words and parting signs in small letters, without points at the ends. Blanks only part words."""
+    low = F.translate(F.lower(F.coalesce(x.cast("string"), F.lit(""))), *TWINS)
+    signs = F.array(*[F.lit(s) for s in PARTING])
+    # each sign becomes a part of its own, then blanks cut the rest
+    loose = F.aggregate(signs, low, lambda text, sign: F.replace(text, sign, F.concat(F.lit(" "), sign, F.lit(" "))))
+    found = F.filter(F.split(loose, r"\s"), lambda p: p != "")
+    told = F.filter(F.transform(found, lambda p, i: F.when(p != ".", i)), lambda i: i.isNotNull())
+    return F.when(F.size(told) == 0, F.array().cast("array<string>")).otherwise(F.slice(found, F.array_min(told) + 1, F.array_max(told) - F.array_min(told) + 1))
 
 
 def same_text(a: Column, b: Column) -> Column:
-    return plain_text(a) == plain_text(b)
+    """EV-09: equal parts; null is an empty text."""
+    return parts(a) == parts(b)
 
 
 def same_number(a: Column, b: Column, slack: float = NUMBER_SLACK) -> Column:
@@ -27,9 +36,15 @@ def same_number(a: Column, b: Column, slack: float = NUMBER_SLACK) -> Column:
 
 
 def stems(x: Column) -> Column:
-    """The different words of a text, cut to STEM characters, without stop words."""
-    words = F.regexp_extract_all(plain_text(x), F.lit("[a-z0-9äöüß.]+"), 0)
-    return F.array_distinct(F.transform(F.filter(words, lambda w: ~w.isin(*STOP_WORDS)), lambda w: F.substring(w, 1, STEM)))
+    """The different words of a text, cut to STEM characters, without stop words. Words may hold points and the letter x, which part nothing here."""
+    joined = F.aggregate(
+        parts(x),
+        F.struct(F.lit("").alias("text"), F.lit(True).alias("open")),
+        lambda acc, p: F.struct(F.concat(acc["text"], F.when(acc["open"] | F.contains(F.lit(PARTING), p), "").otherwise(" "), p).alias("text"), F.contains(F.lit(PARTING), p).alias("open")),
+        lambda acc: acc["text"],
+    )
+    words = F.filter(F.split(joined, r"[^\p{L}\p{N}.]+"), lambda w: (w != "") & ~w.isin(*STOP_WORDS))
+    return F.array_distinct(F.transform(words, lambda w: F.substring(w, 1, STEM)))
 
 
 def same_meaning(got: Column, want: Column, recall: float = TEXT_RECALL) -> Column:

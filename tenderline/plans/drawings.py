@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tenderline.functions import callouts as co
 from tenderline.operators import drawings as dr, geometry, intake
 from tenderline.plans.quoting import norm_sql, rounded, tolerance_values
 from tenderline.sources import scratch
@@ -13,8 +14,9 @@ FEATURE = ["drawing", "n", "ftype", "nominal", "len_mm", "qty", "fit", "upper_mm
 
 
 def _repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Readings repaired and retyped, written once: callouts are read in one pass, and several aggregations of a drawing need the outcome."""
     shapes = domain(spark, d, "views").select("drawing", "shape_class")
-    return dr.retype(dr.repair(domain(spark, d, "readings")).join(shapes, "drawing")).drop("shape_class")
+    return scratch.once(spark, d, "repaired", lambda: dr.retype(dr.repair(domain(spark, d, "readings")).join(shapes, "drawing")).drop("shape_class"))
 
 
 def _merged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -99,16 +101,21 @@ def _num(x: str) -> str:
     return f"CAST(replace({x}, ',', '.') AS DOUBLE)"
 
 
-_E = "coalesce(evidence, '')"
 _ZERO = "(fit IS NOT NULL AND coalesce(upper_mm = 0 AND lower_mm = 0, FALSE))"
-_LETTERS = "regexp_replace(coalesce(fit, ''), '[^A-Za-z]', '', 'g')"
-_REPAIRED = f""", r1 AS (SELECT r.drawing, n, ftype, evidence, coalesce(nominal, CASE WHEN ftype = 'chamfer' THEN {_num(_got(_E, dr.CHAMFER))} END, {_num(_got(_E, dr.SIZE))}) AS nominal, len_mm, CASE WHEN qty = 1 THEN coalesce(CAST({_got(_E, dr.COUNT)} AS INT), qty) ELSE qty END AS qty, fit,
-        CASE WHEN NOT {_ZERO} THEN upper_mm END AS upper_mm, CASE WHEN NOT {_ZERO} THEN lower_mm END AS lower_mm, ra_um, CASE WHEN ftype = 'thread' AND coalesce(thread, '') = '' THEN replace(regexp_replace({_got(_E, dr.THREAD)}, '\\s+', '', 'g'), '×', 'x') ELSE thread END AS thread, shape_class FROM readings r JOIN views v ON v.drawing = r.drawing),
-    r2 AS (SELECT * REPLACE (CASE WHEN ftype IN ('bore', 'hole') AND coalesce(regexp_matches(fit, '{dr.KEY_FIT}'), FALSE) AND {_E} <> '' AND NOT regexp_matches({_E}, '[Ø⌀]') THEN 'keyway' ELSE ftype END AS ftype) FROM r1),
-    r3 AS (SELECT * REPLACE (CASE WHEN ftype = 'keyway' THEN upper(fit) ELSE fit END AS fit) FROM r2),
-    r4 AS (SELECT * REPLACE (CASE WHEN ftype IN ('bore', 'hole') AND {_LETTERS} <> '' AND {_LETTERS} = lower({_LETTERS}) AND shape_class = 'rotational' THEN 'outer_diameter' WHEN ftype = 'outer_diameter' AND {_LETTERS} <> '' AND {_LETTERS} = upper({_LETTERS}) THEN 'bore' ELSE ftype END AS ftype) FROM r3),
-    r5 AS (SELECT * REPLACE (CASE WHEN ftype = 'bore' AND shape_class = 'prismatic' THEN 'hole' ELSE ftype END AS ftype), least({_num(_got(_E, dr.PAIR))}, {_num(_got(_E, dr.PAIR, 2))}) AS pa, greatest({_num(_got(_E, dr.PAIR))}, {_num(_got(_E, dr.PAIR, 2))}) AS pb FROM r4),
-    rep AS (SELECT * EXCLUDE (pa, pb) REPLACE (CASE WHEN ftype IN ('pocket', 'slot') AND pb IS NOT NULL AND (nominal IS NULL OR abs(nominal - pb) < 1e-6) THEN pa ELSE nominal END AS nominal, CASE WHEN ftype IN ('pocket', 'slot') AND pb IS NOT NULL AND (nominal IS NULL OR abs(nominal - pb) < 1e-6) THEN pb ELSE len_mm END AS len_mm) FROM r5)"""
+_IS = lambda x: f"({x} >= '0' AND {x} < ':')"
+_AT = lambda cond: f"list_filter(range(1, len(m) + 1), lambda i : {cond})[1]"
+_VAL = lambda x: f"TRY_CAST(replace({x}, ',', '.') AS DOUBLE)"
+#: Marks of evidence (m) and fit (g), words of evidence (w); then the places of a size, thread, chamfer and pair among the marks.
+_REPAIRED = f""", r0 AS (SELECT r.*, shape_class, regexp_extract_all(coalesce(evidence, ''), '{co.MARK}') AS m, regexp_extract_all(coalesce(fit, ''), '{co.MARK}') AS g, list_filter(regexp_split_to_array(coalesce(evidence, ''), '\\s+'), lambda x : x <> '') AS w FROM readings r JOIN views v ON v.drawing = r.drawing),
+    r1 AS (SELECT *, {_AT(f"m[i] IN ('Ø', '⌀', 'M') AND {_IS('m[i + 1]')}")} AS at_size, {_AT(f"m[i] = 'M' AND {_IS('m[i + 1]')}")} AS at_thread, {_AT(f"{_IS('m[i]')} AND m[i + 1] IN ('x', '×') AND {_IS('m[i + 2]')} AND {_VAL('m[i + 2]')} = 45")} AS at_chamfer, {_AT(f"{_IS('m[i]')} AND m[i + 1] IN ('x', '×') AND {_IS('m[i + 2]')}")} AS at_pair,
+        CASE WHEN w[2] IS NOT NULL AND right(w[1], 1) IN ('x', '×') THEN TRY_CAST(left(w[1], -1) AS INT) WHEN w[3] IS NOT NULL AND w[2] IN ('x', '×') THEN TRY_CAST(w[1] AS INT) END AS times, array_to_string(list_filter(g, lambda x : regexp_matches(x, '[A-Za-z]')), '') AS kind FROM r0),
+    r2 AS (SELECT drawing, n, evidence, coalesce(nominal, CASE WHEN ftype = 'chamfer' THEN {_VAL('m[at_chamfer]')} END, {_VAL('m[at_size + 1]')}) AS nominal, len_mm, CASE WHEN qty = 1 THEN coalesce(times, qty) ELSE qty END AS qty, fit, CASE WHEN NOT {_ZERO} THEN upper_mm END AS upper_mm, CASE WHEN NOT {_ZERO} THEN lower_mm END AS lower_mm, ra_um, shape_class,
+        CASE WHEN ftype = 'thread' AND coalesce(thread, '') = '' THEN 'M' || m[at_thread + 1] || CASE WHEN m[at_thread + 2] IN ('x', '×') AND {_IS('m[at_thread + 3]')} THEN 'x' || m[at_thread + 3] ELSE '' END ELSE thread END AS thread,
+        {_VAL('m[at_pair]')} AS p1, {_VAL('m[at_pair + 2]')} AS p2,
+        CASE WHEN ftype IN ('bore', 'hole') AND len(g) = 2 AND upper(g[1]) IN ('N', 'P', 'JS', 'D') AND g[2] IN ('9', '10') AND len(m) > 0 AND NOT list_has_any(m, ['Ø', '⌀']) THEN 'keyway' WHEN ftype IN ('bore', 'hole') AND kind <> '' AND kind = lower(kind) AND shape_class = 'rotational' THEN 'outer_diameter'
+            WHEN ftype = 'outer_diameter' AND kind <> '' AND kind = upper(kind) THEN CASE shape_class WHEN 'prismatic' THEN 'hole' ELSE 'bore' END WHEN ftype = 'bore' AND shape_class = 'prismatic' THEN 'hole' ELSE ftype END AS ftype FROM r1),
+    r3 AS (SELECT *, coalesce(ftype IN ('pocket', 'slot') AND p1 IS NOT NULL AND (nominal IS NULL OR abs(nominal - greatest(p1, p2)) < 1e-6), FALSE) AS swapped FROM r2),
+    rep AS (SELECT drawing, n, ftype, evidence, CASE WHEN swapped THEN least(p1, p2) ELSE nominal END AS nominal, CASE WHEN swapped THEN greatest(p1, p2) ELSE len_mm END AS len_mm, qty, CASE WHEN ftype = 'keyway' THEN upper(fit) ELSE fit END AS fit, upper_mm, lower_mm, ra_um, thread, shape_class FROM r3)"""
 _COMPLETE = f""", lo AS (SELECT *, ftype = 'face' AND fit IS NULL AND upper_mm IS NULL AND lower_mm IS NULL AND ra_um IS NULL AS loose FROM rep),
     lack AS (SELECT drawing, max_diameter_mm AS d FROM views WHERE shape_class = 'rotational' AND max_diameter_mm <> 0 AND drawing NOT IN (SELECT l.drawing FROM lo l JOIN views v ON v.drawing = l.drawing WHERE NOT loose AND ftype = 'outer_diameter' AND abs(nominal - max_diameter_mm) <= {dr.NEAR_MM})),
     full0 AS (SELECT drawing, n, ftype, evidence, nominal, len_mm, qty, fit, upper_mm, lower_mm, ra_um, thread FROM lo WHERE NOT loose UNION ALL SELECT drawing, -1, 'outer_diameter', 'envelope', d, NULL, 1, NULL, NULL, NULL, NULL, NULL FROM lack),

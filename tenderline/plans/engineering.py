@@ -180,7 +180,7 @@ _COVERAGE = f""", cov0 AS (SELECT part_id, n_uncovered, n_features, shape_class
     cov AS (SELECT *, CASE WHEN n_features = 0 THEN 1.0 ELSE greatest(0.0, 1 - (n_uncovered + unknown_heat::INT + unknown_surface::INT) / n_features) END AS coverage FROM cov0)"""
 _WALL = "CASE mat_group WHEN 'aluminium' THEN 1.5 WHEN 'cast_iron' THEN 3.0 ELSE 2.0 END"
 _FOUND = f""", dr AS (SELECT p.part_id, shape_class, material_code, mat_group, s.* EXCLUDE (part_id) FROM parts p JOIN specs s USING (part_id) LEFT JOIN materials m ON p.material_code = m.code),
-    ff AS (SELECT f.*, {_WALL} AS least_wall, coalesce(it_grade, list_min(list_transform(regexp_extract_all(fit, '[A-Za-z]{{1,2}}\\s*(\\d{{1,2}})', 1), lambda x : CAST(x AS INT)))) AS vgrade, nullif(len_mm, 0) / nullif(nominal, 0) AS deep FROM features f JOIN dr USING (part_id)),
+    ff AS (SELECT f.*, {_WALL} AS least_wall, coalesce(it_grade, list_min(list_transform(regexp_extract_all(fit, '[0-9]+'), lambda x : CAST(x AS INT)))) AS vgrade, nullif(len_mm, 0) / nullif(nominal, 0) AS deep FROM features f JOIN dr USING (part_id)),
     finds AS (SELECT part_id, NULL::BIGINT AS fid, 'VAL-001' AS code, 'blocker' AS severity FROM dr WHERE trim(coalesce(material_text, '')) = '' AND shape_class <> 'assembly'
         UNION ALL SELECT part_id, NULL, 'VAL-002', 'warning' FROM dr WHERE trim(coalesce(material_text, '')) <> '' AND material_code IS NULL
         UNION ALL SELECT part_id, NULL, 'VAL-004', 'warning' FROM dr WHERE trim(coalesce(general_tolerance, '')) = '' AND shape_class <> 'assembly'

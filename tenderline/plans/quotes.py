@@ -232,8 +232,10 @@ _BACKTEST = ctes("parts", "features", "specs", "materials", "bom", "recorded", "
 _SLICED = _BACKTEST + f""", sl AS (SELECT method, actual, estimate, 'all' AS slice, 'all' AS key FROM pts UNION ALL SELECT method, actual, estimate, 'family', family FROM pts JOIN parts USING (part_id) UNION ALL SELECT method, actual, estimate, 'plant', plant FROM pts UNION ALL SELECT method, actual, estimate, 'home batch', 'DE' FROM pts WHERE plant = 'DE' AND qty = {DEFAULT.default_batch}),
     se AS (SELECT *, (estimate - actual) / nullif(actual, 0) AS e FROM sl),
     mt AS (SELECT method, slice, key, count(*) AS n, count(*) FILTER (estimate IS NULL) AS infeasible, avg((abs(e) <= 0.1)::INT) AS within_10, avg((abs(e) <= 0.2)::INT) AS within_20, avg(e) AS mean_signed, median(abs(e)) AS median_abs, median(e) AS median_signed FROM se GROUP BY 1, 2, 3)"""
-_PLAIN = "trim(regexp_replace(regexp_replace(translate(lower(coalesce(CAST({0} AS VARCHAR), '')), '×ø⌀', 'x'), '[ \\t\\r\\n]*([x:/+\\-.,;])[ \\t\\r\\n]*', '\\1', 'g'), '[ \\t\\r\\n]+', ' ', 'g'), ' .')"
-_STEMS = "list_distinct(list_transform(list_filter(regexp_extract_all(" + _PLAIN + ", '[a-z0-9äöüß.]+'), lambda w : NOT list_contains(" + str(list(scoring.STOP_WORDS)) + ", w)), lambda w : substring(w, 1, 5)))"
+#: Words and parting signs of a text; blanks only between two words. Points at the ends go.
+_PARTS = "regexp_extract_all(trim(translate(lower(coalesce(CAST({0} AS VARCHAR), '')), '×ø⌀', 'x'), ' .'), '[x:/+.,;-]|[^x:/+.,;\\s-]+')"
+_PLAIN = f"list_reduce(list_prepend('', {_PARTS}), lambda a, b : CASE WHEN a = '' OR contains('x:/+-.,;', right(a, 1)) OR contains('x:/+-.,;', b) THEN a || b ELSE a || ' ' || b END)"
+_STEMS = "list_distinct(list_transform(list_filter(regexp_split_to_array(" + _PLAIN + ", '[^\\p{{L}}\\p{{N}}.]+'), lambda w : w <> '' AND NOT list_contains(" + str(list(scoring.STOP_WORDS)) + ", w)), lambda w : substring(w, 1, 5)))"
 _NUM_EQ = "CASE WHEN {0} IS NULL OR {1} IS NULL THEN {0} IS NULL AND {1} IS NULL ELSE abs({0} - {1}) <= {2} * greatest(abs({1}), 1e-9) END"
 
 

@@ -156,9 +156,9 @@ def unresolved_references(spark: SparkSession, d: str) -> DataFrame:
 
 _SECTIONS = ctes("articles") + f""", li AS (SELECT file, unnest(regexp_split_to_array(content, '\\r\\n|\\r|\\n')) AS line, generate_subscripts(regexp_split_to_array(content, '\\r\\n|\\r|\\n'), 1) AS n FROM articles),
     lf_ AS (SELECT *, sum(starts_with(ltrim(line), '```')::INT) OVER (PARTITION BY file ORDER BY n) % 2 = 1 AS fenced FROM li),
-    lm AS (SELECT *, CASE WHEN NOT fenced THEN length(regexp_extract(line, '{search.HEADING}', 1)) ELSE 0 END AS marks FROM lf_),
+    lm AS (SELECT *, CASE WHEN NOT fenced AND length(line) - length(ltrim(line, '#')) BETWEEN 1 AND 3 AND left(ltrim(line, '#'), 1) IN (' ', chr(9)) AND title <> '' THEN length(line) - length(ltrim(line, '#')) ELSE 0 END AS marks FROM (SELECT *, trim(rtrim(trim(ltrim(line, '#'), ' ' || chr(9)), '#'), ' ' || chr(9)) AS title FROM lf_)),
     lk AS (SELECT *, sum((marks > 0)::INT) OVER (PARTITION BY file ORDER BY n) AS k FROM lm),
-    se0 AS (SELECT file, k, max(marks) AS marks, max(CASE WHEN marks > 0 THEN regexp_extract(line, '{search.HEADING}', 2) END) AS heading, regexp_replace(string_agg(line, chr(10) ORDER BY n) FILTER (marks = 0), '^[ \\t\\n]+|[ \\t\\n]+$', '', 'g') AS text FROM lk GROUP BY 1, 2),
+    se0 AS (SELECT file, k, max(marks) AS marks, max(CASE WHEN marks > 0 THEN title END) AS heading, regexp_replace(string_agg(line, chr(10) ORDER BY n) FILTER (marks = 0), '^[ \\t\\n]+|[ \\t\\n]+$', '', 'g') AS text FROM lk GROUP BY 1, 2),
     se1 AS (SELECT *, coalesce(nullif(regexp_replace(regexp_replace(lower(translate(heading, '{ACCENTS[0]}', '{ACCENTS[1]}')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), ''), 'section') AS slug FROM se0 WHERE marks > 1 AND text <> ''),
     se AS (SELECT file || '#' || slug || CASE WHEN nth > 1 THEN '-' || nth ELSE '' END AS id, file, k, heading, text FROM (SELECT *, row_number() OVER (PARTITION BY file, slug ORDER BY k) AS nth FROM se1)),
     dc AS (SELECT id, concat_ws(' ', heading, heading, text) AS doc FROM se)"""
