@@ -11,7 +11,7 @@ from tenderline.plans.quoting import rounded
 from tenderline.plans.reporting import _points
 from tenderline.sources import scratch
 from tenderline.sources.adapters import ctes, domain, doubles
-from tenderline.streaming import calls as stream
+from tenderline.streaming import arrivals, calls as stream
 
 FIELDS = ["nominal", "band"]
 PLACEHOLDER = "Tion"
@@ -78,14 +78,16 @@ def error_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_calls(spark: SparkSession, d: str) -> DataFrame:
-    """ST-02: the event log read as a stream until its end."""
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    calls = events.select("ts", F.col("event_type").alias("node"), F.floor(F.col("value") * 10).alias("latency_ms"), (F.col("event_id") % 17 != 0).alias("ok"))
-    out = stream.drain(stream.windowed_calls(calls), ["start", "node"])
+    """ST-02: the event log in parts, a run of the stream for each; calls whose window the watermark has passed are dropped."""
+    log, at, state = domain(spark, d, "events"), scratch.folder(spark, "log"), scratch.folder(spark, "calls")
+    rows = log.select("event_id", "ts", F.col("event_type").alias("node"), F.floor(F.col("value") * 10).alias("latency_ms"), (F.col("event_id") % 17 != 0).alias("ok")).withColumn("part", arrivals.part_of(log, F.col("event_id"), F.col("ts")))
+    run = lambda: stream.drain(stream.windowed_calls(spark.readStream.schema(rows.drop("part").schema).parquet(at)), ["start", "node"], state)
+    *_, out = arrivals.replay({at: rows}, run)
     return out.withColumn("start", F.date_format("start", "yyyy-MM-dd"))
 
 
+#: Events with the part in which each arrives.
+ARRIVALS = "ev AS (SELECT *, CAST(least((datediff('day', (SELECT min(ts) FROM events), ts) + CASE event_id % 13 WHEN 5 THEN 10 WHEN 7 THEN 3 ELSE 0 END) // 7, 4) AS INT) AS part FROM events)"
 _norm = quoting.norm_sql
 _CAL_TABLES = ("parts", "features", "specs", "materials", "bom", "recorded")
 _POINTS = ctes("history", "part_costs") + ", e AS (SELECT plant, unit_price / unit_cost - 1 AS e, (unit_price - unit_cost) / unit_cost AS err FROM history JOIN part_costs USING (part_id, plant, qty) WHERE unit_cost <> 0)"
@@ -118,6 +120,7 @@ ORACLES = {
         WHEN length(t) - length(bare) <> {len(PLACEHOLDER)} THEN 'placeholder not there exactly once' WHEN regexp_matches(t, '{matching.CURRENCY}') THEN 'currency amount' WHEN regexp_matches(bare, '{matching.LIST_ITEM}') THEN 'list items' END AS reason FROM x""",
     "next_versions": ctes("requests", "quotes") + " SELECT r.rfq_id, CAST(coalesce(v + 1, 1) AS BIGINT) AS version, 'Q-' || r.rfq_id || '-v' || coalesce(v + 1, 1) AS quote_id, CAST(issued + 30 AS DATE) AS valid_until FROM requests r LEFT JOIN (SELECT rfq_id, max(version) AS v FROM quotes GROUP BY 1) USING (rfq_id)",
     "error_boxes": _POINTS + " SELECT plant, round(quantile_cont(err, 0.25) + 1e-7, 4) AS q1, round(quantile_cont(err, 0.5) + 1e-7, 4) AS q2, round(quantile_cont(err, 0.75) + 1e-7, 4) AS q3 FROM e GROUP BY 1",
-    "stream_calls": "SELECT strftime(ts, '%Y-%m-%d') AS start, event_type AS node, count(*) AS n_calls, sum(floor(value * 10)::BIGINT)::BIGINT AS latency_ms, max(floor(value * 10)::BIGINT) AS max_ms, count(*) FILTER (event_id % 17 = 0) AS n_failed FROM events GROUP BY 1, 2",
+    "stream_calls": f"""WITH {ARRIVALS}, top AS (SELECT part, max(ts) AS ts FROM ev GROUP BY 1), kept AS (SELECT e.* FROM ev e LEFT JOIN (SELECT e.part, max(t.ts) - INTERVAL 7 DAY AS mark FROM (SELECT DISTINCT part FROM ev) e JOIN top t ON t.part < e.part GROUP BY 1) w ON w.part = e.part WHERE w.mark IS NULL OR date_trunc('day', e.ts) + INTERVAL 1 DAY > w.mark)
+        SELECT strftime(ts, '%Y-%m-%d') AS start, event_type AS node, count(*) AS n_calls, sum(floor(value * 10)::BIGINT)::BIGINT AS latency_ms, max(floor(value * 10)::BIGINT) AS max_ms, count(*) FILTER (event_id % 17 = 0) AS n_failed FROM kept GROUP BY 1, 2""",
 }
 ORACLES = {k: doubles(v) if k not in ("prose_check",) else v for k, v in ORACLES.items()}

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tenderline.operators import search
 from tenderline.plans.quoting import rounded
+from tenderline.plans.records import ARRIVALS
 from tenderline.sources import files
 from tenderline.sources.adapters import ctes, domain, doubles
 from tenderline.sources.scratch import folder
-from tenderline.streaming import contracts
+from tenderline.streaming import arrivals, contracts
 
 ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY")
 
@@ -95,12 +96,17 @@ def stream_contract(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_rounds(spark: SparkSession, d: str) -> DataFrame:
-    """ST-03: pending rounds and their results, two streams of the event log."""
-    events = lambda: spark.readStream.schema(domain(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    stamp = F.col("ts").cast("timestamp")
-    pending = events().select(F.col("event_id").alias("id"), stamp.alias("ts"), F.col("event_type").alias("action"))
-    results = events().where("event_id % 3 <> 0").select(F.col("event_id").alias("id"), (stamp + F.expr("make_dt_interval(0, 0, 10 * (event_id % 20))")).alias("done"), "value")
-    return contracts.drain_pairs(contracts.paired_rounds(pending, results)).select("id", "action", rounded("value").alias("value"))
+    """ST-03: pending rounds and their results, two streams of the event log that arrive in parts; of rows behind the watermark there are no pairs."""
+    log, stamp, c = domain(spark, d, "events"), F.col("ts").cast("timestamp"), F.col
+    at, state = folder(spark, "rounds"), folder(spark, "pairs")
+    done = stamp + F.expr("make_dt_interval(0, 0, 10 * (event_id % 20))")
+    pending = log.select(c("event_id").alias("id"), stamp.alias("ts"), c("event_type").alias("action"), arrivals.part_of(log, c("event_id"), c("ts")).alias("part"))
+    # results have laggards of their own
+    results = log.where("event_id % 3 <> 0").select(c("event_id").alias("id"), done.alias("done"), "value", arrivals.part_of(log, c("event_id") + 1, c("ts")).alias("part"))
+    read = lambda t, name: spark.readStream.schema(t.drop("part").schema).parquet(f"{at}/{name}")
+    run = lambda: contracts.drain_pairs(contracts.paired_rounds(read(pending, "pending"), read(results, "results")), state)
+    *_, out = arrivals.replay({f"{at}/pending": pending, f"{at}/results": results}, run)
+    return out.select("id", "action", rounded("value").alias("value"))
 
 
 def quote_snapshot(spark: SparkSession, d: str) -> DataFrame:
@@ -200,7 +206,9 @@ ORACLES = {
     "request_inventory": "SELECT CAST(s_suppkey AS VARCHAR) AS rfq_id, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE 'Parts for ' || s_name END AS subject, concat_ws(',', CASE WHEN s_suppkey % 2 = 0 THEN 'a.pdf' END, CASE WHEN s_suppkey % 3 = 0 THEN 'b.pdf' END) AS drawings, s_suppkey % 4 = 0 AS has_reference FROM supplier",
     "contract_rows": _CONTRACT,
     "stream_contract": _CONTRACT,
-    "stream_rounds": "SELECT event_id AS id, event_type AS action, round(value + 1e-7, 4) AS value FROM events WHERE event_id % 3 <> 0 AND 10 * (event_id % 20) <= 120",
+    "stream_rounds": f"""WITH {ARRIVALS}, rs AS (SELECT event_id, value, ts + to_minutes(CAST(10 * (event_id % 20) AS INT)) AS done, CAST(least((datediff('day', (SELECT min(ts) FROM events), ts) + CASE (event_id + 1) % 13 WHEN 5 THEN 10 WHEN 7 THEN 3 ELSE 0 END) // 7, 4) AS INT) AS part FROM events WHERE event_id % 3 <> 0),
+        tops AS (SELECT p.part, (SELECT max(ts) FROM ev WHERE ev.part < p.part) AS a, (SELECT max(done) FROM rs WHERE rs.part < p.part) AS b FROM (SELECT unnest(range(0, 5)) AS part) p), marks AS (SELECT part, coalesce(least(date_trunc('millisecond', a), date_trunc('millisecond', b)) - INTERVAL 2 HOUR, TIMESTAMP '1900-01-01') AS mark FROM tops)
+        SELECT e.event_id AS id, event_type AS action, round(r.value + 1e-7, 4) AS value FROM ev e JOIN rs r ON r.event_id = e.event_id AND done <= ts + INTERVAL 2 HOUR JOIN marks m ON m.part = e.part JOIN marks k ON k.part = r.part WHERE ts > m.mark AND done > k.mark""",
     "quote_snapshot": ctes("history") + """, h AS (SELECT quote_no, part_id, round(unit_price + 1e-7, 4) AS unit_price FROM history), u AS (SELECT * FROM h WHERE quote_no % 3 <> 0 UNION ALL SELECT quote_no, part_id, round(unit_price + 1 + 1e-7, 4) FROM h WHERE quote_no % 3 = 0 UNION ALL SELECT -quote_no - 1, part_id, unit_price FROM h WHERE quote_no % 5 = 0) SELECT * FROM u""",
     "call_journal": ctes("calls") + " SELECT id, node FROM calls ORDER BY ts, id",
     "text_sections": _SECTIONS + " SELECT id, k::BIGINT AS k, heading, sha256(text) AS text_sha256 FROM se",

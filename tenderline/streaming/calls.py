@@ -16,14 +16,15 @@ def windowed_calls(calls: DataFrame, window: str = "1 day", late: str = "7 days"
     return x.groupBy(F.window("ts", window).alias("w"), "node").agg(F.count("*").alias("n_calls"), F.sum("latency_ms").alias("latency_ms"), F.max("latency_ms").alias("max_ms"), F.count_if(~F.col("ok")).alias("n_failed")).select(F.col("w.start").alias("start"), "node", "n_calls", "latency_ms", "max_ms", "n_failed")
 
 
-def drain(stream: DataFrame, keys: list[str]) -> DataFrame:
+def drain(stream: DataFrame, keys: list[str], at: str | None = None) -> DataFrame:
     """Runs a stream over what has arrived and gives the last state of each key.
 
     Updates are appended to a table by micro-batch number, each batch into its own folder, so that a batch that is run again
-    replaces itself.
+    replaces itself. `at` holds state and updates: a later run with the same folder goes on from there, with watermark and
+    open windows as they were left. Rows whose window ended before the watermark of the run before are dropped.
     """
     spark = stream.sparkSession
-    folder = new_folder(spark, "stream")
+    folder = at or new_folder(spark, "stream")
 
     def keep(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")

@@ -32,9 +32,12 @@ def paired_rounds(pending: DataFrame, results: DataFrame, late: str = "2 hours")
     return a.join(b, F.expr(f"id = of and done >= ts and done <= ts + interval {late}")).drop("of")
 
 
-def drain_pairs(pairs: DataFrame) -> DataFrame:
-    """The rows of a stream of pairs until its end."""
-    spark, out = pairs.sparkSession, folder(pairs.sparkSession, "pairs")
+def drain_pairs(pairs: DataFrame, at: str | None = None) -> DataFrame:
+    """The rows of a stream of pairs until its end; `at` holds state and rows, and a later run with the same folder goes on from there.
+
+    A row behind the watermark of the run before meets nothing.
+    """
+    spark, out = pairs.sparkSession, at or folder(pairs.sparkSession, "pairs")
 
     def keep(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/rows/batch={n}")
