@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # fixed values: how far sizes of one feature may be apart in mm, relative slack of numbers and tolerances, share of words that makes a text the same
 NOMINAL_MM, NUMBER_SLACK, BAND_SLACK, TEXT_RECALL, STEM = 0.5, 0.01, 0.001, 0.6, 5
@@ -47,11 +47,15 @@ def stems(x: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.substring(w, 1, STEM)))
 
 
+def _alike(got: Column, got_stems: Column, want: Column, want_stems: Column, recall: float) -> Column:
+    empty = lambda t: F.coalesce(t, F.lit("")) == ""
+    enough = (F.size(want_stems) > 0) & (F.size(F.array_intersect(want_stems, got_stems)) >= recall * F.size(want_stems))
+    return F.when(empty(got) | empty(want), empty(got) & empty(want)).otherwise(enough)
+
+
 def same_meaning(got: Column, want: Column, recall: float = TEXT_RECALL) -> Column:
     """EV-10: enough of the expected text's stems are in the other; two empty texts are the same."""
-    empty = lambda t: F.coalesce(t, F.lit("")) == ""
-    g = stems(want)
-    return F.when(empty(got) | empty(want), empty(got) & empty(want)).otherwise((F.size(g) > 0) & (F.size(F.array_intersect(g, stems(got))) >= recall * F.size(g)))
+    return _alike(got, stems(got), want, stems(want), recall)
 
 
 def match_features(predicted: DataFrame, gold: DataFrame) -> DataFrame:
@@ -103,6 +107,52 @@ def score_requests(understood: DataFrame, wanted: DataFrame, got_items: DataFram
     return out.select("rfq_id", sum((F.coalesce(h, F.lit(False)).cast("int") for h in head), F.lit(0)).alias("header_right"), F.coalesce("same_count", F.lit(1)).alias("same_count"), F.coalesce("ok", F.lit(0)).alias("item_right"), F.coalesce("n", F.lit(0)).alias("item_fields"))
 
 
+#: Fields of a request's head, and of its lines with how they compare.
+HEADERS = ("customer", "contact", "email", "language", "received", "incoterm", "currency")
+LINE_FIELDS = {"quantities": Column.eqNullSafe, "due": Column.eqNullSafe, "drawing_ref": Column.eqNullSafe, "part_number": same_text}
+
+
+def score_readings(read: DataFrame, sent: DataFrame, read_lines: DataFrame, sent_lines: DataFrame) -> DataFrame:
+    """EV-11: per sent request the fields of its head and lines that were read right, its line count, its requirements found and those read that were sent, and what was missed.
+
+    read, sent: rfq_id, HEADERS, requirements (array); lines: rfq_id, line_no, LINE_FIELDS. Lines pair by their place in the request, and those without
+    a partner are told by the count alone. A requirement is found if any that was read means the same, and the other way round. `missed` lists fields by name,
+    those of lines with the sent number, then requirements missed (-) and made up (+), in order. A request that was not read has nothing right
+    but what is empty, and no lines. Repeated rfq_id in `read` would repeat rows.
+    """
+    c = F.col
+    with_stems = lambda t: F.transform(F.coalesce(t, F.array().cast("array<string>")), lambda r: F.struct(r.alias("text"), stems(r).alias("stems")))
+    want = sent.select("rfq_id", *[c(h).alias(f"w_{h}") for h in HEADERS], with_stems(c("requirements")).alias("_w"))
+    got = read.select("rfq_id", *HEADERS, with_stems(c("requirements")).alias("_g"))
+    x = want.join(got, "rfq_id", "left").withColumn("_g", F.coalesce("_g", F.array().cast("array<struct<text:string,stems:array<string>>>")))
+    alike = lambda p, g: _alike(p["text"], p["stems"], g["text"], g["stems"], TEXT_RECALL)
+    x = x.withColumns({"_lost": F.filter("_w", lambda g: ~F.exists("_g", lambda p: alike(p, g))), "_new": F.filter("_g", lambda p: ~F.exists("_w", lambda g: alike(p, g)))})
+    x = x.withColumn("_bad", F.filter(F.array(*[F.when(~same_text(c(h), c(f"w_{h}")), F.lit(h)) for h in HEADERS]), lambda m: m.isNotNull()))
+
+    place = Window.partitionBy("rfq_id").orderBy("line_no")
+    numbered = lambda t, p: t.select("rfq_id", F.row_number().over(place).alias("_k"), c("line_no").alias(f"{p}line_no"), *[c(f).alias(f"{p}{f}") for f in LINE_FIELDS])
+    wrong = F.filter(F.array(*[F.when(~same(c(f"g_{f}"), c(f"w_{f}")), F.lit(f)) for f, same in LINE_FIELDS.items()]), lambda m: m.isNotNull())
+    pairs = numbered(sent_lines, "w_").join(numbered(read_lines, "g_"), ["rfq_id", "_k"], "left").withColumn("_bad", F.when(c("g_line_no").isNotNull(), wrong))
+    told = F.transform("_bad", lambda f: F.concat(F.lit("line "), c("w_line_no").cast("string"), F.lit(" "), f))
+    per = pairs.groupBy("rfq_id").agg(F.count("*").alias("_n"), F.count("_bad").alias("_paired"), F.sum(F.size("_bad")).alias("_wrong"), F.array_sort(F.collect_list(F.when(F.size("_bad") > 0, F.struct(c("_k"), told.alias("m"))))).alias("_lines"))
+    counts = read_lines.groupBy("rfq_id").agg(F.count("*").alias("_m"))
+    x = x.join(per, "rfq_id", "left").join(counts, "rfq_id", "left").fillna(0, ["_n", "_m", "_paired", "_wrong"])
+    texts = lambda rows, sign: F.transform(rows, lambda r: F.concat(F.lit(sign), F.coalesce(r["text"], F.lit(""))))
+    lines = F.coalesce(F.flatten(F.transform("_lines", lambda s: s["m"])), F.array().cast("array<string>"))
+    return x.select(
+        "rfq_id",
+        (F.lit(len(HEADERS)) - F.size("_bad")).alias("header_right"),
+        (c("_n") == c("_m")).alias("same_count"),
+        (c("_paired") * len(LINE_FIELDS) - c("_wrong")).alias("line_right"),
+        (c("_paired") * len(LINE_FIELDS)).alias("line_fields"),
+        (F.size("_w") - F.size("_lost")).alias("found"),
+        F.size("_w").alias("required"),
+        (F.size("_g") - F.size("_new")).alias("confirmed"),
+        F.size("_g").alias("read"),
+        F.concat("_bad", lines, texts(c("_lost"), "-"), texts(c("_new"), "+")).alias("missed"),
+    )
+
+
 def pool_scores(scores: DataFrame, by: list[str]) -> DataFrame:
     """EV-12: score_drawings() rows summed up by set and variant, with recall, precision and the share of right tolerances as ratios of sums."""
     sums = scores.groupBy(*by).agg(F.count("*").alias("n_drawings"), *[F.sum(c).alias(c) for c in ("n_matched", "n_expected", "n_read", "n_right", "n_tolerances")])

@@ -192,6 +192,13 @@ def text_matches(spark: SparkSession, d: str) -> DataFrame:
     return x.join(before, ["conv_id", "turn"]).select("conv_id", "turn", scoring.same_meaning(F.col("text"), F.col("want")).alias("same"))
 
 
+def reading_scores(spark: SparkSession, d: str) -> DataFrame:
+    """EV-11: whole requests with their requirements."""
+    heads = [domain(spark, d, t).withColumn("requirements", F.split("requirements", r"\|")) for t in ("read_requests", "sent_requests")]
+    lines = [domain(spark, d, t).withColumn("quantities", F.transform(F.split("quantities", ","), lambda q: q.cast("int"))) for t in ("read_lines", "sent_lines")]
+    return scoring.score_readings(*heads, *lines).withColumn("missed", F.array_join("missed", "; "))
+
+
 def request_scores(spark: SparkSession, d: str) -> DataFrame:
     """EV-11."""
     items = domain(spark, d, "items").select("rfq_id", "line_no", "qty", "due")
@@ -267,7 +274,7 @@ TABLE_EDITS = """, er AS (SELECT rfq_id, line_no, seq, nullif(upper(trim(op_code
         UNION ALL SELECT rfq_id, line_no, seq, 'remove_op', op_code, work_center, CASE WHEN suggested THEN 0.0 ELSE cycle_min END, 0.0, NULL, NULL, CASE WHEN suggested THEN 0.0 ELSE -cycle_min END, CASE WHEN suggested THEN 0.0 ELSE -setup_min END FROM hitr WHERE NOT given
         UNION ALL SELECT rfq_id, line_no, seq, 'add_op', new_op, new_centre, 0.0, coalesce(nc, 0.0), NULL, NULL, coalesce(nc, 0.0), coalesce(ns, 0.0) FROM newr)"""
 
-QUERIES = {f.__name__: f for f in (edit_table, edit_table_by_centre, quote_lines, quote_assumptions, customer_questions, tier_reasons, decision_history, edited_operations, rejected_rounds, line_snapshots, backtest_points, backtest_metrics, backtest_counts, family_gains, feature_pairs, drawing_scores, pooled_scores, rolling_factors, inbox, equal_values, text_matches, request_scores)}
+QUERIES = {f.__name__: f for f in (edit_table, edit_table_by_centre, quote_lines, quote_assumptions, customer_questions, tier_reasons, decision_history, edited_operations, rejected_rounds, line_snapshots, backtest_points, backtest_metrics, backtest_counts, family_gains, feature_pairs, drawing_scores, pooled_scores, rolling_factors, inbox, equal_values, text_matches, request_scores, reading_scores)}
 ORACLES = {
     "edit_table": ctes("edit_rows", *quoting._COST_TABLES) + quoting._COST_BODY + quoting.RECOMMENDED + TABLE_EDITS + f""", at_ AS (SELECT rfq_id, line_no, min(qty) AS qty, arg_min(plant, qty) AS plant FROM rec GROUP BY 1, 2)
         SELECT t.rfq_id, t.line_no, t.seq, field, op_code, work_center, a.plant, a.qty, round(before + 1e-7, 4) AS before, round(after + 1e-7, 4) AS after, round(ratio + 1e-7, 4) AS ratio, round(rule_ratio + 1e-7, 4) AS rule_ratio,
@@ -322,6 +329,16 @@ ORACLES = {
     "equal_values": ctes("understood", "wanted") + f" SELECT u.rfq_id, {_PLAIN.format('u.customer')} = {_PLAIN.format('w.customer')} AS customer, {_PLAIN.format('u.priority')} = {_PLAIN.format('w.priority')} AS priority, {_NUM_EQ.format('u.total', 'w.total', '0.01')} AS total FROM understood u JOIN wanted w ON w.rfq_id = u.rfq_id",
     "text_matches": f"""WITH x AS (SELECT a.conv_id, a.turn, a.text AS got, b.text AS want, {_STEMS.format('a.text')} AS gs, {_STEMS.format('b.text')} AS ws FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn + 1 = a.turn)
         SELECT conv_id, turn, CASE WHEN coalesce(got, '') = '' OR coalesce(want, '') = '' THEN coalesce(got, '') = '' AND coalesce(want, '') = '' ELSE len(ws) > 0 AND len(list_intersect(ws, gs)) >= 0.6 * len(ws) END AS same FROM x""",
+    "reading_scores": ctes("sent_requests", "read_requests", "sent_lines", "read_lines") + f""", hd AS (SELECT w.rfq_id, list_filter([{', '.join(f"CASE WHEN {_PLAIN.format('g.' + h)} <> {_PLAIN.format('w.' + h)} THEN '{h}' END" for h in scoring.HEADERS)}], lambda m : m IS NOT NULL) AS bad FROM sent_requests w LEFT JOIN read_requests g ON g.rfq_id = w.rfq_id),
+        sl AS (SELECT *, row_number() OVER (PARTITION BY rfq_id ORDER BY line_no) AS k FROM sent_lines), rl AS (SELECT *, row_number() OVER (PARTITION BY rfq_id ORDER BY line_no) AS k FROM read_lines),
+        lp AS (SELECT s.rfq_id, s.k, s.line_no, r.rfq_id IS NOT NULL AS paired, list_filter([CASE WHEN r.quantities IS DISTINCT FROM s.quantities THEN 'quantities' END, CASE WHEN r.due IS DISTINCT FROM s.due THEN 'due' END, CASE WHEN r.drawing_ref IS DISTINCT FROM s.drawing_ref THEN 'drawing_ref' END, CASE WHEN {_PLAIN.format('r.part_number')} <> {_PLAIN.format('s.part_number')} THEN 'part_number' END], lambda m : m IS NOT NULL) AS bad FROM sl s LEFT JOIN rl r ON r.rfq_id = s.rfq_id AND r.k = s.k),
+        la AS (SELECT rfq_id, count(*) AS n, count(*) FILTER (paired) AS paired, sum(len(bad)) FILTER (paired) AS wrong, flatten(list(list_transform(bad, lambda f : 'line ' || line_no || ' ' || f) ORDER BY k) FILTER (paired)) AS m FROM lp GROUP BY 1), ra AS (SELECT rfq_id, count(*) AS n FROM read_lines GROUP BY 1),
+        wt0 AS (SELECT rfq_id, unnest(string_split(requirements, '|')) AS text, generate_subscripts(string_split(requirements, '|'), 1) AS o FROM sent_requests), gt0 AS (SELECT rfq_id, unnest(string_split(requirements, '|')) AS text, generate_subscripts(string_split(requirements, '|'), 1) AS o FROM read_requests),
+        wt AS (SELECT *, {_STEMS.format('text')} AS s FROM wt0), gt AS (SELECT *, {_STEMS.format('text')} AS s FROM gt0),
+        al AS (SELECT w.rfq_id, w.o AS wo, g.o AS go FROM wt w JOIN gt g ON g.rfq_id = w.rfq_id WHERE len(w.s) > 0 AND len(list_intersect(w.s, g.s)) >= 0.6 * len(w.s)),
+        wa AS (SELECT rfq_id, count(*) AS n, count(*) FILTER (hit) AS hits, list('-' || text ORDER BY o) FILTER (NOT hit) AS m FROM (SELECT *, (rfq_id, o) IN (SELECT (rfq_id, wo) FROM al) AS hit FROM wt) GROUP BY 1), ga AS (SELECT rfq_id, count(*) AS n, count(*) FILTER (hit) AS hits, list('+' || text ORDER BY o) FILTER (NOT hit) AS m FROM (SELECT *, (rfq_id, o) IN (SELECT (rfq_id, go) FROM al) AS hit FROM gt) GROUP BY 1)
+        SELECT h.rfq_id, CAST(7 - len(bad) AS INT) AS header_right, coalesce(la.n, 0) = coalesce(ra.n, 0) AS same_count, CAST(coalesce(la.paired, 0) * 4 - coalesce(la.wrong, 0) AS BIGINT) AS line_right, CAST(coalesce(la.paired, 0) * 4 AS BIGINT) AS line_fields, CAST(coalesce(wa.hits, 0) AS INT) AS found, CAST(coalesce(wa.n, 0) AS INT) AS required, CAST(coalesce(ga.hits, 0) AS INT) AS confirmed, CAST(coalesce(ga.n, 0) AS INT) AS "read",
+            array_to_string(list_concat(bad, coalesce(la.m, []), coalesce(wa.m, []), coalesce(ga.m, [])), '; ') AS missed FROM hd h LEFT JOIN la ON la.rfq_id = h.rfq_id LEFT JOIN ra ON ra.rfq_id = h.rfq_id LEFT JOIN wa ON wa.rfq_id = h.rfq_id LEFT JOIN ga ON ga.rfq_id = h.rfq_id""",
     "request_scores": ctes("understood", "wanted", "items") + f""", got AS (SELECT rfq_id, line_no, CASE WHEN rfq_id % 8 = 0 THEN qty + 1 ELSE qty END AS qty, due FROM items WHERE line_no < 6 OR rfq_id % 3 > 0),
         a AS (SELECT *, row_number() OVER (PARTITION BY rfq_id ORDER BY line_no) AS k FROM items), b AS (SELECT *, row_number() OVER (PARTITION BY rfq_id ORDER BY line_no) AS k FROM got),
         c AS (SELECT a.rfq_id, count(*) AS na, count(b.k) AS nb, count(*) FILTER (b.k IS NOT NULL AND a.qty IS NOT DISTINCT FROM b.qty) + count(*) FILTER (b.k IS NOT NULL AND a.due IS NOT DISTINCT FROM b.due) AS ok FROM a LEFT JOIN b ON b.rfq_id = a.rfq_id AND b.k = a.k GROUP BY 1)

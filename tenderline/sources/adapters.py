@@ -86,6 +86,11 @@ TABLES: dict[str, str] = {
     "notes": "SELECT o_orderkey AS drawing, CASE WHEN o_orderkey % 6 = 0 THEN 2.0 WHEN o_orderkey % 6 = 3 THEN 0.0 END AS gear_module, CASE WHEN o_orderkey % 4 < 3 THEN CAST(20 + o_custkey % 9 AS INT) END AS gear_teeth, CASE o_orderkey % 8 WHEN 1 THEN '1,2,2' WHEN 3 THEN '1,2,3' END AS items FROM {orders} WHERE o_orderkey % 13 <> 4",
     # requests as a model has read them, and as they are; their files
     "intake": "SELECT o_orderkey AS rfq_id, CASE o_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'eur' ELSE 'Usd' END AS currency, CASE o_custkey % 5 WHEN 0 THEN ' ' WHEN 1 THEN 'dap Berlin' WHEN 2 THEN 'FCA' END AS incoterm, 'pack well|DAP Berlin, unloaded|fca terms|EN 10204 certificate' AS requirements, o_orderpriority AS note FROM {orders}",
+    # requests as they were sent, and as a model has read them; requirements are cut by |
+    "sent_requests": "SELECT o_orderkey AS rfq_id, 'Customer ' || CAST(o_custkey AS VARCHAR(12)) AS customer, 'Contact ' || CAST(o_custkey % 50 AS VARCHAR(4)) AS contact, 'c' || CAST(o_custkey % 50 AS VARCHAR(4)) || '@example.com' AS email, CASE WHEN o_custkey % 2 = 0 THEN 'en' ELSE 'de' END AS language, CAST(o_orderdate AS DATE) AS received, CASE o_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'DAP' ELSE 'FCA' END AS incoterm, CASE WHEN o_custkey % 4 = 0 THEN 'USD' ELSE 'EUR' END AS currency, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'Zinc plated, thickness 8|Delivered in returnable boxes' ELSE 'Zinc plated, thickness 8|Delivered in returnable boxes|Certificate of grade 3 for the steel' END AS requirements FROM {orders}",
+    "read_requests": "SELECT o_orderkey AS rfq_id, CASE WHEN o_orderkey % 6 = 0 THEN 'CUSTOMER  ' ELSE 'customer ' END || CAST(o_custkey AS VARCHAR(12)) AS customer, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'Contact ' || CAST(o_custkey % 50 AS VARCHAR(4)) END AS contact, 'c' || CAST(o_custkey % 50 AS VARCHAR(4)) || '@example.com' AS email, 'en' AS language, CASE WHEN o_orderkey % 7 = 0 THEN CAST(o_orderdate AS DATE) + 1 ELSE CAST(o_orderdate AS DATE) END AS received, CASE o_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'dap' WHEN 2 THEN 'fca' ELSE 'EXW' END AS incoterm, 'EUR' AS currency, CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'zinc plating, thickness 8|black paint' ELSE 'deliver in returnable boxes|certificate of grade 3 steel|zinc' END AS requirements FROM {orders} WHERE o_orderkey % 19 <> 3",
+    "sent_lines": "SELECT l_orderkey AS rfq_id, l_linenumber AS line_no, CAST(CAST(l_quantity AS INT) AS VARCHAR(6)) || ',' || CAST(CAST(l_quantity AS INT) * 2 AS VARCHAR(6)) AS quantities, CAST(l_shipdate AS DATE) AS due, 'drw-' || CAST(l_partkey AS VARCHAR(12)) AS drawing_ref, CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE 'P-' || CAST(l_partkey AS VARCHAR(12)) END AS part_number FROM {orderlines}",
+    "read_lines": "SELECT l_orderkey AS rfq_id, l_linenumber AS line_no, CAST(CAST(l_quantity AS INT) AS VARCHAR(6)) || CASE WHEN l_partkey % 6 = 0 THEN '' ELSE ',' || CAST(CAST(l_quantity AS INT) * 2 AS VARCHAR(6)) END AS quantities, CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS due, CASE WHEN l_partkey % 8 = 0 THEN 'DRW-' ELSE 'drw-' END || CAST(l_partkey AS VARCHAR(12)) AS drawing_ref, CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE 'p - ' || CAST(l_partkey AS VARCHAR(12)) END AS part_number FROM {orderlines} WHERE NOT (l_linenumber = 2 AND l_orderkey % 4 = 1)",
     "intake_items": "SELECT l_orderkey AS rfq_id, l_linenumber * 3 AS line_no, CAST(CAST(l_quantity AS INT) AS VARCHAR(6)) || ',0,' || CAST(CAST(l_quantity AS INT) * 2 AS VARCHAR(6)) || ',' || CAST(CAST(l_quantity AS INT) AS VARCHAR(6)) || ',-5' AS quantities, CASE l_suppkey % 4 WHEN 0 THEN 'DRW_' || CAST(l_partkey AS VARCHAR(12)) || '.PDF' WHEN 1 THEN CAST(l_partkey AS VARCHAR(12)) WHEN 2 THEN 'see drw-' || CAST(l_partkey AS VARCHAR(12)) || ' rev a' END AS drawing_ref, CASE WHEN l_linenumber = 2 THEN '  ' ELSE l_returnflag END AS notes FROM {orderlines}",
     "attachments": "SELECT l_orderkey AS rfq_id, 'drw-' || CAST(l_partkey AS VARCHAR(12)) || '.pdf' AS file FROM {orderlines} WHERE l_linenumber < 6 GROUP BY 1, 2",
     "wanted": "SELECT o_orderkey AS rfq_id, 'Customer ' || CAST(o_custkey AS VARCHAR(12)) AS customer, o_orderpriority AS priority, CAST(o_orderdate AS DATE) AS issued, o_totalprice AS total FROM {orders}",

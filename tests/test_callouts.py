@@ -74,3 +74,16 @@ def test_headings(spark):
     n, title = search.heading(F.col("t"))
     got = {r["t"]: (r["n"], r["h"] if r["n"] else None) for r in spark.createDataFrame([(t,) for t in LINES], "t string").select("t", n.alias("n"), title.alias("h")).collect()}
     assert got == LINES
+
+
+def test_score_readings(spark):
+    head = "rfq_id long, customer string, contact string, email string, language string, received string, incoterm string, currency string, requirements array<string>"
+    line = "rfq_id long, line_no int, quantities array<int>, due string, drawing_ref string, part_number string"
+    sent = spark.createDataFrame([(1, "A GmbH", "B", "b@a.de", "de", "2024-01-02", "DAP", "EUR", ["Zinc plated", "Deliver in boxes"]), (2, "C", None, None, "en", None, None, "EUR", None)], head)
+    read = spark.createDataFrame([(1, "a  gmbh.", "B", "b@a.de", "en", "2024-01-02", "dap", "EUR", ["boxes for delivery", "paint"])], head)
+    lines = spark.createDataFrame([(1, 10, [5, 9], "d", "x-1", "P 1"), (1, 20, [1], "d", None, None), (1, 30, [1], "d", None, None)], line)
+    got = spark.createDataFrame([(1, 1, [5, 9], "e", "x-1", "p 1"), (1, 2, [1, 2], "d", None, "q")], line)
+    out = {r["rfq_id"]: tuple(r)[1:] for r in scoring.score_readings(read, sent, got, lines).collect()}
+    # "Deliver in boxes" has the stems deliv and boxes; "Zinc plated" is missed, paint is made up
+    assert out[1] == (6, False, 5, 8, 1, 2, 1, 2, ["language", "line 10 due", "line 20 quantities", "line 20 part_number", "-Zinc plated", "+paint"])
+    assert out[2] == (4, True, 0, 0, 0, 0, 0, 0, ["customer", "language", "currency"])
