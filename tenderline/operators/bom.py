@@ -91,7 +91,7 @@ def single_part_bom(measured: DataFrame, ops: DataFrame, materials: DataFrame) -
 
     Without a known material weight and price are open. measured: of geometry.measure(); ops: of routing.rule_routing(). Materials are a small table.
     """
-    m = F.broadcast(materials.select(F.col("code").alias("material_code"), "density", "price_eur_kg"))
+    m = materials.select(F.col("code").alias("material_code"), "density", "price_eur_kg")
     made = measured.where("shape_class <> 'assembly'").join(m, "material_code", "left")
     kilos = lambda v: F.round(F.coalesce(F.col(v) * F.col("density") / 1000, F.lit(0.0)) + 1e-7, 3)
     known = F.col("density").isNotNull()

@@ -14,15 +14,15 @@ CELL = [*LINE, "plant", "qty"]
 def grid(lines: DataFrame, plants: DataFrame) -> DataFrame:
     """Line × plant × positive quantity (CO-01). Plants are a small table."""
     p = plants.select(F.col("code").alias("plant"), "overhead_pct", "logistics_pct", "base_weeks", "ord")
-    return lines.where("qty > 0").crossJoin(F.broadcast(p))
+    return lines.where("qty > 0").crossJoin(p)
 
 
 def operation_lines(cells: DataFrame, ops: DataFrame, centres: DataFrame, services: DataFrame, weight: str = "weight_kg") -> DataFrame:
     """In-house operations per piece, null where the plant lacks the work centre (CO-03, CO-06), and outsourced ones: price by weight, at least the
     lot minimum over the pieces (CO-04); unknown services cost 0. Operations meet their cells in one join; rates and services are small tables."""
     own = ops.where("not suggested and (centre is not null or service is not null)").select(*LINE, "seq", "centre", "service", "setup_min", "cycle_min")
-    rates = F.broadcast(centres.select(F.col("code").alias("centre"), "plant", "rate_eur_h"))
-    priced = F.broadcast(services.select(F.col("code").alias("service"), F.col("price_eur_kg").alias("kg_eur"), "lot_min_eur"))
+    rates = centres.select(F.col("code").alias("centre"), "plant", "rate_eur_h")
+    priced = services.select(F.col("code").alias("service"), F.col("price_eur_kg").alias("kg_eur"), "lot_min_eur")
     x = cells.join(own, LINE).join(rates, ["centre", "plant"], "left").join(priced, "service", "left")
     inside, c, num = F.col("centre").isNotNull(), F.col, lambda n: plain_number(F.col(n))
     outside = F.coalesce(F.greatest(c("kg_eur") * c(weight), c("lot_min_eur") / c("qty")), F.lit(0.0))
@@ -41,7 +41,7 @@ def operation_lines(cells: DataFrame, ops: DataFrame, centres: DataFrame, servic
 
 def material(cells: DataFrame, materials: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Raw material with scrap; without a price it costs 0 and is marked (CO-02)."""
-    m = F.broadcast(materials.select(F.col("code").alias("material_code"), F.col("price_eur_kg").alias("kg_price")))
+    m = materials.select(F.col("code").alias("material_code"), F.col("price_eur_kg").alias("kg_price"))
     made = cells.where("shape_class <> 'assembly' or shape_class is null") if "shape_class" in cells.columns else cells
     out = made.join(m, "material_code", "left")
     amount = F.col("weight_kg") * F.col("kg_price") * (1 + params.scrap)
@@ -179,7 +179,7 @@ def routing_view(ops: DataFrame) -> DataFrame:
 
 def with_weight(lines: DataFrame, parts: DataFrame, materials: DataFrame) -> DataFrame:
     """Lines with the part's material and weight: volume times density (GE-02, GE-06)."""
-    m = F.broadcast(materials.select(F.col("code").alias("material_code"), "density"))
+    m = materials.select(F.col("code").alias("material_code"), "density")
     p = parts.join(m, "material_code", "left").select("part_id", "shape_class", "material_code", volume().alias("volume"), (volume() * F.col("density") / 1000).alias("weight_kg"))
     return lines.join(p, "part_id", "left")
 

@@ -27,7 +27,7 @@ def quote_lines(spark: SparkSession, d: str) -> DataFrame:
 def quote_assumptions(spark: SparkSession, d: str) -> DataFrame:
     """CO-18."""
     parts, materials = domain(spark, d, "parts"), domain(spark, d, "materials")
-    about = domain(spark, d, "specs").join(parts.select("part_id", "shape_class", "material_code"), "part_id").join(F.broadcast(materials.select(F.col("code").alias("material_code"), "mat_group")), "material_code", "left")
+    about = domain(spark, d, "specs").join(parts.select("part_id", "shape_class", "material_code"), "part_id").join(materials.select(F.col("code").alias("material_code"), "mat_group"), "material_code", "left")
     open_ = bom_ops.unpriced(quoting._priced_bom(spark, d)).select("part_id", F.lit(True).alias("open"))
     b = quoting._breakdown(spark, d)
     at = quoting._recommended(spark, d, b).select(*LINE, "qty", "plant").join(b.select(*LINE, "qty", "plant", "min_order_applied"), [*LINE, "qty", "plant"]).groupBy(*LINE).agg(F.max("min_order_applied").alias("min_order"))
@@ -105,7 +105,7 @@ def edit_table_by_centre(spark: SparkSession, d: str) -> DataFrame:
 
 def _points(spark: SparkSession, d: str) -> DataFrame:
     rules, cal = routing.rule_routing(eng._context(spark, d)), records._calibrated(spark, d)
-    m = F.broadcast(domain(spark, d, "materials").select(F.col("code").alias("material_code"), "density", "price_eur_kg"))
+    m = domain(spark, d, "materials").select(F.col("code").alias("material_code"), "density", "price_eur_kg")
     kilos = lambda v: F.col(v) * F.col("density") / 1000
     stock = eng._measured(spark, d).join(m, "material_code", "left").select("part_id", kilos("stock_cm3").alias("stock_kg"), kilos("finished_cm3").alias("finished_kg"), "price_eur_kg")
     built = domain(spark, d, "parts").where("shape_class = 'assembly'").select("part_id")

@@ -121,8 +121,9 @@ def _needs(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
 
 
-#: Tables that most others are made of: aggregated once a session.
-WRITTEN = ("orderlines", "part_costs")
+#: Tables that most others are made of, aggregated once a session. Master tables are among them so that their size is known from their files: joins with them
+#: need no hint, as Spark broadcasts them while they are below spark.sql.autoBroadcastJoinThreshold and shuffles them beyond.
+WRITTEN = ("orderlines", "part_costs", "plants", "centres", "services", "materials")
 #: Schemas of the given tables by path: queries read a table many times, and its footers need be looked at once.
 _schemas: dict[str, StructType] = {}
 
