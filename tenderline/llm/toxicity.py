@@ -139,14 +139,23 @@ class LabelModel:
         v = len(mean)
         spread = 4 * prior * (1 - prior)  # variance of the class, coded -1 and 1
         off = ~np.eye(v, dtype=bool)
-        a = np.sqrt(np.maximum(np.abs(cov).mean(1), 1e-9) / spread)
-        pairs = off.copy()
-        for _ in range(2):  # all pairs; then without those that agree more than the class explains
-            for _ in range(50):
-                a = (cov * pairs) @ a / np.maximum(spread * (pairs @ a**2), 1e-9)
+        # three voters that are independent given the class tell the accuracy of each; the median over all such triples bears some that are not
+        safe = np.where(np.abs(cov) > 1e-9, cov, np.nan)
+        a = np.zeros(v)
+        for i in range(v):
+            rest = [j for j in range(v) if j != i]
+            told = [safe[i, j] * safe[i, k] / safe[j, k] for n, j in enumerate(rest) for k in rest[n + 1 :]]
+            told = [t for t in told if np.isfinite(t) and t > 0]
+            a[i] = np.sqrt(np.median(told) / spread) if told else 0.0
+        lead = int(np.argmax(a))
+        a *= np.where(cov[lead] < 0, -1, 1)
+        a = np.clip(a, -1, 1)
+        for _ in range(2):  # without pairs that agree more than the class explains
             left = np.abs(cov - spread * np.outer(a, a)) * off
             cut = np.quantile(left[off], 1 - drop) if off.any() else 0
             pairs = off & (left <= cut)
+            for _ in range(50):
+                a = np.clip((cov * pairs) @ a / np.maximum(spread * (pairs @ a**2), 1e-9), -1, 1)
         self.accuracy = a if a.sum() >= 0 else -a  # better than chance on the whole
         self.correlation = cov - spread * np.outer(self.accuracy, self.accuracy)
         own = (self.correlation + self.correlation.T) / 2
