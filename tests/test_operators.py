@@ -202,3 +202,16 @@ def test_rule_grade_and_dates(spark):
     ops, *rest = tables(spark)
     got = {r["qty"]: r["meets_due"] for r in costing.breakdown(c, costing.cost_lines(c, ops.where("service is null"), *rest)).collect()}
     assert got == {10: True, 20: False, 30: None}
+
+
+def test_catalog_rows_with_the_same_tokens_meet_texts_once(spark, monkeypatch):
+    """Three hundred rows have three lists of tokens: texts meet three, and the first row by ord is found."""
+    met = []
+    monkeypatch.setattr(bom, "written", lambda df, name: met.append(df.count()) or df)
+    rows = [(300 - k, f"C{k}", float(k), ("screw|M5x20", "M5 x 20|screw", "cover|PT-1", "x9")[k % 4]) for k in range(300)]
+    catalog = spark.createDataFrame(rows, "ord int, part_number string, unit_price double, tokens string")
+    items = [(None, f"Screw M5x20 no {k}", None) for k in range(50)] + [("C7", "Screw M5x20", None), (None, None, None), ("Q x9", None, "Q"), ("a", "b", "c")]
+    got = {(r["part_number"], r["description"]): (r["catalog_number"], r["how"]) for r in bom.match_catalog(spark.createDataFrame(items, "part_number string, description string, standard string"), catalog).collect()}
+    assert met == [3]
+    assert all(got[None, f"Screw M5x20 no {k}"] == ("C297", "normalized") for k in range(50))
+    assert got["C7", "Screw M5x20"] == ("C7", "exact") and got[None, None] == (None, None) and got["Q x9", None] == ("C299", "normalized") and got["a", "b"] == (None, None)
