@@ -215,3 +215,24 @@ def test_catalog_rows_with_the_same_tokens_meet_texts_once(spark, monkeypatch):
     assert met == [3]
     assert all(got[None, f"Screw M5x20 no {k}"] == ("C297", "normalized") for k in range(50))
     assert got["C7", "Screw M5x20"] == ("C7", "exact") and got[None, None] == (None, None) and got["Q x9", None] == ("C299", "normalized") and got["a", "b"] == (None, None)
+
+
+def test_breakdown_of_lines_equals_that_of_cost_lines(spark):
+    """Without a row for each cost line the cells are the same: missing centres, unknown services, no weight, assemblies, lines without operations; a line's cells are made without moving it again."""
+    lines = spark.createDataFrame(
+        [(1, 1, 7, 20, "rotational", "M", 1.2, None, None), (1, 2, 8, 1000, "assembly", "M", 3.0, 13.0, "PL"), (2, 1, 9, 5, None, None, None, 99.0, "DE"), (2, 2, 7, 0, "rotational", "M", 1.2, None, None), (3, 1, 10, 3, "assembly", None, None, None, None)],
+        "rfq_id long, line_no int, part_id long, qty int, shape_class string, material_code string, weight_kg double, parts_cost double, make_plant string",
+    ).withColumn("due", F.lit("1996-02-20").cast("date"))
+    steps = [("TURN", None, 30.0, 6.0, False), ("SAW", None, 5.0, 1.0, False), (None, "HT", 0.0, 0.0, False), (None, "NONE", 0.0, 0.0, False), ("GRIND", None, 9.0, 9.0, True), (None, None, 1.0, 1.0, False)]
+    ops = spark.createDataFrame([(r, n, 10 * k, *s) for r, n in ((1, 1), (1, 2), (2, 1), (2, 2)) for k, s in enumerate(steps)], "rfq_id long, line_no int, seq int, centre string, service string, setup_min double, cycle_min double, suggested boolean")
+    plants = spark.createDataFrame([("DE", 0.1, 0.0, 4, 0), ("PL", 0.08, 0.01, 6, 1), ("CN", 0.05, 0.02, 8, 2)], "code string, overhead_pct double, logistics_pct double, base_weeks int, ord int")
+    centres = spark.createDataFrame([("TURN", "DE", 60.0), ("SAW", "DE", 40.0), ("TURN", "PL", 50.0)], "code string, plant string, rate_eur_h double")
+    services = spark.createDataFrame([("HT", 2.0, 120.0)], "code string, price_eur_kg double, lot_min_eur double")
+    materials = spark.createDataFrame([("M", 2.0)], "code string, price_eur_kg double")
+    items = spark.createDataFrame([(8, 1, 2, "catalog", "x", 6.5, None), (8, 2, 1, "new", None, None, None), (9, 1, 1, "catalog", "y", 99.0, None)], "part_id long, item_no int, qty int, source string, matched string, unit_cost double, plant string")
+    cells = costing.grid(lines, plants)
+    want = costing.breakdown(cells, costing.cost_lines(cells, ops, centres, services, materials, items))
+    got = costing.line_breakdown(lines, ops, plants, centres, services, materials, more=("part_id", "make_plant"))
+    plain = lambda df: sorted((tuple(round(v, 9) if isinstance(v, float) else str(v) for v in r) for r in df.select(*want.columns).collect()))
+    assert plain(got) == plain(want) and len(plain(got)) == 12
+    assert {r["plant"] for r in costing.recommend_plant(got, more=("part_id",)).where("part_id = 10").collect()} == {"DE"}
