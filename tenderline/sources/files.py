@@ -20,6 +20,13 @@ REQUEST = "rfq_id long, customer string, items array<struct<line_no:int,quantity
 RECORDED = "request_meta struct<task:string,key:string,latency_ms:long>, parsed string, usage struct<input_tokens:int,output_tokens:int>"
 
 
+def write_files(rows: DataFrame, path: str, by: list[str]) -> None:
+    """Texts (value) as a file for each value of `by`, in folders named by them. Files are what takes time, not bytes: a small table would be one task, so rows are dealt out by
+    their folder, and each task commits the files it has written instead of the driver moving all of them one by one."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(tasks, *by).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(*by).text(path)
+
+
 def write_masters(tables: dict[str, DataFrame], folder: str) -> None:
     """Masters as CSV with a header, each replaced as a whole; arrays are JSON texts in their cells."""
     for name, df in tables.items():
