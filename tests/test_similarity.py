@@ -72,3 +72,15 @@ def test_candidates_hold_all_pairs_within_the_loss(spark):
         want = {(q[0], p[0]) for q in data for p in data if q[1] == p[1] and score(q, p) >= 1 - loss}
         assert len(pairs) == len(set(pairs)) and want <= set(pairs)
         assert loss > 0.2 or len(pairs) < len(data) ** 2 / 10
+
+
+@pytest.mark.parametrize("least", [0.5, 0.8])
+def test_pages_hold_the_best_and_few_others(spark, monkeypatch, least):
+    monkeypatch.setattr(sim, "PAGE", 4)
+    data = rows(160, seed=6)
+    df = spark.createDataFrame(data, KIND)
+    got = {(r["_v"], r["_p"]) for r in sim.nearest(df.withColumnRenamed("part_id", "_v"), df.select(F.col("part_id").alias("_p"), F.array("part_id").alias("ids"), *sim.FIELDS), 4, least).collect()}
+    for q in data:
+        s = sorted((score(q, p) for p in data if p[1] == q[1]), reverse=True)
+        assert {p[0] for p in data if p[1] == q[1] and score(q, p) >= max(s[:4][-1], least)} <= {p for v, p in got if v == q[0]}
+    assert len(got) < len(data) ** 2 / 10
