@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tenderline.operators import bom, costing, drawings, intake, matching, normalise, quantiles, reviews, scoring, search, triage, validation
+from tenderline.operators import bom, costing, drawings, intake, matching, normalise, quantiles, quotes, reviews, scoring, search, triage, validation
 from tenderline.sources import files
 
 CELL = "rfq_id long, line_no int, qty int, plant string, material_code string, weight_kg double, overhead_pct double, logistics_pct double, base_weeks int, ord int, due date"
@@ -253,3 +253,14 @@ def test_terms_are_counted_where_their_document_is(spark):
         plan = cut(docs)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 1
     assert {(r["id"], r["term"]): r["n"] for r in search.word_terms(docs).collect()} == {("a", "one"): 2, ("a", "two"): 2, ("a", "one two"): 2, ("a", "two one"): 1, ("b", "two"): 1}
+
+
+def test_tables_that_grow_with_the_parts_are_not_broadcast(spark):
+    lines, materials = spark.range(9).selectExpr("id AS rfq_id", "id % 3 AS part_id"), spark.range(1).selectExpr("'M' AS code", "2.0D AS density")
+    parts = spark.range(3).selectExpr("id AS part_id", "'prismatic' AS shape_class", "'M' AS material_code", "1.0D AS main_mm", "1.0D AS length_mm", "1.0D AS width_mm", "1.0D AS height_mm")
+    plan = costing.with_weight(lines, parts, materials)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [part_id" in plan and "BroadcastHashJoin [part_id" not in plan
+    told = spark.range(3).selectExpr("id AS part_id", "'x' AS items")
+    b = spark.range(3).selectExpr("id AS rfq_id", "id AS line_no", "id AS part_id", "1 AS qty", "'DE' AS plant", "1.0D AS unit_price", "true AS feasible", "false AS min_order_applied", "5 AS lead_weeks")
+    plan = quotes.quote_lines(b, b.select("rfq_id", "line_no", "qty", "plant"), told)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [part_id" in plan and "BroadcastHashJoin" not in plan
