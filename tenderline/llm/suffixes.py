@@ -1,8 +1,8 @@
 """Removes repeated byte strings with suffix arrays built by induced sorting.
 
 Any two equal strings of `width` bytes hold the same minimiser (the GRAM-byte piece of least hash, the first of equals), at the same
-place. Minimisers that occur once in the corpus are left out (a filter of fixed size tells most of them), the text around the others (the
-context) is gathered, equal contexts once each, and contexts with a longer piece in common meet in one shard. Each shard's suffix array
+place. Minimisers that occur once in the corpus are left out (a filter of fixed size tells most of them), the strings whose minimiser another
+one is (its context, one piece of text; each string is in one context only) are gathered, equal contexts once each, and contexts with a longer piece in common meet in one shard. Each shard's suffix array
 is built by induced sorting, and permuted common prefixes tell which strings of `width` bytes occur again; of each such class the first
 occurrence (by document, then place) stays and the others are covered. Contexts that are repeated as a whole are covered at
 once. So what is sorted grows with the distinct repeated text, not with its copies, and no shard holds more than a bounded number
@@ -252,12 +252,15 @@ def repeated_in_shard(texts: list[bytes], origin: np.ndarray, width: int) -> np.
 # --- minimisers ----------------------------------------------------------------------------------------------------
 
 
-def minimisers(data: np.ndarray, offsets: np.ndarray, width: int, running: np.ndarray) -> np.ndarray:
-    """Positions of the minimisers of all strings of `width` bytes that lie within one text (and a few more)."""
+def minimisers(data: np.ndarray, offsets: np.ndarray, width: int, running: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the minimisers of all strings of `width` bytes that lie within one text, each with the starts of the first and the last string it is the minimiser of.
+
+    Those strings start next to each other, and which they are follows from the text they lie in: equal strings are in the contexts of equal minimisers.
+    """
     n = len(data) - GRAM + 1
     w = width - GRAM + 1
     if n < w:
-        return np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 3
     at = np.arange(n, dtype=np.uint64)
     packed = (running[GRAM:] - running[:-GRAM]) * powers_back(n)
     packed *= np.uint64(0xD6E8FEB86659FD93)
@@ -274,11 +277,11 @@ def minimisers(data: np.ndarray, offsets: np.ndarray, width: int, running: np.nd
     back = np.minimum.accumulate(square[:, ::-1], axis=1)[:, ::-1].ravel()
     windows = np.minimum(back[: n - w + 1], forth[w - 1 : n])
     pos = (windows & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    pos = pos[np.append(True, pos[1:] != pos[:-1])]
-    pos = np.unique(pos)
-    # not those across two texts, nor in texts that are too short
-    row = np.searchsorted(offsets, pos, "right") - 1
-    return pos[(pos + GRAM <= offsets[row + 1]) & (offsets[row + 1] - offsets[row] >= width)]
+    begins = np.arange(len(pos))
+    whole = begins + width <= np.repeat(offsets[1:], np.diff(offsets))[: len(pos)]  # not strings across two texts
+    pos, begins = pos[whole], begins[whole]
+    heads = np.flatnonzero(np.append(True, pos[1:] != pos[:-1])[: len(pos)])
+    return pos[heads], begins[heads], begins[np.append(heads[1:], len(pos))[: len(heads)] - 1]
 
 
 def _bits(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -339,7 +342,7 @@ def duplicate_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         for batch in slices(batches, size=1 << 19):
             data, offsets = flat(batch.column("text"))
             running = prefix_hash(data)
-            pos = minimisers(data, offsets, width, running)
+            pos, _, _ = minimisers(data, offsets, width, running)
             fp, n = np.unique(span_hash(running, pos, pos + GRAM), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(n.astype(np.int32))], names=["fp", "n"])
 
@@ -351,12 +354,11 @@ def duplicate_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         for batch in slices(batches, size=1 << 19):
             data, offsets = flat(batch.column("text"))
             running = prefix_hash(data)
-            pos = minimisers(data, offsets, width, running)
+            pos, a, b = minimisers(data, offsets, width, running)
             fp = span_hash(running, pos, pos + GRAM)
             hit = in_filter(fp, *flags.value)
-            pos, fp = pos[hit], fp[hit]
+            pos, fp, a, b = pos[hit], fp[hit], a[hit], b[hit] + width
             row = np.searchsorted(offsets, pos, "right") - 1
-            a, b = np.maximum(pos - reach, offsets[row]), np.minimum(pos + width, offsets[row + 1])
             ctx = span_hash(running, a, b)
             ids, crc = batch.column("doc_id").to_numpy(), batch.column("crc").to_numpy()
             lr = (pos - a) * 256 + (b - pos)

@@ -192,6 +192,24 @@ def test_substrings_of_short_texts(spark, monkeypatch):
     assert got == want
 
 
+def test_minimisers_share_out_strings():
+    """Each string of 100 bytes within a text belongs to one minimiser, its piece of least hash, and equal strings to equal places."""
+    rng = np.random.default_rng(3)
+    shared = bytes(rng.integers(97, 105, 400, dtype=np.uint8))
+    texts = [bytes(rng.integers(97, 105, n, dtype=np.uint8)) + shared[k : k + 260] for n, k in ((90, 0), (31, 140), (0, 70))] + [b"", b"short", b"ab" * 120]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    pos, first, last = suffixes.minimisers(data, offsets, 100, suffixes.prefix_hash(data))
+    starts = [s for a, b in zip(first, last) for s in range(a, b + 1)]
+    assert starts == [s for a, b in zip(offsets, offsets[1:]) for s in range(a, b - 99)]
+    places: dict[bytes, set[int]] = {}
+    for p, a, b in zip(pos, first, last):
+        for s in range(a, b + 1):
+            assert s <= p <= s + 80
+            places.setdefault(data[s : s + 100].tobytes(), set()).add(int(p - s))
+    assert all(len(x) == 1 for x in places.values()) and len(places) < len(starts)
+
+
 @pytest.mark.parametrize("k", [1, 2, 5])
 def test_suffix_array(k):
     rng = np.random.default_rng(k)
