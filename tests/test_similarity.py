@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +85,21 @@ def test_pages_hold_the_best_and_few_others(spark, monkeypatch, least):
         s = sorted((score(q, p) for p in data if p[1] == q[1]), reverse=True)
         assert {p[0] for p in data if p[1] == q[1] and score(q, p) >= max(s[:4][-1], least)} <= {p for v, p in got if v == q[0]}
     assert len(got) < len(data) ** 2 / 10
+
+
+def test_sizes_rule_out_parts_of_a_page():
+    """Of a page of many lengths few parts are left for queries of near sizes, and all that reach a floor; unknown sizes too."""
+    rng = np.random.default_rng(5)
+
+    def page(n, low, high):
+        x = {"id": np.arange(n), "main": rng.uniform(3.0, 3.1, n).astype(np.float32), "length": rng.uniform(low, high, n).astype(np.float32), "grade": rng.integers(5, 8, n).astype(np.float32), "holes": rng.integers(0, 2, n).astype(np.float32), "threads": np.zeros(n, np.float32), "material": rng.integers(0, 2, n), "like": np.ones(n, np.int64)}
+        x["length"][:: n // 8] = np.nan
+        return x | {f: np.zeros(n, np.int64) for f in sim.FLAGS}
+
+    parts = page(800, 2.0, 7.0)
+    for queries in (page(16, 4.0, 4.1), {k: v[1:2] for k, v in page(16, 4.0, 4.1).items()}):
+        queries["floor"] = np.full(len(queries["id"]), 0.95, np.float32)
+        near = sim._page_scores(queries, parts) >= 0.95
+        at = sim._in_reach(queries, parts)
+        assert near.any() and set(np.flatnonzero(near.any(0))) <= set(at)
+    assert len(at) < 200  # a query of known size
