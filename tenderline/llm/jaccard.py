@@ -11,7 +11,7 @@ one point, so exact copies meet nobody.
 
 In each partition all points are bounded against one of them first, survivors are verified, and what is linked is joined to components. Where a partition still
 holds several components, its points are packed into boxes (by component, then size and coordinates), and boxes into pages of bounded size. Pairs of pages, of boxes and of points are
-followed down only where the bound allows a link between different components. Points in boxes are folded to few groups; survivors meet on all groups, then on their sets.
+followed down only where the bound allows a link between different components. Points in boxes are folded to COARSE groups; survivors meet on all groups, then on their sets.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from tenderline.llm.text import LOWER, SOLID, flat, mix, shingle_hashes, slices,
 WORDS, PERCENT = 4, 85
 #: Points of a box, and of a page (which is what one task row holds; two pages meet in one row).
 BOX, PAGE = 32, 512
-#: Groups of the points in boxes, which are small; pairs that they allow meet on all groups, then on their sets.
-COARSE = 64
+#: Groups of the points in boxes, at most; pairs that they allow meet on all groups, then on their sets.
+COARSE = 256
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -77,6 +77,19 @@ def fold(p: np.ndarray, size: int) -> np.ndarray:
     return p if len(p) == size else p.reshape(size, -1).sum(1).astype(p.dtype)
 
 
+def packed(p: np.ndarray) -> bytes:
+    """A point in the least number of bytes for each count, which comes first."""
+    width = 1 if p.max() < 1 << 8 else 2 if p.max() < 1 << 16 else 4
+    return bytes([width]) + p.astype(f"<u{width}").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """The point of packed() bytes, which are odd in number, or of plain ones."""
+    if len(data) % 2 == 0:
+        return np.frombuffer(data, np.uint32)
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.uint32)
+
+
 def reach(shared: np.ndarray | int, n: np.ndarray | int, m: np.ndarray | int, percent: int) -> np.ndarray | bool:
     """Whether sets of n and m tokens that share `shared` of them, or no more than that, can be linked."""
     return (100 + percent) * shared >= percent * (n + m)
@@ -126,12 +139,12 @@ def with_partitions(docs: DataFrame, percent: int, words: int) -> DataFrame:
 
 
 def read_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
-    """c, n, tokens (sorted 64-bit values), point and coarse (the point on COARSE groups at most) of classes (c, rep, d1, d2), read from the texts of their documents."""
+    """c, n, tokens (sorted 64-bit values), point and coarse (the point on COARSE groups at most, packed) of classes (c, rep, d1, d2), read from the texts of their documents."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets, digests in _sets(batches, words):
             points = [point(x) for x in sets]
-            yield pa.RecordBatch.from_arrays([*digests, pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in points], pa.binary()), pa.array([fold(x, min(len(x), COARSE)).tobytes() for x in points], pa.binary())], names=["d1", "d2", "n", "tokens", "point", "coarse"])
+            yield pa.RecordBatch.from_arrays([*digests, pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in points], pa.binary()), pa.array([packed(fold(x, min(len(x), COARSE))) for x in points], pa.binary())], names=["d1", "d2", "n", "tokens", "point", "coarse"])
 
     kept = _texts(docs).join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     read = kept.mapInArrow(work, "d1 long, d2 long, n long, tokens binary, point binary, coarse binary")
@@ -184,9 +197,9 @@ class Box:
 class Page:
     """A page of points, folded to one number of groups, and its boxes."""
 
-    def __init__(self, members: list[dict], size: int) -> None:
+    def __init__(self, members: list[dict], points: list[np.ndarray], size: int) -> None:
         self.c, self.comp, self.n = (np.array([m[f] for m in members], np.int64) for f in ("c", "comp", "n"))
-        self.grid = np.stack([fold(np.frombuffer(m["point"], np.uint32), size) for m in members]).astype(np.int64)
+        self.grid = np.stack([fold(p, size) for p in points]).astype(np.int32)
         self.boxes = [Box(self, slice(k, min(k + BOX, len(members)))) for k in range(0, len(members), BOX)]
 
 
@@ -207,15 +220,17 @@ def _meet(x: Page, y: Page, percent: int) -> Iterator[tuple[int, int]]:
 
 
 def _search(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of the pages x and y (null: x alone) of each row."""
+    """Pairs (a, b) of the pages x and y (null: x alone) of each row; pairs that several rows of a batch give, once."""
     for batch in batches:
-        found: list[tuple[int, int]] = []
+        found: set[tuple[int, int]] = set()
         for x, y in zip(batch.column("x"), batch.column("y")):
             both = [p for p in (x.as_py(), y.as_py()) if p is not None]
-            size = min(len(m["point"]) // 4 for p in both for m in p)
-            pages = [Page(p, size) for p in both]
-            found += _meet(pages[0], pages[-1], percent)
-        yield pa.RecordBatch.from_pydict({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+            points = [[unpacked(m["point"]) for m in p] for p in both]
+            size = min(len(x) for p in points for x in p)
+            pages = [Page(p, x, size) for p, x in zip(both, points)]
+            found.update(_meet(pages[0], pages[-1], percent))
+        pairs = np.array(list(found), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
 def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +238,7 @@ def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         tops = []
         for page in batch.column("members"):
-            points = [np.frombuffer(m["point"], np.uint32) for m in page.as_py()]
+            points = [unpacked(m["point"]) for m in page.as_py()]
             size = min(len(p) for p in points)
             tops.append(np.max([fold(p, size) for p in points], axis=0).astype(np.uint32).tobytes())
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tops, pa.binary())], names=[*batch.schema.names, "top"])

@@ -121,5 +121,18 @@ def test_tree_pairs_are_those_the_bound_allows(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want and want
 
 
+def test_boxes_rule_out_sets_that_share_two_thirds(spark):
+    """Sets of 1,500 tokens that share two in three aren't linked, and the points in boxes say so; points survive packing, whatever their counts."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    texts = [(k, " ".join([*(f"b{i}" for i in range(1_005)), *(f"v{rng.integers(1 << 40)}" for _ in range(500))])) for k in range(30)]
+    sets = jaccard.read_sets(spark.createDataFrame(texts, KIND), jaccard.profiles(spark.createDataFrame(texts, KIND), 4).select(F.col("doc_id").alias("c"), F.col("doc_id").alias("rep"), "d1", "d2"), 4)
+    rows = sets.select(F.lit(7).cast("long").alias("key"), "c", F.col("c").alias("comp"), "n", F.col("coarse").alias("point"))
+    assert rows.count() == 30 and jaccard.tree_pairs(rows, 85).count() == 0
+    for top in (3, 300, 70_000):
+        x = np.append(jaccard.point(base)[:-1], top).astype(np.uint32)
+        assert jaccard.unpacked(jaccard.packed(x)).tolist() == x.tolist() == jaccard.unpacked(x.tobytes()).tolist()
+
+
 def test_empty_table(spark):
     assert jaccard.jaccard_components(spark.createDataFrame([], KIND)).collect() == []
