@@ -98,6 +98,7 @@ def least_agreements(n: int, threshold: float, miss: float) -> int:
 
 
 def _bayes(batches: Iterator[pa.RecordBatch], threshold: float, miss: float) -> Iterator[pa.RecordBatch]:
+    """Of pairs (PAIR, sa, sb) those that their signatures leave."""
     n_hashes = ROWS * BANDS
     needed = {n: least_agreements(n, threshold, miss) for n in range(BATCH, n_hashes + 1, BATCH)}
     for batch in batches:
@@ -127,11 +128,20 @@ def _exact(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("ca", "cb")], names=["a", "b"])
 
 
+def pruned(both: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Of pairs of classes (a, b) in components (ca, cb), with signatures (sa, sb), those that the signatures leave."""
+    return both.select(*PAIR, "sa", "sb").mapInArrow(lambda x: _bayes(x, percent / 100, miss), "a long, b long, ca long, cb long")
+
+
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int = 75, miss: float = MISS) -> DataFrame:
     """Of pairs of classes (a, b) in components (ca, cb) the components (a, b) that a link joins: Bayesian pruning on signatures, then whole sets."""
     sig = classes.select("rep", "sig")
     both = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b")
-    left = store(both.mapInArrow(lambda x: _bayes(x, percent / 100, miss), "a long, b long, ca long, cb long"), "survivors")
+    return confirmed(store(pruned(both, percent, miss), "survivors"), docs, percent)
+
+
+def confirmed(left: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Of pairs of classes (a, b) in components (ca, cb) the components (a, b) that a link joins, on whole sets."""
     ids = left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     ids = F.broadcast(ids) if left.count() * 2 <= BROADCAST_IDS else ids
     texts = store(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
@@ -140,18 +150,24 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int =
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, comp) for every id in links (a, b): the least id it is connected with. Each round halves the way at least."""
-    edges = store(links.where("a <> b").select("a", "b").unionByName(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = store(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp")), "label")
-    while True:
-        near = edges.join(label.toDF("b", "m"), "b").groupBy("a").agg(F.min("m").alias("m"))
-        step = label.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("comp").alias("old"), F.least("comp", "m").alias("new"))
-        # jump: take over the label of the label
-        step = store(step.join(label.toDF("new", "jump"), "new", "left").select("id", "old", F.least("new", F.coalesce("jump", "new")).alias("comp")), "label")
-        changed = step.where("comp <> old").limit(1).count()
-        label = step.select("id", "comp")
-        if not changed:
-            return label
+    """(id, comp) for every id in links (a, b): the least id it is connected with.
+
+    In each round an id with a smaller neighbour goes to the least one, these steps are followed to their ends, and only different links between different ends
+    stay. The larger id of every link goes, and links within what has met go with it, so a group's links meet labels once instead of in each round.
+    """
+    smaller = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = store(smaller.distinct(), "edges")
+    out = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("comp", F.col("id"))
+    followed = lambda to: to.join(to.toDF("end", "next"), "end", "left").select("id", F.coalesce("next", "end").alias("end"))
+    while edges.limit(1).count():
+        to = store(edges.groupBy("a").agg(F.min("b").alias("end")).withColumnRenamed("a", "id"), "steps")
+        while to.select(F.col("end").alias("id")).join(to, "id", "left_semi").limit(1).count():
+            to = store(followed(followed(to)), "steps")
+        a, b = (F.coalesce(f"end_{c}", c) for c in ("a", "b"))
+        met = edges.join(to.toDF("a", "end_a"), "a").join(to.toDF("b", "end_b"), "b", "left").select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
+        edges = store(met.where("a <> b").distinct(), "edges")
+        out = out.join(to.toDF("comp", "end"), "comp", "left").select("id", F.coalesce("end", "comp").alias("comp"))
+    return store(out, "label")
 
 
 def linkable(rows: DataFrame, sizes: DataFrame, docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -207,9 +223,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = MISS) -> D
         order = F.xxhash64("a", F.pmod("key", F.lit(4)), F.lit(turn))
         return members.groupBy("key").agg(F.min_by(F.struct(*[c for c in members.columns if c != "key"]), F.struct(order, "a")).alias("p")).select("key", "p.*")
 
-    def merged(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-        """The components after the links among pairs."""
-        return store(comp.join(components(verify(pairs, classes, docs, percent, miss)).toDF("comp", "new"), "comp", "left").select("id", F.coalesce("new", "comp").alias("comp")), "comp")
+    def merged(links: DataFrame, comp: DataFrame) -> DataFrame:
+        """The components after links between them."""
+        return store(comp.join(components(links).toDF("comp", "new"), "comp", "left").select("id", F.coalesce("new", "comp").alias("comp")), "comp")
 
     small = F.col("size") <= SMALL
     one = rows.withColumnRenamed("rep", "a")
@@ -217,7 +233,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = MISS) -> D
     other = rows.select("key", F.col("rep").alias("b"))
     apart = F.when(F.col("size_a") <= SMALL, F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
     tested = store(one.join(other, (one["key"] == other["key"]) & apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    comp = merged(tested.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")), classes.select(F.col("rep").alias("id"), F.col("rep").alias("comp")))
+    comp = merged(verify(tested.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")), classes, docs, percent, miss), classes.select(F.col("rep").alias("id"), F.col("rep").alias("comp")))
     rows = rows.where(~small).drop("size")
     before, turn, bounded = math.inf, 1, False
     while True:
@@ -238,9 +254,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = MISS) -> D
             last = not many or size["cross"] > 0.5 * before or turn == MAX_TURNS - 1
             before, turn = size["cross"], turn + 1
             known = ["n", "c"] if bounded else []
-            if last:  # the open buckets of each class, to take a pair in the first one only
-                at = store(at.join(at.groupBy("rep").agg(F.collect_set("key").alias("keys")), "rep"), "open")
-                known = [*known, "keys"]
+            if last:  # the open buckets of each class, to take a pair in the first one only, and its signature, so that pairs need not look it up
+                own = at.groupBy("rep").agg(F.collect_set("key").alias("keys")).join(classes.select("rep", "sig"), "rep")
+                at = store(at.join(own, "rep"), "open")
+                known = [*known, "keys", "sig"]
             one = at.select("key", F.col("rep").alias("a"), F.col("comp").alias("comp_a"), *[F.col(c).alias(f"{c}_a") for c in known])
             other = at.select("key", F.col("rep").alias("b"), F.col("comp").alias("comp_b"), *[F.col(c).alias(f"{c}_b") for c in known])
             fits = (100 + percent) * F.least("c_a", "c_b") >= percent * (F.col("n_a") + F.col("n_b")) if bounded else F.lit(True)
@@ -249,12 +266,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = MISS) -> D
             apart = (F.col("a") < F.col("b")) if last else F.col("a") != F.col("b")
             once = one["key"] == F.array_min(F.array_intersect("keys_a", "keys_b")) if last else F.lit(True)
             pairs = one.join(other, (one["key"] == other["key"]) & apart & (F.col("comp_a") != F.col("comp_b")) & fits & once)
+            if last:
+                met = pairs.select("a", "b", F.col("comp_a").alias("ca"), F.col("comp_b").alias("cb"), F.col("sig_a").alias("sa"), F.col("sig_b").alias("sb"))
+                left = store(pruned(met, percent, miss).distinct().join(tested, ["a", "b"], "left_anti"), "survivors")
+                comp = merged(confirmed(left, docs, percent), comp)
+                break
             up = F.col("a") < F.col("b")
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(up, F.col("comp_a")).otherwise(F.col("comp_b")).alias("ca"), F.when(up, F.col("comp_b")).otherwise(F.col("comp_a")).alias("cb"))
         pairs = store(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested, comp = tested.unionByName(pairs.select("a", "b")), merged(pairs, comp)
-        if last:
-            break
+        tested, comp = tested.unionByName(pairs.select("a", "b")), merged(verify(pairs, classes, docs, percent, miss), comp)
     linked = members.join(comp.toDF("rep", "component_id"), "rep").select("doc_id", "n_shingles", "component_id", F.col("rep").alias("class_id"))
     alone = sets.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
     out = linked.unionByName(alone)
