@@ -32,6 +32,8 @@ WORDS, PERCENT = 4, 85
 BOX, PAGE = 32, 512
 #: Groups of the points in boxes, at most; pairs that they allow meet on all groups, then on their sets.
 COARSE = 256
+#: Least partitions of a class that its points carry: a pair with a lesser one in common is met there.
+KEYS = 32
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -197,14 +199,15 @@ class Box:
 class Page:
     """A page of points, folded to one number of groups, and its boxes."""
 
-    def __init__(self, members: list[dict], points: list[np.ndarray], size: int) -> None:
+    def __init__(self, members: list[dict], points: list[np.ndarray], size: int, key: int) -> None:
+        self.lesser = [{k for k in m["keys"] if k < key} for m in members]
         self.c, self.comp, self.n = (np.array([m[f] for m in members], np.int64) for f in ("c", "comp", "n"))
         self.grid = np.stack([fold(p, size) for p in points]).astype(np.int32)
         self.boxes = [Box(self, slice(k, min(k + BOX, len(members)))) for k in range(0, len(members), BOX)]
 
 
 def _meet(x: Page, y: Page, percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of two pages, or within one, that boxes and points allow, of different components."""
+    """Pairs of two pages, or within one, that boxes and points allow, of different components, but for those that a lesser partition has too."""
     for i, one in enumerate(x.boxes):
         for other in y.boxes[i if x is y else 0 :]:
             if (one.comp is not None and one.comp == other.comp) or not reach(int(np.minimum(one.top, other.top).sum()), one.low, other.low, percent):
@@ -216,18 +219,20 @@ def _meet(x: Page, y: Page, percent: int) -> Iterator[tuple[int, int]]:
                     continue
                 near = (y.comp[rows] != x.comp[a]) & reach(np.minimum(x.grid[a], y.grid[rows]).sum(1), x.n[a], y.n[rows], percent)
                 for b in np.flatnonzero(near) + first:
+                    if not x.lesser[a].isdisjoint(y.lesser[b]):
+                        continue
                     yield min(int(x.c[a]), int(y.c[b])), max(int(x.c[a]), int(y.c[b]))
 
 
 def _search(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of the pages x and y (null: x alone) of each row; pairs that several rows of a batch give, once."""
+    """Pairs (a, b) of the pages x and y (null: x alone) of partition `key` of each row; pairs that several rows of a batch give, once."""
     for batch in batches:
         found: set[tuple[int, int]] = set()
-        for x, y in zip(batch.column("x"), batch.column("y")):
+        for key, x, y in zip(batch.column("key").to_pylist(), batch.column("x"), batch.column("y")):
             both = [p for p in (x.as_py(), y.as_py()) if p is not None]
             points = [[unpacked(m["point"]) for m in p] for p in both]
             size = min(len(x) for p in points for x in p)
-            pages = [Page(p, x, size) for p, x in zip(both, points)]
+            pages = [Page(p, x, size, key) for p, x in zip(both, points)]
             found.update(_meet(pages[0], pages[-1], percent))
         pairs = np.array(list(found), np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -259,10 +264,11 @@ def tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of rows (key, c, comp, n, point) of one partition (key) and of different components whose points allow a link, each once.
 
     The points of a partition are packed PAGE at a time by component, size and coordinates: their places come from a window, which sorts on disk. Corners of pages meet first; pages are fetched for
-    the pairs of pages that are left.
+    the pairs of pages that are left. A pair is given where it is met first, in the least partition that both are in: of that, points carry the least KEYS of their own.
     """
+    rows = rows.withColumn("keys", F.slice(F.array_sort(F.collect_set("key").over(Window.partitionBy("c"))), 1, KEYS))
     place = F.floor((F.row_number().over(Window.partitionBy("key").orderBy("comp", "n", "point", "c")) - 1) / PAGE)
-    grouped = rows.withColumn("page", place).groupBy("key", "page").agg(F.collect_list(F.struct("c", "comp", "n", "point")).alias("members"), F.min("n").alias("low"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    grouped = rows.withColumn("page", place).groupBy("key", "page").agg(F.collect_list(F.struct("c", "comp", "n", "point", "keys")).alias("members"), F.min("n").alias("low"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     members = grouped.schema["members"].dataType
     kind = f"key long, page long, members {members.simpleString()}, low long, c0 long, c1 long, top binary"
     pages = store(grouped.mapInArrow(_tops, kind), "pages", dictionary=False)
@@ -271,8 +277,8 @@ def tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
     alike = "x0 = x1 and y0 = y1 and x0 = y0"
     near = x.join(y, "key").where(f"px < py and not ({alike})").select("key", "px", "py", "tx", "ty", "lx", "ly").mapInArrow(lambda b: _near_pages(b, percent), "key long, px long, py long")
     whole = pages.select("key", "page", "members")
-    two = near.join(whole.toDF("key", "px", "x"), ["key", "px"]).join(whole.toDF("key", "py", "y"), ["key", "py"]).select("x", "y")
-    one = pages.where("c0 <> c1").select(F.col("members").alias("x"), F.lit(None).cast(members).alias("y"))
+    two = near.join(whole.toDF("key", "px", "x"), ["key", "px"]).join(whole.toDF("key", "py", "y"), ["key", "py"]).select("key", "x", "y")
+    one = pages.where("c0 <> c1").select("key", F.col("members").alias("x"), F.lit(None).cast(members).alias("y"))
     return store(one.unionByName(two).mapInArrow(lambda b: _search(b, percent), "a long, b long").distinct(), "tree_pairs")
 
 

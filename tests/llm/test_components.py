@@ -2,7 +2,10 @@
 
 import random
 
-from tenderline.llm import neardup
+import numpy as np
+import pyarrow as pa
+
+from tenderline.llm import jaccard, neardup
 
 
 def least_reachable(links):
@@ -46,3 +49,19 @@ def test_last_turn_looks_up_no_signatures(spark, monkeypatch):
     found = neardup.near_duplicates(spark.createDataFrame(copies, "doc_id long, text string"))
     assert found.select("component_id").distinct().count() > 20
     assert sum(looked_up) < 24 * len(copies), looked_up
+
+
+def test_pairs_of_several_partitions_are_given_by_the_least():
+    """Points of two partitions: the second gives only pairs of which one is in the second alone, as its members tell."""
+    point = np.full(16, 2, np.uint32).tobytes()
+    member = lambda c, *keys: {"c": c, "comp": c, "n": 32, "point": point, "keys": list(keys)}
+    kind = pa.list_(pa.struct([("c", pa.int64()), ("comp", pa.int64()), ("n", pa.int64()), ("point", pa.binary()), ("keys", pa.list_(pa.int64()))]))
+
+    def pairs(key, x, y=None):
+        batch = pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([x], kind), pa.array([y], kind)], names=["key", "x", "y"])
+        return sorted((r["a"], r["b"]) for out in jaccard._search(iter([batch]), 85) for r in out.to_pylist())
+
+    both = [member(c, -5, 9) for c in (1, 2)]
+    assert pairs(-5, both) == [(1, 2)]
+    assert pairs(9, [*both, member(3, 9)]) == [(1, 3), (2, 3)]
+    assert pairs(9, both, [member(4, -5, 9), member(5, 9)]) == [(1, 5), (2, 5)]
