@@ -103,3 +103,38 @@ def test_sizes_rule_out_parts_of_a_page():
         at = sim._in_reach(queries, parts)
         assert near.any() and set(np.flatnonzero(near.any(0))) <= set(at)
     assert len(at) < 200  # a query of known size
+
+
+def test_queries_met_at_once_are_alike(spark, monkeypatch):
+    """Few pairs are scored once materials, flags, grades and counts bound them too, and none that counts is left out."""
+    rng = np.random.default_rng(4)
+    n = 3000
+    at = lambda k: rng.integers(0, k, n)
+    page = {"id": np.arange(n), "main": np.log(50 + at(3)).astype(np.float32), "length": np.log(60 + at(4)).astype(np.float32), "grade": (5 + at(2)).astype(np.float32), "holes": at(9).astype(np.float32), "threads": at(9).astype(np.float32), "material": at(7), "like": np.zeros(n, int), **{f: at(2) for f in sim.FLAGS}}
+    page["like"] = page["material"] // 3
+    page["main"][::50], page["holes"][::70] = np.nan, np.nan
+    scores = sim._page_scores(page, page)
+    page["floor"] = np.partition(scores, -4, axis=1)[:, -4]
+    order = sim._alike(page)
+    met = 0
+    for k in range(0, n, sim.STEP):
+        own = order[k : k + sim.STEP]
+        reach = sim._in_reach({c: v[own] for c, v in page.items()}, page)
+        met += len(reach)
+        wanted = np.flatnonzero((scores[own] >= (page["floor"][own] - sim.NEAR)[:, None]).any(axis=0))
+        assert set(wanted) <= set(reach)
+    assert met < 0.6 * n * (n / sim.STEP)
+
+
+def test_scores_are_looked_up_by_what_differs():
+    """A page's scores come from tables of its different sizes, kinds and counts, far smaller than its pairs."""
+    rng = np.random.default_rng(6)
+    n = 600
+    page = {"id": np.arange(n), "main": np.log(5 + rng.integers(0, 6, n)).astype(np.float32), "length": np.log(20 + rng.integers(0, 9, n)).astype(np.float32), "grade": rng.integers(5, 8, n).astype(np.float32), "holes": rng.integers(0, 5, n).astype(np.float32), "threads": rng.integers(0, 5, n).astype(np.float32), "material": rng.integers(0, 3, n), "like": np.ones(n, np.int64)} | {f: rng.integers(0, 3, n) // 2 for f in sim.FLAGS}
+    page["main"][::40], page["holes"][::90] = np.nan, np.nan
+    assert sum(t.size for t, _, _ in sim._tables(page, page)) < n * n / 10
+    s = sim._page_scores(page, page)
+    flag = lambda i: [page[f][i] for f in sim.FLAGS]
+    for i, j in rng.integers(0, n, (200, 2)):
+        row = lambda i: (0, "x", *[None if np.isnan(page[c][i]) else math.exp(page[c][i]) for c in ("main", "length")], page["material"][i], "g", page["holes"][i], page["threads"][i], *flag(i), page["grade"][i])
+        assert s[i, j] == (-1 if np.isnan(page["holes"][[i, j]]).any() else pytest.approx(score(row(i), row(j)), abs=1e-5))
